@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import decontaminate, warc
+from loomtrace.llm import chat, decontaminate, licences, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, laid out as a file tree."""
+    return licences.scan(licences.document_files(table(spark, sf_dir, "documents")))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the target that the labels trust."""
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All logged conversations, collapsed to the maximal ones and rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC archives and back."""
     read = warc.roundtrip(table(spark, sf_dir, "pages"))
@@ -23,12 +38,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op7_chat_format": op7_chat_format, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 ORACLES = {
+    "op7_chat_format": """
+        with t as (
+            select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text,
+                   row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'user'), coalesce(text, '')) as pos
+            from conversations where conv_id is not null
+        ), p as (
+            select conv_id, pos, count(*) over (partition by conv_id) as n_turns,
+                   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '')
+                       over (partition by conv_id order by pos rows unbounded preceding) as rendered
+            from t
+        ), whole as (
+            select rendered, n_turns, min(conv_id) as conv_id, count(*) as n_copies
+            from p where pos = n_turns group by rendered, n_turns
+        )
+        select conv_id, n_turns, n_copies, rendered from whole
+        where not exists (select 1 from p where p.pos < p.n_turns and p.pos = whole.n_turns and p.rendered = whole.rendered)""",
     "op9_warc": """
         with base as (
             select page_id, coalesce(html, '') as html from pages
