@@ -6,9 +6,9 @@ that no template has weigh most. Files without a license of their own take that
 ancestor directory that has a licence file: directories are made distinct, joined with the licensed
 directories on every ancestor path, and the longest path wins. All steps are DataFrame functions.
 
-A line can reach the threshold against a template only if it has one of the template's heaviest terms
-(those without which the rest of the template's vector is too short); texts without any such term are
-not split into lines, which changes no result.
+A line can reach the threshold against a template only if it has one of the template's less common terms (what is left
+of the template's vector without them is too short); texts without any such term are not split into
+lines, which changes no result.
 
 Defined results of the edge cases: null and empty texts have no license of their own; a null path is a
 file without directory, which inherits nothing; of several equally similar templates the first by name
@@ -29,19 +29,20 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 #: Least cosine of a notice or licence file.
-THRESHOLD = 0.7
+THRESHOLD = 0.8
 TERM = "[a-z0-9]+"
+#: Words too common in any text to be worth looking for.
+COMMON = frozenset("a an and any are as at be by can do for from have i if in is it its may no not of on or that the this to under use was we with you 0 1 2 3 4".split())
 
 
 def vectors() -> tuple[list[dict[str, float]], dict[str, float], float]:
@@ -59,12 +60,16 @@ def vectors() -> tuple[list[dict[str, float]], dict[str, float], float]:
 
 
 def required_terms() -> list[str]:
-    """Terms of which any text that reaches the threshold has at least one."""
+    """Terms of which any text that reaches the threshold has at least one.
+
+    Per template its terms other than ``COMMON`` ones; common terms join, heaviest first, only where
+    those left out could reach the threshold by themselves.
+    """
     found = set()
     for vector in vectors()[0]:
         rest = 1.0
-        for term, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
-            if math.sqrt(max(rest, 0)) < THRESHOLD * (1 - 1e-9):
+        for term, x in sorted(vector.items(), key=lambda p: (p[0] in COMMON, -p[1], p[0])):
+            if term in COMMON and math.sqrt(max(rest, 0)) < THRESHOLD * (1 - 1e-9):
                 break
             found.add(term)
             rest -= x * x
