@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multiplier of the polynomial hashes, its inverse modulo 2**64, and the seed of the byte table.
 BASE = 0x9E3779B97F4A7C15
@@ -74,7 +75,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = 2 << 20) ->
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(text)
-        lengths = pa.compute.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         total, start = np.cumsum(lengths), 0
         while start < batch.num_rows:
             base = total[start] - lengths[start]

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import chat, decontaminate, licences, quality, warc
+import public_tokenizers
+
+from loomtrace.llm import chat, decontaminate, langid, licences, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All logged conversations, collapsed to the maximal ones and rendered."""
     return chat.render(table(spark, sf_dir, "conversations"))
@@ -38,7 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op7_chat_format": op7_chat_format, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_pack": op3_pack, "op4_language_id": op4_language_id, "op7_chat_format": op7_chat_format, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
