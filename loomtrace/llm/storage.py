@@ -35,11 +35,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the files behind ``df`` as the optimizer sees it, used to choose numbers of partitions."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-
-def parts(df: DataFrame, mb: int, least: int | None = None) -> int:
-    """Number of partitions that gives about ``mb`` MB of input files to each."""
-    floor = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, input_bytes(df) // (mb << 20) + 1)
