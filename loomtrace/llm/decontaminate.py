@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm import kernels as K
+from loomtrace.llm.storage import filter_ids, materialise
 
 #: Words of a shared span that is always found, and of the k-grams that are hashed.
 WINDOW = 10
@@ -203,7 +204,7 @@ def merge_spans(spans):
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that share no window with the benchmark, with all their columns."""
     hit = contaminated_spans(documents, benchmark).where(F.size("spans") > 0).select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti")
+    return filter_ids(documents, materialise(hit, "contaminated"), "left_anti")
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

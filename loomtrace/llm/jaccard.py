@@ -29,14 +29,12 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm import kernels as K
 from loomtrace.llm.components import connected_components
-from loomtrace.llm.storage import materialise
+from loomtrace.llm.storage import filter_ids, materialise
 
 SHINGLE = 4
 #: Sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 85
 BLOCK = 4096
-#: Ids of near-duplicate candidates are broadcast to filter the documents up to this many.
-BROADCAST_IDS = 2_000_000
 
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()), ("least", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 MEMBERS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
@@ -213,12 +211,6 @@ def candidates(sets: DataFrame, representatives: DataFrame) -> DataFrame:
     return materialise(counts.join(enough, "doc_id", "left_semi").select("doc_id", "low"), "candidates")
 
 
-def filter_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is in ``ids``: by broadcast up to a checked size, else by a shuffle."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-
 def link_candidates(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, component) of the candidate sets that link with another one."""
     groups = connected_components(pairs.select(F.col("doc_id").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
@@ -259,5 +251,7 @@ def join_components(documents: DataFrame) -> DataFrame:
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The documents that name their component, with all their columns; one row of repeated ones."""
-    kept = join_components(documents).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
+    named = materialise(join_components(documents), "components")
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        documents = documents.dropDuplicates(["doc_id"])
+    return filter_ids(documents, named.where("doc_id = component_id").select("doc_id").distinct())

@@ -10,6 +10,10 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids are broadcast to filter a table up to this many (some 16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +41,9 @@ def input_bytes(df: DataFrame) -> int:
     """Size of the files behind ``df`` as the optimizer sees it, used to choose numbers of partitions."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
+
+
+def filter_ids(documents: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Documents whose doc_id is (``left_anti``: is not) in ``ids``, by broadcast only up to a checked size."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return documents.join(F.broadcast(ids) if small else ids, "doc_id", how)

@@ -44,7 +44,7 @@ _PLACE = np.uint64((1 << 28) - 1)
 ANCHORS = pa.schema([("anchor", pa.int64()), ("key", pa.int64())])
 CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("at", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int64())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -322,14 +322,18 @@ def strip(source: DataFrame, spans: DataFrame) -> DataFrame:
                         at = max(at, end)
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                rows.append((None if doc == -(1 << 63) else doc, len(data), len(data) - len(rest), count, hashlib.sha256(rest).hexdigest(), rest))
+                rows.append((None if doc == -(1 << 63) else doc, len(data), len(data) - len(rest), count, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(RESULT)], schema=RESULT)
 
     return K.map_arrow(joined, run, RESULT)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """Every document without its repeated bytes, with counts and the hash of what is kept."""
+    """Every document without its repeated bytes, with counts and the hash of the bytes that are kept.
+
+    ``text`` are the kept bytes; where a span begins or ends inside a character, the rest of that
+    character goes too.
+    """
     source = keyed(documents)
     lists = repeated_anchors(source)
     parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(source) // (8 << 20) + 1)
