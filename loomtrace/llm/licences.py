@@ -41,8 +41,8 @@ TEMPLATES = [
 #: Least cosine of a notice or licence file.
 THRESHOLD = 0.8
 TERM = "[a-z0-9]+"
-#: Words too common in any text to be worth looking for.
-COMMON = frozenset("a an and any are as at be by can do for from have i if in is it its may no not of on or that the this to under use was we with you 0 1 2 3 4".split())
+#: Words too common in texts of some language to be worth looking for ("mit" is German for "with").
+COMMON = frozenset("a an and any are as at be by can do for from have i if in is it its may mit no not of on or that the this to under use was we with you 0 1 2 3 4".split())
 
 
 def vectors() -> tuple[list[dict[str, float]], dict[str, float], float]:
