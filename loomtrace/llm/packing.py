@@ -14,6 +14,7 @@ ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 32
 TRIED = 48
 K1, B = 1.2, 0.75
-#: Distinct chunks of text whose ids a worker remembers, and the longest chunk it remembers.
-MEMORY, LONGEST = 400_000, 80
+#: Distinct chunks of text whose ids a worker remembers.
+MEMORY = 800_000
 
 TOKENS = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("length", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("ids", pa.binary())]
@@ -42,12 +43,13 @@ PACKED = pa.schema(
 )
 
 
-class Encoder(dict):
-    """Ids of white-space separated chunks as little-endian bytes, remembered by chunk.
+class Encoder:
+    """Ids of texts as little-endian bytes, put together from remembered ids of their parts.
 
-    The vocabulary's pre-tokeniser never joins text across white space, so that the ids of a text are
-    those of its chunks in order. U+001C to U+001F separate for Python only; such texts are encoded
-    whole, as are chunks that are too long to be worth remembering.
+    The vocabulary's pre-tokeniser never joins text across white space, nor a run of letters with the
+    punctuation behind it, so that the ids of a text are those of its parts in order. Parts that are not
+    remembered yet are encoded in one call for a whole batch. U+001C to U+001F separate for Python only;
+    texts with them are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -55,38 +57,76 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.whole(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def runs(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one run each: encoded in lines and cut behind the ids that end a word."""
+        out, size = [], self.kind.itemsize
+        for at in range(0, len(words), 256):
+            line = words[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, self.kind)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(ends) == len(line):
+                data = ids.tobytes()
+                out += [data[b:e] for b, e in zip([0, *ends], ends, strict=False)]
+            else:  # normalisation broke a run
+                out += self.whole(line)
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        split = {chunk: _cut(chunk) for chunk in chunks}
+        new = {part for cut in split.values() if len(cut) == 2 for part in cut if part not in self.parts}
+        self.parts.update(zip(new, self.runs(list(new)), strict=True))
+        odd = [chunk for chunk, cut in split.items() if len(cut) != 2]
+        self.chunks.update(zip(odd, self.whole(odd), strict=True))
+        parts = self.parts
+        self.chunks.update((chunk, parts[cut[0]] + parts[cut[1]]) for chunk, cut in split.items() if len(cut) == 2)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > MEMORY:
+            self.chunks.clear()
+            self.parts = {"": b""}
+        split = [None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for text in texts]
+        self.learn(set().union(*(s for s in split if s)) - self.chunks.keys())
+        return [self.whole([t])[0] if s is None else b"".join(map(self.chunks.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+
+
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _cut(chunk: str) -> tuple[str, ...]:
+    """A run of letters and the ASCII punctuation behind it (or nothing), else the chunk alone."""
+    body = chunk.rstrip(_PUNCTUATION)
+    low = body.lower()
+    if body.isalpha() and low.isalpha():
+        return (low if body.isascii() else body), chunk[len(body) :]
+    return (chunk,)
+
+
+#: One encoder for each vocabulary and worker process: what it remembers serves later tasks too.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def tokenise(documents: DataFrame, vocabulary: str) -> DataFrame:
     """Windows and remainders of all documents with their ids and lexical keys (``TOKENS``)."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made: list[Encoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Encoder(vocabulary))
-        encoder = made[0]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = _ENCODERS.get(vocabulary) or Encoder(vocabulary)
+        _ENCODERS[vocabulary] = encoder
         end = np.array([END], encoder.kind).tobytes()
         for batch in K.chunks(batches, "text", 4 << 20):
             columns: list[list] = [[] for _ in TOKENS.names]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(text or "") + end, encoder.kind)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc, coded in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                ids = np.frombuffer(coded + end, encoder.kind)
                 for at in range(0, len(ids), LENGTH):
                     part = ids[at : at + LENGTH]
                     low = np.partition(K.mix(np.unique(part).astype(np.uint64)) >> np.uint64(1), 1)[:2] if len(part) > 1 and part[0] != part[-1] else np.zeros(2, np.uint64)
