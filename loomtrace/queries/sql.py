@@ -54,7 +54,7 @@ INSTANCES = f"""
         from steps window w as (partition by instance_id order by pos)
     ), grouped as (
         select instance_id, user_id, min(ts_ms) as started_ms, max_by(ts_ms + duration_ms, pos) as ended_ms, sum(duration_ms)::bigint as busy_ms,
-               count(*) as n_events, list(token order by pos) as raw_signature, count(*) filter (where back) as context_switches
+               count(*) as n_events, list(token order by pos, token) as raw_signature, count(*) filter (where back) as context_switches
         from named group by instance_id, user_id
     ), instances as (
         select *, greatest(ended_ms - started_ms, busy_ms) as duration_ms, {FOLD.format("raw_signature")} as signature from grouped
@@ -69,8 +69,9 @@ LINES = """
     )"""
 
 ORDERS = f"""{LINES}, runs as (
-        select instance_id, user_id, min(ts_ms) as started_ms, sum(duration_ms)::bigint as duration_ms, list(token order by pos) as raw_signature, {FOLD.format("list(token order by pos)")} as signature
+        select instance_id, user_id, min(ts_ms) as started_ms, sum(duration_ms)::bigint as duration_ms, list(token order by pos, token) as raw_signature
         from lines group by instance_id, user_id
+    ), folded as (select *, {FOLD.format("raw_signature")} as signature from runs
     ), keyed as (
-        select *, array_to_string(signature, '|') as variant, substr(sha1(array_to_string(signature, '|')), 1, 16) as signature_hash from runs
+        select *, array_to_string(signature, '|') as variant, substr(sha1(array_to_string(signature, '|')), 1, 16) as signature_hash from folded
     )"""
