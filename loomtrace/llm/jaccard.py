@@ -5,10 +5,10 @@
    have at least ``shared(n)`` prefix shingles in common. Sets with fewer prefix shingles that occur in
    another prefix have no link, which leaves near-duplicates and little else.
 2. Common prefix shingles join the remaining sets into candidate groups that contain all links.
-3. A group's sets are stored in a trie. Each unplaced set in turn traverses the trie of the sets that
-   are still unplaced; overlaps are counted once per shared path, and subtrees whose remaining lengths
-   can't reach the threshold are not entered. Sets that link join the component and are not compared
-   again, so a group of thousands of near copies is not expanded into pairs.
+3. A group's sets are stored in a trie, rarest shingles first. Each set in turn traverses the paths of
+   the trie that its own rarest shingles meet; overlaps are counted once per shared path, and subtrees
+   whose remaining lengths can't reach the threshold are left. Sets that link join the component and
+   are not compared again, so a group of thousands of near copies is not expanded into pairs.
 
 Groups of more than ``BLOCK`` sets are linked block by block; if representatives of the blocks don't
 show the group to be one component, all pairs of its blocks are traversed.
@@ -101,18 +101,19 @@ def full_sets(documents: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Sequences of ascending shingle ranks, stored once per shared path.
+    """Sequences of ascending shingle ranks (rarest first), stored once per shared path.
 
     Sorted sequences are cut at the path they share with the one before; ``parent`` is the sequence
-    whose stored part the shared path ends in.
+    whose stored part the shared path ends in. ``near`` lists, for each rank, the sequences that have it
+    in the prefix that must meet a partner's prefix.
     """
 
-    def __init__(self, sequences: list[np.ndarray]):
+    def __init__(self, sequences: list[np.ndarray], ranks: int):
         self.order = np.array(sorted(range(len(sequences)), key=lambda i: sequences[i].astype(">u4").tobytes()))
         ordered = [sequences[i] for i in self.order]
         n = len(ordered)
         self.length = np.array([len(s) for s in ordered])
-        self.common, self.parent, level = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+        self.common, self.parent, self.level = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
         stack: list[int] = []
         for i in range(n):
             if i:
@@ -123,40 +124,52 @@ class Trie:
                 stack.pop()
             if stack and self.common[i]:
                 self.parent[i] = stack[-1]
-                level[i] = level[stack[-1]] + 1
+                self.level[i] = self.level[stack[-1]] + 1
             stack.append(i)
         self.begin = np.concatenate([[0], np.cumsum(self.length - self.common)])
         self.stored = np.concatenate([s[c:] for s, c in zip(ordered, self.common, strict=True)])
-        self.longest, self.shortest = self.length.copy(), self.length.copy()
-        for i in range(n - 1, -1, -1):
-            p = self.parent[i]
-            if p >= 0:
-                self.longest[p] = max(self.longest[p], self.longest[i])
-                self.shortest[p] = min(self.shortest[p], self.shortest[i])
-        self.levels = [np.flatnonzero(level == k) for k in range(int(level.max()) + 1)]
-
-    def partners(self, query: np.ndarray, ranks: int) -> np.ndarray:
-        """Indices (of the constructor's list) of the sequences that link with the query."""
+        prefixes = [s[: len(s) - needed(len(s)) + 1] for s in ordered]
+        tokens = np.concatenate(prefixes)
+        by_token = np.argsort(tokens, kind="stable")
+        self.owner = np.repeat(np.arange(n), [len(p) for p in prefixes])[by_token]
+        self.near = np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=ranks))])
+
+    def partners(self, query: np.ndarray, ranks: int, waiting: np.ndarray) -> np.ndarray:
+        """Indices (of the constructor's list) of the waiting sequences that link with the query."""
+        head = query[: len(query) - needed(len(query)) + 1]
+        lists = [self.owner[self.near[r] : self.near[r + 1]] for r in head]
+        ends = np.unique(np.concatenate(lists))
+        ends = ends[waiting[self.order[ends]]]
+        # sizes that are too different can't link
+        ends = ends[(100 * self.length[ends] >= PERCENT * len(query)) & (100 * len(query) >= PERCENT * self.length[ends])]
+        if not len(ends):
+            return ends
+        paths, up = [ends], self.parent[ends]
+        while (up >= 0).any():
+            up = np.unique(up[up >= 0])
+            paths.append(up)
+            up = self.parent[up]
+        nodes = np.unique(np.concatenate(paths))
         inside = np.zeros(ranks, bool)
         inside[query] = True
-        hits = np.concatenate([[0], np.cumsum(inside[self.stored])])
-        base = np.zeros(len(self.length), np.int64)
-        entered = np.zeros(len(self.length), bool)
-        found = []
-        for k, at in enumerate(self.levels):
-            if k:
-                at = at[entered[self.parent[at]]]
-                up = self.parent[at]
-                base[at] = base[up] + hits[self.begin[up] + self.common[at] - self.common[up]] - hits[self.begin[up]]
-            next_rank = self.stored[np.minimum(self.begin[at], len(self.stored) - 1)]
-            rest = np.minimum(len(query) - np.searchsorted(query, next_rank), self.longest[at] - self.common[at])
-            rest = np.where(self.begin[at + 1] > self.begin[at], rest, self.longest[at] - self.common[at])
-            reach = base[at] + rest
-            at = at[(100 + PERCENT) * reach >= PERCENT * (len(query) + self.shortest[at])]
-            entered[at] = True
-            overlap = base[at] + hits[self.begin[at + 1]] - hits[self.begin[at]]
-            found.append(at[100 * overlap >= PERCENT * (len(query) + self.length[at] - overlap)])
-        return self.order[np.concatenate(found)]
+        sizes = self.begin[nodes + 1] - self.begin[nodes]
+        first = np.cumsum(sizes) - sizes
+        hits = np.concatenate([[0], np.cumsum(inside[self.stored[np.repeat(self.begin[nodes] - first, sizes) + np.arange(sizes.sum())]])])
+        base = np.zeros(len(nodes), np.int64)
+        dead = np.zeros(len(nodes), bool)
+        need = -(-PERCENT * (len(query) + np.maximum(needed(len(query)), 1)) // (100 + PERCENT))
+        for level in range(1, int(self.level[nodes].max()) + 1):
+            at = np.flatnonzero(self.level[nodes] == level)
+            above = np.searchsorted(nodes, self.parent[nodes[at]])
+            shared_path = self.common[nodes[at]]
+            base[at] = base[above] + hits[first[above] + shared_path - self.common[nodes[above]]] - hits[first[above]]
+            # what is left of the query behind the shared path bounds the overlap of the whole subtree
+            last = self.stored[self.begin[nodes[above]] + shared_path - self.common[nodes[above]] - 1]
+            dead[at] = dead[above] | (base[at] + len(query) - np.searchsorted(query, last, "right") < need)
+        overlap = base + hits[first + sizes] - hits[first]
+        linked = ~dead & (100 * overlap >= PERCENT * (len(query) + self.length[nodes] - overlap))
+        linked &= np.isin(nodes, ends)
+        return self.order[nodes[linked]]
 
 
 def link(sets: list[np.ndarray]) -> np.ndarray:
@@ -164,25 +177,23 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
     label = np.full(len(sets), -1)
     values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), np.int64)
-    rank[np.argsort(-df, kind="stable")] = np.arange(len(values))
+    rank[np.argsort(df, kind="stable")] = np.arange(len(values))
     bounds = np.cumsum([len(s) for s in sets])[:-1]
     sequences = [np.sort(s) for s in np.split(rank[inverse], bounds)]
-    trie, held = None, np.arange(len(sets))
+    trie, held, left = None, np.arange(len(sets)), len(sets)
     for seed in range(len(sets)):
         if label[seed] >= 0:
             continue
         label[seed] = seed
+        left -= 1
         queue = [seed]
-        while queue:
-            waiting = np.flatnonzero(label < 0)
-            if not len(waiting):
-                return label
-            if trie is None or len(waiting) * 2 < len(held):
-                held = waiting
-                trie = Trie([sequences[i] for i in held])
-            partners = held[trie.partners(sequences[queue.pop()], len(values))]
-            partners = partners[label[partners] < 0]
+        while queue and left:
+            if trie is None or left * 2 < len(held):
+                held = np.flatnonzero(label < 0)
+                trie = Trie([sequences[i] for i in held], len(values))
+            partners = held[trie.partners(sequences[queue.pop()], len(values), label[held] < 0)]
             label[partners] = seed
+            left -= len(partners)
             queue.extend(partners.tolist())
     return label
 
