@@ -1 +1,209 @@
-QUERIES, ORACLES = {}, {}
+"""Queries around flows and governance: guards, comparison, replay, trust, coverage, rules, drift, returns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from loomtrace import constants as C
+from loomtrace.operators import flows as W
+from loomtrace.operators import governance as G
+from loomtrace.plans.adapters import table
+from loomtrace.queries import sql
+from loomtrace.queries.joins import TOOLS
+
+GUARDS = ["amount > 25000", "priority == 1-URGENT", "flow.discount <= 0.05", "missing != 1", "returnflag != A", "quantity >= 10", "not a guard"]
+SYNONYMS = {"vendor_name": "supplier", "qty": "quantity"}
+
+
+def _facts(spark, sf_dir):
+    """Each line as a map of what a flow would see."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    seen = F.create_map(
+        F.lit("amount"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("priority"), F.col("o_orderpriority"),
+        F.lit("discount"), F.format_string("%.2f", "l_discount"), F.lit("returnflag"), F.col("l_returnflag"), F.lit("quantity"), F.col("l_quantity").cast("long").cast("string"),
+    )
+    return lines.withColumn("seen", seen)
+
+
+def guard_eval(spark, sf_dir):
+    """How many lines each guard holds back."""
+    rows = _facts(spark, sf_dir)
+    sums = rows.agg(*(F.count_if(W.guard(g, F.col("seen"))).alias(f"g{i}") for i, g in enumerate(GUARDS)))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("guard"), F.col(f"g{i}").alias("n")) for i in range(len(GUARDS))))).alias("x")).select("x.*")
+
+
+def _predictions(spark, sf_dir):
+    """What a flow predicts for each line, and what happened."""
+    rows = _facts(spark, sf_dir)
+    predicted = F.create_map(F.lit("amount"), (F.col("l_extendedprice") * (1 + F.col("l_tax") / 10)).cast("decimal(18,2)").cast("string"), F.lit("returnflag"), F.when(F.col("l_linestatus") == "O", " n ").otherwise(F.col("l_returnflag")), F.lit("quantity"), F.col("l_quantity").cast("long").cast("string"), F.lit("extra"), F.lit("x"))
+    return rows.withColumn("d", W.compare(predicted, F.col("seen"), ["amount"]))
+
+
+def diff_compare(spark, sf_dir):
+    """Distribution of comparison outcomes."""
+    rows = _predictions(spark, sf_dir).groupBy("d.score", "d.critical_mismatch", "d.compared", "d.diff_fields").agg(F.count(F.lit(1)).alias("n"))
+    return rows
+
+
+def _outcomes(spark, sf_dir):
+    held = W.guard("amount > 60000", F.col("seen"))
+    status = F.when(held, "held").when(F.col("l_quantity") >= 49, "failed").when(F.col("l_linenumber") == 7, "not_comparable").otherwise("ok")
+    return _predictions(spark, sf_dir).select(F.col("o_orderpriority").alias("automation_id"), status.alias("status"), ((F.col("d.score") >= 0.999) & ~F.col("d.critical_mismatch")).alias("correct"), "d.diff_fields")
+
+
+def replay_summary(spark, sf_dir):
+    return W.replay_summary(_outcomes(spark, sf_dir), "automation_id")
+
+
+def failure_modes(spark, sf_dir):
+    """Most frequent reasons of replay failures."""
+    reason = F.when(F.col("status") == "failed", "error").otherwise(F.concat(F.lit("differs: "), "diff_fields"))
+    failures = _outcomes(spark, sf_dir).where("status = 'failed' or (status = 'ok' and not correct)").groupBy("automation_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("automation_id").orderBy(F.desc("n"), "reason"))
+    return failures.withColumn("rank", rank).where("rank <= 3")
+
+
+def _shadow(spark, sf_dir):
+    """Shadow runs: one automation per brand, its lines in order of date."""
+    lines = table(spark, sf_dir, "lineitem").join(F.broadcast(table(spark, sf_dir, "part").select("p_partkey", "p_brand")), F.col("l_partkey") == F.col("p_partkey"))
+    order = Window.partitionBy("p_brand").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return lines.select(F.col("p_brand").alias("automation_id"), F.row_number().over(order).alias("sequence"), (1 - F.col("l_discount")).alias("score"), ((F.col("l_returnflag") == "R") & (F.col("l_discount") > 0.08)).alias("critical"))
+
+
+def _automations(spark, sf_dir):
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("automation_id")).agg(F.count(F.lit(1)).alias("parts"))
+    return brands.withColumn("trust_level", G.level(F.col("parts") % 5))
+
+
+def trust_state(spark, sf_dir):
+    return G.trust_state(_shadow(spark, sf_dir), _automations(spark, sf_dir).select("automation_id", "trust_level"))
+
+
+def score_trend(spark, sf_dir):
+    """Running mean of scores at every hundredth run of each automation."""
+    return G.score_trend(_shadow(spark, sf_dir)).where("sequence % 100 = 0").select("automation_id", "sequence", "trend")
+
+
+def roi_report(spark, sf_dir):
+    """Projected and realised hours by trust level, levels without automations included."""
+    spread = spark.createDataFrame([(x,) for x in C.TRUST_LEVELS], "trust_level string")
+    hours = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("automation_id")).agg(F.round(F.sum("p_retailprice") / 100, 4).alias("hours"), (F.count_if(F.col("p_size") > 25) / F.count(F.lit(1))).alias("coverage"))
+    joined = _automations(spark, sf_dir).join(hours, "automation_id")
+    live = G.rank(F.col("trust_level")) >= 3
+    sums = joined.groupBy("trust_level").agg(F.count(F.lit(1)).alias("automations"), F.sum("hours").alias("projected"), F.sum(F.when(live, F.col("hours") * F.col("coverage")).otherwise(0.0)).alias("realised"))
+    return spread.join(sums, "trust_level", "left").select("trust_level", F.coalesce("automations", F.lit(0)).alias("automations"), F.round(F.coalesce("projected", F.lit(0.0)), 4).alias("projected"), F.round(F.coalesce("realised", F.lit(0.0)), 4).alias("realised"))
+
+
+def _cases(spark, sf_dir):
+    """Exceptions: large or heavily taxed lines."""
+    lines = table(spark, sf_dir, "lineitem").where("l_tax >= 0.07 or l_extendedprice > 60000")
+    key = G.signature_key(F.col("l_extendedprice") * 20, F.when(F.col("l_suppkey") % 9 == 0, "USD").otherwise("INR"), F.col("l_discount") == 0, F.when(F.col("l_linestatus") == "O", "open").otherwise(""))
+    return lines.select(F.col("l_shipdate").alias("day"), F.concat(F.lit("a"), (F.col("l_partkey") % 7).cast("string")).alias("automation_id"), key.alias("signature_key"), F.when(F.col("l_quantity") < 40, "resolved").otherwise("open").alias("status"), F.col("l_returnflag").alias("decision"), F.col("l_extendedprice").alias("amount"))
+
+
+def exception_groups(spark, sf_dir):
+    """Open and resolved exceptions by key."""
+    return _cases(spark, sf_dir).groupBy("signature_key").agg(F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "resolved").alias("resolved"))
+
+
+def rule_proposals(spark, sf_dir):
+    known = _cases(spark, sf_dir).where("automation_id = 'a3' and decision = 'N'").select("automation_id", "signature_key").distinct()
+    return G.rule_proposals(_cases(spark, sf_dir), known).select("automation_id", "signature_key", "evidence", "least", "decision")
+
+
+def coverage(spark, sf_dir):
+    """Coverage of automations from replay totals, human cases and what rules reclaimed."""
+    sizes = _cases(spark, sf_dir).groupBy("automation_id").agg(F.count(F.lit(1)).alias("n"))
+    automations = sizes.select("automation_id", F.when(F.substring("automation_id", 2, 1) < "5", F.col("n") * 4).otherwise(0).alias("replay_total"), F.col("n").alias("replay_human"), F.lit(5).alias("shadow_runs"))
+    held = _cases(spark, sf_dir).select("automation_id", ((F.col("status") == "resolved") & (F.col("decision") == "A")).alias("reclaimed"))
+    return G.coverage(automations, held)
+
+
+def drift_remap(spark, sf_dir):
+    """Renamed fields of a flow mapped to observed ones."""
+    missing = spark.createDataFrame([("Vendor Name",), ("qty",), ("unit price",), ("record id",), ("invoice date",)], "field string")
+    seen = spark.createDataFrame([("supplier",), ("quantity",), ("unit_price_net",), ("price",), ("record",), ("invoce_date",), ("customer",)], "candidate string")
+    return G.remap(missing, seen, SYNONYMS)
+
+
+def validate_findings(spark, sf_dir):
+    """Steps of flows that nothing in the log supports, double ids and inputs that no step has made."""
+    steps = spark.createDataFrame(
+        [("f1", 1, "s1", "gmail", "read", [], ["item"]), ("f1", 2, "s2", "erp", "create", ["item"], ["order"]), ("f1", 3, "s2", "crm", "delete", ["order"], []), ("f2", 1, "s1", "jira", "create", ["ticket"], []), ("f2", 2, "s3", "sheets", "update", [], ["row"])],
+        "flow string, pos int, step string, connector string, verb string, needs array<string>, makes array<string>",
+    )
+    log = table(spark, sf_dir, "events").select(F.explode(F.array(F.lit("gmail:read"), F.lit("erp:create"), F.lit("crm:create"), F.lit("sheets:update"))).alias("token")).distinct()
+    unknown = steps.withColumn("token", F.concat_ws(":", "connector", "verb")).join(log, "token", "left_anti").select("flow", "step", F.lit("not observed").alias("finding"), F.lit(True).alias("blocking"))
+    double = steps.groupBy("flow", "step").count().where("count > 1").select("flow", "step", F.lit("double id").alias("finding"), F.lit(True).alias("blocking"))
+    made = F.coalesce(F.flatten(F.collect_list("makes").over(Window.partitionBy("flow").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))), F.array().cast("array<string>"))
+    unmet = steps.withColumn("unmet", F.array_except("needs", made)).where(F.size("unmet") > 0).select("flow", "step", F.concat(F.lit("unmet input "), F.array_join("unmet", ",")).alias("finding"), F.lit(False).alias("blocking"))
+    return unknown.unionByName(double).unionByName(unmet)
+
+
+def plan_method(spark, sf_dir):
+    """How each domain's flow can run, by what its tools offer."""
+    counts = spark.createDataFrame(TOOLS, "tool string, domain string").groupBy("domain").agg(F.count_if(F.col("tool").isin("gmail", "sheets", "jira", "slack")).alias("mappable"), F.count_if(F.col("tool") == "erp").alias("local"), F.count(F.lit(1)).alias("n"))
+    rest = F.col("n") - F.col("mappable") - F.col("local")
+    return counts.select("domain", F.when(rest == 0, F.when(F.col("local") > 0, "python").otherwise("workflow")).when(F.col("mappable") + F.col("local") > 0, "hybrid").otherwise("browser").alias("method"), rest.alias("without_api"))
+
+
+QUERIES = {f.__name__: f for f in (guard_eval, diff_compare, replay_summary, failure_modes, trust_state, score_trend, roi_report, exception_groups, rule_proposals, coverage, drift_remap, validate_findings, plan_method)}
+
+_FACTS = """facts as (select l.*, o_orderpriority, round(l_extendedprice::decimal(18,2), 2)::double as amount from lineitem l join orders on l_orderkey = o_orderkey)"""
+_DIFF = f"""{_FACTS}, cmp as (
+        select *, round((l_extendedprice * (1 + l_tax / 10))::decimal(18,2), 2)::double as pa from facts
+    ), same as (
+        select *, abs(pa - amount) <= 0.01 * greatest(pa, amount, 1) as sa, case when l_linestatus = 'O' then l_returnflag = 'N' else true end as sr from cmp
+    ), d as (
+        select *, round((case when sa then 2 else 0 end + case when sr then 1 else 0 end + 1) / 4, 4) as score, not sa as critical_mismatch,
+               concat_ws(',', case when not sa then 'amount' end, case when not sr then 'returnflag' end) as diff_fields from same
+    ), outcomes as (
+        select o_orderpriority as automation_id, diff_fields, score >= 0.999 and not critical_mismatch as correct,
+               case when amount > 60000 then 'held' when l_quantity >= 49 then 'failed' when l_linenumber = 7 then 'not_comparable' else 'ok' end as status from d
+    )"""
+_SHADOW = """shadow as (
+        select p_brand as automation_id, 1 - l_discount as score, l_returnflag = 'R' and l_discount > 0.08 as critical,
+               row_number() over (partition by p_brand order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as sequence
+        from lineitem join part on l_partkey = p_partkey
+    ), autos as (
+        select p_brand as automation_id, (['OBSERVE', 'SUGGEST', 'SHADOW', 'ASSIST', 'AUTONOMOUS'])[count(*) % 5 + 1] as trust_level, (count(*) % 5)::int as rank from part group by 1
+    )"""
+_CASES = """cases as (
+        select 'a' || (l_partkey % 7) as automation_id, l_returnflag as decision, l_extendedprice as amount, case when l_quantity < 40 then 'resolved' else 'open' end as status,
+               coalesce(nullif(concat_ws('|', case when l_extendedprice * 20 > 1000000 then 'amount_over_10k' when l_extendedprice * 20 > 500000 then 'amount_over_5k' when l_extendedprice * 20 > 0 then 'amount_small' end,
+                   case when l_suppkey % 9 = 0 then 'foreign_currency' end, case when l_discount = 0 then 'unresolved_fields' end, case when l_linestatus = 'O' then 'status:open' end), ''), 'unclassified') as signature_key
+        from lineitem where l_tax >= 0.07 or l_extendedprice > 60000
+    )"""
+_TOOLS = "tools(tool, domain) as (values " + ", ".join(f"('{t}', '{d}')" for t, d in TOOLS) + ")"
+
+ORACLES = {
+    "guard_eval": f"""with {_FACTS}, s as (select count(*) filter (where amount > 25000) as g0, count(*) filter (where o_orderpriority = '1-URGENT') as g1, count(*) filter (where printf('%.2f', l_discount)::double <= 0.05) as g2,
+            0::bigint as g3, count(*) filter (where l_returnflag <> 'A') as g4, count(*) filter (where l_quantity::bigint >= 10) as g5, 0::bigint as g6 from facts)
+        select unnest(range(0, 7)) as guard, unnest([g0, g1, g2, g3, g4, g5, g6]) as n from s""",
+    "diff_compare": f"with {_DIFF} select score, critical_mismatch, 3::bigint as compared, diff_fields, count(*) as n from d group by 1, 2, 4",
+    "replay_summary": f"""with {_DIFF} select automation_id, count(*) as total, count(*) filter (where status = 'held' or (status = 'ok' and correct)) as correct, count(*) filter (where status = 'failed') as errored,
+        count(*) filter (where status = 'not_comparable') as not_comparable, floor(count(*) filter (where status = 'held' or (status = 'ok' and correct)) / count(*) filter (where status <> 'not_comparable') * 10000) / 10000 as accuracy from outcomes group by 1""",
+    "failure_modes": f"""with {_DIFF}, f as (select automation_id, case when status = 'failed' then 'error' else 'differs: ' || diff_fields end as reason, count(*) as n from outcomes where status = 'failed' or (status = 'ok' and not correct) group by 1, 2)
+        select * from (select *, row_number() over (partition by automation_id order by n desc, reason) as rank from f) where rank <= 3""",
+    "trust_state": f"""with {_SHADOW}, r as (select *, row_number() over (partition by automation_id order by sequence desc) as nth from shadow qualify nth <= 5),
+        s as (select automation_id, count(*) as n, avg(score) as average, count(*) filter (where critical) as crit, count(*) filter (where critical and nth <= 3) as late from r group by 1),
+        j as (select a.*, coalesce(n, 0) as n, coalesce(average, 0) as average, coalesce(crit, 0) as crit, coalesce(late, 0) as late from autos a left join s using (automation_id))
+        select automation_id, trust_level, n, round(average, 6) as average, n >= 5 and average >= 0.9 and crit = 0 and rank < 4 as can_promote, late > 0 and rank > 0 as must_demote,
+               case when late > 0 and rank > 0 then (['OBSERVE', 'SUGGEST', 'SHADOW', 'ASSIST', 'AUTONOMOUS'])[rank] else trust_level end as enforced_level, round(average * least(1.0, n / 5), 6) as confidence,
+               concat_ws('; ', case when n < 5 then 'too few runs' end, case when average < 0.9 then 'score too low' end, case when crit > 0 then 'critical mismatch' end) as blockers from j""",
+    "score_trend": f"""with {_SHADOW} select automation_id, sequence, trend from (select *, round(avg(score) over (partition by automation_id order by sequence rows unbounded preceding), 6) as trend from shadow) where sequence % 100 = 0""",
+    "roi_report": f"""with {_SHADOW}, h as (select p_brand as automation_id, round(sum(p_retailprice) / 100, 4) as hours, count(*) filter (where p_size > 25) / count(*) as coverage from part group by 1),
+        l as (select unnest(['OBSERVE', 'SUGGEST', 'SHADOW', 'ASSIST', 'AUTONOMOUS']) as trust_level)
+        select l.trust_level, count(automation_id) as automations, round(coalesce(sum(hours), 0), 4) as projected, round(coalesce(sum(case when rank >= 3 then hours * coverage else 0 end), 0), 4) as realised
+        from l left join (select * from autos join h using (automation_id)) a on a.trust_level = l.trust_level group by 1""",
+    "exception_groups": f"with {_CASES} select signature_key, count(*) filter (where status = 'open') as open, count(*) filter (where status = 'resolved') as resolved from cases group by 1",
+    "rule_proposals": f"""with {_CASES}, c as (select automation_id, signature_key, decision, count(*) as n, min(amount) as low from cases where status = 'resolved' group by 1, 2, 3),
+        g as (select automation_id, signature_key, sum(n)::bigint as evidence, min(low) as least, arg_min(decision, (-n, decision)) as decision from c group by 1, 2 having sum(n) >= 3)
+        select * from g where not (automation_id = 'a3' and signature_key in (select signature_key from cases where automation_id = 'a3' and decision = 'N'))""",
+    "coverage": f"""with {_CASES}, n as (select automation_id, count(*) as n, count(*) filter (where status = 'resolved' and decision = 'A') as reclaimed from cases group by 1),
+        s as (select *, case when automation_id < 'a5' then n * 4 else greatest(5, n) end as sample, greatest(n - reclaimed, 0) as remaining from n)
+        select automation_id, sample, remaining, round(1 - remaining / sample, 6) as coverage from s""",
+    "plan_method": f"""with {_TOOLS}, c as (select domain, count(*) filter (where tool in ('gmail', 'sheets', 'jira', 'slack')) as mappable, count(*) filter (where tool = 'erp') as local, count(*) as n from tools group by 1)
+        select domain, case when n = mappable + local then case when local > 0 then 'python' else 'workflow' end when mappable + local > 0 then 'hybrid' else 'browser' end as method, n - mappable - local as without_api from c""",
+}
