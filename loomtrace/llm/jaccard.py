@@ -1,17 +1,20 @@
 """N-gram Jaccard join: documents whose word-shingle sets overlap enough, as linked components.
 
-1. Equal sets are one set from the start. The shingles of every set are ordered by their hash, one
-   order for all; only the first ones (the prefix) can decide whether any partner exists: linked sets
-   have at least ``shared(n)`` prefix shingles in common. Sets with fewer prefix shingles that occur in
-   another prefix have no link, which leaves near-duplicates and little else.
-2. Common prefix shingles join the remaining sets into candidate groups that contain all links.
-3. A group's sets are stored in a trie, rarest shingles first. Each set in turn traverses the paths of
+1. Documents are dealt into blocks. A block sends its distinct shingle hashes, cut short to a few bits
+   more than the corpus needs, to hash shards and gets back in how many sets each occurs (up to
+   ``MOST``). A block sends a shingle once, so no shingle is a hot key; a collision only raises a count.
+2. Shingles are ordered by that count and their hash, one order for all. Linked sets have one of their
+   first ``prefix_length`` shingles in common, so sets without a prefix shingle that occurs again have
+   no link: passages that many documents share stand last and don't count.
+3. Equal sets are one set from here. Common prefix shingles join the remaining sets into candidate
+   groups that contain all links.
+4. A group's sets are stored in a trie, rarest shingles first. Each set in turn traverses the paths of
    the trie that its own rarest shingles meet; overlaps are counted once per shared path, and subtrees
    whose remaining lengths can't reach the threshold are left. Sets that link join the component and
    are not compared again, so a group of thousands of near copies is not expanded into pairs.
 
-Groups of more than ``BLOCK`` sets are linked block by block; if representatives of the blocks don't
-show the group to be one component, all pairs of its blocks are traversed.
+Groups of more than ``BLOCK`` shingles are linked block by block; if representatives of the blocks
+don't show the group to be one component, all pairs of its blocks are traversed.
 
 Defined results of the edge cases: texts without words and null texts have the empty set and link with
 nothing; repeated rows are one node and each returned; null doc_ids link like others but are named by
@@ -29,30 +32,32 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm import kernels as K
 from loomtrace.llm.components import connected_components
-from loomtrace.llm.storage import filter_ids, materialise
+from loomtrace.llm.storage import filter_ids, input_bytes, materialise
 
 SHINGLE = 4
 #: Sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 85
-BLOCK = 4096
-
-SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()), ("least", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+#: Shingles of a group that are linked together, and megabytes of input in a block of documents.
+BLOCK = 1 << 21
+BLOCK_MB = 4
+#: Counts of sets are not told apart above this.
+MOST = 255
+
+REQUEST = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("width", pa.int32()), ("sets", pa.binary())])
+ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("sets", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 MEMBERS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 LINKS = pa.schema([("doc_id", pa.int64()), ("root", pa.int64())])
 
 
-def needed(n: int) -> int:
-    """Fewest common shingles that a set of n needs with any partner."""
+def needed(n):
+    """Fewest common shingles that a set of n (or of each of an array) needs with any partner."""
     return -(-PERCENT * n // 100)
 
 
-def shared(n: int) -> int:
-    """Prefix shingles that two linked sets, the smaller of n, have in common at least."""
-    return max(1, n // 10)
-
-
-def prefix_length(n: int) -> int:
-    return n - needed(n) + shared(n)
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """First shingles of a set of n, one of which any partner has among its own first ones."""
+    return n - needed(n) + 1
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -68,22 +73,75 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def describe(documents: DataFrame) -> DataFrame:
-    """Size, digest and prefix of every document's shingle set (``SETS``)."""
+def block_sets(block: pa.Table) -> list[np.ndarray]:
+    """Shingle sets of all rows, in slices that bound the temporaries."""
+    return [s for batch in K.chunks(iter(block.to_batches()), "text") for s in shingle_sets(batch.column(batch.schema.get_field_index("text")))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.chunks(batches, "text"):
-            sets = shingle_sets(batch.column(1))
-            sizes = [len(s) for s in sets]
-            digest = [(int(s.sum()), int(K.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum())) for s in sets]
-            signed = np.array(digest, np.uint64).reshape(-1, 2).view(np.int64)
-            least = [shared(needed(n)) for n in sizes]
-            prefix = [s[: prefix_length(len(s))].view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(signed[:, 0]), pa.array(signed[:, 1]), pa.array(least, pa.int32()), pa.array(prefix, SETS.field(5).type)], schema=SETS
-            )
 
-    return K.map_arrow(_source(documents), run, SETS)
+def requests(blocks: DataFrame, bits: int, shards: int) -> DataFrame:
+    """The distinct shingles of every block and in how many of its sets they occur (``REQUEST``)."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def run(block: pa.Table) -> pa.Table:
+        unique, count = np.unique(np.concatenate(block_sets(block)) >> np.uint64(64 - bits), return_counts=True)
+        sets = np.minimum(count, MOST).astype(np.uint8)
+        cut = np.searchsorted(K.shard_of(unique, bits, shards), np.arange(shards + 1))
+        rows = [(s, *K.squeeze(unique[a:b]), sets[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        number = [block.column("block")[0].as_py()] * len(rows)
+        columns = [[r[0] for r in rows], number, *([r[k] for r in rows] for k in (1, 2, 3))]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, REQUEST, strict=True)], schema=REQUEST)
+
+    return blocks.groupBy("block").applyInArrow(run, from_arrow_schema(REQUEST))
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """In how many sets of the corpus the requested shingles occur, up to ``MOST`` (``ANSWER``)."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def run(shard: pa.Table) -> pa.Table:
+        parts = [K.unsqueeze(d, w) for d, w in zip(shard.column("hashes").to_pylist(), shard.column("width").to_pylist(), strict=True)]
+        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = np.bincount(inverse, np.frombuffer(b"".join(shard.column("sets").to_pylist()), np.uint8))
+        told = np.minimum(sums, MOST).astype(np.uint8)[inverse]
+        ends = np.cumsum([len(p) for p in parts])
+        back = [told[e - len(p) : e].tobytes() for e, p in zip(ends, parts, strict=True)]
+        return pa.Table.from_arrays([shard.column("block"), shard.column("shard"), pa.array(back, pa.binary())], schema=ANSWER)
+
+    return asked.groupBy("shard").applyInArrow(run, from_arrow_schema(ANSWER))
+
+
+def describe(documents: DataFrame) -> DataFrame:
+    """Size and digest of every document's shingle set, and its prefix shingles that occur again (``SETS``)."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    size = input_bytes(documents)
+    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count, shards, bits = max(least, (size >> 20) // BLOCK_MB + 1), max(4, (size >> 20) // 8 + 1), min(64, max(24, size.bit_length() + 8))
+    blocks = _source(documents).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
+
+    def run(block: pa.Table, answer: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return SETS.empty_table()
+        sets = block_sets(block)
+        flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        told = sorted(zip(answer.column("shard").to_pylist(), answer.column("sets").to_pylist(), strict=True))
+        _, inverse = np.unique(flat >> np.uint64(64 - bits), return_inverse=True)
+        n_sets = np.frombuffer(b"".join(t[1] for t in told), np.uint8)[inverse]
+        order = np.lexsort((flat, n_sets, row))
+        nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        chosen = order[(nth < prefix_length(size)[row]) & (n_sets[order] > 1)]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(sets)))])
+        prefix = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[chosen].view(np.int64)))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        digests = []
+        for values in (flat, K.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+            digests.append(pa.array((running[ends[1:]] - running[ends[:-1]]).view(np.int64)))
+        return pa.Table.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), *digests, prefix], schema=SETS)
+
+    told = answers(requests(blocks, bits, shards))
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, from_arrow_schema(SETS))
 
 
 def _source(documents: DataFrame) -> DataFrame:
@@ -215,32 +273,28 @@ def link_groups(members: DataFrame, by: list[str]) -> DataFrame:
 
 def candidates(sets: DataFrame, representatives: DataFrame) -> DataFrame:
     """(doc_id, low): for sets that can have a link, the smallest sets they share prefix shingles with."""
-    prefix = sets.join(representatives, "doc_id", "left_semi").select("doc_id", "least", F.explode_outer("prefix").alias("shingle")).where("shingle is not null")
+    prefix = sets.where(F.size("prefix") > 0).join(representatives, "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("shingle"))
     common = prefix.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle", "low")
-    counts = materialise(prefix.join(common, "shingle").groupBy("doc_id", "least", "low").agg(F.count(F.lit(1)).alias("n")), "common")
-    enough = counts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n >= least").select("doc_id")
-    return materialise(counts.join(enough, "doc_id", "left_semi").select("doc_id", "low"), "candidates")
+    return materialise(prefix.join(common, "shingle").select("doc_id", "low").distinct(), "candidates")
 
 
-def link_candidates(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def link_candidates(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, component) of the candidate sets that link with another one."""
     groups = connected_components(pairs.select(F.col("doc_id").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    held = groups.join(pairs.select("doc_id").distinct(), "doc_id")
-    sizes = held.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    placed = held.join(sizes, "group").select(
-        "doc_id", "group", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block")
-    )
+    sizes = groups.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
+    blocks = sizes.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(blocks, "group").select("doc_id", "group", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
     placed = materialise(placed, "placed")
-    sets = full_sets(filter_ids(_source(documents), placed.select("doc_id"))).dropDuplicates(["doc_id"]).join(placed, "doc_id")
+    members = full_sets(filter_ids(_source(documents), placed.select("doc_id"))).dropDuplicates(["doc_id"]).join(placed, "doc_id")
     if placed.where("blocks > 1").isEmpty():
-        return link_groups(sets, ["group"]).select("doc_id", F.col("root").alias("component"))
-    sets = materialise(sets, "sets")
-    within = materialise(link_groups(sets, ["group", "block"]), "links")
-    large = sets.where("blocks > 1")
+        return link_groups(members, ["group"]).select("doc_id", F.col("root").alias("component"))
+    members = materialise(members, "sets")
+    within = materialise(link_groups(members, ["group", "block"]), "links")
+    large = members.where("blocks > 1")
     roots = large.join(within.where("doc_id = root").select("doc_id"), "doc_id", "left_semi")
-    few = roots.groupBy("group").agg(F.count(F.lit(1)).alias("roots")).where(F.col("roots") <= BLOCK).select("group")
+    few = roots.groupBy("group").agg(F.sum(F.octet_length("shingles") / 8).alias("size")).where(F.col("size") <= BLOCK).select("group")
     across = materialise(link_groups(roots.join(few, "group", "left_semi"), ["group"]), "links")
-    joined = across.groupBy("doc_id").agg(F.min("root").alias("root")).join(sets.select("doc_id", "group"), "doc_id")
+    joined = across.groupBy("doc_id").agg(F.min("root").alias("root")).join(large.select("doc_id", "group"), "doc_id")
     split = large.join(joined.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a = b").select("group"), "group", "left_anti")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     spread = split.select("group", "doc_id", "shingles", "block", F.explode(others).alias("p")).where("p.i <> p.j").select("group", "p.i", "p.j", "doc_id", "shingles")
@@ -255,7 +309,7 @@ def join_components(documents: DataFrame) -> DataFrame:
     key = ["digest_a", "digest_b", "n_shingles"]
     equal = sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("twin"))
     pairs = candidates(sets.where("n_shingles > 0"), equal.select(F.col("twin").alias("doc_id")))
-    linked = link_candidates(documents, pairs).select(F.col("doc_id").alias("twin"), "component")
+    linked = link_candidates(documents, sets, pairs).select(F.col("doc_id").alias("twin"), "component")
     named = equal.join(linked, "twin", "left").select(*key, F.coalesce("component", "twin").alias("component_id"))
     return sets.select("doc_id", *key).join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -137,6 +137,30 @@ def run_starts(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1], np.diff(at)
 
 
+def shard_of(hashes: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Number of the range, of ``shards`` equal ones, that each hash of so many bits lies in."""
+    top = hashes >> np.uint64(bits - 32) if bits > 32 else hashes << np.uint64(32 - bits)
+    return ((top * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def squeeze(ascending: np.ndarray) -> tuple[bytes, int]:
+    """Ascending hashes as differences of the fewest bytes that hold the largest."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    steps[0] = 0
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    packed = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    return int(ascending[0]).to_bytes(8, "little") + packed, width
+
+
+def unsqueeze(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=8).reshape(-1, width)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :width] = raw
+    steps = wide.view("<u8").ravel()
+    steps[0] = int.from_bytes(data[:8], "little")
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def map_arrow(df, function, schema: pa.Schema):
     """``df.mapInArrow`` with the result's type given as an Arrow schema."""
     from pyspark.sql.pandas.types import from_arrow_schema

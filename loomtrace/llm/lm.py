@@ -84,24 +84,6 @@ class Tokens:
         return out
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return (((hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
-
-
-def squeeze(ascending: np.ndarray) -> tuple[bytes, int]:
-    """Ascending hashes as differences of the fewest bytes that hold the largest."""
-    steps = np.diff(ascending, prepend=np.uint64(0))
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes(), width
-
-
-def unsqueeze(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :width] = raw
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
-
-
 def blocked(documents: DataFrame, blocks: int) -> DataFrame:
     """doc_id, text, fold, block."""
     number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -123,11 +105,11 @@ def requests(docs: DataFrame, shards: int) -> DataFrame:
             unique, inverse = np.unique(hashes, return_inverse=True)
             trained = np.bincount(inverse[fold != HELD_OUT], minlength=len(unique)).astype("<i4")
             deleted = np.bincount(inverse[fold == DELETED], minlength=len(unique)).astype("<i4")
-            cut = np.searchsorted(shard_of(unique, shards), np.arange(shards + 1))
+            cut = np.searchsorted(K.shard_of(unique, HASH_BITS, shards), np.arange(shards + 1))
             for s in range(shards):
                 a, b = cut[s], cut[s + 1]
                 if b > a:
-                    packed, width = squeeze(unique[a:b])
+                    packed, width = K.squeeze(unique[a:b])
                     rows.append((n, s, number, packed, width, trained[a:b].tobytes(), deleted[a:b].tobytes()))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(REQUEST)], schema=REQUEST)
 
@@ -139,7 +121,7 @@ def answers(asked: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import from_arrow_schema
 
     def run(shard: pa.Table) -> pa.Table:
-        parts = [unsqueeze(d, w) for d, w in zip(shard.column("hashes").to_pylist(), shard.column("width").to_pylist(), strict=True)]
+        parts = [K.unsqueeze(d, w) for d, w in zip(shard.column("hashes").to_pylist(), shard.column("width").to_pylist(), strict=True)]
         unique, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         sums = [np.bincount(inverse, np.concatenate([np.frombuffer(b, "<i4") for b in shard.column(c).to_pylist()]), len(unique)).astype(np.int64) for c in ("trained", "deleted")]
         n, s = shard.column("ngram")[0].as_py(), shard.column("shard")[0].as_py()

@@ -37,11 +37,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files behind ``df`` as the optimizer sees it, used to choose numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Estimates above this are those of plans whose size the optimizer doesn't know.
+UNKNOWN_BYTES = 1 << 50
 
 
+def input_bytes(df: DataFrame, text: str = "text") -> int:
+    """Size of the files behind ``df`` as the optimizer sees it, used to choose numbers of partitions.
+
+    Where it sees no files (rows from the driver or an RDD), the bytes of the column ``text`` are summed.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+
 
 def filter_ids(documents: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Documents whose doc_id is (``left_anti``: is not) in ``ids``, by broadcast only up to a checked size."""
