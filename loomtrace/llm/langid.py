@@ -28,7 +28,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 DOCUMENTS_PER_LANGUAGE = 1200
 WINDOWS_PER_DOCUMENT = 6
-EPOCHS = 4
+STEPS, BATCH = 450, 256
 UNKNOWN = "und"
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -77,35 +77,34 @@ class Network:
         rng = np.random.default_rng(11)
         params = [*self.banks, self.dense, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step, size = 0, 256
-        for epoch in range(EPOCHS):
-            order = rng.permutation(len(windows))
-            for begin in range(0, len(order), size):
-                pick = order[begin : begin + size]
-                batch, target = windows[pick], labels[pick]
-                responses = self.responses(batch)
-                best = [r.argmax(axis=1) for r in responses]
-                pooled = np.concatenate([np.take_along_axis(r, b[:, None, :], 1)[:, 0] for r, b in zip(responses, best, strict=True)], axis=1)
-                active = np.maximum(pooled, 0)
-                slope = softmax(active @ self.dense + self.bias)
-                slope[np.arange(len(pick)), target] -= 1
-                slope /= len(pick)
-                back = (slope @ self.dense.T) * (pooled > 0)
-                grads = []
-                for k, (bank, b) in enumerate(zip(self.banks, best, strict=True)):
-                    part = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    grad = np.zeros_like(bank)
-                    columns = np.broadcast_to(np.arange(FILTERS), b.shape)
-                    for j in range(len(bank)):
-                        np.add.at(grad[j], (np.take_along_axis(batch, b + j, 1), columns), part)
-                    grads.append(grad)
-                grads += [active.T @ slope, slope.sum(axis=0)]
-                step += 1
-                rate = 0.02 * 0.5**epoch * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for p, g, m, v in zip(params, grads, first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= rate * m / (np.sqrt(v) + 1e-8)
+        order = np.zeros(0, np.int64)
+        for step in range(STEPS):
+            if len(order) < min(BATCH, len(windows)):
+                order = rng.permutation(len(windows))
+            pick, order = order[:BATCH], order[BATCH:]
+            batch, target = windows[pick], labels[pick]
+            responses = self.responses(batch)
+            best = [r.argmax(axis=1) for r in responses]
+            pooled = np.concatenate([np.take_along_axis(r, b[:, None, :], 1)[:, 0] for r, b in zip(responses, best, strict=True)], axis=1)
+            active = np.maximum(pooled, 0)
+            slope = softmax(active @ self.dense + self.bias)
+            slope[np.arange(len(pick)), target] -= 1
+            slope /= len(pick)
+            back = (slope @ self.dense.T) * (pooled > 0)
+            grads = []
+            for k, (bank, b) in enumerate(zip(self.banks, best, strict=True)):
+                part = back[:, k * FILTERS : (k + 1) * FILTERS]
+                grad = np.zeros_like(bank)
+                columns = np.broadcast_to(np.arange(FILTERS), b.shape)
+                for j in range(len(bank)):
+                    np.add.at(grad[j], (np.take_along_axis(batch, b + j, 1), columns), part)
+                grads.append(grad)
+            grads += [active.T @ slope, slope.sum(axis=0)]
+            rate = 0.02 * 0.5 ** (4 * step // STEPS) * np.sqrt(1 - 0.999 ** (step + 1)) / (1 - 0.9 ** (step + 1))
+            for p, g, m, v in zip(params, grads, first, second, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= rate * m / (np.sqrt(v) + 1e-8)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Responses of byte pairs: leading pairs of all widths, the last byte of 3 and the last pair of 4."""
