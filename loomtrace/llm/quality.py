@@ -25,7 +25,8 @@ REPEAT_WINDOW = 5
 BUCKETS = 1 << 18
 SMOOTHING = 2.0
 SIGNIFICANCE = {1: 5.0, 2: 20.0}
-THRESHOLD = 0.0
+#: Documents below this mean log ratio are dropped; ratios nearer to 0 are noise of small corpora.
+THRESHOLD = -0.005
 #: Trusted ids are broadcast up to this many (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
