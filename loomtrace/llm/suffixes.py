@@ -113,7 +113,7 @@ def contexts(source: DataFrame, lists: DataFrame, hot: bool) -> DataFrame:
             wanted = np.zeros(len(row), bool)
             begin, count = K.run_starts(row, batch.num_rows)
             for r, (listed, hottest) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-                if listed.is_valid and count[r]:
+                if count[r]:
                     part = slice(begin[r], begin[r] + count[r])
                     chosen = np.isin(hashes[part], np.array(listed.as_py(), np.int64))
                     warm = np.isin(hashes[part], np.array(hottest.as_py() or [], np.int64))
@@ -124,7 +124,8 @@ def contexts(source: DataFrame, lists: DataFrame, hot: bool) -> DataFrame:
             ids, keys = batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(pieces, pa.binary()), pa.array((place - first).astype(np.int32)), ids, keys, pa.array(first - offsets[row])], schema=CONTEXTS)
 
-    joined = source.join(lists, "key", "left").select("doc_id", "text", "key", "anchors", "hot")
+    wanted = lists.where(F.size("hot") > 0 if hot else F.size("anchors") > F.size("hot"))
+    joined = source.join(wanted, "key").select("doc_id", "text", "key", "anchors", "hot")
     return K.map_arrow(joined, run, CONTEXTS)
 
 
@@ -339,5 +340,5 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(source) // (8 << 20) + 1)
     spans = sorted_spans(contexts(source, lists, hot=False), parts)
     if not lists.where(F.size("hot") > 0).isEmpty():
-        spans = spans.unionByName(hot_spans(contexts(source, lists, hot=True)))
+        spans = spans.unionByName(hot_spans(materialise(contexts(source, lists, hot=True), "contexts")))
     return strip(source, spans)
