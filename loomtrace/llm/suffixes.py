@@ -37,6 +37,8 @@ LENGTH = 200
 GRAM = 32
 SPREAD = LENGTH - GRAM + 1
 HOT = 20_000
+#: Hot anchors that are sent to all executors (8 bytes each).
+HOT_ANCHORS = 100_000
 #: Bytes of contexts that are sorted together; whole anchor groups only.
 BLOCK_BYTES = 6 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -47,12 +49,12 @@ SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, first window, last window) of the anchors of all windows inside rows."""
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, place, first window, last window, hash) of the anchors of all windows inside rows."""
     n = len(data) - GRAM + 1
     nothing = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return nothing, nothing, nothing, nothing
+        return nothing, nothing, nothing, nothing, nothing
     gram = gram_hashes(data)
     low = (gram & ~_PLACE) | np.arange(n, dtype=np.uint64)
     pad = -n % SPREAD
@@ -64,11 +66,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     row = np.searchsorted(offsets, np.arange(windows), "right") - 1
     valid = np.flatnonzero(np.arange(windows) + LENGTH <= offsets[row + 1])
     if not len(valid):
-        return nothing, nothing, nothing, nothing
+        return nothing, nothing, nothing, nothing, nothing
     change = np.flatnonzero((np.diff(place[valid]) != 0) | (np.diff(valid) != 1)) + 1
     first = valid[np.concatenate([[0], change])]
     last = valid[np.concatenate([change - 1, [len(valid) - 1]])]
-    return row[first], place[first], first, last
+    return row[first], place[first], first, last, gram[place[first]].view(np.int64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -84,46 +86,58 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(source: DataFrame) -> DataFrame:
-    """(key, anchors, hot): by row the anchor hashes that occur again, and of those the hot ones."""
+    """(key, anchors, hot): by row the anchor hashes that occur again, and of those the hot ones.
+
+    The anchors of all texts are written once: counting them and joining the counts both read them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
             data, offsets = K.text_buffer(batch.column(0))
-            row, place, _, _ = anchors(data, offsets)
-            hashes = gram_hashes(data)[place].view(np.int64) if len(place) else place
+            row, _, _, _, hashes = anchors(data, offsets)
             keys = np.array(batch.column(1).to_pylist(), np.int64)[row]
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys)], schema=ANCHORS)
 
-    found = K.map_arrow(source.select("text", "key"), run, ANCHORS)
+    found = materialise(K.map_arrow(source.select("text", "key"), run, ANCHORS), "found")
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("is_hot"))
     lists = found.join(again, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
     return materialise(lists, "anchors")
 
 
 def contexts(source: DataFrame, lists: DataFrame, hot: bool) -> DataFrame:
-    """Contexts of the repeated anchors that are (not) hot, with where they come from (``CONTEXTS``)."""
+    """Contexts of the repeated anchors that are (not) hot, with where they come from (``CONTEXTS``).
+
+    Hot anchors are few: up to ``HOT_ANCHORS`` of them are sent to the texts, more are joined.
+    """
+    few = None
+    if hot:
+        distinct = lists.select(F.explode("hot").alias("anchor")).distinct().limit(HOT_ANCHORS + 1).collect()
+        few = np.array([r[0] for r in distinct], np.int64) if len(distinct) <= HOT_ANCHORS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
             data, offsets = K.text_buffer(batch.column(1))
-            row, place, first, last = anchors(data, offsets)
+            row, place, first, last, hashes = anchors(data, offsets)
             if not len(row):
                 continue
-            hashes = gram_hashes(data)[place].view(np.int64)
-            wanted = np.zeros(len(row), bool)
-            begin, count = K.run_starts(row, batch.num_rows)
-            for r, (listed, hottest) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-                if count[r]:
-                    part = slice(begin[r], begin[r] + count[r])
-                    chosen = np.isin(hashes[part], np.array(listed.as_py(), np.int64))
-                    warm = np.isin(hashes[part], np.array(hottest.as_py() or [], np.int64))
-                    wanted[part] = chosen & (warm if hot else ~warm)
+            if few is not None:
+                wanted = np.isin(hashes, few)
+            else:
+                wanted = np.zeros(len(row), bool)
+                begin, count = K.run_starts(row, batch.num_rows)
+                for r, (listed, hottest) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                    if count[r]:
+                        part = slice(begin[r], begin[r] + count[r])
+                        warm = np.isin(hashes[part], np.array(hottest.as_py() or [], np.int64))
+                        wanted[part] = warm if hot else ~warm & np.isin(hashes[part], np.array(listed.as_py(), np.int64))
             row, place, first, last, hashes = (x[wanted] for x in (row, place, first, last, hashes))
             text = data.tobytes()
             pieces = [text[b:e] for b, e in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
             ids, keys = batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(pieces, pa.binary()), pa.array((place - first).astype(np.int32)), ids, keys, pa.array(first - offsets[row])], schema=CONTEXTS)
 
+    if few is not None:
+        return K.map_arrow(source.select("doc_id", "text", "key"), run, CONTEXTS)
     wanted = lists.where(F.size("hot") > 0 if hot else F.size("anchors") > F.size("hot"))
     joined = source.join(wanted, "key").select("doc_id", "text", "key", "anchors", "hot")
     return K.map_arrow(joined, run, CONTEXTS)
@@ -305,8 +319,9 @@ def hot_spans(found: DataFrame) -> DataFrame:
 
 def strip(source: DataFrame, spans: DataFrame) -> DataFrame:
     """Removes the spans from the texts (``RESULT``)."""
-    lists = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = source.join(lists, ["key", "doc_id"], "left").select("doc_id", "text", "spans")
+    # joined by the key alone, as the contexts are: Spark shuffles the texts once for both
+    lists = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = source.join(lists, "key", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
