@@ -28,7 +28,7 @@ from loomtrace.llm import kernels as K
 from loomtrace.llm.storage import input_bytes, materialise
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BLOCK_MB = 4
+BLOCK_MB = 2
 #: Context-frequency buckets are powers of two; log2 probabilities are binned this finely for EM.
 BUCKETS = 24
 BINS = 8
@@ -85,10 +85,12 @@ class Tokens:
 
 
 def blocked(documents: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, text, fold, block."""
+    """doc_id, text, fold, block; the deleted fold has blocks of its own, numbered from ``blocks``."""
     number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     fold = F.coalesce(F.crc32(number.cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT + 2)).cast("int")
-    return documents.select(number.alias("doc_id"), text.alias("text"), fold.alias("fold"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    mixed = F.xxhash64("doc_id", "text")
+    block = F.when(F.col("fold") == DELETED, blocks + F.pmod(mixed, F.lit(blocks // FOLDS + 1))).otherwise(F.pmod(mixed, F.lit(blocks)))
+    return documents.withColumn("fold", fold).select(number.alias("doc_id"), text.alias("text"), "fold", block.cast("int").alias("block"))
 
 
 def requests(docs: DataFrame, shards: int) -> DataFrame:
@@ -194,20 +196,14 @@ def score_documents(documents: DataFrame) -> DataFrame:
     def count(block: pa.Table, answer: pa.Table) -> pa.Table:
         if not block.num_rows:
             return HISTOGRAM.empty_table()
-        # only the deleted fold is here: its n-grams are a part of what the block asked for
-        tokens, all_tokens = _chosen(block)
-        _, bucket, two, one = estimates(all_tokens, answer, n_tokens - gone, minus=True)
-        pick = tokens
-        cells, n = np.unique(np.stack([bucket[pick], bins(two[pick]), bins(one[pick])], axis=1), axis=0, return_counts=True)
+        tokens = Tokens(block.combine_chunks().column("text").combine_chunks())
+        _, bucket, two, one = estimates(tokens, answer, n_tokens - gone, minus=True)
+        cells, n = np.unique(np.stack([bucket, bins(two), bins(one)], axis=1), axis=0, return_counts=True)
         return pa.Table.from_arrays([pa.array(cells[:, 0].astype(np.int32)), pa.array(cells[:, 1].astype(np.int32)), pa.array(cells[:, 2].astype(np.int32)), pa.array(n)], schema=HISTOGRAM)
 
-    def _chosen(block: pa.Table) -> tuple[np.ndarray, Tokens]:
-        block = block.combine_chunks()
-        tokens = Tokens(block.column("text").combine_chunks())
-        return block.column("fold").to_numpy()[tokens.row] == DELETED, tokens
-
+    deleted = docs.where(F.col("fold") == DELETED).groupBy("block").cogroup(answered.where(F.col("block") >= blocks).groupBy("block"))
     paired = docs.groupBy("block").cogroup(answered.groupBy("block"))
-    cells = paired.applyInArrow(count, from_arrow_schema(HISTOGRAM)).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
+    cells = deleted.applyInArrow(count, from_arrow_schema(HISTOGRAM)).groupBy("bucket", "two", "one").agg(F.sum("n").alias("n"))
     weights = learn([tuple(r) for r in cells.collect()], types)
 
     def score(block: pa.Table, answer: pa.Table) -> pa.Table:
