@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of ``documents``. An empty table
-passes through all stages; what a stage does with nulls, ties and repeated rows is stated by its
+passes through all stages; documents without a doc_id leave at ``near_duplicates``; what a stage does with nulls, ties and repeated rows is stated by its
 operator.
 """
 

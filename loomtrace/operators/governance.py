@@ -54,7 +54,9 @@ def trust_state(shadow_runs: DataFrame, automations: DataFrame) -> DataFrame:
 def score_trend(shadow_runs: DataFrame) -> DataFrame:
     """Running mean of scores in order of sequence."""
     order = Window.partitionBy("automation_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    return shadow_runs.withColumn("trend", F.round(F.avg("score").over(order), 6))
+    # decimals: the sums are exact in whatever order they are added
+    total = F.sum(F.col("score").cast("decimal(18,6)")).over(order).cast("double")
+    return shadow_runs.withColumn("trend", F.round(total / F.count("score").over(order), 6))
 
 
 def signature_key(amount: Column, currency: Column, unresolved: Column, status: Column) -> Column:

@@ -81,8 +81,8 @@ def trust_state(spark, sf_dir):
 
 
 def score_trend(spark, sf_dir):
-    """Running mean of scores at every hundredth run of each automation."""
-    return G.score_trend(_shadow(spark, sf_dir)).where("sequence % 100 = 0").select("automation_id", "sequence", "trend")
+    """Running mean of scores at every run of each automation."""
+    return G.score_trend(_shadow(spark, sf_dir)).select("automation_id", "sequence", "trend")
 
 
 def roi_report(spark, sf_dir):
@@ -192,7 +192,8 @@ ORACLES = {
         select automation_id, trust_level, n, round(average, 6) as average, n >= 5 and average >= 0.9 and crit = 0 and rank < 4 as can_promote, late > 0 and rank > 0 as must_demote,
                case when late > 0 and rank > 0 then (['OBSERVE', 'SUGGEST', 'SHADOW', 'ASSIST', 'AUTONOMOUS'])[rank] else trust_level end as enforced_level, round(average * least(1.0, n / 5), 6) as confidence,
                concat_ws('; ', case when n < 5 then 'too few runs' end, case when average < 0.9 then 'score too low' end, case when crit > 0 then 'critical mismatch' end) as blockers from j""",
-    "score_trend": f"""with {_SHADOW} select automation_id, sequence, trend from (select *, round(avg(score) over (partition by automation_id order by sequence rows unbounded preceding), 6) as trend from shadow) where sequence % 100 = 0""",
+    "score_trend": f"""with {_SHADOW} select automation_id, sequence, round(sum(score::decimal(18,6)) over w::double / count(score) over w, 6) as trend
+        from shadow window w as (partition by automation_id order by sequence rows unbounded preceding)""",
     "roi_report": f"""with {_SHADOW}, h as (select p_brand as automation_id, round(sum(p_retailprice) / 100, 4) as hours, count(*) filter (where p_size > 25) / count(*) as coverage from part group by 1),
         l as (select unnest(['OBSERVE', 'SUGGEST', 'SHADOW', 'ASSIST', 'AUTONOMOUS']) as trust_level)
         select l.trust_level, count(automation_id) as automations, round(coalesce(sum(hours), 0), 4) as projected, round(coalesce(sum(case when rank >= 3 then hours * coverage else 0 end), 0), 4) as realised

@@ -53,10 +53,9 @@ def trigger_candidates(spark, sf_dir):
 
 
 def instance_events(spark, sf_dir):
-    """Events of the longest instances, by their lists of event ids."""
+    """Events of all instances, by their lists of event ids."""
     log = activity(spark, sf_dir)
-    longest = instances(sessionise(log, GAP)).orderBy(F.desc("n_events"), "instance_id").limit(20)
-    ids = longest.select("instance_id", F.posexplode("event_ids").alias("pos", "id"))
+    ids = instances(sessionise(log, GAP)).select("instance_id", F.posexplode("event_ids").alias("pos", "id"))
     return log.join(ids, "id").select("instance_id", "pos", "id", "event_type", "ts_ms")
 
 
@@ -97,7 +96,7 @@ ORACLES = {
     "trigger_candidates": f"""with {sql.ACTIVITY}, {sql.steps(GAP)}, {sql.INSTANCES}, w(trigger, automation) as (values ('gmail:read:item', 'answer mail'), ('erp:create:item', 'book purchase'))
         select automation, nth, instance_id, started_ms from (select automation, instance_id, started_ms, row_number() over (partition by automation order by started_ms desc, instance_id) as nth
             from instances join w on trigger = raw_signature[1]) where nth <= 3""",
-    "instance_events": f"""with {sql.ACTIVITY}, {sql.steps(GAP)}, l as (select instance_id, count(*) as n from steps group by 1 order by n desc, instance_id limit 20)
+    "instance_events": f"""with {sql.ACTIVITY}, {sql.steps(GAP)}, l as (select instance_id, count(*) as n from steps group by 1)
         select instance_id, pos - 1 as pos, id, event_type, ts_ms from steps join l using (instance_id)""",
     "orphan_relink": f"""with {sql.ORDERS}, c as (select signature_hash, count(*) as n, any_value(signature) as signature from keyed group by 1),
         t as (select signature_hash, n, list_distinct(list_transform(signature, lambda x, i: x || '@' || least(i - 1, 3))) as tokens from c),
