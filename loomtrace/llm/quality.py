@@ -1,14 +1,21 @@
-"""Quality rules: base counts of a text, and a hashed n-gram log-likelihood ratio.
+"""Quality rules: base counts of a text, and hashed n-gram log-likelihood ratios.
 
-The ratio compares the multinomial of a trusted target (documents labelled good) with the multinomial
-of the whole corpus over hashed n-gram buckets. Both are smoothed at the same effective size, and a
-bucket whose counts do not differ significantly weighs nothing, so that rare words cannot outvote real
-differences. A document's score is the sum of its n-grams' log ratios over the number of its n-grams;
-documents below ``THRESHOLD`` are dropped. Everything is DataFrame functions.
+The first ratio compares the multinomial of a trusted target (documents labelled good) with the
+multinomial of the whole corpus over hashed n-gram buckets; a document's score is the mean log ratio of
+its n-grams. Toxic documents differ from good ones by a few words only, which a mean hides, so a second
+ratio compares the documents labelled toxic with the good ones by the number of documents that have a
+bucket, and a document is as harmful as its worst n-gram. Both are smoothed, and every weight is shrunk
+by its significance z (z^2 / (z^2 + level^2)), so that no bucket is cut off and rare words don't outvote
+real differences.
+
+Weights are learned on one half of the labelled documents (by a hash of the id). The two thresholds are
+set on the other half: of those that keep ``LEAST_KEPT`` of its good documents, the one that tells good
+documents from low-quality (toxic) ones best. Everything is DataFrame functions.
 
 Defined results of the edge cases: null and empty texts have no words, fail the base rule and score 0;
-repeated rows are scored each; without any label no bucket is significant and every document scores 0;
-several labels of one document count as trusted only if all of them are good; extra columns are
+repeated rows are scored each; without any label every document scores 0; where the second half of the
+labels lacks good documents or those to tell from them, that ratio drops nothing; several labels of one
+document count as trusted only if all of them are good, as toxic if one of them is; extra columns are
 ignored.
 """
 
@@ -17,17 +24,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrace.llm.storage import materialise
+
 #: Base rules: fewest words, and the largest percentage of words in repeated windows of so many words.
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
-#: Hash buckets of each n-gram order, additive smoothing, and significance (in standard deviations) by order.
+#: Hash buckets of each n-gram order, additive smoothing, and the level (in standard deviations) by order
+#: at which a weight counts half.
 BUCKETS = 1 << 18
 SMOOTHING = 2.0
-SIGNIFICANCE = {1: 5.0, 2: 20.0}
-#: Documents below this mean log ratio are dropped; ratios nearer to 0 are noise of small corpora.
-THRESHOLD = -0.005
-#: Trusted ids are broadcast up to this many (16 bytes each); more are joined by a shuffle.
+SIGNIFICANCE = {1: 3.0, 2: 3.0}
+#: Thresholds keep this share of the good documents they are set on, and are multiples of 1 / ``STEPS``.
+LEAST_KEPT = 0.95
+STEPS = 1000
+#: Labelled ids are broadcast up to this many (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
@@ -112,44 +123,54 @@ def _order_buckets(words: Column, n: int, first: int) -> Column:
     return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<int>"))
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """Documents all of whose labels say good quality and not toxic."""
-    return (
-        labels.groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-        .where("quality = 1 and toxic = 0")
-        .select("doc_id", F.lit(1).alias("trusted"))
-    )
+def labelled_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, kind, fold): good (all labels say good quality and not toxic), toxic or low documents, in two folds."""
+    worst = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
+    return worst.select("doc_id", kind.alias("kind"), F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("fold")).where("kind is not null")
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
 
+def _shrunk(seen: Column, expected: Column, level: Column) -> Column:
+    """Log ratio of two counts, damped by its significance."""
+    z = (seen - expected) * (seen - expected) / (expected + 1)
+    return F.log((seen + SMOOTHING) / (expected + SMOOTHING)) * z / (z + level * level)
 
-def fit_weights(documents: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, weight) of the buckets whose target and corpus rates differ significantly.
+
+def fit_weights(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(bucket, weight, harm) of all buckets of the corpus: shrunk log ratios of good to all n-grams, and of toxic to good documents.
 
     At most ``BUCKETS`` rows for each n-gram order, whatever the size of the corpus.
     """
-    if trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        trusted = F.broadcast(trusted)
     split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), word_array(F.col("text").cast("string")).alias("words"))
-    source = split.select("doc_id", gram_buckets(F.col("words")).alias("buckets"))
+    source = split.select("doc_id", gram_buckets(F.col("words")).alias("buckets")).join(_sent(labelled.where("fold = 0 and kind <> 'low'").select("doc_id", "kind")), "doc_id", "left")
+    # a labelled document's distinct buckets follow once more, in a range of their own, to count documents
+    span = len(SIGNIFICANCE) * BUCKETS
+    once = F.when(F.col("kind").isNull(), F.array().cast("array<int>")).otherwise(F.transform(F.array_distinct("buckets"), lambda b: b + span))
+    token, good, toxic = F.col("at") < span, F.coalesce(F.col("kind") == "good", F.lit(False)), F.coalesce(F.col("kind") == "toxic", F.lit(False))
     counts = (
-        source.join(trusted, "doc_id", "left")
-        .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode_outer("buckets").alias("bucket"))
-        .where("bucket is not null")
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
+        source.select("kind", F.explode(F.concat("buckets", once)).alias("at"))
+        .groupBy(F.pmod("at", F.lit(span)).alias("bucket"))
+        .agg(F.count_if(token).alias("raw"), F.count_if(token & good).alias("target"), F.count_if(~token & good).alias("good"), F.count_if(~token & toxic).alias("toxic"))
     )
     order = Window.partitionBy(F.floor(F.col("bucket") / BUCKETS))
-    scaled = counts.withColumn("expected", F.col("raw") * F.sum("target").over(order) / F.sum("raw").over(order))
+
+    def expected(own: str, count: Column) -> Column:
+        return count * F.coalesce(F.try_divide(F.sum(own).over(order), F.sum(count).over(order)), F.lit(0.0))
+
+    scaled = counts.withColumns({"expected": expected("target", F.col("raw")), "expected_toxic": expected("toxic", F.col("good") + F.col("toxic"))})
     level = F.lit(0.0)
     for k, n in enumerate(sorted(SIGNIFICANCE)):
         level = F.when(F.floor(F.col("bucket") / BUCKETS) == k, F.lit(SIGNIFICANCE[n])).otherwise(level)
-    significant = F.abs(F.col("target") - F.col("expected")) >= level * F.sqrt(F.col("expected") + 1)
-    return scaled.where(significant).select("bucket", F.log((F.col("target") + SMOOTHING) / (F.col("expected") + SMOOTHING)).alias("weight"))
+    return scaled.select("bucket", _shrunk(F.col("target"), F.col("expected"), level).alias("weight"), _shrunk(F.col("toxic"), F.col("expected_toxic"), level).alias("harm"))
 
 
-def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Base counts, n-gram score and verdict of every document."""
-    weights = F.broadcast(fit_weights(documents, trusted_ids(labels)))
+def score(documents: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Base counts, mean log ratio and harm of every document."""
+    weights = F.broadcast(fit_weights(documents, labelled))
     base = base_counts(documents).withColumn("row", F.monotonically_increasing_id())
     kept = [c for c in base.columns if c not in ("words", "row")]
     n_grams = sum((F.greatest(F.col("n_words") - (n - 1), F.lit(0)) for n in SIGNIFICANCE), F.lit(0))
@@ -158,7 +179,40 @@ def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
         grams.select("row", *kept, "n_grams", F.explode_outer("buckets").alias("bucket"))
         .join(weights, "bucket", "left")
         .groupBy("row")
-        .agg(*(F.first(c).alias(c) for c in [*kept, "n_grams"]), F.sum("weight").alias("total"))
+        .agg(*(F.first(c).alias(c) for c in [*kept, "n_grams"]), F.sum("weight").alias("total"), F.max("harm").alias("harm"))
     )
-    score = F.coalesce(F.col("total") / F.col("n_grams"), F.lit(0.0))
-    return scored.select(*kept, (~F.col("base_failed") & (score >= THRESHOLD)).alias("kept"), score.alias("score"))
+    mean = F.coalesce(F.try_divide(F.col("total"), F.col("n_grams")), F.lit(0.0))
+    return scored.select(*kept, mean.alias("score"), F.coalesce("harm", F.lit(0.0)).alias("harm"))
+
+
+def _steps(value: Column) -> Column:
+    return F.floor(value * STEPS).cast("long")
+
+
+def threshold(judged: DataFrame, value: Column, bad: str) -> int | None:
+    """Fewest steps of ``value`` that documents of (kind, ...) are kept with, or None if it can't be set.
+
+    The driver gets one row for each step that occurs: a log ratio has a few ten thousand at most.
+    """
+    rows = judged.where(F.col("kind").isin("good", bad)).groupBy(_steps(value).alias("step")).agg(F.count_if(F.col("kind") == "good").alias("good"), F.count_if(F.col("kind") == bad).alias("bad")).collect()
+    n_good, n_bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
+    if not n_good or not n_bad:
+        return None
+    good, dropped, best = n_good, 0, (-1.0, 0)
+    for r in sorted(rows, key=lambda r: r["step"]):
+        if good >= LEAST_KEPT * n_good:
+            best = max(best, (good / n_good + dropped / n_bad, -r["step"]))
+        good, dropped = good - r["good"], dropped + r["bad"]
+    return -best[1]
+
+
+def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Base counts, n-gram score and verdict of every document."""
+    labelled = materialise(labelled_ids(labels), "labelled")
+    scored = materialise(score(documents, labelled), "scored")
+    judged = scored.where("not base_failed").join(_sent(labelled.where("fold = 1")), "doc_id")
+    kept = ~F.col("base_failed")
+    for value, bad in ((F.col("score"), "low"), (-F.col("harm"), "toxic")):
+        least = threshold(judged, value, bad)
+        kept = kept if least is None else kept & (_steps(value) >= least)
+    return scored.select(*(c for c in scored.columns if c not in ("score", "harm")), kept.alias("kept"), "score")

@@ -140,6 +140,26 @@ def test_quality_drops_toxic_and_keeps_good_documents(spark):
     assert toxic is None or toxic <= good
 
 
+def test_quality_of_documents_whose_labels_are_not_seen(spark):
+    rng, say = passages(21)
+    rows, labels = [], []
+    for i in range(400):
+        kind = ("good", "good", "toxic", "low")[i % 4]
+        words = say(60).split()
+        if kind == "toxic":
+            words[rng.randrange(60)] = rng.choice(["vile", "scum"])
+        if kind == "low":
+            words = [w + "###" if rng.random() < 0.5 else w for w in words]
+        rows.append((i, " ".join(words), "en", "a", 0))
+        if i < 320:
+            labels.append((i, int(kind != "low"), int(kind == "toxic")))
+    got = quality.assess(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    unseen = got.where("doc_id >= 320 and not base_failed").groupBy((F.col("doc_id") % 4).alias("kind")).agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    share = {r["kind"]: r["kept"] for r in unseen.collect()}
+    assert min(share[0], share[1]) > 0.8
+    assert max(share[2], share[3]) < 0.2
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang")
     got = QUERIES["op4_language_id"](spark, SF_DIR).where("held_out and lang_pred <> 'und'").join(docs, "doc_id").where("lang is not null")
