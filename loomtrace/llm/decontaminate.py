@@ -7,7 +7,8 @@ their own length and are looked up directly.
 
 Defined results of the edge cases: null or empty texts have no words and no hits; items without words
 never occur; repeated documents are judged each, repeated item rows count once per item_id; windows
-that several items share are charged to all of them; extra columns are ignored.
+that several items share are charged to all of them; items without an item_id count for words and
+verdict but are not listed; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,14 @@ def winnow(grams: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
 class Index:
     """Windows of one block of benchmark items: fingerprints, window hashes, and the words to compare."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         batch = pa.array([t for _, t in items], pa.large_string())
         data, offsets = K.text_buffer(batch)
         starts, ends, rows = K.words(K.LOWER[data], offsets, K.ALPHANUMERIC)
         data = K.LOWER[data]
         hashes = K.word_hashes(data, starts, ends, lower=False)
         text = data.tobytes()
-        self.windows: dict[int, dict[bytes, set[int]]] = defaultdict(dict)
+        self.windows: dict[int, dict[bytes, set[int | None]]] = defaultdict(dict)
         first, count = K.run_starts(rows, len(items))
         for row in range(len(items)):
             n = min(int(count[row]), WINDOW)
@@ -110,7 +112,7 @@ def scan(texts: pa.Array, index: Index) -> list[tuple[int, list[tuple[int, int]]
     starts, ends, rows = K.words(data, offsets, K.ALPHANUMERIC)
     first, count = K.run_starts(rows, len(texts))
     spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[int]] = defaultdict(set)
+    items: dict[int, set[int | None]] = defaultdict(set)
     hashes = K.word_hashes(data, starts, ends, lower=False)
     for n, begins in candidates(hashes, rows, index):
         table = index.windows[n]
@@ -128,59 +130,68 @@ def scan(texts: pa.Array, index: Index) -> list[tuple[int, list[tuple[int, int]]
                 merged[-1][1] = max(merged[-1][1], end)
             else:
                 merged.append([begin, end])
-        out.append((int(count[row]), [tuple(x) for x in merged], sorted(items.get(row, ()))))
+        out.append((int(count[row]), [tuple(x) for x in merged], sorted(i for i in items.get(row, ()) if i is not None)))
     return out
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark's items in blocks of at most ``BLOCK_WORDS`` words (by length of text, from above).
 
-    The benchmark is the stated query set: it is read block by block through the driver, so that one
-    block is the most that is held there or sent to an executor.
+    The benchmark is the stated query set: it is read block by block through the driver, which holds one
+    block and the one it reads.
     """
-    out: list[list[tuple[int, str]]] = [[]]
+    block: list[tuple[int | None, str]] = []
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
         length = len(row[1]) // 2 + 1
         if size and size + length > BLOCK_WORDS:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
+            yield block
+            block, size = [], 0
+        block.append((row[0], row[1]))
         size += length
-    return out
+    yield block
+
+
+def scan_all(source: DataFrame, sent: Broadcast) -> DataFrame:
+    """One pass of (doc_id, text) over the block that was sent (``SPANS``)."""
+    made: list[Index] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not made:
+            made.append(Index(sent.value))
+        for batch in K.chunks(batches, "text"):
+            rows = scan(batch.column(1), made[0])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"begin": b, "end": e} for b, e in r[1]] for r in rows], SPANS.field(2).type), pa.array([r[2] for r in rows], SPANS.field(3).type)],
+                schema=SPANS,
+            )
+
+    return K.map_arrow(source, run, SPANS)
 
 
 def contaminated_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: n_words, word spans that occur in the benchmark, and the items hit (``SPANS``).
 
     Map-only while the benchmark is one block. With more blocks every block is a pass over the
-    documents, and a document's spans and items are merged afterwards.
+    documents that is written before the next block is sent, and a document's spans and items are
+    merged afterwards.
     """
-    spark = documents.sparkSession
+    context = documents.sparkSession.sparkContext
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = []
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-        made: list[Index] = []
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, made=made) -> Iterator[pa.RecordBatch]:
-            if not made:
-                made.append(Index(sent.value))
-            for batch in K.chunks(batches, "text"):
-                rows = scan(batch.column(1), made[0])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"begin": b, "end": e} for b, e in r[1]] for r in rows], SPANS.field(2).type), pa.array([r[2] for r in rows], SPANS.field(3).type)],
-                    schema=SPANS,
-                )
-
-        passes.append(K.map_arrow(source, run, SPANS))
-    if len(passes) == 1:
-        return passes[0]
-    merged = passes[0].select("*", F.monotonically_increasing_id().alias("row"))
-    for other in passes[1:]:
-        merged = merged.unionByName(other.select("*", F.monotonically_increasing_id().alias("row")))
-    together = merged.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return together.select("doc_id", "n_words", merge_spans(F.col("spans")).alias("spans"), "items")
+    left = blocks(benchmark)
+    block, following = next(left), next(left, None)
+    if following is None:
+        return scan_all(source, context.broadcast(block))
+    rows = materialise(source.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
+    merged = None
+    while block is not None:
+        sent = context.broadcast(block)
+        written = materialise(scan_all(rows.select(F.col("row").alias("doc_id"), "text"), sent), "spans")
+        sent.destroy()
+        merged = written if merged is None else merged.unionByName(written)
+        block, following = following, next(left, None)
+    together = merged.groupBy(F.col("doc_id").alias("row"), "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return rows.select("row", "doc_id").join(together, "row").select("doc_id", "n_words", merge_spans(F.col("spans")).alias("spans"), "items")
 
 
 def merge_spans(spans):

@@ -281,6 +281,17 @@ def test_decontamination(spark, monkeypatch, block):
     assert got == windows_expected(df.collect(), items.collect())
 
 
+@pytest.mark.parametrize("block", [4_000_000, 20])
+def test_items_without_an_id_are_hits(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    _, say = passages(41)
+    a, b = say(12), say(12)
+    docs = spark.createDataFrame([(1, say(5) + " " + a, "en", "s", 0), (2, b, "en", "s", 0), (3, say(30), "en", "s", 0)], SCHEMA)
+    items = spark.createDataFrame([(None, a), (7, b)], "item_id long, text string")
+    got = by_row(decontaminate.report(docs, items), "doc_id", "n_hit", "n_items", "contaminated")
+    assert got == [(1, 12, 0, True), (2, 12, 1, True), (3, 0, 0, False)]
+
+
 @pytest.mark.parametrize("run", [
     lambda d, s: quality.assess(d, s.createDataFrame([], "doc_id long, quality int, toxic int")),
     lambda d, s: lm.score_documents(d),
