@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of ``documents``. An empty table
-passes through all stages; documents without a doc_id leave at ``near_duplicates``; what a stage does with nulls, ties and repeated rows is stated by its
-operator.
+passes through all stages. Stages link and filter rows by a key of their own, so documents without a doc_id
+are judged like others; what a stage does with nulls, ties and repeated rows is stated by its operator.
 """
 
 from __future__ import annotations
@@ -14,9 +14,27 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm import decontaminate, jaccard, langid, packing, suffixes
 from loomtrace.llm.queries import table
-from loomtrace.llm.storage import filter_ids, materialise
+from loomtrace.llm.storage import BROADCAST_IDS, filter_ids, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates share this percentage of their shingles of so many words.
+SHINGLE, PERCENT = 5, 80
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a written key of the row; deterministic because it is read back."""
+    return materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("key")), "numbered")
+
+
+def as_ids(rows: DataFrame) -> DataFrame:
+    """The rows under their keys in place of doc_id, as operators take them."""
+    return rows.select(F.col("key").alias("doc_id"), *COLUMNS[1:])
+
+
+def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents whose key is not among the ids that an operator rejected."""
+    ids = materialise(rejected.select(F.col("doc_id").alias("key")), "rejected")
+    return rows.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "key", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +44,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near-duplicates."""
-    return jaccard.deduplicate(docs).select(*COLUMNS)
+    """Keeps the smallest doc_id of each component of near-duplicates (a null one only if it has no other); repeated rows are one."""
+    rows = numbered(docs)
+    named = jaccard.join_components(as_ids(rows), SHINGLE, PERCENT).withColumnRenamed("doc_id", "key")
+    # sets of no words link with nothing: their rows are one only if id and text repeat
+    empty = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    linked = rows.join(named, "key").withColumn("empty", empty).withColumn("component", F.when(F.col("empty").isNull(), F.col("component_id")))
+    best = linked.groupBy("component", "empty").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("doc_id"))
+    return rows.join(materialise(best.select(F.col("doc_id").alias("key")), "kept"), "key", "left_semi").select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings of 200 bytes that occur twice; documents of nothing else are dropped."""
-    stripped = suffixes.remove_repeats(docs).where("n_removed < n_bytes or n_bytes = 0").select("doc_id", "text")
-    return docs.drop("text", "n_chars").join(stripped, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    rows = numbered(docs)
+    stripped = suffixes.remove_repeats(as_ids(rows)).where("n_removed < n_bytes or n_bytes = 0").select(F.col("doc_id").alias("key"), "text")
+    return rows.drop("text", "n_chars").join(stripped, "key").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a passage with the benchmark."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    rows = numbered(docs)
+    return without(rows, decontaminate.contaminated_spans(as_ids(rows), table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ from loomtrace.llm import kernels as K
 from loomtrace.llm.components import connected_components
 from loomtrace.llm.storage import filter_ids, input_bytes, materialise
 
+#: Words of a shingle, and sets link when PERCENT * union <= 100 * intersection, unless others are asked for.
 SHINGLE = 4
-#: Sets link when PERCENT * union <= 100 * intersection.
 PERCENT = 85
 #: Shingles of a group that are linked together, and megabytes of input in a block of documents.
 BLOCK = 1 << 21
@@ -50,40 +50,40 @@ MEMBERS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 LINKS = pa.schema([("doc_id", pa.int64()), ("root", pa.int64())])
 
 
-def needed(n):
+def needed(n, percent: int = PERCENT):
     """Fewest common shingles that a set of n (or of each of an array) needs with any partner."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
+def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """First shingles of a set of n, one of which any partner has among its own first ones."""
-    return n - needed(n) + 1
+    return n - needed(n, percent) + 1
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text."""
     data, offsets = K.text_buffer(texts)
     starts, ends, rows = K.words(data, offsets, K.SPACE_SEPARATED)
     hashes = K.word_hashes(data, starts, ends, lower=True)
-    grams = K.ngrams(hashes, SHINGLE)
+    grams = K.ngrams(hashes, shingle)
     first, count = K.run_starts(rows, len(texts))
     out = []
     for at, n in zip(first.tolist(), count.tolist(), strict=True):
-        out.append(np.unique(grams[at : at + n - SHINGLE + 1]) if n >= SHINGLE else K.ngrams(hashes[at : at + n], n) if n else np.zeros(0, np.uint64))
+        out.append(np.unique(grams[at : at + n - shingle + 1]) if n >= shingle else K.ngrams(hashes[at : at + n], n) if n else np.zeros(0, np.uint64))
     return out
 
 
-def block_sets(block: pa.Table) -> list[np.ndarray]:
+def block_sets(block: pa.Table, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Shingle sets of all rows, in slices that bound the temporaries."""
-    return [s for batch in K.chunks(iter(block.to_batches()), "text") for s in shingle_sets(batch.column(batch.schema.get_field_index("text")))]
+    return [s for batch in K.chunks(iter(block.to_batches()), "text") for s in shingle_sets(batch.column(batch.schema.get_field_index("text")), shingle)]
 
 
-def requests(blocks: DataFrame, bits: int, shards: int) -> DataFrame:
+def requests(blocks: DataFrame, bits: int, shards: int, shingle: int = SHINGLE) -> DataFrame:
     """The distinct shingles of every block and in how many of its sets they occur (``REQUEST``)."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
     def run(block: pa.Table) -> pa.Table:
-        unique, count = np.unique(np.concatenate(block_sets(block)) >> np.uint64(64 - bits), return_counts=True)
+        unique, count = np.unique(np.concatenate(block_sets(block, shingle)) >> np.uint64(64 - bits), return_counts=True)
         sets = np.minimum(count, MOST).astype(np.uint8)
         cut = np.searchsorted(K.shard_of(unique, bits, shards), np.arange(shards + 1))
         rows = [(s, *K.squeeze(unique[a:b]), sets[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
@@ -110,7 +110,7 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, from_arrow_schema(ANSWER))
 
 
-def describe(documents: DataFrame) -> DataFrame:
+def describe(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Size and digest of every document's shingle set, and its prefix shingles that occur again (``SETS``)."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -122,7 +122,7 @@ def describe(documents: DataFrame) -> DataFrame:
     def run(block: pa.Table, answer: pa.Table) -> pa.Table:
         if not block.num_rows:
             return SETS.empty_table()
-        sets = block_sets(block)
+        sets = block_sets(block, shingle)
         flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
         told = sorted(zip(answer.column("shard").to_pylist(), answer.column("sets").to_pylist(), strict=True))
@@ -130,7 +130,7 @@ def describe(documents: DataFrame) -> DataFrame:
         n_sets = np.frombuffer(b"".join(t[1] for t in told), np.uint8)[inverse]
         order = np.lexsort((flat, n_sets, row))
         nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        chosen = order[(nth < prefix_length(size)[row]) & (n_sets[order] > 1)]
+        chosen = order[(nth < prefix_length(size, percent)[row]) & (n_sets[order] > 1)]
         bounds = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(sets)))])
         prefix = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[chosen].view(np.int64)))
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -140,7 +140,7 @@ def describe(documents: DataFrame) -> DataFrame:
             digests.append(pa.array((running[ends[1:]] - running[ends[:-1]]).view(np.int64)))
         return pa.Table.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), *digests, prefix], schema=SETS)
 
-    told = answers(requests(blocks, bits, shards))
+    told = answers(requests(blocks, bits, shards, shingle))
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, from_arrow_schema(SETS))
 
 
@@ -148,12 +148,12 @@ def _source(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def full_sets(documents: DataFrame) -> DataFrame:
+def full_sets(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The whole shingle set of every document, as bytes (``MEMBERS``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], schema=MEMBERS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), shingle)], pa.binary())], schema=MEMBERS)
 
     return K.map_arrow(_source(documents), run, MEMBERS)
 
@@ -166,7 +166,8 @@ class Trie:
     in the prefix that must meet a partner's prefix.
     """
 
-    def __init__(self, sequences: list[np.ndarray], ranks: int):
+    def __init__(self, sequences: list[np.ndarray], ranks: int, percent: int = PERCENT):
+        self.percent = percent
         self.order = np.array(sorted(range(len(sequences)), key=lambda i: sequences[i].astype(">u4").tobytes()))
         ordered = [sequences[i] for i in self.order]
         n = len(ordered)
@@ -186,7 +187,7 @@ class Trie:
             stack.append(i)
         self.begin = np.concatenate([[0], np.cumsum(self.length - self.common)])
         self.stored = np.concatenate([s[c:] for s, c in zip(ordered, self.common, strict=True)])
-        prefixes = [s[: len(s) - needed(len(s)) + 1] for s in ordered]
+        prefixes = [s[: len(s) - needed(len(s), percent) + 1] for s in ordered]
         tokens = np.concatenate(prefixes)
         by_token = np.argsort(tokens, kind="stable")
         self.owner = np.repeat(np.arange(n), [len(p) for p in prefixes])[by_token]
@@ -194,12 +195,13 @@ class Trie:
 
     def partners(self, query: np.ndarray, ranks: int, waiting: np.ndarray) -> np.ndarray:
         """Indices (of the constructor's list) of the waiting sequences that link with the query."""
-        head = query[: len(query) - needed(len(query)) + 1]
+        percent = self.percent
+        head = query[: len(query) - needed(len(query), percent) + 1]
         lists = [self.owner[self.near[r] : self.near[r + 1]] for r in head]
         ends = np.unique(np.concatenate(lists))
         ends = ends[waiting[self.order[ends]]]
         # sizes that are too different can't link
-        ends = ends[(100 * self.length[ends] >= PERCENT * len(query)) & (100 * len(query) >= PERCENT * self.length[ends])]
+        ends = ends[(100 * self.length[ends] >= percent * len(query)) & (100 * len(query) >= percent * self.length[ends])]
         if not len(ends):
             return ends
         paths, up = [ends], self.parent[ends]
@@ -215,7 +217,7 @@ class Trie:
         hits = np.concatenate([[0], np.cumsum(inside[self.stored[np.repeat(self.begin[nodes] - first, sizes) + np.arange(sizes.sum())]])])
         base = np.zeros(len(nodes), np.int64)
         dead = np.zeros(len(nodes), bool)
-        need = -(-PERCENT * (len(query) + np.maximum(needed(len(query)), 1)) // (100 + PERCENT))
+        need = -(-percent * (len(query) + np.maximum(needed(len(query), percent), 1)) // (100 + percent))
         for level in range(1, int(self.level[nodes].max()) + 1):
             at = np.flatnonzero(self.level[nodes] == level)
             above = np.searchsorted(nodes, self.parent[nodes[at]])
@@ -225,12 +227,12 @@ class Trie:
             last = self.stored[self.begin[nodes[above]] + shared_path - self.common[nodes[above]] - 1]
             dead[at] = dead[above] | (base[at] + len(query) - np.searchsorted(query, last, "right") < need)
         overlap = base + hits[first + sizes] - hits[first]
-        linked = ~dead & (100 * overlap >= PERCENT * (len(query) + self.length[nodes] - overlap))
+        linked = ~dead & (100 * overlap >= percent * (len(query) + self.length[nodes] - overlap))
         linked &= np.isin(nodes, ends)
         return self.order[nodes[linked]]
 
 
-def link(sets: list[np.ndarray]) -> np.ndarray:
+def link(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """A component number for each set: traverses from every set to those not yet placed."""
     label = np.full(len(sets), -1)
     values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -248,7 +250,7 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
         while queue and left:
             if trie is None or left * 2 < len(held):
                 held = np.flatnonzero(label < 0)
-                trie = Trie([sequences[i] for i in held], len(values))
+                trie = Trie([sequences[i] for i in held], len(values), percent)
             partners = held[trie.partners(sequences[queue.pop()], len(values), label[held] < 0)]
             label[partners] = seed
             left -= len(partners)
@@ -256,7 +258,7 @@ def link(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
-def link_groups(members: DataFrame, by: list[str]) -> DataFrame:
+def link_groups(members: DataFrame, by: list[str], percent: int = PERCENT) -> DataFrame:
     """(doc_id, root) for each row of (by..., doc_id, shingles); root is the smallest linked doc_id."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -265,7 +267,7 @@ def link_groups(members: DataFrame, by: list[str]) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         sets = [np.frombuffer(group.column("shingles")[int(i)].as_py(), np.uint64) for i in order]
         ids = ids[order]
-        label = link(sets) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        label = link(sets, percent) if len(sets) > 1 else np.zeros(len(sets), np.int64)
         return pa.Table.from_arrays([pa.array(ids), pa.array(ids[label])], schema=LINKS)
 
     return members.groupBy(*by).applyInArrow(run, from_arrow_schema(LINKS))
@@ -278,45 +280,45 @@ def candidates(sets: DataFrame, representatives: DataFrame) -> DataFrame:
     return materialise(prefix.join(common, "shingle").select("doc_id", "low").distinct(), "candidates")
 
 
-def link_candidates(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def link_candidates(documents: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, component) of the candidate sets that link with another one."""
     groups = connected_components(pairs.select(F.col("doc_id").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     sizes = groups.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
     blocks = sizes.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(blocks, "group").select("doc_id", "group", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
     placed = materialise(placed, "placed")
-    members = full_sets(filter_ids(_source(documents), placed.select("doc_id"))).dropDuplicates(["doc_id"]).join(placed, "doc_id")
+    members = full_sets(filter_ids(_source(documents), placed.select("doc_id")), shingle).dropDuplicates(["doc_id"]).join(placed, "doc_id")
     if placed.where("blocks > 1").isEmpty():
-        return link_groups(members, ["group"]).select("doc_id", F.col("root").alias("component"))
+        return link_groups(members, ["group"], percent).select("doc_id", F.col("root").alias("component"))
     members = materialise(members, "sets")
-    within = materialise(link_groups(members, ["group", "block"]), "links")
+    within = materialise(link_groups(members, ["group", "block"], percent), "links")
     large = members.where("blocks > 1")
     roots = large.join(within.where("doc_id = root").select("doc_id"), "doc_id", "left_semi")
     few = roots.groupBy("group").agg(F.sum(F.octet_length("shingles") / 8).alias("size")).where(F.col("size") <= BLOCK).select("group")
-    across = materialise(link_groups(roots.join(few, "group", "left_semi"), ["group"]), "links")
+    across = materialise(link_groups(roots.join(few, "group", "left_semi"), ["group"], percent), "links")
     joined = across.groupBy("doc_id").agg(F.min("root").alias("root")).join(large.select("doc_id", "group"), "doc_id")
     split = large.join(joined.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a = b").select("group"), "group", "left_anti")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     spread = split.select("group", "doc_id", "shingles", "block", F.explode(others).alias("p")).where("p.i <> p.j").select("group", "p.i", "p.j", "doc_id", "shingles")
-    rest = link_groups(spread, ["group", "i", "j"])
+    rest = link_groups(spread, ["group", "i", "j"], percent)
     edges = within.unionByName(across).unionByName(rest)
     return connected_components(edges.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("doc_id"), "component")
 
 
-def join_components(documents: DataFrame) -> DataFrame:
+def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest linked doc_id) of every document."""
-    sets = materialise(describe(documents), "shingles")
+    sets = materialise(describe(documents, shingle, percent), "shingles")
     key = ["digest_a", "digest_b", "n_shingles"]
     equal = sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("twin"))
     pairs = candidates(sets.where("n_shingles > 0"), equal.select(F.col("twin").alias("doc_id")))
-    linked = link_candidates(documents, sets, pairs).select(F.col("doc_id").alias("twin"), "component")
+    linked = link_candidates(documents, sets, pairs, shingle, percent).select(F.col("doc_id").alias("twin"), "component")
     named = equal.join(linked, "twin", "left").select(*key, F.coalesce("component", "twin").alias("component_id"))
     return sets.select("doc_id", *key).join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicate(documents: DataFrame) -> DataFrame:
+def deduplicate(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that name their component, with all their columns; one row of repeated ones."""
-    named = materialise(join_components(documents), "components")
+    named = materialise(join_components(documents, shingle, percent), "components")
     if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
         documents = documents.dropDuplicates(["doc_id"])
     return filter_ids(documents, named.where("doc_id = component_id").select("doc_id").distinct())

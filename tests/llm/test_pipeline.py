@@ -1,12 +1,14 @@
 """The corpus pipeline stage by stage, WARC salvage and chat collapse."""
 
+import re
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.llm import chat, warc
-from tests.llm.samples import awkward, empty
-from tests.llm.test_jaccard import brute
+from tests.llm.samples import SCHEMA, awkward, empty, passages
+from tests.llm.test_jaccard import brute, lower
 from tests.llm.test_text_operators import strip_brute, windows_expected
 from tests.tables import SF_DIR
 
@@ -31,6 +33,50 @@ def test_stages_do_what_their_plain_versions_do(spark):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in free.collect()}
 
 
+def five_words(rows):
+    """Kept doc_ids (nulls too) by comparing all pairs of five-word shingle sets at 80 percent."""
+    sets = []
+    for r in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", lower(r["text"]))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    groups = {}
+    for r, x in zip(rows, label, strict=True):
+        groups.setdefault(x, []).append((r["doc_id"] is None, r["doc_id"] or 0))
+    return sorted(None if min(g)[0] else min(g)[1] for g in groups.values() if not min(g)[0]), sum(min(g)[0] for g in groups.values())
+
+
+def test_near_duplicates_by_five_words_and_with_null_ids(spark):
+    rng, say = passages(31)
+    base = say(100).split()
+    texts = [" ".join(base), " ".join(base) + " " + say(22), say(60), say(60)]
+    other = say(100).split()
+    texts.append(" ".join(other))
+    for at in (20, 60):
+        other[at] = "edited"
+    texts.append(" ".join(other))
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    rows += [(None, texts[2], "en", "a", 0), (None, say(50), "en", "a", 0), (None, texts[3] + " end", "en", "a", 0), (None, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, SF_DIR).collect()
+    ids, nulls = five_words(df.collect())
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == ids == [0, 2, 3, 4]
+    assert sum(r["doc_id"] is None for r in got) == nulls == 2
+
+
+def test_null_ids_stay_in_the_stages_behind(spark):
+    _, say = passages(32)
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 80").first()["text"]
+    df = spark.createDataFrame([(None, say(50), "en", "a", 0), (None, say(50), "en", "a", 0), (None, item, "en", "a", 0), (None, "12 !!", "en", "a", 0)], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["repeated_strings"](spark, df, SF_DIR).count() == 4
+    assert stages["benchmark_free"](spark, df, SF_DIR).count() == 3
+
+
 def test_empty_table_passes_all_stages(spark):
     docs = empty(spark)
     for _, stage in corpus_pipeline.STAGES:
