@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from loomtrace.llm import decontaminate, jaccard, langid, packing, suffixes
 from loomtrace.llm.queries import table
-from loomtrace.llm.storage import BROADCAST_IDS, filter_ids, materialise
+from loomtrace.llm.storage import BROADCAST_IDS, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near duplicates share this percentage of their shingles of so many words.
 SHINGLE, PERCENT = 5, 80
+#: A document whose likeliest language has less of the mean probability of its windows is in none.
+LEAST_SCORE = 0.5
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -38,9 +40,16 @@ def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any language: null texts and texts without a letter."""
-    rejected = langid.identify(docs).where(F.col("lang_pred") == langid.UNKNOWN).select("doc_id")
-    return filter_ids(docs, materialise(rejected, "rejected"), "left_anti").select(*COLUMNS)
+    """Rejects null texts, texts without a letter, and those for which the network gives no language half of the probability.
+
+    Without labelled documents to train on there is no network, and letters alone decide.
+    """
+    rows = numbered(docs)
+    network = langid.fit(docs.where(langid.fold() != 1))
+    if network is None:
+        return rows.where(langid.lettered(F.col("text"))).select(*COLUMNS)
+    found = langid.predict(as_ids(rows), network)
+    return without(rows, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

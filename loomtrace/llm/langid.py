@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm import kernels as K
@@ -218,6 +218,11 @@ def has_letter(data: np.ndarray, offsets: np.ndarray, column: pa.Array) -> np.nd
     return out
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter of any script; false for null."""
+    return F.coalesce(text.cast("string").rlike("\\p{L}"), F.lit(False))
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text modulo 3; 1 is held out of training."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3

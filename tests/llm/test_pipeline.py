@@ -75,6 +75,13 @@ def test_null_ids_stay_in_the_stages_behind(spark):
     stages = dict(corpus_pipeline.STAGES)
     assert stages["repeated_strings"](spark, df, SF_DIR).count() == 4
     assert stages["benchmark_free"](spark, df, SF_DIR).count() == 3
+    assert stages["language_id"](spark, df, SF_DIR).count() == 3
+
+
+def test_language_stage_without_any_label_keeps_lettered_documents(spark):
+    docs = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF_DIR)
+    assert sorted(map(repr, (r["text"] for r in kept.collect()))) == sorted(repr(r["text"]) for r in docs.collect() if any(c.isalpha() for c in r["text"] or ""))
 
 
 def test_empty_table_passes_all_stages(spark):
