@@ -4,11 +4,9 @@ The model mixes the maximum-likelihood bigram and unigram estimates and a unifor
 weights depend on how often the context was seen; they are learned by expectation-maximisation on a
 fold of the training texts whose own counts are taken out ("deleted") while it is predicted.
 
-Counts are exchanged in bulk. Documents are dealt into blocks; a block sends its distinct n-gram hashes
-with its counts, cut at the borders of the hash shards, and a shard returns the corpus counts of
-exactly those n-grams to every block that asked. Shards are equal ranges of a uniform hash, and a
-block sends an n-gram once however often it has it, so no n-gram is a hot key. Nothing that grows
-with the corpus goes through the driver: EM works on a histogram of bounded size.
+Counts come from ``exchange``: blocks of documents send their distinct n-gram hashes and get the corpus
+counts back. Nothing that grows with the corpus goes through the driver: EM works on a histogram of
+bounded size.
 
 Defined results of the edge cases: null and empty texts are one end token; repeated rows count and are
 scored each; a null doc_id is training text; with no text in the EM fold fixed weights are used; with
@@ -17,13 +15,12 @@ no training text all counts are 0; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.llm import exchange as X
 from loomtrace.llm import kernels as K
 from loomtrace.llm.storage import input_bytes, materialise
 
@@ -37,11 +34,7 @@ EM_ROUNDS = 60
 START = (0.4, 0.5, 0.1)
 FLOOR = 1e-4
 END_TOKEN, BEGIN_TOKEN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: Bits of an n-gram hash that are kept.
-HASH_BITS = 56
 
-REQUEST = pa.schema([("ngram", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("width", pa.int32()), ("trained", pa.binary()), ("deleted", pa.binary())])
-ANSWER = pa.schema([("block", pa.int32()), ("ngram", pa.int32()), ("shard", pa.int32()), ("trained", pa.binary()), ("deleted", pa.binary()), ("tokens", pa.int64()), ("gone", pa.int64()), ("types", pa.int64())])
 HISTOGRAM = pa.schema([("bucket", pa.int32()), ("two", pa.int32()), ("one", pa.int32()), ("n", pa.int64())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -72,8 +65,13 @@ class Tokens:
         before = np.empty_like(self.one)
         before[1:] = self.one[:-1]
         before[self.first] = BEGIN_TOKEN
-        self.two = K.mix(before * np.uint64(K.BASE) + K.mix(self.one + np.uint64(1))) >> np.uint64(64 - HASH_BITS)
-        self.one = self.one >> np.uint64(64 - HASH_BITS)
+        # even hashes are unigrams, odd ones bigrams
+        self.two = K.mix(before * np.uint64(K.BASE) + K.mix(self.one + np.uint64(1))) | np.uint64(1)
+        self.one &= ~np.uint64(1)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams, ascending, and of which each unigram and then each bigram is one."""
+        return np.unique(np.concatenate([self.one, self.two]), return_inverse=True)
 
     def context(self, of_token: np.ndarray) -> np.ndarray:
         """A per-token column of the token before; documents begin after an end."""
@@ -90,69 +88,31 @@ def blocked(documents: DataFrame, blocks: int) -> DataFrame:
     fold = F.coalesce(F.crc32(number.cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT + 2)).cast("int")
     mixed = F.xxhash64("doc_id", "text")
     block = F.when(F.col("fold") == DELETED, blocks + F.pmod(mixed, F.lit(blocks // FOLDS + 1))).otherwise(F.pmod(mixed, F.lit(blocks)))
-    return documents.withColumn("fold", fold).select(number.alias("doc_id"), text.alias("text"), "fold", block.cast("int").alias("block"))
+    return documents.withColumn("fold", fold).select(number.alias("doc_id"), text.alias("text"), "fold", block.cast("long").alias("block"))
 
 
 def requests(docs: DataFrame, shards: int) -> DataFrame:
-    """The distinct n-grams of every block, by shard (``REQUEST``)."""
+    """The distinct n-grams of every block; blocks of the deleted fold also ask for the counts of that fold."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         tokens = Tokens(block.column("text").combine_chunks())
-        fold = block.column("fold").to_numpy()[tokens.row]
-        number = block.column("block")[0].as_py()
-        rows = []
-        for n, hashes in ((1, tokens.one), (2, tokens.two)):
-            unique, inverse = np.unique(hashes, return_inverse=True)
-            trained = np.bincount(inverse[fold != HELD_OUT], minlength=len(unique)).astype("<i4")
-            deleted = np.bincount(inverse[fold == DELETED], minlength=len(unique)).astype("<i4")
-            cut = np.searchsorted(K.shard_of(unique, HASH_BITS, shards), np.arange(shards + 1))
-            for s in range(shards):
-                a, b = cut[s], cut[s + 1]
-                if b > a:
-                    packed, width = K.squeeze(unique[a:b])
-                    rows.append((n, s, number, packed, width, trained[a:b].tobytes(), deleted[a:b].tobytes()))
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(REQUEST)], schema=REQUEST)
-
-    return docs.groupBy("block").applyInArrow(run, from_arrow_schema(REQUEST))
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """Corpus counts for every request, and the totals of every shard in a row of block -1 (``ANSWER``)."""
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    def run(shard: pa.Table) -> pa.Table:
-        parts = [K.unsqueeze(d, w) for d, w in zip(shard.column("hashes").to_pylist(), shard.column("width").to_pylist(), strict=True)]
-        unique, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = [np.bincount(inverse, np.concatenate([np.frombuffer(b, "<i4") for b in shard.column(c).to_pylist()]), len(unique)).astype(np.int64) for c in ("trained", "deleted")]
-        n, s = shard.column("ngram")[0].as_py(), shard.column("shard")[0].as_py()
-        rows: list[tuple] = [(-1, n, s, None, None, int(sums[0].sum()), int(sums[1].sum()), int((sums[0] > 0).sum()))]
-        at = 0
-        for block, part in zip(shard.column("block").to_pylist(), parts, strict=True):
-            there = inverse[at : at + len(part)]
-            at += len(part)
-            rows.append((block, n, s, sums[0][there].astype("<i8").tobytes(), sums[1][there].astype("<i8").tobytes(), None, None, None))
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ANSWER)], schema=ANSWER)
+        fold = block.column("fold").to_numpy()
+        keys, inverse = tokens.keys()
+        trained = np.bincount(inverse[np.tile((fold != HELD_OUT)[tokens.row], 2)], minlength=len(keys))
+        return X.messages(block.column("block")[0].as_py(), keys, trained, trained if fold[0] == DELETED else None, shards, 64)
 
-    return asked.groupBy("ngram", "shard").applyInArrow(run, from_arrow_schema(ANSWER))
-
-
-def counts_of(answer: pa.Table, n: int, hashes: np.ndarray, minus: bool) -> np.ndarray:
-    """Corpus count of each token's n-gram, from the answers to this block."""
-    rows = [r for r in zip(answer.column("ngram").to_pylist(), answer.column("shard").to_pylist(), answer.column("trained").to_pylist(), answer.column("deleted").to_pylist(), strict=True) if r[0] == n]
-    rows.sort(key=lambda r: r[1])
-    total = np.concatenate([np.frombuffer(r[2], "<i8") for r in rows])
-    if minus:
-        total = total - np.concatenate([np.frombuffer(r[3], "<i8") for r in rows])
-    _, inverse = np.unique(hashes, return_inverse=True)
-    return total[inverse]
+    return docs.groupBy("block").applyInArrow(run, from_arrow_schema(X.MESSAGE))
 
 
 def estimates(tokens: Tokens, answer: pa.Table, n_tokens: int, minus: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per token: count, context bucket, bigram and unigram maximum-likelihood estimates."""
-    one = counts_of(answer, 1, tokens.one, minus)
-    two = counts_of(answer, 2, tokens.two, minus)
+    _, inverse = tokens.keys()
+    counts = X.told(answer, "counts").astype(np.int64)
+    if minus:
+        counts = counts - X.told(answer, "also")
+    one, two = counts[inverse[: len(tokens.one)]], counts[inverse[len(tokens.one) :]]
     context = tokens.context(one)
     bucket = np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1)
     return one, bucket, two / np.maximum(context, 1), one / max(n_tokens, 1)
@@ -183,11 +143,12 @@ def score_documents(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     size = input_bytes(documents) >> 20
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, shards = max(least, size // BLOCK_MB + 1), max(4, size // 12 + 1)
+    blocks = max(least, size // BLOCK_MB + 1)
+    every = blocks + blocks // FOLDS + 1
     docs = blocked(documents, blocks)
-    held = materialise(answers(requests(docs, shards)), "counts")
-    answered = held.where("block >= 0").select("block", "ngram", "shard", "trained", "deleted")
-    totals = held.where("block < 0 and ngram = 1").agg(F.sum("tokens"), F.sum("gone"), F.sum("types")).first()
+    held = materialise(X.totals(requests(docs, X.shards_of(every)), every, X.shards_of(every)), "counts")
+    answered = held.where("block >= 0").select("block", "shard", "counts", "also")
+    totals = held.where("block < 0").agg(F.sum("total"), F.sum("total_also"), F.sum("types")).first()
     n_tokens, gone, types = (int(x or 0) for x in totals)
 
     def bins(p: np.ndarray) -> np.ndarray:

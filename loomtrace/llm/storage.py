@@ -34,6 +34,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomtrace-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # results that read the table are lazy: it goes when the application ends
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +53,11 @@ def input_bytes(df: DataFrame, text: str = "text") -> int:
     return size if size < UNKNOWN_BYTES else int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def filter_ids(documents: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """Documents whose doc_id is (``left_anti``: is not) in ``ids``, by broadcast only up to a checked size."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if small else ids, "doc_id", how)
+    return documents.join(small(ids), "doc_id", how)

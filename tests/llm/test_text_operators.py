@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace.llm import decontaminate, langid, licences, lm, packing, quality, suffixes
+from loomtrace.llm import decontaminate, exchange, langid, licences, lm, packing, quality, suffixes
 from loomtrace.llm.queries import QUERIES
 from tests.llm.samples import SCHEMA, awkward, by_row, empty, passages
 from tests.tables import SF_DIR
@@ -90,12 +90,54 @@ def score_expected(rows):
     return [(r["doc_id"], h, len(t), sum(counts[w] > 0 for w in t), n, round(b, 5)) for r, h, t, b in zip(rows, held, texts, base, strict=True)]
 
 
-def test_base_scores(spark):
+@pytest.mark.parametrize("fan", [1024, 2])
+def test_base_scores(spark, monkeypatch, fan):
+    monkeypatch.setattr(exchange, "FAN", fan)
     df = awkward(spark)
     got = lm.score_documents(df).withColumn("base_score", F.round("base_score", 5))
     assert by_row(got, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score") == sorted(score_expected(df.collect()), key=repr)
 
 
+def model_expected(rows):
+    """Scores by counting pairs in dictionaries, with weights from expectation-maximisation over single tokens."""
+    texts = [[*re.findall(WORD, lower(r["text"])), "</s>"] for r in rows]
+    fold = [4 if r["doc_id"] is None else zlib.crc32(str(r["doc_id"]).encode()) % 7 for r in rows]
+    pairs = lambda t: list(zip(["<s>", *t[:-1]], t, strict=True))
+    of = lambda chosen: (Counter(w for t, f in zip(texts, fold, strict=True) if chosen(f) for w in t), Counter(p for t, f in zip(texts, fold, strict=True) if chosen(f) for p in pairs(t)))
+    bucket = lambda n: min(int(math.log2(n + 1)), lm.BUCKETS - 1)
+    binned = lambda p: 2.0 ** (-round(-math.log2(p) * lm.BINS) / lm.BINS) if p else 0.0
+
+    def parts(t, one, two):
+        n = sum(one.values())
+        for before, w in pairs(t):
+            c = one["</s>" if before == "<s>" else before]
+            yield bucket(c), (two[before, w] / max(c, 1), one[w] / max(n, 1), 1 / (types + 1))
+
+    one, two = of(lambda f: f != 2)
+    types = len(one)
+    inner = of(lambda f: f not in (2, 3))
+    seen = [(b, (binned(p[0]), binned(p[1]), p[2])) for t, f in zip(texts, fold, strict=True) if f == 3 for b, p in parts(t, *inner)]
+    weights = {b: list(lm.START) for b in range(lm.BUCKETS)}
+    for _ in range(lm.EM_ROUNDS if seen else 0):
+        sums = {b: list(lm.START) for b in weights}
+        for b, p in seen:
+            mixed = [w * x for w, x in zip(weights[b], p, strict=True)]
+            for k in range(3):
+                sums[b][k] += mixed[k] / sum(mixed)
+        weights = {b: [x / sum(s) for x in s] for b, s in sums.items()}
+    weights[0] = [0, weights[0][0] + weights[0][1], weights[0][2]]
+    for b, (x, y, z) in weights.items():
+        total = x + y + max(z, lm.FLOOR)
+        weights[b] = (x / total, y / total, max(z, lm.FLOOR) / total)
+    return [sum(math.log10(sum(w * x for w, x in zip(weights[b], p, strict=True))) for b, p in parts(t, one, two)) for t in texts]
+
+
+def test_model_scores(spark):
+    df = awkward(spark)
+    got = sorted((repr(r["doc_id"]), round(r["score"], 4)) for r in lm.score_documents(df).collect())
+    assert got == sorted((repr(r["doc_id"]), round(x, 4)) for r, x in zip(df.collect(), model_expected(df.collect()), strict=True))
+
+
 def test_model_beats_base_on_held_out_texts(spark):
     rows = QUERIES["op8_lm_score"](spark, SF_DIR).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert rows[0] > rows[1]
