@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose word-shingle sets overlap enough, as linked components.
 
-1. Documents are dealt into blocks. A block sends its distinct shingle hashes, cut short to a few bits
-   more than the corpus needs, to hash shards and gets back in how many sets each occurs (up to
-   ``MOST``). A block sends a shingle once, so no shingle is a hot key; a collision only raises a count.
+1. In how many sets each shingle occurs (up to ``MOST``) comes from ``exchange``: blocks of documents send
+   their distinct shingle hashes, cut short to a few bits more than the corpus needs; a collision only
+   raises a count.
 2. Shingles are ordered by that count and their hash, one order for all. Linked sets have one of their
    first ``prefix_length`` shingles in common, so sets without a prefix shingle that occurs again have
    no link: passages that many documents share stand last and don't count.
@@ -14,11 +14,16 @@
    are not compared again, so a group of thousands of near copies is not expanded into pairs.
 
 Groups of more than ``BLOCK`` shingles are linked block by block; if representatives of the blocks
-don't show the group to be one component, all pairs of its blocks are traversed.
+don't show the group to be one component, its sets are dealt out once more by each prefix shingle that
+they share, and linked there (block by block, all pairs of blocks, where one shingle's sets are more than
+``BLOCK`` shingles).
+
+A set is known by its size and two 64-bit digests, never by its doc_id, so rows with equal, clashing or
+no ids link like any others.
 
 Defined results of the edge cases: texts without words and null texts have the empty set and link with
 nothing; repeated rows are one node and each returned; null doc_ids link like others but are named by
-null only if alone; extra columns are ignored.
+null only if no linked row has an id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrace.llm import exchange as X
 from loomtrace.llm import kernels as K
 from loomtrace.llm.components import connected_components
-from loomtrace.llm.storage import filter_ids, input_bytes, materialise
+from loomtrace.llm.storage import filter_ids, input_bytes, materialise, small
 
 #: Words of a shingle, and sets link when PERCENT * union <= 100 * intersection, unless others are asked for.
 SHINGLE = 4
@@ -43,11 +49,17 @@ BLOCK_MB = 4
 #: Counts of sets are not told apart above this.
 MOST = 255
 
-REQUEST = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("width", pa.int32()), ("sets", pa.binary())])
-ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("sets", pa.binary())])
+#: Candidate sets are broadcast to the texts up to this many (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_SETS = 500_000
+#: The doc_id under which rows without one are handled.
+NO_ID = -(1 << 63)
+
 SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-MEMBERS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
-LINKS = pa.schema([("doc_id", pa.int64()), ("root", pa.int64())])
+MEMBERS = pa.schema([("n_shingles", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()), ("shingles", pa.binary())])
+LINKS = pa.schema([("key", pa.int64()), ("root", pa.int64())])
+#: Name of the row number while duplicates are looked for.
+ROW = "loomtrace_row"
+SET = ["digest_a", "digest_b", "n_shingles"]
 
 
 def needed(n, percent: int = PERCENT):
@@ -78,46 +90,28 @@ def block_sets(block: pa.Table, shingle: int = SHINGLE) -> list[np.ndarray]:
     return [s for batch in K.chunks(iter(block.to_batches()), "text") for s in shingle_sets(batch.column(batch.schema.get_field_index("text")), shingle)]
 
 
-def requests(blocks: DataFrame, bits: int, shards: int, shingle: int = SHINGLE) -> DataFrame:
-    """The distinct shingles of every block and in how many of its sets they occur (``REQUEST``)."""
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    def run(block: pa.Table) -> pa.Table:
-        unique, count = np.unique(np.concatenate(block_sets(block, shingle)) >> np.uint64(64 - bits), return_counts=True)
-        sets = np.minimum(count, MOST).astype(np.uint8)
-        cut = np.searchsorted(K.shard_of(unique, bits, shards), np.arange(shards + 1))
-        rows = [(s, *K.squeeze(unique[a:b]), sets[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-        number = [block.column("block")[0].as_py()] * len(rows)
-        columns = [[r[0] for r in rows], number, *([r[k] for r in rows] for k in (1, 2, 3))]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, REQUEST, strict=True)], schema=REQUEST)
-
-    return blocks.groupBy("block").applyInArrow(run, from_arrow_schema(REQUEST))
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """In how many sets of the corpus the requested shingles occur, up to ``MOST`` (``ANSWER``)."""
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    def run(shard: pa.Table) -> pa.Table:
-        parts = [K.unsqueeze(d, w) for d, w in zip(shard.column("hashes").to_pylist(), shard.column("width").to_pylist(), strict=True)]
-        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(inverse, np.frombuffer(b"".join(shard.column("sets").to_pylist()), np.uint8))
-        told = np.minimum(sums, MOST).astype(np.uint8)[inverse]
-        ends = np.cumsum([len(p) for p in parts])
-        back = [told[e - len(p) : e].tobytes() for e, p in zip(ends, parts, strict=True)]
-        return pa.Table.from_arrays([shard.column("block"), shard.column("shard"), pa.array(back, pa.binary())], schema=ANSWER)
-
-    return asked.groupBy("shard").applyInArrow(run, from_arrow_schema(ANSWER))
+def digests(flat: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of each set, whose shingles follow each other in ``flat``."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for values in (flat, K.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        out.append((running[ends[1:]] - running[ends[:-1]]).view(np.int64))
+    return out
 
 
 def describe(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Size and digest of every document's shingle set, and its prefix shingles that occur again (``SETS``)."""
+    """Size and digests of every document's shingle set, and its prefix shingles that occur again (``SETS``)."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
     size = input_bytes(documents)
-    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count, shards, bits = max(least, (size >> 20) // BLOCK_MB + 1), max(4, (size >> 20) // 8 + 1), min(64, max(24, size.bit_length() + 8))
-    blocks = _source(documents).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
+    count = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size >> 20) // BLOCK_MB + 1)
+    shards, bits = X.shards_of(count), min(64, max(32, size.bit_length() + 8))
+    blocks = _source(documents).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
+
+    def ask(block: pa.Table) -> pa.Table:
+        unique, sets = np.unique(np.concatenate(block_sets(block, shingle)) >> np.uint64(64 - bits), return_counts=True)
+        return X.messages(block.column("block")[0].as_py(), unique, np.minimum(sets, MOST), None, shards, bits)
 
     def run(block: pa.Table, answer: pa.Table) -> pa.Table:
         if not block.num_rows:
@@ -125,37 +119,34 @@ def describe(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         sets = block_sets(block, shingle)
         flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), size)
-        told = sorted(zip(answer.column("shard").to_pylist(), answer.column("sets").to_pylist(), strict=True))
         _, inverse = np.unique(flat >> np.uint64(64 - bits), return_inverse=True)
-        n_sets = np.frombuffer(b"".join(t[1] for t in told), np.uint8)[inverse]
+        n_sets = X.told(answer, "counts")[inverse] if len(flat) else np.zeros(0, np.uint8)
         order = np.lexsort((flat, n_sets, row))
         nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         chosen = order[(nth < prefix_length(size, percent)[row]) & (n_sets[order] > 1)]
         bounds = np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(sets)))])
         prefix = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat[chosen].view(np.int64)))
-        ends = np.concatenate([[0], np.cumsum(size)])
-        digests = []
-        for values in (flat, K.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5))):
-            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-            digests.append(pa.array((running[ends[1:]] - running[ends[:-1]]).view(np.int64)))
-        return pa.Table.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), *digests, prefix], schema=SETS)
-
-    told = answers(requests(blocks, bits, shards, shingle))
+        return pa.Table.from_arrays([block.column("doc_id"), pa.array(size, pa.int64()), *map(pa.array, digests(flat, size)), prefix], schema=SETS)
+
+    asked = blocks.groupBy("block").applyInArrow(ask, from_arrow_schema(X.MESSAGE))
+    told = X.totals(asked, count, shards, bits, MOST).where("block >= 0")
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, from_arrow_schema(SETS))
 
 
 def _source(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def full_sets(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The whole shingle set of every document, as bytes (``MEMBERS``)."""
+def full_sets(source: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The whole shingle set of every (doc_id, text), as bytes, with what it is known by (``MEMBERS``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), shingle)], pa.binary())], schema=MEMBERS)
+            sets = shingle_sets(batch.column(1), shingle)
+            size = np.array([len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), *map(pa.array, digests(np.concatenate(sets), size)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=MEMBERS)
 
-    return K.map_arrow(_source(documents), run, MEMBERS)
+    return K.map_arrow(source, run, MEMBERS)
 
 
 class Trie:
@@ -259,66 +250,85 @@ def link(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 
 
 def link_groups(members: DataFrame, by: list[str], percent: int = PERCENT) -> DataFrame:
-    """(doc_id, root) for each row of (by..., doc_id, shingles); root is the smallest linked doc_id."""
+    """(key, root) for each row of (by..., key, shingles); root is the smallest linked key of the group."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
     def run(group: pa.Table) -> pa.Table:
-        ids = np.array(group.column("doc_id").to_pylist(), np.int64)
-        order = np.argsort(ids, kind="stable")
+        keys = np.array(group.column("key").to_pylist(), np.int64)
+        order = np.argsort(keys, kind="stable")
         sets = [np.frombuffer(group.column("shingles")[int(i)].as_py(), np.uint64) for i in order]
-        ids = ids[order]
+        keys = keys[order]
         label = link(sets, percent) if len(sets) > 1 else np.zeros(len(sets), np.int64)
-        return pa.Table.from_arrays([pa.array(ids), pa.array(ids[label])], schema=LINKS)
+        return pa.Table.from_arrays([pa.array(keys), pa.array(keys[label])], schema=LINKS)
 
     return members.groupBy(*by).applyInArrow(run, from_arrow_schema(LINKS))
 
 
-def candidates(sets: DataFrame, representatives: DataFrame) -> DataFrame:
-    """(doc_id, low): for sets that can have a link, the smallest sets they share prefix shingles with."""
-    prefix = sets.where(F.size("prefix") > 0).join(representatives, "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("shingle"))
-    common = prefix.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("shingle", "low")
-    return materialise(prefix.join(common, "shingle").select("doc_id", "low").distinct(), "candidates")
+def candidates(sets: DataFrame) -> DataFrame:
+    """(key, shingle, low): prefix shingles that several sets have, with the smallest of those sets."""
+    prefix = sets.select("key", F.explode("prefix").alias("shingle"))
+    common = prefix.groupBy("shingle").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("shingle", "low")
+    return materialise(prefix.join(common, "shingle"), "candidates")
 
 
-def link_candidates(documents: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, component) of the candidate sets that link with another one."""
-    groups = connected_components(pairs.select(F.col("doc_id").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    sizes = groups.join(sets.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
-    blocks = sizes.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(blocks, "group").select("doc_id", "group", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
+def in_blocks(members: DataFrame, by: str, percent: int) -> DataFrame:
+    """Links (key, root) of the sets of each ``by``: in one task up to ``BLOCK`` shingles, else by pairs of blocks."""
+    blocks = members.groupBy(by).agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("parts"))
+    dealt = members.join(blocks, by).withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    # a block meets itself in its pairs with others
+    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.col("part").alias("i"), F.col("part").alias("j")))).otherwise(F.filter(others, lambda p: p["i"] != p["j"]))
+    return link_groups(dealt.select(by, "key", "shingles", F.explode(pairs).alias("p")).select(by, "p.i", "p.j", "key", "shingles"), [by, "i", "j"], percent)
+
+
+def link_candidates(documents: DataFrame, sets: DataFrame, shared: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(key, component) of the candidate sets that link with another one."""
+    groups = connected_components(shared.select(F.col("key").alias("u"), F.col("low").alias("v"))).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    found = groups.join(sets.select("key", "doc_id", *SET), "key")
+    blocks = found.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    placed = found.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     placed = materialise(placed, "placed")
-    members = full_sets(filter_ids(_source(documents), placed.select("doc_id")), shingle).dropDuplicates(["doc_id"]).join(placed, "doc_id")
+    # the texts of a set's smallest doc_id include one with the set; others of that id go by their digests
+    members = full_sets(filter_ids(_source(documents), placed.select("doc_id").distinct()), shingle).join(small(placed.drop("doc_id"), BROADCAST_SETS), SET).dropDuplicates(["key"])
     if placed.where("blocks > 1").isEmpty():
-        return link_groups(members, ["group"], percent).select("doc_id", F.col("root").alias("component"))
+        return link_groups(members, ["group"], percent).select("key", F.col("root").alias("component"))
     members = materialise(members, "sets")
     within = materialise(link_groups(members, ["group", "block"], percent), "links")
     large = members.where("blocks > 1")
-    roots = large.join(within.where("doc_id = root").select("doc_id"), "doc_id", "left_semi")
+    roots = large.join(within.where("key = root").select("key"), "key", "left_semi")
     few = roots.groupBy("group").agg(F.sum(F.octet_length("shingles") / 8).alias("size")).where(F.col("size") <= BLOCK).select("group")
     across = materialise(link_groups(roots.join(few, "group", "left_semi"), ["group"], percent), "links")
-    joined = across.groupBy("doc_id").agg(F.min("root").alias("root")).join(large.select("doc_id", "group"), "doc_id")
+    joined = across.groupBy("key").agg(F.min("root").alias("root")).join(large.select("key", "group"), "key")
     split = large.join(joined.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a = b").select("group"), "group", "left_anti")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    spread = split.select("group", "doc_id", "shingles", "block", F.explode(others).alias("p")).where("p.i <> p.j").select("group", "p.i", "p.j", "doc_id", "shingles")
-    rest = link_groups(spread, ["group", "i", "j"], percent)
+    rest = in_blocks(split.select("key", "n_shingles", "shingles").join(shared.select("key", "shingle"), "key"), "shingle", percent)
     edges = within.unionByName(across).unionByName(rest)
-    return connected_components(edges.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("doc_id"), "component")
+    return connected_components(edges.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("key"), "component")
 
 
 def join_components(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest linked doc_id) of every document."""
-    sets = materialise(describe(documents, shingle, percent), "shingles")
-    key = ["digest_a", "digest_b", "n_shingles"]
-    equal = sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("twin"))
-    pairs = candidates(sets.where("n_shingles > 0"), equal.select(F.col("twin").alias("doc_id")))
-    linked = link_candidates(documents, sets, pairs, shingle, percent).select(F.col("doc_id").alias("twin"), "component")
-    named = equal.join(linked, "twin", "left").select(*key, F.coalesce("component", "twin").alias("component_id"))
-    return sets.select("doc_id", *key).join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = materialise(describe(documents, shingle, percent), "shingles")
+    real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    # equal sets are one from here; the key is written, so that it stays the same when tasks run again
+    distinct = rows.where("n_shingles > 0").groupBy(*SET).agg(F.min(real).alias("name"), F.min("doc_id").alias("doc_id"), F.min("prefix").alias("prefix"))
+    sets = materialise(distinct.withColumn("key", F.monotonically_increasing_id()), "distinct")
+    linked = link_candidates(documents, sets, candidates(sets), shingle, percent)
+    named = materialise(sets.join(linked, "key", "left").select(*SET, "name", "component", F.coalesce("component", "key").alias("of")), "named")
+    names = named.where("component is not null").groupBy(F.col("component").alias("of")).agg(F.min("name").alias("least"), F.lit(True).alias("known"))
+    of_set = named.join(small(names), "of", "left").select(*SET, F.when(F.col("known"), F.col("least")).otherwise(F.col("name")).alias("component_id"))
+    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    return rows.select("doc_id", *SET).join(of_set, SET, "left").select(doc_id, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(real).alias("component_id"))
 
 
 def deduplicate(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that name their component, with all their columns; one row of repeated ones."""
-    named = materialise(join_components(documents, shingle, percent), "components")
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        documents = documents.dropDuplicates(["doc_id"])
-    return filter_ids(documents, named.where("doc_id = component_id").select("doc_id").distinct())
+    """One row of each component, with all its columns: that of the smallest doc_id (one without only if no row has one).
+
+    Rows without words are alone, but those with the same doc_id and the same text are one.
+    """
+    kept = documents.columns
+    rows = materialise(documents.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    named = join_components(rows.select(F.col(ROW).alias("doc_id"), "text"), shingle, percent).withColumnRenamed("doc_id", ROW)
+    empty = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    linked = rows.select(ROW, "doc_id", "text").join(named, ROW).select(ROW, "doc_id", empty.alias("same"), F.when(empty.isNull(), F.col("component_id")).alias("component"))
+    best = linked.groupBy("component", "same").agg(F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW))
+    return rows.join(small(materialise(best.select(ROW), "kept")), ROW, "left_semi").select(*kept)

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from loomtrace.llm import jaccard
+from loomtrace.llm import exchange, jaccard
 from tests.llm.samples import SCHEMA, awkward, empty, passages
 
 
@@ -65,6 +65,15 @@ def test_awkward_rows(spark):
     assert joined(df) == brute(df.collect())
 
 
+def test_clashing_and_missing_ids(spark):
+    _, say = passages(17)
+    t, u, v = say(60), say(40), say(50)
+    texts = [(1, t), (5, "short one"), (5, t + " end"), (9, t), (5, u), (7, u + " end"), (None, v), (None, v + " end"), (None, say(30)), (3, v), (3, None)]
+    df = spark.createDataFrame([(i, x, "en", "a", 0) for i, x in texts], SCHEMA)
+    assert joined(df) == brute(df.collect())
+    assert sorted((r["doc_id"] or -1 for r in jaccard.deduplicate(df).collect())) == [-1, 1, 3, 3, 5, 5]
+
+
 @pytest.mark.parametrize("n_words", [12, 60, 200])
 def test_near_copies_that_share_a_passage(spark, n_words):
     df = clusters(spark, 12, 12, n_words)
@@ -83,6 +92,12 @@ def test_blocks_without_a_common_representative(spark, monkeypatch):
     assert joined(df) == brute(df.collect())
 
 
+def test_counts_through_several_levels_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "FAN", 2)
+    df = awkward(spark)
+    assert joined(df) == brute(df.collect())
+
+
 def test_empty_table(spark):
     assert joined(empty(spark)) == []
     assert jaccard.deduplicate(empty(spark)).count() == 0
