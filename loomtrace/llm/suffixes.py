@@ -12,8 +12,10 @@ Bytes covered by a string of ``LENGTH`` bytes that starts at two or more places
 3. A window o bytes left of its anchor is repeated if another context agrees for o bytes to the left and
    ``LENGTH - o`` to the right: both are runs of the two sorted orders.
 
-Anchors that occur more than ``HOT`` times don't meet in one task: their contexts are made distinct by an
-aggregation, and windows of contexts that occur once are aggregated by 128-bit hashes.
+Anchors that occur more than ``HOT`` times are taken out before anything is joined by anchor (up to
+``HOT_ANCHORS`` of them, each a row of a broadcast): their contexts are made distinct by an aggregation, and
+windows of contexts that occur once are aggregated by 128-bit hashes. Texts of more than ``SEGMENT`` bytes
+are searched in segments that overlap by a window, which changes no window and no anchor.
 
 Defined results of the edge cases: null and empty texts have no bytes; matches never cross texts;
 repeated rows are copies of each other; texts shorter than ``LENGTH`` bytes are kept whole; a null
@@ -41,9 +43,13 @@ HOT = 20_000
 HOT_ANCHORS = 100_000
 #: Bytes of contexts that are sorted together; whole anchor groups only.
 BLOCK_BYTES = 6 << 20
+#: Bytes that are searched at once, below the places that the low bits of a hash can hold.
+SEGMENT = 8 << 20
 _PLACE = np.uint64((1 << 28) - 1)
+#: What a row is known by: a hash alone would meet another document's sooner or later.
+ROW = ["doc_id", "key"]
 
-ANCHORS = pa.schema([("anchor", pa.int64()), ("key", pa.int64())])
+ANCHORS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64())])
 CONTEXTS = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("at", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int64())])
 SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
@@ -51,6 +57,12 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, place, first window, last window, hash) of the anchors of all windows inside rows."""
+    if len(data) > SEGMENT:
+        parts = []
+        for at in range(0, len(data) - LENGTH + 1, SEGMENT - LENGTH + 1):
+            row, *places, hashes = anchors(data[at : at + SEGMENT], np.clip(offsets - at, 0, min(SEGMENT, len(data) - at)))
+            parts.append((row, *(p + at for p in places), hashes))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     n = len(data) - GRAM + 1
     nothing = np.zeros(0, np.int64)
     if len(data) < LENGTH:
@@ -86,21 +98,29 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(source: DataFrame) -> DataFrame:
-    """(key, anchors, hot): by row the anchor hashes that occur again, and of those the hot ones.
+    """(doc_id, key, anchors, hot): by row the anchor hashes that occur again, and of those the hot ones.
 
     The anchors of all texts are written once: counting them and joining the counts both read them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
-            data, offsets = K.text_buffer(batch.column(0))
+            data, offsets = K.text_buffer(batch.column(1))
             row, _, _, _, hashes = anchors(data, offsets)
-            keys = np.array(batch.column(1).to_pylist(), np.int64)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(keys)], schema=ANCHORS)
-
-    found = materialise(K.map_arrow(source.select("text", "key"), run, ANCHORS), "found")
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("is_hot"))
-    lists = found.join(again, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(0).take(taken), batch.column(2).take(taken)], schema=ANCHORS)
+
+    found = materialise(K.map_arrow(source, run, ANCHORS), "found")
+    counts = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialise(counts.select("anchor", (F.col("n") > HOT).alias("is_hot")), "again")
+    hottest = again.where("is_hot")
+    if hottest.limit(HOT_ANCHORS + 1).count() <= HOT_ANCHORS:
+        listed = F.broadcast(hottest.select("anchor"))
+        warm = found.join(listed, "anchor", "left_anti").join(again.where("not is_hot"), "anchor")
+        marked = warm.unionByName(found.join(listed, "anchor", "left_semi").withColumn("is_hot", F.lit(True)))
+    else:  # so many hot ones that each is a small part of all rows
+        marked = found.join(again, "anchor")
+    lists = marked.groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"))
     return materialise(lists, "anchors")
 
 
@@ -139,7 +159,7 @@ def contexts(source: DataFrame, lists: DataFrame, hot: bool) -> DataFrame:
     if few is not None:
         return K.map_arrow(source.select("doc_id", "text", "key"), run, CONTEXTS)
     wanted = lists.where(F.size("hot") > 0 if hot else F.size("anchors") > F.size("hot"))
-    joined = source.join(wanted, "key").select("doc_id", "text", "key", "anchors", "hot")
+    joined = source.join(wanted, ROW).select("doc_id", "text", "key", "anchors", "hot")
     return K.map_arrow(joined, run, CONTEXTS)
 
 
@@ -319,9 +339,9 @@ def hot_spans(found: DataFrame) -> DataFrame:
 
 def strip(source: DataFrame, spans: DataFrame) -> DataFrame:
     """Removes the spans from the texts (``RESULT``)."""
-    # joined by the key alone, as the contexts are: Spark shuffles the texts once for both
-    lists = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = source.join(lists, "key", "left").select("doc_id", "text", "spans")
+    # joined by the same columns as the contexts are: Spark shuffles the texts once for both
+    lists = spans.groupBy(*ROW).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    joined = source.join(lists, ROW, "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches, "text"):
