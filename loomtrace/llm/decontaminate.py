@@ -1,9 +1,14 @@
 """Benchmark decontamination by winnowing.
 
 Both sides are cut into words; of every window of consecutive k-gram hashes the smallest is kept, so
-any shared span of ``WINDOW`` words has at least one common fingerprint. Fingerprint hits are extended
-to whole windows and compared word by word. Items shorter than ``WINDOW`` words are one window of
-their own length and are looked up directly.
+any shared span of ``WINDOW`` words has at least one common fingerprint.
+
+1. The benchmark's fingerprints and its windows (with the items that have them) are written as tables.
+   Items shorter than ``WINDOW`` words are one window, whose hash is its fingerprint.
+2. Documents meet the distinct fingerprints: up to ``SENT_PRINTS`` of them (8 bytes each) are broadcast as
+   one sorted array, more are joined with the documents' own fingerprints by a shuffle.
+3. Every hit is extended to the windows around it, and these windows, distinct, are joined with the
+   benchmark's windows word by word. A passage that a third of all documents share is one row of that join.
 
 Defined results of the edge cases: null or empty texts have no words and no hits; items without words
 never occur; repeated documents are judged each, repeated item rows count once per item_id; windows
@@ -13,27 +18,29 @@ verdict but are not listed; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.llm import kernels as K
-from loomtrace.llm.storage import filter_ids, materialise
+from loomtrace.llm.storage import filter_ids, materialise, small
 
 #: Words of a shared span that is always found, and of the k-grams that are hashed.
 WINDOW = 10
 GRAM = 5
-#: Benchmarks of up to this many words are sent to every executor; larger ones go in blocks of this size.
-BLOCK_WORDS = 4_000_000
+#: Benchmark fingerprints that are sent to every executor, 8 bytes each.
+SENT_PRINTS = 4_000_000
+#: Matched windows and item sets that are sent to every executor to be joined, some hundred bytes each.
+SENT_ROWS = 200_000
 
-SPANS = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))]
-)
+WINDOWS = pa.schema([("length", pa.int32()), ("words", pa.string()), ("item", pa.int64())])
+PRINTS = pa.schema([("length", pa.int32()), ("print", pa.int64())])
+OWN_PRINTS = pa.schema([("row", pa.int64()), ("length", pa.int32()), ("print", pa.int64())])
+_WINDOW = pa.struct([("begin", pa.int64()), ("length", pa.int32()), ("words", pa.string())])
+CANDIDATES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("windows", pa.list_(_WINDOW))])
 
 
 def winnow(grams: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
@@ -44,34 +51,6 @@ def winnow(grams: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
     return np.unique(low[rows[: len(low)] == rows[width - 1 :]])
 
 
-class Index:
-    """Windows of one block of benchmark items: fingerprints, window hashes, and the words to compare."""
-
-    def __init__(self, items: list[tuple[int | None, str]]):
-        batch = pa.array([t for _, t in items], pa.large_string())
-        data, offsets = K.text_buffer(batch)
-        starts, ends, rows = K.words(K.LOWER[data], offsets, K.ALPHANUMERIC)
-        data = K.LOWER[data]
-        hashes = K.word_hashes(data, starts, ends, lower=False)
-        text = data.tobytes()
-        self.windows: dict[int, dict[bytes, set[int | None]]] = defaultdict(dict)
-        first, count = K.run_starts(rows, len(items))
-        for row in range(len(items)):
-            n = min(int(count[row]), WINDOW)
-            for at in range(first[row], first[row] + count[row] - n + 1) if n else ():
-                key = b" ".join(text[starts[j] : ends[j]] for j in range(at, at + n))
-                self.windows[n].setdefault(key, set()).add(items[row][0])
-        self.hashes = {}
-        for n in self.windows:
-            grams = K.ngrams(hashes, n)
-            whole = rows[: len(grams)] == rows[n - 1 :]
-            self.hashes[n] = np.unique(grams[whole & ((count[rows[: len(grams)]] == n) | (n == WINDOW))])
-        grams = K.ngrams(hashes, GRAM)
-        kept = winnow(grams, rows[: len(grams)], WINDOW - GRAM + 1) if len(grams) else np.zeros(0, np.int64)
-        kept = kept[rows[kept] == rows[kept + GRAM - 1]] if len(kept) else kept
-        self.prints = np.unique(grams[kept]) if len(kept) else np.zeros(0, np.uint64)
-
-
 def found(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Mask of the values that occur in the sorted table."""
     if not len(table):
@@ -81,117 +60,157 @@ def found(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def candidates(hashes: np.ndarray, rows: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray]]:
-    """(window length, word positions) of the windows whose hashes the index has."""
-    for n in index.windows:
-        if n < WINDOW:
-            grams = K.ngrams(hashes, n)
-            if len(grams):
-                yield n, np.flatnonzero(found(grams, index.hashes[n]) & (rows[: len(grams)] == rows[n - 1 :]))
-    if WINDOW not in index.windows or len(hashes) < WINDOW:
-        return
-    grams = K.ngrams(hashes, GRAM)
-    inside = rows[: len(grams)] == rows[GRAM - 1 :]
-    grams[~inside] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    kept = winnow(grams, rows[: len(grams)], WINDOW - GRAM + 1)
-    hits = kept[found(grams[kept], index.prints)]
-    begins = np.unique((hits[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
-    begins = begins[(begins >= 0) & (begins + WINDOW <= len(hashes))]
-    begins = begins[rows[begins] == rows[begins + WINDOW - 1]]
-    if len(begins):
-        total = np.full(len(begins), WINDOW, np.uint64)
-        for j in range(WINDOW):
-            total += hashes[begins + j] * np.uint64(pow(K.BASE, 2 * j + 1, 1 << 64))
-        yield WINDOW, begins[found(K.mix(total), index.hashes[WINDOW])]
-
-
-def scan(texts: pa.Array, index: Index) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
-    """Per text: number of words, maximal hit word spans, and items with an occurring window."""
-    data, offsets = K.text_buffer(texts)
-    data = K.LOWER[data]
-    starts, ends, rows = K.words(data, offsets, K.ALPHANUMERIC)
-    first, count = K.run_starts(rows, len(texts))
-    spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[int | None]] = defaultdict(set)
-    hashes = K.word_hashes(data, starts, ends, lower=False)
-    for n, begins in candidates(hashes, rows, index):
-        table = index.windows[n]
-        for at in begins.tolist():
-            owners = table.get(b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(at, at + n)))
-            if owners:
-                row = int(rows[at])
-                spans[row].append((at - int(first[row]), at - int(first[row]) + n))
-                items[row] |= owners
-    out = []
-    for row in range(len(texts)):
-        merged: list[list[int]] = []
-        for begin, end in sorted(spans.get(row, ())):
-            if merged and begin <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], end)
-            else:
-                merged.append([begin, end])
-        out.append((int(count[row]), [tuple(x) for x in merged], sorted(i for i in items.get(row, ()) if i is not None)))
-    return out
+class Words:
+    """The words of a column of texts: their hashes, rows, and the first word and number of words of each row."""
 
+    def __init__(self, texts: pa.Array):
+        data, offsets = K.text_buffer(texts)
+        self.data = K.LOWER[data]
+        self.starts, self.ends, self.rows = K.words(self.data, offsets, K.ALPHANUMERIC)
+        self.hashes = K.word_hashes(self.data, self.starts, self.ends, lower=False)
+        self.first, self.count = K.run_starts(self.rows, len(texts))
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark's items in blocks of at most ``BLOCK_WORDS`` words (by length of text, from above).
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of n words, and which of them lie in one row."""
+        grams = K.ngrams(self.hashes, n)
+        return grams, self.rows[: len(grams)] == self.rows[n - 1 :] if len(grams) else np.zeros(0, bool)
 
-    The benchmark is the stated query set: it is read block by block through the driver, which holds one
-    block and the one it reads.
-    """
-    block: list[tuple[int | None, str]] = []
-    size = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        length = len(row[1]) // 2 + 1
-        if size and size + length > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += length
-    yield block
-
-
-def scan_all(source: DataFrame, sent: Broadcast) -> DataFrame:
-    """One pass of (doc_id, text) over the block that was sent (``SPANS``)."""
-    made: list[Index] = []
+    def prints(self, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the winnowed fingerprints (of the rows chosen), and the fingerprints."""
+        grams, inside = self.grams(GRAM)
+        grams[~inside] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        kept = winnow(grams, self.rows[: len(grams)], WINDOW - GRAM + 1)
+        kept = kept[inside[kept]]
+        if chosen is not None:
+            kept = kept[chosen[self.rows[kept]]]
+        return kept, grams[kept]
+
+    def around(self, hits: np.ndarray) -> np.ndarray:
+        """Begins of the whole windows that the fingerprints at ``hits`` lie in."""
+        begins = np.unique((hits[:, None] - np.arange(WINDOW - GRAM + 1)).ravel())
+        begins = begins[(begins >= 0) & (begins + WINDOW <= len(self.hashes))]
+        return begins[self.rows[begins] == self.rows[begins + WINDOW - 1]]
+
+    def text(self, begin: int, n: int) -> str:
+        return " ".join(self.data[self.starts[j] : self.ends[j]].tobytes().decode() for j in range(begin, begin + n))
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(length, words, item) of every window of every item (``WINDOWS``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.chunks(batches, "text", 1 << 18):
+            words, rows = Words(batch.column(1)), []
+            for row, item in enumerate(batch.column(0).to_pylist()):
+                first, count = int(words.first[row]), int(words.count[row])
+                n = min(count, WINDOW)
+                rows += [(n, words.text(at, n), item) for at in range(first, first + count - n + 1 if n else first)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(WINDOWS)], schema=WINDOWS)
+
+    return K.map_arrow(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")), run, WINDOWS)
+
+
+def item_prints(benchmark: DataFrame) -> DataFrame:
+    """(length, print): winnowed fingerprints of the items, and the hashes of those that are one short window (``PRINTS``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Index(sent.value))
         for batch in K.chunks(batches, "text"):
-            rows = scan(batch.column(1), made[0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([[{"begin": b, "end": e} for b, e in r[1]] for r in rows], SPANS.field(2).type), pa.array([r[2] for r in rows], SPANS.field(3).type)],
-                schema=SPANS,
-            )
+            words = Words(batch.column(0))
+            lengths, prints = [], []
+            for n in range(1, WINDOW):
+                grams, inside = words.grams(n)
+                own = grams[inside & (words.count[words.rows[: len(grams)]] == n)]
+                lengths.append(np.full(len(own), n))
+                prints.append(own)
+            _, own = words.prints(words.count >= WINDOW)
+            lengths.append(np.full(len(own), WINDOW))
+            prints.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lengths), pa.int32()), pa.array(np.concatenate(prints).view(np.int64))], schema=PRINTS)
 
-    return K.map_arrow(source, run, SPANS)
+    return K.map_arrow(benchmark.select(F.col("text").cast("string").alias("text")), run, PRINTS)
 
 
-def contaminated_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: n_words, word spans that occur in the benchmark, and the items hit (``SPANS``).
+def own_prints(source: DataFrame, lengths: list[int]) -> DataFrame:
+    """(row, length, print): the distinct fingerprints of each document, and its short windows of the lengths that items have."""
 
-    Map-only while the benchmark is one block. With more blocks every block is a pass over the
-    documents that is written before the next block is sent, and a document's spans and items are
-    merged afterwards.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.chunks(batches, "text"):
+            words, ids = Words(batch.column(2)), batch.column(0).to_numpy()
+            for n in lengths:
+                if n < WINDOW:
+                    grams, inside = words.grams(n)
+                    places = np.flatnonzero(inside)
+                    prints = grams[places]
+                else:
+                    places, prints = words.prints()
+                rows = ids[words.rows[places]]
+                once = np.unique(np.stack([rows, prints.view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(np.full(once.shape[1], n), pa.int32()), pa.array(once[1])], schema=OWN_PRINTS)
+
+    return K.map_arrow(source, run, OWN_PRINTS)
+
+
+def candidates(source: DataFrame, sent, lengths: list[int]) -> DataFrame:
+    """Per document its number of words and the windows around its fingerprint hits (``CANDIDATES``).
+
+    ``sent`` broadcasts the sorted fingerprints by length; without it each row brings its own hits as
+    (length, print) in a fourth column.
     """
-    context = documents.sparkSession.sparkContext
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    left = blocks(benchmark)
-    block, following = next(left), next(left, None)
-    if following is None:
-        return scan_all(source, context.broadcast(block))
-    rows = materialise(source.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
-    merged = None
-    while block is not None:
-        sent = context.broadcast(block)
-        written = materialise(scan_all(rows.select(F.col("row").alias("doc_id"), "text"), sent), "spans")
-        sent.destroy()
-        merged = written if merged is None else merged.unionByName(written)
-        block, following = following, next(left, None)
-    together = merged.groupBy(F.col("doc_id").alias("row"), "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return rows.select("row", "doc_id").join(together, "row").select("doc_id", "n_words", merge_spans(F.col("spans")).alias("spans"), "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.chunks(batches, "text"):
+            words = Words(batch.column(2))
+            if sent is not None:
+                prints = sent.value
+            else:
+                listed = [p for row in batch.column(3).to_pylist() for p in row or ()]
+                prints = {n: np.unique(np.array([p["print"] for p in listed if p["length"] == n], np.int64).view(np.uint64)) for n in lengths}
+            windows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for n in lengths:
+                if n < WINDOW:
+                    grams, inside = words.grams(n)
+                    begins = np.flatnonzero(found(grams, prints[n]) & inside)
+                else:
+                    places, own = words.prints()
+                    begins = words.around(places[found(own, prints[n])])
+                for at in begins.tolist():
+                    row = int(words.rows[at])
+                    windows[row].append({"begin": at - int(words.first[row]), "length": n, "words": words.text(at, n)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.count), pa.array(windows, CANDIDATES.field(3).type)], schema=CANDIDATES)
+
+    return K.map_arrow(source, run, CANDIDATES)
+
+
+def contaminated_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_words, maximal word spans (begin, end) that occur in the benchmark, and the items hit."""
+    spark = documents.sparkSession
+    prints = materialise(item_prints(benchmark).distinct(), "prints")
+    lengths = sorted(r[0] for r in prints.select("length").distinct().collect())
+    source = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if prints.limit(SENT_PRINTS + 1).count() <= SENT_PRINTS:
+        rows = prints.toArrow()
+        of, value = rows.column("length").to_numpy(), rows.column("print").to_numpy().view(np.uint64)
+        sent = spark.sparkContext.broadcast({n: np.sort(value[of == n]) for n in lengths})
+        told = candidates(source, sent, lengths)
+    else:
+        source = materialise(source, "rows")
+        hits = own_prints(source, lengths).join(prints, ["length", "print"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("length", "print")).alias("prints"))
+        told = candidates(source.join(hits, "row", "left").select("row", "doc_id", "text", "prints"), None, lengths)
+    told = materialise(told, "candidates")
+
+    around = told.where(F.size("windows") > 0).select("row", F.explode("windows").alias("w")).select("row", "w.*")
+    wanted = around.select("length", "words").distinct()
+    # items that share windows share one row of item ids
+    of_window = item_windows(benchmark).join(small(wanted, SENT_ROWS), ["length", "words"], "left_semi").groupBy("length", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    matched = materialise(of_window.withColumn("set", F.struct(F.xxhash64("items").alias("a"), F.xxhash64(F.lit(1), "items").alias("b"))), "matched")
+    sets = matched.groupBy("set").agg(F.first("items").alias("items"))
+    hit = around.join(small(matched.drop("items"), SENT_ROWS), ["length", "words"]).select("row", F.struct("begin", (F.col("begin") + F.col("length")).alias("end")).alias("span"), "set")
+    hit = materialise(hit.groupBy("row").agg(F.collect_list("span").alias("spans"), F.collect_set("set").alias("sets")), "hits")
+    items = hit.select("row", F.explode("sets").alias("set")).join(small(sets, SENT_ROWS), "set").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = hit.select("row", merge_spans(F.col("spans")).alias("spans")).join(items, "row")
+    nothing = F.array().cast("array<struct<begin:long,end:long>>")
+    joined = told.select("row", "doc_id", "n_words").join(small(merged, SENT_ROWS), "row", "left")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", nothing).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def merge_spans(spans):
