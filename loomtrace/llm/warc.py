@@ -1,5 +1,15 @@
 """WARC writing with payload-level de-duplication, and a reader that salvages damaged archives.
 
+Archives are rows (archive, content) of a table in the shared folder: the bytes of ``content`` are a
+whole .warc or .warc.gz file as any reader takes it, and files of others come in by Spark's ``binaryFile``
+source. A cell holds 2 GB at most, so that larger archives have to be cut at members first.
+
+Salvage works on the stored bytes and inside gzip members: after a failed check the next valid version
+line (or member) is searched for, later records are recovered, and the bytes between are logged as a
+gap. Of a cut member all is used that inflates before the cut, of one that does not
+inflate to its check sum every record before the damage that has a digest of its own; the gap of a whole member
+spans its stored bytes, one inside a member names its bytes in the reason.
+
 Defined results of the edge cases:
 
 * null html is an empty payload, null url an empty target URI; an empty table gives no archives;
@@ -117,7 +127,10 @@ def write_archives(pages: DataFrame, compress: bool = True) -> DataFrame:
 
 
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_MEMBER = b"\x1f\x8b\x08"
 _RESUME = re.compile(rb"WARC/1\.[01]\r?\n|\x1f\x8b\x08")
+_PIECE = 32 << 10
 
 
 class Damaged(ValueError):
@@ -126,7 +139,7 @@ class Damaged(ValueError):
 
 def parse_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     """Header fields, block and end of the record at ``start``; raises Damaged."""
-    if not re.compile(rb"WARC/1\.[01]\r?\n").match(data, start):
+    if not _VERSION.match(data, start):
         raise Damaged("no version line")
     end = _HEAD_END.search(data, start)
     if not end:
@@ -153,50 +166,87 @@ def parse_record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, tail.end()
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", begin, end, (fields, block)) and ("gap", begin, end, reason), covering ``data`` in order.
+def inflate(data: bytes, start: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``start`` inflates to, the end of the bytes read, and its damage (or nothing)."""
+    expand, pieces, end = zlib.decompressobj(31), [], start
+    while not expand.eof and end < len(data):
+        piece = data[end : end + _PIECE]
+        before = expand.copy()
+        try:
+            pieces.append(expand.decompress(piece))
+        except zlib.error as error:
+            # the failed call gave nothing back: its bytes go in one by one up to the damage
+            for k in range(len(piece)):
+                try:
+                    pieces.append(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    return b"".join(pieces), end + k, f"gzip: {error}"
+        end += len(piece)
+    return b"".join(pieces), end - len(expand.unused_data), "" if expand.eof else "truncated gzip member"
 
-    After a failed check the next gzip member or version line that yields a whole valid record is
-    searched for; all bytes skipped on the way are one quarantined gap with the first reason.
-    """
+
+def plain_records(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """Records and gaps of uncompressed bytes, covering them in order."""
     at, gap, reason = 0, None, ""
     while at < len(data):
         try:
-            if data.startswith(b"\x1f\x8b\x08", at):
-                expand, pieces, end = zlib.decompressobj(31), [], at
-                try:
-                    while not expand.eof and end < len(data):
-                        piece = data[end : end + (32 << 10)]
-                        pieces.append(expand.decompress(piece))
-                        end += len(piece)
-                except zlib.error as error:
-                    raise Damaged(f"gzip: {error}") from None
-                if not expand.eof:
-                    raise Damaged("truncated gzip member")
-                plain, end = b"".join(pieces), end - len(expand.unused_data)
-                found, inner = [], 0
-                while inner < len(plain):
-                    fields, block, inner = parse_record(plain, inner)
-                    found.append((fields, block))
-            else:
-                fields, block, end = parse_record(data, at)
-                found = [(fields, block)]
+            fields, block, end = parse_record(data, at)
         except Damaged as error:
             if gap is None:
                 gap, reason = at, str(error)
-            following = _RESUME.search(data, at + 1)
+            following = _VERSION.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
         if gap is not None:
             yield "gap", gap, at, reason
             gap = None
-        for record in found:
-            yield "record", at, end, record
+        yield "record", at, end, (fields, block)
         at = end
     if gap is not None:
         yield "gap", gap, len(data), reason
 
 
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """("record", begin, end, (fields, block)) and ("gap", begin, end, reason) by places in ``data``.
+
+    After a failed check the next gzip member or version line that yields a whole valid record is
+    searched for; all bytes skipped on the way are one quarantined gap with the first reason. Records
+    and gaps inside a member carry the member's place.
+    """
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        if data.startswith(_MEMBER, at):
+            plain, end, damage = inflate(data, at)
+            found = [(kind, at, end, what if kind == "record" else f"{what} (bytes {b} to {e} of the expanded member)") for kind, b, e, what in plain_records(plain)]
+            if damage.startswith("gzip"):
+                # bytes that inflate may be wrong: only a record's own digest vouches for it
+                found = [f for f in found if f[0] == "gap" or f[3][0].get("warc-block-digest", "").lower().startswith("sha256:")]
+            if not any(f[0] == "record" for f in found):
+                damage, found = damage or (f"{found[0][3]}" if found else "empty gzip member"), []
+            elif damage and found[-1][0] == "gap":
+                found.pop()  # the record that the damage cut
+        else:
+            damage, found, end = "", [], at
+            try:
+                fields, block, end = parse_record(data, at)
+                found = [("record", at, end, (fields, block))]
+            except Damaged as error:
+                damage = str(error)
+        if gap is not None and found:
+            yield "gap", gap, at, reason
+            gap = None
+        yield from found
+        if damage:
+            if gap is None:
+                gap, reason = at, damage
+            following = _RESUME.search(data, at + 1)
+            at = following.start() if following else len(data)
+        else:
+            at = end
+    if gap is not None:
+        yield "gap", gap, len(data), reason
+
+
 def _page(urn: str | None) -> int | None:
     found = re.fullmatch(r"<urn:loomtrace:page:(-?\d+)>", urn or "")
     return int(found[1]) if found else None
