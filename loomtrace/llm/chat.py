@@ -62,6 +62,8 @@ def maximal(numbered: DataFrame) -> DataFrame:
 def render(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies and the rendered text of every maximal conversation."""
     numbered = turns(conversations)
+    kept = maximal(numbered)
     line = F.concat(F.lit(TURN_START), "role", F.lit("\n"), "text", F.lit(TURN_END))
-    texts = numbered.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "").alias("rendered"))
-    return maximal(numbered).join(texts, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    # only what is left is rendered: snapshots repeat a conversation's text once for every turn
+    lines = numbered.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))).alias("lines"))
+    return lines.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
