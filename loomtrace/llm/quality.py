@@ -42,11 +42,23 @@ STEPS = 1000
 BROADCAST_IDS = 2_000_000
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def word_array(text: Column) -> Column:
     """Maximal runs of characters other than space and U+0009 to U+000D."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), _BLANK), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK))
+
+
+def hashes(words: Column) -> Column:
+    """A 64-bit hash of every word as it is written: windows and n-grams are hashed from these."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def lower_hashes(words: Column) -> Column:
+    """A 64-bit hash of every word in lower case."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
 def _let(value: Column, body) -> Column:
@@ -79,23 +91,20 @@ def base_counts(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), word_array(text).alias("words"))
-    many = F.size("words") >= REPEAT_WINDOW
-    windows = F.when(
-        many,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size("words") - REPEAT_WINDOW, F.lit(0))),
-            lambda i: F.xxhash64(*(F.get(F.col("words"), i + j) for j in range(REPEAT_WINDOW))),
-        ),
-    ).otherwise(F.array().cast("array<long>"))
     hashed = split.select(
         "doc_id",
         "words",
-        windows.alias("windows"),
-        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        hashes(F.col("words")).alias("hashes"),
+        F.length(F.translate("text", _BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
-    counted = hashed.select(
+    windows = F.when(
+        F.size("hashes") >= REPEAT_WINDOW,
+        F.transform(F.sequence(F.lit(0), F.size("hashes") - REPEAT_WINDOW), lambda i: F.xxhash64(*(F.get(F.col("hashes"), i + j) for j in range(REPEAT_WINDOW)))),
+    ).otherwise(F.array().cast("array<long>"))
+    cut = hashed.select("doc_id", "words", "word_chars", "n_symbols", "lines", windows.alias("windows"))
+    counted = cut.select(
         "doc_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
@@ -108,19 +117,19 @@ def base_counts(documents: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def gram_buckets(words: Column) -> Column:
-    """Bucket numbers of all n-grams of a word array; each order has its own range of buckets."""
-    return F.concat(*(_order_buckets(words, n, k * BUCKETS) for k, n in enumerate(sorted(SIGNIFICANCE))))
+def gram_buckets(hashed: Column) -> Column:
+    """Bucket numbers of all n-grams of an array of ``lower_hashes``; each order has its own range of buckets."""
+    return F.concat(*(_order_buckets(hashed, n, k * BUCKETS) for k, n in enumerate(sorted(SIGNIFICANCE))))
 
 
-def _order_buckets(words: Column, n: int, first: int) -> Column:
-    def bucket(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int") + first
+def _order_buckets(hashed: Column, n: int, first: int) -> Column:
+    def bucket(value: Column) -> Column:
+        return F.pmod(value, F.lit(BUCKETS)).cast("int") + first
 
     if n == 1:
-        return F.transform(words, lambda w: bucket(F.lower(w)))
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: bucket(*(F.lower(F.get(words, i + j)) for j in range(n))))
-    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<int>"))
+        return F.transform(hashed, bucket)
+    grams = F.transform(F.sequence(F.lit(0), F.size(hashed) - n), lambda i: bucket(F.xxhash64(*(F.get(hashed, i + j) for j in range(n)))))
+    return F.when(F.size(hashed) >= n, grams).otherwise(F.array().cast("array<int>"))
 
 
 def labelled_ids(labels: DataFrame) -> DataFrame:
@@ -145,8 +154,8 @@ def fit_weights(documents: DataFrame, labelled: DataFrame) -> DataFrame:
 
     At most ``BUCKETS`` rows for each n-gram order, whatever the size of the corpus.
     """
-    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), word_array(F.col("text").cast("string")).alias("words"))
-    source = split.select("doc_id", gram_buckets(F.col("words")).alias("buckets")).join(_sent(labelled.where("fold = 0 and kind <> 'low'").select("doc_id", "kind")), "doc_id", "left")
+    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), lower_hashes(word_array(F.col("text").cast("string"))).alias("hashed"))
+    source = split.select("doc_id", gram_buckets(F.col("hashed")).alias("buckets")).join(_sent(labelled.where("fold = 0 and kind <> 'low'").select("doc_id", "kind")), "doc_id", "left")
     # a labelled document's distinct buckets follow once more, in a range of their own, to count documents
     span = len(SIGNIFICANCE) * BUCKETS
     once = F.when(F.col("kind").isNull(), F.array().cast("array<int>")).otherwise(F.transform(F.array_distinct("buckets"), lambda b: b + span))
@@ -173,8 +182,9 @@ def score(documents: DataFrame, labelled: DataFrame) -> DataFrame:
     weights = F.broadcast(fit_weights(documents, labelled))
     base = base_counts(documents).withColumn("row", F.monotonically_increasing_id())
     kept = [c for c in base.columns if c not in ("words", "row")]
+    hashed = base.select("row", *kept, lower_hashes(F.col("words")).alias("hashed"))
     n_grams = sum((F.greatest(F.col("n_words") - (n - 1), F.lit(0)) for n in SIGNIFICANCE), F.lit(0))
-    grams = base.select("row", *kept, n_grams.alias("n_grams"), gram_buckets(F.col("words")).alias("buckets"))
+    grams = hashed.select("row", *kept, n_grams.alias("n_grams"), gram_buckets(F.col("hashed")).alias("buckets"))
     scored = (
         grams.select("row", *kept, "n_grams", F.explode_outer("buckets").alias("bucket"))
         .join(weights, "bucket", "left")
