@@ -40,9 +40,9 @@ def widen(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1)
 
 
-def shards_of(blocks: int) -> int:
-    """Shards that so many blocks cut their keys into."""
-    return max(4, min(blocks, FAN) // SHARE)
+def shards_of(blocks: int, share: int = SHARE) -> int:
+    """Shards that so many blocks cut their keys into, each of the keys of ``share`` blocks."""
+    return max(4, min(blocks, FAN) // share)
 
 
 def messages(block: int, keys: np.ndarray, counts: np.ndarray, also: np.ndarray | None, shards: int, bits: int) -> pa.Table:
