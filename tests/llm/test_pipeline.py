@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage, WARC salvage and chat collapse."""
 
+import gzip
 import re
 
 import corpus_pipeline
@@ -116,10 +117,32 @@ def test_salvage_recovers_later_records_and_logs_the_gap(spark, compress):
     found = list(warc.salvage(broken))
     assert [w[:3] for w in found if w[0] == "gap"] == [("gap", begin, end)]
     assert [w for w in found if w[0] == "record"] == whole[:2] + whole[3:]
-    assert [w[0] for w in warc.salvage(content[: end - 3])] == ["record", "record", "gap"]
+    # what a cut member inflates to before the cut is kept
+    assert [w[0] for w in warc.salvage(content[: end - 3])] == ["record", "record", *["record"] * compress, "gap"]
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_a_member_of_many_records(spark):
+    plain = b"".join(bytes(r["content"]) for r in warc.write_archives(pages(spark).coalesce(1), False).collect())
+    whole = [w[3] for w in warc.salvage(plain)]
+    begin, end = next(w[1:3] for w in list(warc.salvage(plain))[2:])
+    middle = (begin + end) // 2
+    broken = plain[:middle] + bytes(b ^ 0x55 for b in plain[middle : middle + 4]) + plain[middle + 4 :]
+    packed = gzip.compress(broken)
+    found = list(warc.salvage(packed))
+    assert [f[3] for f in found if f[0] == "record"] == whole[:2] + whole[3:]
+    assert [(f[1], f[2]) for f in found if f[0] == "gap"] == [(0, len(packed))]
+    assert f"bytes {begin} to {end}" in next(f[3] for f in found if f[0] == "gap")
+    for cut in (1, 3, 9):
+        found = list(warc.salvage(gzip.compress(plain)[:-cut] + gzip.compress(plain)))
+        assert [f[3] for f in found if f[0] == "record"][-len(whole) :] == whole
+        assert len([f for f in found if f[0] == "record"]) >= 2 * len(whole) - 1
+        assert [f[0] for f in found].count("gap") == 1
+    spoilt = bytearray(gzip.compress(plain))
+    spoilt[-6] ^= 1  # the check sum
+    assert [f[3] for f in warc.salvage(bytes(spoilt)) if f[0] == "record"] == whole
+
+
 def test_collapse_keeps_maximal_conversations(spark):
     rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (4, 0, "user", "a"), (4, 1, "bot", "c"), (5, 0, None, None), (None, 0, "user", "z"), (6, None, "user", "a"), (6, None, "user", "a")]
     got = {r["conv_id"]: (r["n_turns"], r["n_copies"]) for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

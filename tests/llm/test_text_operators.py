@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loomtrace.llm import decontaminate, exchange, langid, licences, lm, packing, quality, suffixes
@@ -64,6 +65,20 @@ def test_repeated_strings(spark, monkeypatch, hot, sent):
         assert strip_rows(df) == strip_expected(df)
 
 
+def test_long_texts_are_searched_in_segments(monkeypatch):
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    offsets = np.array([0, 0, 150, 1700, 1700, 4100, 5000])
+
+    def windows():
+        return {w: (r, p, h) for r, p, first, last, h in zip(*suffixes.anchors(data, offsets), strict=True) for w in range(first, last + 1)}
+
+    whole = windows()
+    monkeypatch.setattr(suffixes, "SEGMENT", 700)
+    assert windows() == whole
+    assert len(whole) == 1550 - 199 + 2400 - 199 + 900 - 199
+
+
 def test_suffix_sort_is_the_order_of_bytes():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -169,6 +184,36 @@ def test_quality_counts(spark):
     assert got.where("kept and base_failed").count() == 0
 
 
+def test_quality_scores_like_a_plain_ratio(spark):
+    from pyspark.sql import types as T
+
+    _, say = passages(61)
+    texts = [say(40 + i) for i in range(30)] + [None, "Word word WORD"]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    labelled = quality.labelled_ids(labels)
+    target = {r["doc_id"] for r in labelled.where("fold = 0").collect()}
+    # the hashes are the engine's own: one for every word and pair of neighbours
+    words = [re.findall(WORD, (t or "").lower()) for t in texts]
+    flat = sorted({w for t in words for w in t})
+    table = spark.createDataFrame([(w,) for w in flat], T.StructType([T.StructField("w", T.StringType())]))
+    one = {r[0]: r[1] for r in table.select("w", F.xxhash64("w")).collect()}
+    pairs = sorted({(one[a], one[b]) for t in words for a, b in zip(t, t[1:], strict=False)})
+    two = {(r[0], r[1]): r[2] for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b")).collect()}
+    grams = [[(1, one[w] % quality.BUCKETS) for w in t] + [(2, two[one[a], one[b]] % quality.BUCKETS) for a, b in zip(t, t[1:], strict=False)] for t in words]
+    raw, good = Counter(g for t in grams for g in t), Counter(g for i, t in enumerate(grams) if i in target for g in t)
+    total = {n: sum(c for g, c in raw.items() if g[0] == n) for n in (1, 2)}
+    own = {n: sum(c for g, c in good.items() if g[0] == n) for n in (1, 2)}
+    weight = {}
+    for g, c in raw.items():
+        expected = c * own[g[0]] / total[g[0]]
+        z = (good[g] - expected) ** 2 / (expected + 1)
+        weight[g] = math.log((good[g] + quality.SMOOTHING) / (expected + quality.SMOOTHING)) * z / (z + quality.SIGNIFICANCE[g[0]] ** 2)
+    scores = {i: sum(weight[g] for g in t) / len(t) if t else 0.0 for i, t in enumerate(grams)}
+    got = {r["doc_id"]: r["score"] for r in quality.assess(df, labels).collect()}
+    assert {i: round(x, 9) for i, x in got.items()} == {i: round(x, 9) for i, x in scores.items()}
+
+
 def test_quality_without_labels_keeps_what_passes_the_base_rules(spark):
     got = quality.assess(awkward(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert got.where("kept = base_failed or score <> 0").count() == 0
@@ -259,23 +304,23 @@ def test_license_templates_are_found(spark):
 
 
 def cosine_expected(text):
-    """Largest cosine over whole text and lines, by the definition, and its license."""
+    """Largest cosine over whole text, blocks and lines, by the definition, with its license and unit."""
     unit, idf, other = licences.vectors()
     best = []
-    for order, part in enumerate([text or "", *(text or "").split("\n")]):
+    for order, part in enumerate([text or "", *regex.split(r"\n(?:[^\p{L}\p{N}\n]*\n)+", text or ""), *(text or "").split("\n")]):
         tf = Counter(re.findall(licences.TERM, part.lower()))
         norm = math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in tf.items()))
         for vector, (name, _) in zip(unit, licences.TEMPLATES, strict=True):
             x = sum(n * idf[t] * vector.get(t, 0) for t, n in tf.items() if t in idf) / (norm or 1)
             if x >= licences.THRESHOLD:
                 best.append((-round(x, 9), order, name))
-    return (min(best)[2], round(-min(best)[0], 6)) if best else (None, None)
+    return (min(best)[2], round(-min(best)[0], 6), "header" if min(best)[1] else "file") if best else (None, None, None)
 
 
 def test_own_licences_like_all_cosines(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     got = {r["doc_id"]: (r["license"], round(r["similarity"], 6)) for r in licences.own_licences(docs, "doc_id", "text").collect()}
-    expected = {r["doc_id"]: cosine_expected(r["text"]) for r in docs.collect()}
+    expected = {r["doc_id"]: cosine_expected(r["text"])[:2] for r in docs.collect()}
     assert got == {k: v for k, v in expected.items() if v[0]}
 
 
@@ -286,9 +331,44 @@ def test_nearest_ancestor_directory(spark):
     assert got == {"a/b/c": ("a/b", "Apache-2.0"), "a/b": ("a/b", "Apache-2.0"), "a": ("a", "MIT")}
 
 
+def scan_expected(files):
+    """Rows of the scan by looking at every file and walking up its directories."""
+    own = [cosine_expected(text) for _, _, _, text in files]
+    owned = {}
+    for (_, path, directory, _), (name, _, unit) in sorted(zip(files, own, strict=True), key=lambda x: (x[0][1] is None, x[0][1] or "", x[1][0] or "")):
+        if unit == "file" and directory is not None:
+            owned.setdefault(directory, name)
+    out = []
+    for (doc, path, directory, _), (name, x, unit) in zip(files, own, strict=True):
+        at = directory
+        while at is not None and at not in owned:
+            at = at.rpartition("/")[0] if "/" in at else None
+        if name:
+            out.append((doc, path, name, unit, x, None))
+        else:
+            out.append((doc, path, owned.get(at), "inherited" if at is not None else "none", None, at))
+    return sorted(out, key=repr)
+
+
+def test_license_scan_like_walking_up(spark):
+    mit = next(t for _, t in licences.TEMPLATES if "NONINFRINGEMENT" in t)
+    gpl = next(t for _, t in licences.TEMPLATES if t.startswith("This program is free software"))
+    wrapped = "/*\n * " + gpl[:90] + "\n * " + gpl[90:] + "\n *\n * More words here.\n */\ncode and more code that says nothing of the kind\n"
+    texts = [
+        (1, "p/LICENSE", "p", mit), (2, "p/a.c", "p", "code"), (3, "p/q/b.c", "p/q", None), (4, "p/q/c.c", "p/q", wrapped), (5, "p/q/d.c", "p/q", ""),
+        (None, "p/q/r/LICENSE", "p/q/r", "Released under the MIT License."), (None, None, None, "code"), (None, None, None, "Released under the MIT License."),
+        (6, "p/q/r/e.c", "p/q/r", "x"), (6, "p/q/r/s/f.c", "p/q/r/s", "y"), (7, "pq/g.c", "pq", "z"), (8, "m/h.c", "m", "x\n" * 30 + "Released under the MIT License."), (9, "m/i.c", "m", "y"),
+        (2, "p/a.c", "p", "code"), (8, "m/L2", "m", gpl), (8, "m/L1", "m", "Licensed under CC BY-NC 4.0."),
+    ]
+    files = spark.createDataFrame(texts, "doc_id long, path string, directory string, text string").withColumn("license", F.lit("x")).withColumn("known", F.lit(1))
+    assert by_row(licences.scan(files), "doc_id", "path", "license", "evidence", "similarity", "inherited_from") == scan_expected(texts)
+    assert {r[3] for r in scan_expected(texts)} == {"file", "header", "inherited", "none"}
+
+
 def test_license_scan_of_awkward_rows(spark):
     df = awkward(spark)
-    assert licences.scan(licences.document_files(df)).count() >= df.dropDuplicates(["doc_id"]).count()
+    tree = [tuple(r) for r in licences.document_files(df).select("doc_id", "path", "directory", "text").collect()]
+    assert by_row(licences.scan(licences.document_files(df)), "doc_id", "path", "license", "evidence", "similarity", "inherited_from") == scan_expected(tree)
 
 
 def windows_expected(docs, items):
@@ -313,9 +393,10 @@ def windows_expected(docs, items):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [4_000_000, 20])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_decontamination(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "SENT_PRINTS", sent)
+    monkeypatch.setattr(decontaminate, "SENT_ROWS", sent)
     df = awkward(spark)
     texts = [r["text"] for r in df.collect() if r["text"]]
     items = spark.createDataFrame([(i, t, 1) for i, t in enumerate([texts[8], " ".join(texts[9].split()[5:25]), "two words", None, "", "zz", texts[15][:150], "two words"])], "item_id long, text string, n int")
@@ -323,9 +404,10 @@ def test_decontamination(spark, monkeypatch, block):
     assert got == windows_expected(df.collect(), items.collect())
 
 
-@pytest.mark.parametrize("block", [4_000_000, 20])
-def test_items_without_an_id_are_hits(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_items_without_an_id_are_hits(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontaminate, "SENT_PRINTS", sent)
+    monkeypatch.setattr(decontaminate, "SENT_ROWS", sent)
     _, say = passages(41)
     a, b = say(12), say(12)
     docs = spark.createDataFrame([(1, say(5) + " " + a, "en", "s", 0), (2, b, "en", "s", 0), (3, say(30), "en", "s", 0)], SCHEMA)
