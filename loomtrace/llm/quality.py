@@ -42,13 +42,11 @@ STEPS = 1000
 BROADCAST_IDS = 2_000_000
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
-_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def word_array(text: Column) -> Column:
     """Maximal runs of characters other than space and U+0009 to U+000D."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _BLANK))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _BLANK), lambda w: w != "")
 
 
 def hashes(words: Column) -> Column:
@@ -95,8 +93,8 @@ def base_counts(documents: DataFrame) -> DataFrame:
         "doc_id",
         "words",
         hashes(F.col("words")).alias("hashes"),
-        F.length(F.translate("text", _BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
     )
     windows = F.when(
