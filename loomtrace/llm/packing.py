@@ -3,9 +3,11 @@
 Documents are tokenised once. Whole windows of long documents are sequences of their own; what is left
 of every document is packed in shards of about ``SHARD_TOKENS`` tokens. Shards are ranges of a lexical
 key (smallest token hashes, then the row), so that likely neighbours share a shard and no key can fill
-one. In a shard a BM25 inverted index over token ids returns the unused neighbours of each seed
-document, which greedily fill its window; the best neighbour that does not fit is cut. The last window
-of a shard is cut at powers of two, so that no sequence needs padding.
+one. Document frequencies, number of pieces and mean length are those of the whole table (a row a token
+id, whatever the size of the table). In a shard a BM25 inverted index over token ids ranks the unused
+neighbours of each seed document by all its terms; they fill its window in that order, and the one that
+does not fit is cut. Retrieval does not leave the shard. The last window of a shard is cut at powers of two,
+so that no sequence needs padding.
 
 Defined results of the edge cases: null and empty texts are the end token alone; repeated rows are
 packed each; very long texts are cut into windows; an empty table gives no rows; extra columns are
@@ -28,28 +30,28 @@ from loomtrace.llm.storage import materialise
 LENGTH = 4096
 END = 2
 SHARD_TOKENS = 2_000_000
-#: Heaviest terms of a seed that query the index, candidates tried before one is cut, BM25 constants.
-QUERY_TERMS = 32
-TRIED = 48
+#: BM25 constants, and the share of a shard's pieces from which a term's weights are kept for all pieces.
 K1, B = 1.2, 0.75
+DENSE = 1 / 16
 #: Distinct chunks of text whose ids a worker remembers.
 MEMORY = 800_000
 
 TOKENS = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("length", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("ids", pa.binary())]
 )
+FREQUENCIES = pa.schema([("term", pa.int64()), ("pieces", pa.int64())])
 PACKED = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 )
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, put together from remembered ids of their parts.
+    """Ids of texts, put together from remembered ids of their chunks.
 
     The vocabulary's pre-tokeniser never joins text across white space, nor a run of letters with the
-    punctuation behind it, so that the ids of a text are those of its parts in order. Parts that are not
-    remembered yet are encoded in one call for a whole batch. U+001C to U+001F separate for Python only;
-    texts with them are encoded whole.
+    punctuation behind it, so that the ids of a text are those of its chunks in order. Chunks are found by
+    a hash and compared byte by byte with the one remembered; those not remembered yet are encoded in one
+    call for a whole batch.
     """
 
     def __init__(self, path: str):
@@ -57,10 +59,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.parts: dict[str, bytes] = {"": b""}
+        self.hashes = np.zeros(0, np.uint64)
+        self.entry = np.zeros(0, np.int64)
+        # bytes and ids of entry i are text[text_at[i] : text_at[i + 1]] and ids[ids_at[i] : ids_at[i + 1]]
+        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.kind)
+        self.text_at, self.ids_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,22 +88,57 @@ class Encoder:
                 out += self.whole(line)
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        split = {chunk: _cut(chunk) for chunk in chunks}
-        new = {part for cut in split.values() if len(cut) == 2 for part in cut if part not in self.parts}
+    def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        """Remembers the ids of new chunks."""
+        split = [_cut(chunk.decode()) for chunk in chunks]
+        new = {part for cut in split if len(cut) == 2 for part in cut if part not in self.parts}
         self.parts.update(zip(new, self.runs(list(new)), strict=True))
-        odd = [chunk for chunk, cut in split.items() if len(cut) != 2]
-        self.chunks.update(zip(odd, self.whole(odd), strict=True))
+        odd = iter(self.whole([cut[0] for cut in split if len(cut) != 2]))
         parts = self.parts
-        self.chunks.update((chunk, parts[cut[0]] + parts[cut[1]]) for chunk, cut in split.items() if len(cut) == 2)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > MEMORY:
-            self.chunks.clear()
-            self.parts = {"": b""}
-        split = [None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for text in texts]
-        self.learn(set().union(*(s for s in split if s)) - self.chunks.keys())
-        return [self.whole([t])[0] if s is None else b"".join(map(self.chunks.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        coded = [parts[cut[0]] + parts[cut[1]] if len(cut) == 2 else next(odd) for cut in split]
+        self.text, self.text_at = _grown(self.text, self.text_at, chunks)
+        self.ids, self.ids_at = _grown(self.ids, self.ids_at, coded)
+        at = np.searchsorted(self.hashes, hashes)
+        self.entry = np.insert(self.entry, at, np.arange(len(self.entry), len(self.entry) + len(chunks)))
+        self.hashes = np.insert(self.hashes, at, hashes)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where each begins."""
+        if len(self.entry) > MEMORY:
+            self.forget()
+        data, offsets = K.text_buffer(texts)
+        starts, ends, rows = K.words(data, offsets, K.SPACE_SEPARATED)
+        hashes = K.word_hashes(data, starts, ends, lower=False)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            raw = data.tobytes()
+            chosen = first[new]
+            self.learn(distinct[new], [raw[b:e] for b, e in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)])
+        entry = self.entry[np.searchsorted(self.hashes, distinct)][inverse] if len(distinct) else np.zeros(0, np.int64)
+        if not self._same(data, starts, ends, entry):
+            coded = self.whole([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(coded), self.kind), np.concatenate([[0], np.cumsum([len(c) // self.kind.itemsize for c in coded])])
+        size = self.ids_at[entry + 1] - self.ids_at[entry]
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        ids = self.ids[np.repeat(self.ids_at[entry] - before[:-1], size) + np.arange(before[-1])]
+        return ids, before[np.searchsorted(rows, np.arange(len(offsets)))]
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> bool:
+        """Whether every chunk is, byte by byte, the one that is remembered under its hash."""
+        size = ends - starts
+        if not np.array_equal(size, self.text_at[entry + 1] - self.text_at[entry]):
+            return False
+        before = np.cumsum(size) - size
+        place = np.arange(size.sum())
+        return bool(np.array_equal(data[np.repeat(starts - before, size) + place], self.text[np.repeat(self.text_at[entry] - before, size) + place]))
+
+
+def _grown(values: np.ndarray, at: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A buffer of many runs and its borders, with more runs behind."""
+    sizes = np.array([len(m) for m in more], np.int64) // values.itemsize
+    return np.concatenate([values, np.frombuffer(b"".join(more), values.dtype)]), np.concatenate([at, at[-1] + np.cumsum(sizes)])
 
 
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -121,58 +165,117 @@ def tokenise(documents: DataFrame, vocabulary: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _ENCODERS.get(vocabulary) or Encoder(vocabulary)
         _ENCODERS[vocabulary] = encoder
-        end = np.array([END], encoder.kind).tobytes()
         for batch in K.chunks(batches, "text"):
-            columns: list[list] = [[] for _ in TOKENS.names]
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for doc, coded in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids = np.frombuffer(coded + end, encoder.kind)
-                for at in range(0, len(ids), LENGTH):
-                    part = ids[at : at + LENGTH]
-                    low = np.partition(K.mix(np.unique(part).astype(np.uint64)) >> np.uint64(1), 1)[:2] if len(part) > 1 and part[0] != part[-1] else np.zeros(2, np.uint64)
-                    row = (doc, at, len(ids), len(part), int(low[0]), int(low[-1]), part.tobytes())
-                    for column, x in zip(columns, row, strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, TOKENS, strict=True)], schema=TOKENS)
+            ids, at = encoder.encode(batch.column(1))
+            ids = np.insert(ids, at[1:], END)
+            at = at + np.arange(len(at))
+            size = np.diff(at)
+            # windows of each document
+            count = -(-size // LENGTH)
+            doc = np.repeat(np.arange(len(size)), count)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * LENGTH
+            begin = at[doc] + start
+            length = np.minimum(size[doc] - start, LENGTH)
+            low, second = _two_smallest(K.mix(ids.astype(np.uint64)) >> np.uint64(1), begin)
+            raw, width = ids.tobytes(), ids.itemsize
+            pieces = [raw[b * width : (b + n) * width] for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(size[doc]), pa.array(length), pa.array(low), pa.array(second), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=TOKENS)
 
     return K.map_arrow(source, run, TOKENS)
 
 
+def _two_smallest(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the next different value of each run; a run of one value has it twice."""
+    low = np.minimum.reduceat(values, begin)
+    length = np.diff(np.append(begin, len(values)))
+    most = np.uint64((1 << 63) - 1)
+    second = np.minimum.reduceat(np.where(values == np.repeat(low, length), most, values), begin)
+    return low.view(np.int64), np.where(second == most, low, second).view(np.int64)
+
+
+def statistics(rest: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
+    """Pieces that have each token id, number of pieces, and mean length, over the whole table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: np.ndarray = np.zeros(0, np.int64)
+        for batch in batches:
+            ids, rows = _flat(batch.column(0).to_pylist(), kind)
+            span = int(ids.max(initial=0)) + 1
+            terms = np.unique(rows * span + ids) % span
+            df = _added(df, np.bincount(terms, minlength=span))
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], schema=FREQUENCIES)
+
+    sums = rest.agg(F.count(F.lit(1)), F.sum("length")).first()
+    rows = K.map_arrow(rest.select("ids"), run, FREQUENCIES).groupBy("term").agg(F.sum("pieces").alias("pieces")).collect()
+    df = np.zeros(max((r[0] for r in rows), default=0) + 1, np.int64)
+    for term, pieces in rows:
+        df[term] = pieces
+    return df, int(sums[0]), int(sums[1] or 0) / max(int(sums[0]), 1)
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
+
+
+def _flat(pieces: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some pieces and the piece of each."""
+    size = np.array([len(p) for p in pieces], np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(pieces), kind).astype(np.int64), np.repeat(np.arange(len(pieces)), size)
+
+
 class Shard:
-    """BM25 postings over the token ids of one shard, and what is still unused of each piece."""
+    """BM25 postings over the token ids of one shard, and what is still unused of each piece.
+
+    ``df``, ``total`` and ``mean`` are the statistics of the whole table.
+    """
 
-    def __init__(self, pieces: list[np.ndarray]):
-        self.pieces = pieces
+    def __init__(self, pieces: list[np.ndarray], df: np.ndarray, total: int, mean: float):
         self.at = np.zeros(len(pieces), np.int64)
         self.left = np.array([len(p) for p in pieces], np.int64)
-        span = max((int(p.max()) for p in pieces), default=0) + 1
-        rows = np.repeat(np.arange(len(pieces)), self.left)
-        keys, tf = np.unique(np.concatenate(pieces).astype(np.int64) + rows * span if pieces else np.zeros(0, np.int64), return_counts=True)
+        flat = np.concatenate(pieces).astype(np.int64)
+        span = int(flat.max()) + 1
+        keys, tf = np.unique(flat + np.repeat(np.arange(len(pieces)), self.left) * span, return_counts=True)
         row, term = keys // span, keys % span
-        df = np.bincount(term, minlength=span)
-        idf = np.log(1 + (len(pieces) - df + 0.5) / (df + 0.5))
-        length = self.left / max(self.left.mean(), 1) if len(pieces) else self.left
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row]))
-        self.first, _ = K.run_starts(row, len(pieces))
-        self.term, self.weight = term, weight
+        known = df[term]
+        idf = np.log(1 + (total - known + 0.5) / (known + 0.5))
+        weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.left[row] / max(mean, 1e-9)))).astype(np.float32)
+        self.first, self.count = K.run_starts(row, len(pieces))
+        self.term = term
+        here = np.bincount(term, minlength=span)
         by_term = np.argsort(term, kind="stable")
-        self.posting_row, self.posting_weight = row[by_term], weight[by_term]
-        self.posting = np.concatenate([[0], np.cumsum(df)])
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused pieces by falling BM25 score against the seed's heaviest terms, then by row."""
-        end = self.first[seed + 1] if seed + 1 < len(self.first) else len(self.term)
-        terms, weight = self.term[self.first[seed] : end], self.weight[self.first[seed] : end]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        slices = [slice(self.posting[t], self.posting[t + 1]) for t in terms]
-        rows = np.concatenate([self.posting_row[s] for s in slices]) if slices else np.zeros(0, np.int64)
-        scores = np.bincount(rows, np.concatenate([self.posting_weight[s] for s in slices]) if slices else None, len(self.left))
-        scores[self.left == 0] = -1
-        scores[seed] = -1
-        some = np.flatnonzero(scores >= 0)
-        if len(some) > 4 * TRIED:
-            some = some[np.argpartition(-scores[some], 4 * TRIED)[: 4 * TRIED]]
+        self.row, self.weight = row[by_term], weight[by_term]
+        self.posting = np.concatenate([[0], np.cumsum(here)])
+        # a frequent term's weights are a row over all pieces, so that adding them up needs no index
+        frequent = np.flatnonzero(here > DENSE * len(pieces))
+        self.dense_of = np.full(span, -1)
+        self.dense_of[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(pieces)), np.float32)
+        inside = self.dense_of[term] >= 0
+        self.dense[self.dense_of[term[inside]], row[inside]] = weight[inside]
+
+    def neighbours(self, seed: int, tokens: int) -> np.ndarray:
+        """Unused pieces by falling BM25 score against all the seed's terms, then by row: enough for ``tokens`` tokens."""
+        terms = self.term[self.first[seed] : self.first[seed] + self.count[seed]]
+        place = self.dense_of[terms]
+        scores = self.dense[place[place >= 0]].sum(axis=0, dtype=np.float64)
+        slices = [slice(self.posting[t], self.posting[t + 1]) for t in terms[place < 0]]
+        if slices:
+            rows = np.concatenate([self.row[s] for s in slices])
+            scores += np.bincount(rows, np.concatenate([self.weight[s] for s in slices]), len(self.left))
+        some = np.flatnonzero(self.left)
+        some = some[some != seed]
+        best = 64
+        while best < len(some):
+            chosen = some[scores[some] >= np.partition(scores[some], len(some) - best)[len(some) - best]]
+            if self.left[chosen].sum() >= tokens:
+                some = chosen
+                break
+            best *= 4
         return some[np.lexsort((some, -scores[some]))]
 
     def take(self, row: int, n: int) -> tuple[int, int, int]:
@@ -189,18 +292,11 @@ class Shard:
             while self.left[seed] and unused >= LENGTH:
                 window = [self.take(seed, int(min(self.left[seed], LENGTH)))]
                 room = LENGTH - window[0][2]
-                while room:
-                    fits = 0
-                    ranked = self.neighbours(seed)
-                    for row in ranked[:TRIED]:
-                        if 0 < self.left[row] <= room:
-                            window.append(self.take(int(row), int(self.left[row])))
-                            room -= window[-1][2]
-                            fits += 1
-                    waiting = [r for r in ranked[:TRIED] if self.left[r]]
-                    if room and waiting:
-                        window.append(self.take(int(waiting[0]), int(min(room, self.left[waiting[0]]))))
-                        room -= window[-1][2]
+                for row in self.neighbours(seed, room).tolist() if room else ():
+                    window.append(self.take(row, int(min(room, self.left[row]))))
+                    room -= window[-1][2]
+                    if not room:
+                        break
                 unused -= LENGTH
                 yield window
         rest = [r for r in range(len(self.left)) if self.left[r]]
@@ -224,8 +320,8 @@ def pack(documents: DataFrame, vocabulary: str) -> DataFrame:
     kind = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
     tokens = materialise(tokenise(documents, vocabulary), "tokens")
     rest = tokens.where(F.col("length") < LENGTH)
-    total = rest.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_TOKENS))
+    df, n_pieces, mean = statistics(rest, kind)
+    shards = max(1, -(-int(n_pieces * mean) // SHARD_TOKENS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -233,7 +329,7 @@ def pack(documents: DataFrame, vocabulary: str) -> DataFrame:
         part = TaskContext.get().partitionId()
         held = [(d, s, n, np.frombuffer(i, kind)) for b in batches for d, s, n, i in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 6)), strict=True)]
         rows: list[dict] = []
-        for number, window in enumerate(Shard([h[3] for h in held]).sequences() if held else ()):
+        for number, window in enumerate(Shard([h[3] for h in held], df, n_pieces, mean).sequences() if held else ()):
             offset = 0
             for row, begin, n in window:
                 doc, start, whole, ids = held[row]
@@ -252,5 +348,7 @@ def pack(documents: DataFrame, vocabulary: str) -> DataFrame:
 
     own = (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id")
     windows = tokens.where(F.col("length") == LENGTH).select("doc_id", "start", "length", "doc_tokens", own, "ids")
-    sharded = rest.repartitionByRange(shards, "key_a", "key_b", "doc_id", "start")
+    # in one order, so that a shard is packed alike when a lost executor's work is done again
+    order = ["key_a", "key_b", "doc_id", "start", "ids"]
+    sharded = rest.repartitionByRange(shards, *order[:-1]).sortWithinPartitions(*order)
     return K.map_arrow(windows, widen, PACKED).unionByName(K.map_arrow(sharded, fill, PACKED))

@@ -152,17 +152,21 @@ def fit_weights(documents: DataFrame, labelled: DataFrame) -> DataFrame:
 
     At most ``BUCKETS`` rows for each n-gram order, whatever the size of the corpus.
     """
-    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), lower_hashes(word_array(F.col("text").cast("string"))).alias("hashed"))
-    source = split.select("doc_id", gram_buckets(F.col("hashed")).alias("buckets")).join(_sent(labelled.where("fold = 0 and kind <> 'low'").select("doc_id", "kind")), "doc_id", "left")
-    # a labelled document's distinct buckets follow once more, in a range of their own, to count documents
-    span = len(SIGNIFICANCE) * BUCKETS
-    once = F.when(F.col("kind").isNull(), F.array().cast("array<int>")).otherwise(F.transform(F.array_distinct("buckets"), lambda b: b + span))
-    token, good, toxic = F.col("at") < span, F.coalesce(F.col("kind") == "good", F.lit(False)), F.coalesce(F.col("kind") == "toxic", F.lit(False))
-    counts = (
-        source.select("kind", F.explode(F.concat("buckets", once)).alias("at"))
-        .groupBy(F.pmod("at", F.lit(span)).alias("bucket"))
-        .agg(F.count_if(token).alias("raw"), F.count_if(token & good).alias("target"), F.count_if(~token & good).alias("good"), F.count_if(~token & toxic).alias("toxic"))
-    )
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = source.join(_sent(labelled.where("fold = 0 and kind <> 'low'").select("doc_id", (F.col("kind") == "good").alias("is_good"))), "doc_id")
+    hashed = lower_hashes(word_array(F.col("text"))).alias("hashed")
+    split, chosen = source.select(hashed), chosen.select("is_good", hashed)
+    buckets = gram_buckets(F.col("hashed"))
+
+    def listed(rows: DataFrame, values: Column, *keep: str) -> DataFrame:
+        # explode_outer: for explode, Spark infers a filter on the array and computes it once more for that
+        return rows.select(*keep, F.explode_outer(values).alias("bucket")).where("bucket is not null")
+
+    # all documents give one number a row; the few labelled ones are counted apart
+    raw = listed(split, buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
+    target = listed(chosen.where("is_good"), buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("target"))
+    seen = listed(chosen, F.array_distinct(buckets), "is_good").groupBy("bucket").agg(F.count_if("is_good").alias("good"), F.count_if(~F.col("is_good")).alias("toxic"))
+    counts = raw.join(target, "bucket", "left").join(seen, "bucket", "left").fillna(0, ["target", "good", "toxic"])
     order = Window.partitionBy(F.floor(F.col("bucket") / BUCKETS))
 
     def expected(own: str, count: Column) -> Column:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -287,14 +288,53 @@ def test_packing_is_an_exact_partition(spark):
     assert all(n == 4096 or n & (n - 1) == 0 for n in padded)
 
 
+def test_ids_of_chunks_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    coder, encoder = Tokenizer.from_file(VOCABULARY), packing.Encoder(VOCABULARY)
+    texts = ["Hello, World!", "", None, "a\u00a0b c\u2028d", "x\x1cy z\x85w", "naïve café İstanbul ǅ", "don't (stop) ... now--then", "名前 です。", "tab\tnew\nline\r\n", "Hello, World!", "ﬁ \u0301a e\u0301", "A" * 300, "3.14 1,000 C3PO"]
+    for _ in range(2):
+        ids, at = encoder.encode(pa.array(texts, pa.string()))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == coder.encode(text or "", add_special_tokens=False).ids
+
+
 def test_repeated_rows_are_packed_each(spark):
     df = awkward(spark)
     assert packing.pack(df, VOCABULARY).where("start = 0").count() == df.count()
 
 
 def test_neighbours_by_bm25():
-    shard = packing.Shard([np.array(x) for x in ([5, 6, 7, 2], [5, 6, 8, 2], [9, 9, 9, 2], [5, 1, 1, 2])])
-    assert shard.neighbours(0).tolist()[:2] == [1, 3]
+    pieces = [[5, 6, 7, 2], [5, 6, 8, 2], [9, 9, 9, 2], [5, 1, 1, 2]]
+    df = np.bincount([t for p in pieces for t in set(p)])
+    shard = packing.Shard([np.array(x) for x in pieces], df, 4, 4.0)
+    assert shard.neighbours(0, 99).tolist()[:2] == [1, 3]
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.3, 2.0])
+def test_neighbours_are_ranked_by_all_terms(monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    pieces = [rng.zipf(1.5, rng.integers(5, 80)) % 60 for _ in range(300)]
+    df = np.bincount([t for p in pieces for t in set(p.tolist())], minlength=60) * 3
+    mean = 41.0
+    shard = packing.Shard(pieces, df, 900, mean)
+
+    def score(q, d):
+        total = 0.0
+        for t in set(q.tolist()):
+            tf = int((d == t).sum())
+            idf = math.log(1 + (900 - df[t] + 0.5) / (df[t] + 0.5))
+            total += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        return total
+
+    for seed in (0, 7, 299):
+        got = shard.neighbours(seed, 10**9)
+        scores = [score(pieces[seed], pieces[r]) for r in got]
+        assert len(got) == 299
+        assert all(a >= b - 1e-4 for a, b in zip(scores, scores[1:], strict=False))
+        few = shard.neighbours(seed, 500)
+        assert few.tolist() == got[: len(few)].tolist()
 
 
 def test_license_templates_are_found(spark):
