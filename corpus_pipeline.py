@@ -54,13 +54,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of near-duplicates (a null one only if it has no other); repeated rows are one."""
-    rows = numbered(docs)
-    named = jaccard.join_components(as_ids(rows), SHINGLE, PERCENT).withColumnRenamed("doc_id", "key")
-    # sets of no words link with nothing: their rows are one only if id and text repeat
-    empty = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    linked = rows.join(named, "key").withColumn("empty", empty).withColumn("component", F.when(F.col("empty").isNull(), F.col("component_id")))
-    best = linked.groupBy("component", "empty").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("doc_id"))
-    return rows.join(materialise(best.select(F.col("doc_id").alias("key")), "kept"), "key", "left_semi").select(*COLUMNS)
+    return jaccard.deduplicate(docs.select(*COLUMNS), SHINGLE, PERCENT)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
