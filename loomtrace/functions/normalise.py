@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomtrace import constants as C
 
 
-def spread(table: dict[str, str]) -> dict[str, str]:
-    """{alias: target} of a {target: "alias alias"} table."""
-    return {alias: target for target, aliases in table.items() for alias in aliases.split()}
-
-
-def lookup(table: dict[str, str], key: Column) -> Column:
+def lookup(table: dict, key: Column) -> Column:
     """The value of a small literal table, null if absent."""
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
@@ -27,14 +24,24 @@ def canonical_key(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def plain_key(name: str) -> str:
+    """``canonical_key`` of a heading the driver knows."""
+    return re.sub("[^a-z0-9]+", "_", name.strip().lower()).strip("_")
+
+
+def slug(name: Column) -> Column:
+    """Letters and digits of a name, joined by single underscores; ``unknown`` if there are none."""
+    joined = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
+    return F.when(joined != "", joined).otherwise("unknown")
+
+
 def duration_ms(raw: Column, bare_unit_ms: int = 1000) -> Column:
     """Milliseconds of a duration as people write it; 0 if there is no number."""
-    units = {unit: scale for scale, names in C.DURATION_UNITS.items() for unit in names.split()}
-    ranked = "|".join(sorted(units, key=lambda u: (-len(u), u)))
+    ranked = "|".join(sorted(C.DURATION_UNITS, key=lambda u: (-len(u), u)))
     pattern = rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*({ranked})?"
     number = F.regexp_extract(raw, pattern, 1)
     unit = F.lower(F.regexp_extract(raw, pattern, 2))
-    scale = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in units.items() for x in pair)), unit), F.lit(bare_unit_ms))
+    scale = F.coalesce(lookup(C.DURATION_UNITS, unit), F.lit(bare_unit_ms))
     return F.when(F.coalesce(number, F.lit("")) == "", F.lit(0).cast("long")).otherwise((number.cast("double") * scale).cast("long"))
 
 
@@ -48,12 +55,12 @@ def canonical_app(raw: Column) -> Column:
 def canonical_action(raw: Column) -> Column:
     """Known verb, else an alias, else the word itself; ``read`` if empty."""
     key = clean(raw)
-    return F.when(key.isin(*C.ACTIONS), key).otherwise(F.coalesce(lookup(spread(C.ACTION_ALIASES), key), F.when(key != "", key), F.lit("read")))
+    return F.when(key.isin(*C.ACTIONS), key).otherwise(F.coalesce(lookup(C.ACTION_ALIASES, key), F.when(key != "", key), F.lit("read")))
 
 
 def split_action(raw: Column) -> Column:
     """struct(verb, object) of a compound action such as ``copy_customer_information``."""
-    verbs, noise = spread(C.SPLIT_VERBS), C.NOISE_WORDS.split()
+    verbs, noise = C.SPLIT_VERBS, C.NOISE_WORDS
     key = F.regexp_replace(clean(raw), "[- ]", "_")
     parts = F.filter(F.split(key, "_"), lambda p: p != "")
 

@@ -37,9 +37,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+#: First private code point of the two planes that stand for tokens, and how many they have.
+FIRST_POINT, POINTS = 0xF0000, 0x1FFFE
+
+
 def encoded(signature: Column, alphabet: Column) -> Column:
-    """One character for each token (its position in ``alphabet``), so that edit distance counts tokens."""
-    return F.array_join(F.transform(signature, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(alphabet, t) + 57343), 4, "0")), "UTF-16BE")), "")
+    """One character for each token (its position in ``alphabet``), so that edit distance counts tokens; raises above ``POINTS`` tokens."""
+    fits = F.assert_true(F.size(alphabet) <= POINTS, F.lit(f"more than {POINTS} step tokens"))
+    text = F.array_join(F.transform(signature, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(alphabet, t) + (FIRST_POINT - 1)), 8, "0")), "UTF-32")), "")
+    return F.when(fits.isNull(), text)
 
 
 def sequence_similarity(a: Column, b: Column) -> Column:

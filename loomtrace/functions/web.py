@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomtrace import constants as C
-from loomtrace.functions.normalise import lookup, spread
+from loomtrace.functions.normalise import lookup
 
 _URL = r"^(?:([^:/?#]+)://)?([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -48,7 +48,7 @@ def sanitise_url(url: Column) -> Column:
 def app_for_host(url: Column) -> Column:
     """Application of a URL: by path, by host, by longest known suffix, else the registrable label."""
     name = host(url)
-    hosts = sorted(spread(C.HOST_APPS).items(), key=lambda p: (-len(p[0]), p[0]))
+    hosts = sorted(C.HOST_APPS.items(), key=lambda p: (-len(p[0]), p[0]))
     by_path = F.coalesce(*(F.when((name == h) & F.startswith(part(url, 3), F.lit(prefix)), F.lit(app)) for h, prefix, app in C.PATH_APPS))
     by_suffix = F.coalesce(*(F.when((name == h) | F.endswith(name, F.lit("." + h)), F.lit(app)) for h, app in hosts))
     labels = F.filter(F.split(name, r"\."), lambda p: p != "")
@@ -108,5 +108,3 @@ def interpret(signals, with_values: bool = False):
             "payload": F.map_filter(named, lambda k, v: v.isNotNull() & (v != "")),
         }
     )
-
-

@@ -131,7 +131,7 @@ def _case(pairs, key: str, test: str = "{key} = '{a}'") -> str:
     return " ".join(f"when {test.format(key=key, a=a)} then '{b}'" for a, b in pairs)
 
 
-_UNITS = {u: s for s, names in C.DURATION_UNITS.items() for u in names.split()}
+_UNITS = C.DURATION_UNITS
 _UNIT_PATTERN = "|".join(sorted(_UNITS, key=lambda u: (-len(u), u)))
 _SHAPE_SQL = "case p_partkey % 7 when 0 then p_partkey || ' min' when 1 then p_partkey || 's' when 2 then p_partkey || ' hours' when 3 then p_partkey::varchar when 4 then p_partkey || '.5 h' when 5 then 'about ' || p_partkey || ' ms' else 'none' end"
 
@@ -142,9 +142,9 @@ def _ms(bare: int) -> str:
     return f"case when {number} = '' then 0 else trunc({number}::double * case lower({unit}) {scale} else {bare} end)::bigint end"
 
 
-_VERBS, _PLAIN = N.spread(C.SPLIT_VERBS), N.spread(C.ACTION_ALIASES)
+_VERBS, _PLAIN = C.SPLIT_VERBS, C.ACTION_ALIASES
 _PATH = "regexp_extract(url, '^(?:([^:/?#]+)://)?([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?$', {0})"
-_HOSTS = sorted(N.spread(C.HOST_APPS).items(), key=lambda p: (-len(p[0]), p[0]))
+_HOSTS = sorted(C.HOST_APPS.items(), key=lambda p: (-len(p[0]), p[0]))
 
 ORACLES = {
     "norm_duration": f"with r as (select p_partkey, {_SHAPE_SQL} as raw from part) select p_partkey, raw, {_ms(1000)} as ms, {_ms(1)} as bare_ms from r",
@@ -155,8 +155,8 @@ ORACLES = {
         k as (select *, list_filter(string_split(regexp_replace(raw, '[- ]', '_', 'g'), '_'), lambda p: p <> '') as parts from r),
         v as (select *, list_filter(range(1, len(parts) + 1), lambda i: parts[i] in ({_list(_VERBS)[1:-1]})) as places from k),
         a as (select *, case parts[places[1]] {" ".join(f"when '{a}' then '{b}'" for a, b in _VERBS.items())} end as verb0,
-                     list_filter(parts[places[1] + 1:], lambda p: p not in ({_list(C.NOISE_WORDS.split())[1:-1]})) as plain,
-                     list_filter(parts[:places[1] - 1], lambda p: p not in ({_list([*C.NOISE_WORDS.split(), *_VERBS])[1:-1]})) as before from v),
+                     list_filter(parts[places[1] + 1:], lambda p: p not in ({_list(C.NOISE_WORDS)[1:-1]})) as plain,
+                     list_filter(parts[:places[1] - 1], lambda p: p not in ({_list([*C.NOISE_WORDS, *_VERBS])[1:-1]})) as before from v),
         b as (select *, list_filter(plain, lambda p: p not in ({_list(_VERBS)[1:-1]})) as bare,
                      case when raw in ({_list(C.ACTIONS)[1:-1]}) then raw {_case(_PLAIN.items(), "raw")} when raw = '' then 'read' else raw end as action,
                      case when array_to_string(parts, '_') in ({_list(C.ACTIONS)[1:-1]}) then array_to_string(parts, '_') {_case(_PLAIN.items(), "array_to_string(parts, '_')")}
