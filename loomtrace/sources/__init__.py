@@ -1,0 +1 @@
+"""Readers and writers of activity logs, and the collector."""
