@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtrace import constants as C
 from loomtrace.functions.sequences import encoded, jaccard, sequence_similarity
+from loomtrace.sources.shared import written
 
 #: More variants than this are refused: similarity needs every pair of variants.
 MAX_VARIANTS = 3000
@@ -65,11 +66,11 @@ def similarity_pairs(found: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(signature_hash, component) by spreading the smallest name until nothing changes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = nodes.select("signature_hash", F.col("signature_hash").alias("component"))
     while True:
         heard = both.join(labels, F.col("b") == F.col("signature_hash")).groupBy("a").agg(F.min("component").alias("heard"))
-        spread = labels.join(heard, F.col("signature_hash") == F.col("a"), "left").select("signature_hash", F.least("component", F.coalesce("heard", "component")).alias("component"), F.col("component").alias("old")).checkpoint()
+        spread = written(labels.join(heard, F.col("signature_hash") == F.col("a"), "left").select("signature_hash", F.least("component", F.coalesce("heard", "component")).alias("component"), F.col("component").alias("old")), "labels")
         labels = spread.select("signature_hash", "component")
         if spread.where("component <> old").isEmpty():
             return labels

@@ -51,33 +51,30 @@ def inverted(expression: str) -> str:
     return f"{field} {INVERSE[op]} {text}"
 
 
-def values_match(a: Column, b: Column) -> Column:
-    """Strings without case and blanks around; numbers within the tolerance; null only equals null."""
-    x, y = a.try_cast("double"), b.try_cast("double")
-    numeric = F.abs(x - y) <= C.NUMERIC_TOLERANCE * F.greatest(F.abs(x), F.abs(y), F.lit(1.0))
-    same = F.when(x.isNotNull() & y.isNotNull(), numeric).otherwise(F.lower(F.trim(a)) == F.lower(F.trim(b)))
+def values_match(a: Column, b: Column, numeric: bool) -> Column:
+    """Numbers within the tolerance; strings without case and blanks around; null only equals null."""
+    if numeric:
+        same = F.abs(a - b) <= C.NUMERIC_TOLERANCE * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
+    else:
+        same = F.lower(F.trim(a)) == F.lower(F.trim(b))
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
 
 
-def compare(predicted: Column, observed: Column, critical: list[str]) -> Column:
-    """struct(score, critical_mismatch, compared, diff_fields) over the keys both maps have."""
-    keys = F.array_sort(F.array_intersect(F.map_keys(predicted), F.map_keys(observed)))
-    facts = F.transform(keys, lambda k: F.struct(k.alias("key"), values_match(F.element_at(predicted, k), F.element_at(observed, k)).alias("same"), F.when(k.isin(*critical), C.CRITICAL_WEIGHT).otherwise(1).alias("weight")))
-
-    def total(kept: Column) -> Column:
-        return F.aggregate(kept, F.lit(0), lambda s, x: s + x["weight"])
+def compare(rows: DataFrame, fields: dict[str, tuple[Column, Column, bool]]) -> DataFrame:
+    """``rows`` with score, critical_mismatch, compared and diff_fields over known fields (predicted, observed, numeric).
 
-    def built(f: Column) -> Column:
-        wrong = F.filter(f, lambda x: ~x["same"])
-        score = F.when(F.size(f) == 0, F.lit(0.0)).otherwise(total(F.filter(f, lambda x: x["same"])) / total(f))
-        return F.struct(
-            F.round(score, 4).alias("score"),
-            F.exists(wrong, lambda x: x["key"].isin(*critical)).alias("critical_mismatch"),
-            F.size(f).cast("long").alias("compared"),
-            F.array_join(F.transform(wrong, lambda x: x["key"]), ",").alias("diff_fields"),
-        )
-
-    return F.element_at(F.transform(F.array(facts), built), 1)
+    One boolean column a field, evaluated once; ``replay.compare`` is the one for fields that only the data names.
+    """
+    flags = {f"same_{name}": F.coalesce(values_match(*pair), F.lit(False)) for name, pair in fields.items()}
+    judged = rows.withColumns(flags)
+    weight = {name: C.CRITICAL_WEIGHT if name in C.CRITICAL_FIELDS else 1 for name in fields}
+    hit = sum((F.when(F.col(f"same_{n}"), w).otherwise(0) for n, w in weight.items()), F.lit(0))
+    wrong = [F.when(~F.col(f"same_{n}"), F.lit(n)) for n in sorted(fields)]
+    critical = [~F.col(f"same_{n}") for n in fields if n in C.CRITICAL_FIELDS]
+    mismatch = critical[0] if critical else F.lit(False)
+    for other in critical[1:]:
+        mismatch = mismatch | other
+    return judged.withColumns({"score": F.round(hit / sum(weight.values()), 4), "critical_mismatch": mismatch, "compared": F.lit(len(fields)).cast("long"), "diff_fields": F.concat_ws(",", *wrong)}).drop(*flags)
 
 
 def replay_summary(outcomes: DataFrame, by: str) -> DataFrame:

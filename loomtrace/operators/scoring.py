@@ -24,7 +24,8 @@ def step_entropy(instances: DataFrame, cluster: str = "cluster_id", variant: str
 
 def parameter_spread(values: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Mean over keys with two values or more of (distinct - 1) / (n - 1), per cluster; input (cluster, key, value)."""
-    per_key = values.groupBy(cluster, "key").agg(F.count("value").alias("n"), F.countDistinct("value").alias("d")).where("n >= 2")
+    counts = values.where("value is not null").groupBy(cluster, "key", "value").agg(F.count(F.lit(1)).alias("n"))
+    per_key = counts.groupBy(cluster, "key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d")).where("n >= 2")
     return per_key.groupBy(cluster).agg(F.avg((F.col("d") - 1) / (F.col("n") - 1)).alias("spread"))
 
 
@@ -100,9 +101,10 @@ def variables_and_constants(observed: DataFrame, runs: DataFrame, cluster: str =
 
     A field counts if enough of the cluster's runs have it; in between varying and constant it is neither.
     """
-    per_field = observed.groupBy(cluster, "token", "key").agg(
-        F.count("value").alias("n_values"), F.countDistinct("value").alias("n_distinct"), F.countDistinct("instance_id").alias("present"), F.min("value").alias("least_value")
-    )
-    joined = per_field.join(runs, cluster).where(F.col("present") >= F.col("runs") * C.MIN_PRESENCE)
+    # values and instances are counted apart: distinct counts of both at once would write every row several times
+    field = [cluster, "token", "key"]
+    values = observed.groupBy(*field, "value").agg(F.count("value").alias("n")).groupBy(*field).agg(F.sum("n").alias("n_values"), F.count("value").alias("n_distinct"), F.min("value").alias("least_value"))
+    present = observed.groupBy(*field, "instance_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*field).agg(F.count("instance_id").alias("present"))
+    joined = values.join(present, field).join(runs, cluster).where(F.col("present") >= F.col("runs") * C.MIN_PRESENCE)
     kind = F.when(F.col("n_distinct") == 1, "constant").when(F.col("n_distinct") >= F.col("n_values") * C.VARIABLE_RATIO, "variable")
     return joined.withColumn("kind", kind).where("kind is not null")

@@ -30,6 +30,24 @@ def activity(spark: SparkSession, sf_dir: str, variety: bool = False) -> DataFra
     )
 
 
+#: Where the log renames some fields, in milliseconds.
+RENAMED_MS = 1705276800000
+
+
+def payloads(log: DataFrame) -> DataFrame:
+    """``activity`` with a payload of JSON literals; some fields change their name in the course of the log."""
+    late = F.col("ts_ms") >= RENAMED_MS
+    named = {
+        "k": (F.when(late & (F.col("app") == "gmail"), "item k").otherwise("k"), F.col("k").cast("string")),
+        "amount": (F.lit("amount"), F.when(F.col("app").isin("erp", "sheets"), F.round(F.col("value") * 10_000).cast("long").cast("string"))),
+        "status": (F.when(late & (F.col("app") == "crm"), "state").otherwise("status"), F.concat(F.lit('"'), "event_type", F.lit('"'))),
+        "vendor": (F.when(late, "Supplier Name").otherwise("Vendor"), F.when(F.col("app").isin("erp", "crm"), F.concat(F.lit('"v'), (F.col("k") % 5).cast("string"), F.lit('"')))),
+        "note": (F.lit("remark"), F.when(F.col("k") % 7 == 0, F.concat(F.lit('"case '), F.col("id").cast("string"), F.lit(' waits for a word of the person who owns it"')))),
+    }
+    entries = F.filter(F.array(*(F.struct(k.alias("key"), v.alias("value")) for k, v in named.values())), lambda e: e["value"].isNotNull())
+    return log.withColumn("payload", F.map_from_entries(entries))
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as declared sessions."""
     conv, turn = F.col("conv_id"), F.col("turn")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +11,12 @@ from loomtrace.operators import clusters as K
 from loomtrace.operators import scoring as S
 from loomtrace.operators.sessions import instances, sessionise
 from loomtrace.plans.adapters import activity
+from loomtrace.sources.shared import written
 
 #: Idle gap of the test events, which are hours apart.
 GAP_MS = 240 * 60_000
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` cut from its plan; a folder below the working directory serves sessions without one."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir("file://" + os.path.abspath("spark-warehouse/checkpoints"))
-    return df.checkpoint()
-
-
 def detect(events: DataFrame, gap_ms: int = C.SESSION_GAP_MS) -> DataFrame:
     """One row per finding: a cluster of instances with its representative, spread, effort, scores and evidence.
 
@@ -34,13 +25,13 @@ def detect(events: DataFrame, gap_ms: int = C.SESSION_GAP_MS) -> DataFrame:
     confidence. Judgement counts as 0: events have no free text. More variants than
     ``clusters.MAX_VARIANTS`` are refused, not cut.
     """
-    steps = _written(sessionise(events, gap_ms))
-    runs = _written(instances(steps))
-    variants = _written(K.variants(runs))
-    pairs = _written(K.similarity_pairs(variants))
-    placed = _written(K.fuzzy_clusters(variants, pairs))
-    medoids = _written(K.medoids(variants, pairs, placed))
-    found = _written(runs.join(placed, "signature_hash"))
+    steps = written(sessionise(events, gap_ms), "steps")
+    runs = written(instances(steps), "runs")
+    variants = written(K.variants(runs), "variants")
+    pairs = written(K.similarity_pairs(variants), "pairs")
+    placed = written(K.fuzzy_clusters(variants, pairs), "placed")
+    medoids = written(K.medoids(variants, pairs, placed), "medoids")
+    found = written(runs.join(placed, "signature_hash"), "found")
     main = medoids.join(variants.select("signature_hash", "signature"), "signature_hash").select("cluster_id", F.col("signature_hash").alias("main_hash"), "signature")
 
     both = pairs.select("a", "b", "sequence").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sequence"))

@@ -1,6 +1,7 @@
 """Registered queries of the workflow engine and their SQL twins."""
 
-from loomtrace.queries import governance, joins, logs, scalars, scores
+from loomtrace.queries import governance, joins, logs, reports, scalars, scores, sources, streams, workflows
 
-QUERIES = logs.QUERIES | scalars.QUERIES | scores.QUERIES | joins.QUERIES | governance.QUERIES
-ORACLES = logs.ORACLES | scalars.ORACLES | scores.ORACLES | joins.ORACLES | governance.ORACLES
+_MODULES = (logs, scalars, scores, joins, governance, workflows, reports, sources, streams)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}

@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtrace import constants as C
-from loomtrace.functions.sequences import collapse, cosine, signature_hash
+from loomtrace.functions.sequences import collapse, signature_hash
 from loomtrace.operators import clusters as K
+from loomtrace.operators import reports as P
 from loomtrace.operators import scoring as S
+from loomtrace.operators.vectors import nearest
 from loomtrace.plans.adapters import chats, order_steps, table
 from loomtrace.queries import sql
+from loomtrace.sources.shared import written
 
 
 def runs(spark, sf_dir):
@@ -101,22 +104,26 @@ def per_user(spark, sf_dir):
 
 def cluster_scores(spark, sf_dir):
     """All scores of each cluster: automatability, potential, effort, confidence and evidence."""
-    found = runs(spark, sf_dir)
-    steps = _representatives(found).select("cluster_id", F.size("signature").alias("steps"))
-    judged = found.groupBy("cluster_id").agg((F.count_if(F.size("raw_signature") > 6) / F.count(F.lit(1)) * 0.3).alias("judgement"), (F.sum("duration_ms") / 60_000.0).alias("minutes"))
-    parts = [S.step_entropy(found), S.parameter_spread(_values(spark, sf_dir)), branch_count(spark, sf_dir), S.effort(found).select("cluster_id", "annual_hours", "tax_hours", "users"), steps, judged]
+    found = written(runs(spark, sf_dir), "runs")
+    main = _representatives(found)
+    steps = main.select("cluster_id", F.size("signature").alias("steps"), F.size(F.array_distinct("signature")).alias("apps"))
+    variants = found.groupBy("cluster_id", "signature_hash").agg(F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
+    alike = P.cluster_similarity(variants, main, F.array_join("signature", ""))
+    busy = found.groupBy("cluster_id").agg((F.sum("duration_ms") / 60_000.0).alias("minutes"))
+    parts = [S.step_entropy(found), S.parameter_spread(_values(spark, sf_dir)), S.branch_count(found, main), S.effort(found).select("cluster_id", "annual_hours", "tax_hours", "users"), steps, alike, busy]
     table_ = parts[0]
     for other in parts[1:]:
         table_ = table_.join(other, "cluster_id")
-    similarity = F.col("dominant_share")
+    # orders carry no text, so nothing speaks for judgement
+    similarity, judgement = F.col("similarity"), P.judgement(F.lit(0.0))
     scored = table_.withColumns({
-        "automatability": S.automatability(F.col("entropy"), F.col("spread"), F.col("branches"), F.col("steps"), F.col("judgement")),
+        "automatability": S.automatability(F.col("entropy"), F.col("spread"), F.col("branches"), F.col("steps"), judgement),
         "build_effort": S.build_effort(F.col("steps"), F.col("branches")),
-        "potential": S.potential(similarity, F.col("n_instances"), F.col("minutes"), F.col("spread"), F.lit(2), F.col("judgement"), F.col("branches"), F.col("steps")),
+        "potential": S.potential(similarity, F.col("n_instances"), F.col("minutes"), F.col("spread"), F.col("apps"), judgement, F.col("branches"), F.col("steps")),
     })
     scored = scored.withColumn("confidence", S.confidence(F.col("n_instances"), similarity, F.col("automatability")))
     return scored.select(
-        "cluster_id", "build_effort", "potential", "confidence", S.evidence(F.col("n_instances"), similarity, F.col("confidence")).alias("evidence"),
+        "cluster_id", F.round("similarity", 9).alias("similarity"), "build_effort", "potential", "confidence", S.evidence(F.col("n_instances"), similarity, F.col("confidence")).alias("evidence"),
         F.round("automatability", 6).alias("automatability"),
         F.round((F.col("annual_hours") + F.col("tax_hours")) * F.col("automatability") / F.col("build_effort"), 4).alias("priority"),
         (F.col("automatability") < C.DO_NOT_AUTOMATE).alias("do_not_automate"), (F.col("users") > C.ORGANISATION_USERS).alias("organisational"),
@@ -152,17 +159,16 @@ def tfidf_cosine_pairs(spark, sf_dir):
 
 
 def embedding_cosine_topk(spark, sf_dir):
-    """The ten stored vectors nearest to the first one, by cosine."""
-    vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.where("vec_id = 0").select(F.col("embedding").alias("query"))
-    return vectors.crossJoin(F.broadcast(first)).select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("query")), 5).alias("cosine")).where("vec_id <> 0").orderBy(F.desc("cosine"), "vec_id").limit(10)
+    """For every vector whose id is divisible by 20 the ten others nearest to it by cosine."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return nearest(vectors.where("vec_id % 20 = 0"), vectors, 10)
 
 
 def fuzzy_clusters(spark, sf_dir):
     """Variants with their fuzzy cluster and whether they are its medoid."""
-    found = _variants(spark, sf_dir).checkpoint()
-    pairs = K.similarity_pairs(found).checkpoint()
-    placed = K.fuzzy_clusters(found, pairs).checkpoint()
+    found = written(_variants(spark, sf_dir), "variants")
+    pairs = written(K.similarity_pairs(found), "pairs")
+    placed = written(K.fuzzy_clusters(found, pairs), "placed")
     best = K.medoids(found, pairs, placed).select("signature_hash", F.lit(True).alias("medoid"))
     return placed.join(found, "signature_hash").join(best, "signature_hash", "left").select("signature_hash", "cluster_id", "n", F.coalesce("medoid", F.lit(False)).alias("medoid"))
 
@@ -214,15 +220,15 @@ ORACLES = {
     "per_user": f"""with {_BASE}, {_EFFORT}, u as (select cluster_id, user_id, count(*) as n, trunc(quantile_cont(duration_ms, 0.5))::bigint as median_ms from found group by 1, 2)
         select u.cluster_id, user_id, u.n, u.median_ms, round(u.median_ms / 3600000.0 * greatest(weekly, 0.01) * 48, 6) as hours from u join eff using (cluster_id)""",
     "cluster_scores": f"""with {_BASE}, {_ENTROPY}, {_VALUES}, {_SPREAD}, {_MAIN}, {_BRANCH}, {_EFFORT},
-        jud as (select cluster_id, count(*) filter (where len(raw_signature) > 6) / count(*) * 0.3 as judgement, sum(duration_ms) / 60000.0 as minutes from found group by 1),
+        jud as (select cluster_id, 0.0 as judgement, sum(duration_ms) / 60000.0 as minutes, avg(1 - levenshtein(array_to_string(signature, ''), array_to_string(main, '')) / greatest(len(signature), len(main))) as similarity from found join mains using (cluster_id) group by 1),
         a as (select *, len(main) as steps from ent join spr using (cluster_id) join br using (cluster_id) join (select cluster_id, annual_hours, tax_hours, users from eff) using (cluster_id) join mains using (cluster_id) join jud using (cluster_id)),
         b as (select *, greatest(0, least(1, 1 - (0.35 * entropy + 0.20 * spread + 0.20 * least(1.0, branches / greatest(steps, 1)) + 0.25 * judgement))) as auto,
                      greatest(1, least(5, 1 + steps // 3 + case when branches > 2 then 1 else 0 end)) as build_effort,
-                     round_even(greatest(0, least(100, (least(1, greatest(0, dominant_share)) * 0.30 + least(1.0, n_instances / 20.0) * 0.25 + least(1.0, minutes / 120.0) * 0.20 + least(1, greatest(0, 1 - spread)) * 0.15 + 0.5 * 0.10) * 100
-                         - least(25.0, judgement * 40) - least(15.0, branches / greatest(steps, 1) * 15) * (1 - least(1.0, dominant_share)))), 0)::bigint as potential from a),
-        c as (select *, round(greatest(0, least(1, 0.25 * least(1.0, n_instances / 5) + 0.40 * dominant_share + 0.35 * auto)), 3) as confidence from b)
-        select cluster_id, build_effort, potential, confidence,
-               case when n_instances >= 5 and dominant_share >= 0.85 and confidence >= 0.75 then 'strong' when n_instances >= 5 or (n_instances >= 2 and dominant_share >= 0.85) then 'moderate' else 'early' end as evidence,
+                     round_even(greatest(0, least(100, (least(1, greatest(0, similarity)) * 0.30 + least(1.0, n_instances / 20.0) * 0.25 + least(1.0, minutes / 120.0) * 0.20 + least(1, greatest(0, 1 - spread)) * 0.15 + least(1.0, len(list_distinct(main)) / 4.0) * 0.10) * 100
+                         - least(25.0, judgement * 40) - least(15.0, branches / greatest(steps, 1) * 15) * (1 - least(1.0, similarity)))), 0)::bigint as potential from a),
+        c as (select *, round(greatest(0, least(1, 0.25 * least(1.0, n_instances / 5) + 0.40 * similarity + 0.35 * auto)), 3) as confidence from b)
+        select cluster_id, round(similarity, 9) as similarity, build_effort, potential, confidence,
+               case when n_instances >= 5 and similarity >= 0.85 and confidence >= 0.75 then 'strong' when n_instances >= 5 or (n_instances >= 2 and similarity >= 0.85) then 'moderate' else 'early' end as evidence,
                round(auto, 6) as automatability, round((annual_hours + tax_hours) * auto / build_effort, 4) as priority, auto < 0.4 as do_not_automate, users > 3 as organisational from c""",
     "variables_constants": f"""with {_BASE}, {_VALUES}, r as (select cluster_id, count(*) as runs from found group by 1),
         f as (select cluster_id, token, key, count(value) as n_values, count(distinct value) as n_distinct, count(distinct instance_id) as present, min(value) as low from vals group by 1, 2, 3)
@@ -235,6 +241,8 @@ ORACLES = {
         from v x join v y on x.signature_hash < y.signature_hash""",
     "tfidf_cosine_pairs": f"""with {_BASE}, {_GRAMS} select a.signature_hash as a, b.signature_hash as b, round(sum(a.x * b.x), 6) as cosine
         from unit a join unit b on a.gram = b.gram and a.signature_hash < b.signature_hash group by 1, 2""",
-    "embedding_cosine_topk": """select vec_id, label, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 5) as cosine
-        from embeddings where vec_id <> 0 order by cosine desc, vec_id limit 10""",
+    "embedding_cosine_topk": """select query_id, vec_id, label, cosine, rank from (
+        select q.vec_id as query_id, v.vec_id, v.label, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) as cosine,
+               row_number() over (partition by q.vec_id order by round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) desc, v.vec_id) as rank
+        from embeddings q join embeddings v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id) where rank <= 10""",
 }
