@@ -72,6 +72,42 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 ORACLES = {
+    "op5_suffix_dedup": """
+        with d as (
+            select doc_id, encode(coalesce(text, '')) as b from documents
+        ), n as (
+            select doc_id, b, octet_length(b) as n from d
+        ), w as (
+            select doc_id, i, md5(b[i:i + 199]) as m from (select doc_id, b, unnest(range(1, n - 198)) as i from n where n >= 200)
+        ), again as (
+            select m from w group by 1 having count(*) > 1
+        ), hit as (
+            select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w where m in (select m from again)
+        ), runs as (
+            select doc_id, min(i) as low, max(i) + 200 as high from (select *, sum((before is null or i - before > 200)::int) over (partition by doc_id order by i rows unbounded preceding) as run from hit) group by doc_id, run
+        ), gaps as (
+            select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 1) as since, row_number() over (partition by doc_id order by low desc) as from_end from runs
+        ), rest as (
+            select doc_id, string_agg(hex(b[since:low - 1]), '' order by low) || max(case when from_end = 1 then hex(b[high:n]) end) as kept, sum(high - low)::bigint as gone, count(*) as spans from gaps join n using (doc_id) group by 1
+        )
+        select doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0) as n_spans, sha256(case when kept is null then b else unhex(kept) end) as kept_sha256 from n left join rest using (doc_id)""",
+    "op6_jaccard_join": f"""
+        with w as (
+            select doc_id, regexp_extract_all(coalesce({_LOWER.format("text")}, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+        ), s as (
+            select doc_id, unnest(list_distinct(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as g from w
+        ), n as (
+            select doc_id, count(*) as n from s group by 1
+        ), p as (
+            select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+        ), l as (
+            select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+        ), e as (select a, b from l union all select b, a from l),
+        r as (
+            with recursive reach(doc_id, other) as (select a, b from e union select reach.doc_id, e.b from reach join e on reach.other = e.a)
+            select doc_id, min(other) as low from reach group by 1
+        )
+        select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) as component_id from documents d left join n using (doc_id) left join r using (doc_id)""",
     "op7_chat_format": """
         with t as (
             select conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text,
