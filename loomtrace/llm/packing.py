@@ -74,40 +74,45 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def runs(self, words: list[str]) -> list[bytes]:
+    def runs(self, words: list[bytes]) -> list[bytes]:
         """Ids of words that are one run each: encoded in lines and cut behind the ids that end a word."""
         out, size = [], self.kind.itemsize
         for at in range(0, len(words), 256):
             line = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(line)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(line).decode()], add_special_tokens=False)[0].ids, self.kind)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
             if len(ends) == len(line):
                 data = ids.tobytes()
                 out += [data[b:e] for b, e in zip([0, *ends], ends, strict=False)]
             else:  # normalisation broke a run
-                out += self.whole(line)
+                out += self.whole([w.decode() for w in line])
         return out
 
-    def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        """Remembers the ids of new chunks."""
-        split = [_cut(chunk.decode()) for chunk in chunks]
-        new = {part for cut in split if len(cut) == 2 for part in cut if part not in self.parts}
-        self.parts.update(zip(new, self.runs(list(new)), strict=True))
-        odd = iter(self.whole([cut[0] for cut in split if len(cut) != 2]))
-        parts = self.parts
-        coded = [parts[cut[0]] + parts[cut[1]] if len(cut) == 2 else next(odd) for cut in split]
+    def learn(self, hashes: np.ndarray, chunks: list[bytes], plain: np.ndarray) -> None:
+        """Remembers the ids of new chunks; ``plain`` ones are lower-case ASCII letters."""
+        runs = iter(self.runs([c for c, p in zip(chunks, plain.tolist(), strict=True) if p]))
+        others = iter(self.others([c.decode() for c, p in zip(chunks, plain.tolist(), strict=True) if not p]))
+        coded = [next(runs) if p else next(others) for p in plain.tolist()]
         self.text, self.text_at = _grown(self.text, self.text_at, chunks)
         self.ids, self.ids_at = _grown(self.ids, self.ids_at, coded)
         at = np.searchsorted(self.hashes, hashes)
         self.entry = np.insert(self.entry, at, np.arange(len(self.entry), len(self.entry) + len(chunks)))
         self.hashes = np.insert(self.hashes, at, hashes)
 
+    def others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that are not plain: letters of any script are cut from the punctuation behind them."""
+        split = [_cut(chunk) for chunk in chunks]
+        new = {part for cut in split if len(cut) == 2 for part in cut if part not in self.parts}
+        self.parts.update(zip(new, self.runs([part.encode() for part in new]), strict=True))
+        odd = iter(self.whole([cut[0] for cut in split if len(cut) != 2]))
+        return [self.parts[cut[0]] + self.parts[cut[1]] if len(cut) == 2 else next(odd) for cut in split]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, and where each begins."""
         if len(self.entry) > MEMORY:
             self.forget()
         data, offsets = K.text_buffer(texts)
-        starts, ends, rows = K.words(data, offsets, K.SPACE_SEPARATED)
+        data, starts, ends, rows, plain = _parts(data, *K.words(data, offsets, K.SPACE_SEPARATED))
         hashes = K.word_hashes(data, starts, ends, lower=False)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
@@ -115,7 +120,7 @@ class Encoder:
         if len(new):
             raw = data.tobytes()
             chosen = first[new]
-            self.learn(distinct[new], [raw[b:e] for b, e in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)])
+            self.learn(distinct[new], [raw[b:e] for b, e in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)], plain[chosen])
         entry = self.entry[np.searchsorted(self.hashes, distinct)][inverse] if len(distinct) else np.zeros(0, np.int64)
         if not self._same(data, starts, ends, entry):
             coded = self.whole([t or "" for t in texts.to_pylist()])
@@ -135,15 +140,47 @@ class Encoder:
         return bool(np.array_equal(data[np.repeat(starts - before, size) + place], self.text[np.repeat(self.text_at[entry] - before, size) + place]))
 
 
+def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Chunks of ASCII letters with ASCII punctuation behind as two chunks each, their letters in lower case.
+
+    Returns the bytes, starts, ends, rows, and which chunks are letters only.
+    """
+    if not len(starts):
+        return data, starts, ends, rows, np.zeros(0, bool)
+    letters = np.concatenate([np.zeros(1, np.int64), np.cumsum(_LETTER[data])])
+    # the place behind the last byte of a chunk that is no punctuation
+    place = np.where(_MARK[data], 0, np.arange(1, len(data) + 1))
+    body = np.maximum(np.maximum.accumulate(place)[ends - 1], starts)
+    plain = (body > starts) & (letters[body] - letters[starts] == body - starts)
+    tail = plain & (body < ends)
+    first = np.arange(len(starts)) + np.cumsum(tail) - tail
+    n = len(starts) + int(tail.sum())
+    out = [np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)]
+    for column, own, behind in zip(out, (starts, np.where(plain, body, ends), rows, plain), (body, ends, rows, np.zeros(len(starts), bool)), strict=True):
+        column[first] = own
+        column[first[tail] + 1] = behind[tail]
+    edges = np.zeros(len(data) + 1, np.int32)
+    edges[starts[plain]] += 1
+    edges[body[plain]] -= 1
+    lowered = np.where(np.cumsum(edges[:-1]) > 0, K.LOWER[data], data)
+    return lowered, *out
+
+
 def _grown(values: np.ndarray, at: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A buffer of many runs and its borders, with more runs behind."""
     sizes = np.array([len(m) for m in more], np.int64) // values.itemsize
     return np.concatenate([values, np.frombuffer(b"".join(more), values.dtype)]), np.concatenate([at, at[-1] + np.cumsum(sizes)])
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+_MARK = np.zeros(256, bool)
+_MARK[list(_PUNCTUATION.encode())] = True
+
+
 def _cut(chunk: str) -> tuple[str, ...]:
     """A run of letters and the ASCII punctuation behind it (or nothing), else the chunk alone."""
     body = chunk.rstrip(_PUNCTUATION)
