@@ -8,9 +8,10 @@ from loomtrace import constants as C
 from loomtrace.functions import web as W
 from loomtrace.plans.adapters import activity, payloads, table
 from loomtrace.queries import scalars, sql
-from loomtrace.sources import collector, files
+from loomtrace.sources import collector, described, files
 from loomtrace.sources.shared import new_path
 
+_SAYINGS = ["Check the inbox daily", "monthly, extract each invoice", "Look up the customer", "post it to the ledger", "notify the team on slack", "nothing special", "Every Monday summarise the sheet"]
 _LABELS = {"click": ("Google Sheets", "set priority"), "view": ("google mail", "Open"), "purchase": ("SAP", "create invoice"), "signup": ("CRM", "Review resume"), "error": ("Slack", "send")}
 
 
@@ -70,6 +71,23 @@ def upload_summary(spark, sf_dir):
     return files.upload_summary(found.where("reject_reason is null"), rejects).select("accepted", "rejected", "sessions", "apps", F.size(F.split("messages", "\n")).alias("shown"))
 
 
+def described_steps(spark, sf_dir):
+    """Steps and cadence of workflows described in words made from the orders."""
+    said = F.concat(
+        F.element_at(F.array(*map(F.lit, _SAYINGS)), (F.col("o_orderkey") % len(_SAYINGS) + 1).cast("int")), F.lit(". Then "),
+        F.element_at(F.array(*map(F.lit, _SAYINGS)), (F.col("o_custkey") % len(_SAYINGS) + 1).cast("int")),
+    )
+    found = described.described(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("description_id"), F.lit("u").alias("user_id"), said.alias("text")))
+    return found.select("description_id", "name", "per_week", F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["app"], s["action"], s["object_type"])), ",").alias("steps"))
+
+
+def described_runs(spark, sf_dir):
+    """Runs and events that descriptions of three cadences give over ten weeks."""
+    texts = spark.createDataFrame([(1, "u", "Every day open the mail and save the PDF invoice to the ERP"), (2, "u", "Weekly report: search rows and send it"), (3, "v", None)], "description_id long, user_id string, text string")
+    events = described.events_of(described.described(texts), 10, 1735689600000)
+    return events.groupBy("user_id", "app", "action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("runs"))
+
+
 def desktop_stays(spark, sf_dir):
     """Stays in desktop applications from samples of the window in front."""
     kind = F.col("event_type")
@@ -144,7 +162,7 @@ def broken_schema(spark, sf_dir):
     return log.select("app", F.explode(F.map_keys("payload")).alias("key")).groupBy("app", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (scan_csv, scan_rejects, scan_jsonl, upload_summary, desktop_stays, commit_log, collect_batch, collect_counters, source_coverage, registry_gap, consent_withdrawn, broken_schema)}
+QUERIES = {f.__name__: f for f in (scan_csv, scan_rejects, scan_jsonl, upload_summary, described_steps, described_runs, desktop_stays, commit_log, collect_batch, collect_counters, source_coverage, registry_gap, consent_withdrawn, broken_schema)}
 
 _SHEET = """sheet as (
         select event_id::varchar as object_id, 'u_' || user_id as user_id, epoch_us(date_trunc('second', ts)) // 1000000 as seconds, floor(value)::bigint as spent, event_id, event_type, case event_type when 'click' then 'sheets' when 'view' then 'gmail' when 'purchase' then 'erp' when 'signup' then 'crm' else 'slack' end as app,
@@ -156,7 +174,18 @@ _SIGNALS = f"""parts as ({scalars.ORACLES["url_parts"]}), sig as (
                case when page_id % 8 = 0 then 1714608000 else 1714557600 + (page_id % 60) * 60 end as seconds, app, action, object_type, object_id, page_id % 9 * 100 as duration_ms, page_id
         from pages join parts using (page_id) where page_id % 4 in (0, 1))"""
 
+_DESCRIBED = ", ".join(
+    f"""case when {" or ".join(f"contains(t, '{w}')" for w in words)} then struct_pack(p := list_min(list_filter([{", ".join(f"instr(t, '{w}')" for w in words)}], lambda x: x > 0)), s := '{app}:{action}:{kind}') end"""
+    for words, app, action, kind in C.DESCRIBED_STEPS
+)
+
 ORACLES = {
+    "described_steps": f"""with o as (select o_orderkey, ({scalars._list(_SAYINGS)})[o_orderkey % {len(_SAYINGS)} + 1] || '. Then ' || ({scalars._list(_SAYINGS)})[o_custkey % {len(_SAYINGS)} + 1] as said from orders),
+        l as (select o_orderkey, said, lower(said) as t from o), f as (select *, list_sort(list_filter([{_DESCRIBED}], lambda x: x is not null)) as found from l)
+        select o_orderkey as description_id, split_part(said, '.', 1) as name, case {" ".join(f"when contains(t, '{w}') then {n}" for w, n in C.CADENCES)} else 5.0 end::double as per_week,
+               case when len(found) >= 2 then array_to_string(list_transform(found, lambda x: x.s), ',') else 'gmail:read:email,sheets:create:row' end as steps from f""",
+    "described_runs": """select * from (values ('u', 'gmail', 'read', 50, 50), ('u', 'pdf', 'extract', 50, 50), ('u', 'erp', 'update', 50, 50), ('u', 'sheets', 'search', 12, 12), ('u', 'sheets', 'update', 12, 12), ('u', 'gmail', 'send', 12, 12),
+        ('v', 'gmail', 'read', 12, 12), ('v', 'sheets', 'create', 12, 12)) as t(user_id, app, action, n, runs)""",
     "scan_csv": f"""with {_SHEET} select object_id, user_id, 'unknown' as team, seconds, app, action, object_type, spent * case when event_id % 2 = 0 then 60000 else 1000 end as duration_ms, '{{"mood":"m' || (event_id % 4) || '"}}' as payload, 'upload' as source from good""",
     "scan_rejects": f"""with {_SHEET} select case when event_id % 97 = 0 then 'missing user_id: no column named user_id, employee, person or role' else 'unreadable timestamp: ''some day''' end as reject_reason, count(*) as n, true as numbered from sheet where event_id % 97 = 0 or event_id % 89 = 0 group by 1""",
     "scan_jsonl": f"""with {_SHEET} select object_id, case when event_id % 10 = 0 then 'u_local' else user_id end as user_id, seconds, app, 'update' as action, 'order_form' as object_type, spent as duration_ms, event_type as kind, spent::varchar as amount from sheet""",
