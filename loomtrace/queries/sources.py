@@ -71,21 +71,22 @@ def upload_summary(spark, sf_dir):
     return files.upload_summary(found.where("reject_reason is null"), rejects).select("accepted", "rejected", "sessions", "apps", F.size(F.split("messages", "\n")).alias("shown"))
 
 
+def _said(spark, sf_dir):
+    parts = [F.element_at(F.array(*map(F.lit, _SAYINGS)), (F.col(c) % len(_SAYINGS) + 1).cast("int")) for c in ("o_orderkey", "o_custkey")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(parts[0], F.lit(". Then "), parts[1]).alias("text"))
+
+
 def described_steps(spark, sf_dir):
     """Steps and cadence of workflows described in words made from the orders."""
-    said = F.concat(
-        F.element_at(F.array(*map(F.lit, _SAYINGS)), (F.col("o_orderkey") % len(_SAYINGS) + 1).cast("int")), F.lit(". Then "),
-        F.element_at(F.array(*map(F.lit, _SAYINGS)), (F.col("o_custkey") % len(_SAYINGS) + 1).cast("int")),
-    )
-    found = described.described(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("description_id"), F.lit("u").alias("user_id"), said.alias("text")))
+    found = described.described(_said(spark, sf_dir).select(F.col("o_orderkey").alias("description_id"), F.lit("u").alias("user_id"), "text"))
     return found.select("description_id", "name", "per_week", F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["app"], s["action"], s["object_type"])), ",").alias("steps"))
 
 
 def described_runs(spark, sf_dir):
-    """Runs and events that descriptions of three cadences give over ten weeks."""
-    texts = spark.createDataFrame([(1, "u", "Every day open the mail and save the PDF invoice to the ERP"), (2, "u", "Weekly report: search rows and send it"), (3, "v", None)], "description_id long, user_id string, text string")
+    """Events that the different descriptions give over ten weeks, by step: how many, and of how many runs."""
+    texts = _said(spark, sf_dir).groupBy("text").agg(F.min("o_orderkey").alias("description_id"), F.lit("u").alias("user_id"))
     events = described.events_of(described.described(texts), 10, 1735689600000)
-    return events.groupBy("user_id", "app", "action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("runs"))
+    return events.groupBy("app", "action", "object_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("runs"))
 
 
 def desktop_stays(spark, sf_dir):
@@ -179,13 +180,16 @@ _DESCRIBED = ", ".join(
     for words, app, action, kind in C.DESCRIBED_STEPS
 )
 
+_SAID = f"""o as (select o_orderkey, ({scalars._list(_SAYINGS)})[o_orderkey % {len(_SAYINGS)} + 1] || '. Then ' || ({scalars._list(_SAYINGS)})[o_custkey % {len(_SAYINGS)} + 1] as said from orders),
+        l as (select o_orderkey, said, lower(said) as t from o), f as (select *, list_sort(list_filter([{_DESCRIBED}], lambda x: x is not null)) as found from l),
+        told as (select o_orderkey, said, case {" ".join(f"when contains(t, '{w}') then {n}" for w, n in C.CADENCES)} else 5.0 end::double as per_week,
+               case when len(found) >= 2 then list_transform(found, lambda x: x.s) else ['gmail:read:email', 'sheets:create:row'] end as steps from f)"""
+
 ORACLES = {
-    "described_steps": f"""with o as (select o_orderkey, ({scalars._list(_SAYINGS)})[o_orderkey % {len(_SAYINGS)} + 1] || '. Then ' || ({scalars._list(_SAYINGS)})[o_custkey % {len(_SAYINGS)} + 1] as said from orders),
-        l as (select o_orderkey, said, lower(said) as t from o), f as (select *, list_sort(list_filter([{_DESCRIBED}], lambda x: x is not null)) as found from l)
-        select o_orderkey as description_id, split_part(said, '.', 1) as name, case {" ".join(f"when contains(t, '{w}') then {n}" for w, n in C.CADENCES)} else 5.0 end::double as per_week,
-               case when len(found) >= 2 then array_to_string(list_transform(found, lambda x: x.s), ',') else 'gmail:read:email,sheets:create:row' end as steps from f""",
-    "described_runs": """select * from (values ('u', 'gmail', 'read', 50, 50), ('u', 'pdf', 'extract', 50, 50), ('u', 'erp', 'update', 50, 50), ('u', 'sheets', 'search', 12, 12), ('u', 'sheets', 'update', 12, 12), ('u', 'gmail', 'send', 12, 12),
-        ('v', 'gmail', 'read', 12, 12), ('v', 'sheets', 'create', 12, 12)) as t(user_id, app, action, n, runs)""",
+    "described_steps": f"""with {_SAID} select o_orderkey as description_id, split_part(said, '.', 1) as name, per_week, array_to_string(steps, ',') as steps from told""",
+    "described_runs": f"""with {_SAID}, d as (select said, any_value(steps) as steps, any_value(per_week) as per_week from told group by 1),
+        e as (select unnest(steps) as step, greatest(12, trunc(greatest(0.25, per_week) * 10)::bigint) as runs from d)
+        select split_part(step, ':', 1) as app, split_part(step, ':', 2) as action, split_part(step, ':', 3) as object_type, sum(runs)::bigint as n, sum(runs)::bigint as runs from e group by step""",
     "scan_csv": f"""with {_SHEET} select object_id, user_id, 'unknown' as team, seconds, app, action, object_type, spent * case when event_id % 2 = 0 then 60000 else 1000 end as duration_ms, '{{"mood":"m' || (event_id % 4) || '"}}' as payload, 'upload' as source from good""",
     "scan_rejects": f"""with {_SHEET} select case when event_id % 97 = 0 then 'missing user_id: no column named user_id, employee, person or role' else 'unreadable timestamp: ''some day''' end as reject_reason, count(*) as n, true as numbered from sheet where event_id % 97 = 0 or event_id % 89 = 0 group by 1""",
     "scan_jsonl": f"""with {_SHEET} select object_id, case when event_id % 10 = 0 then 'u_local' else user_id end as user_id, seconds, app, 'update' as action, 'order_form' as object_type, spent as duration_ms, event_type as kind, spent::varchar as amount from sheet""",
