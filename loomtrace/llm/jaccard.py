@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from loomtrace.llm import exchange as X
 from loomtrace.llm import kernels as K
 from loomtrace.llm.components import connected_components
-from loomtrace.llm.storage import filter_ids, input_bytes, materialise, small
+from loomtrace.llm.storage import filter_ids, input_bytes, materialise, numbered, small
 
 #: Words of a shingle, and sets link when PERCENT * union <= 100 * intersection, unless others are asked for.
 SHINGLE = 4
@@ -326,7 +326,7 @@ def deduplicate(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     Rows without words are alone, but those with the same doc_id and the same text are one.
     """
     kept = documents.columns
-    rows = materialise(documents.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    rows = numbered(documents, ROW)
     named = join_components(rows.select(F.col(ROW).alias("doc_id"), "text"), shingle, percent).withColumnRenamed("doc_id", ROW)
     empty = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     linked = rows.select(ROW, "doc_id", "text").join(named, ROW).select(ROW, "doc_id", empty.alias("same"), F.when(empty.isNull(), F.col("component_id")).alias("component"))

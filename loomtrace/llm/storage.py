@@ -40,6 +40,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a file scan with nothing but projections on it, which gives its rows in the same places whenever it is read."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row in the column ``name``, the same whenever it is read.
+
+    A file scan needs no copy for that; rows of any other plan are written with their numbers, because a
+    shuffle that runs again may deal them out otherwise.
+    """
+    rows = df.withColumn(name, F.monotonically_increasing_id())
+    return rows if is_scan(df) else materialise(rows, "numbered")
+
+
 #: Estimates above this are those of plans whose size the optimizer doesn't know.
 UNKNOWN_BYTES = 1 << 50
 
