@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrace.llm import decontaminate, jaccard, langid, packing, suffixes
+from loomtrace.llm import decontaminate, jaccard, langid, packing, storage, suffixes
 from loomtrace.llm.queries import table
 from loomtrace.llm.storage import BROADCAST_IDS, materialise
 
@@ -24,8 +24,8 @@ LEAST_SCORE = 0.5
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a written key of the row; deterministic because it is read back."""
-    return materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("key")), "numbered")
+    """The documents with a key of the row; the table a stage is given is a file scan, so nothing is written for it."""
+    return storage.numbered(docs.select(*COLUMNS), "key")
 
 
 def as_ids(rows: DataFrame) -> DataFrame:
