@@ -152,21 +152,23 @@ def fit_weights(documents: DataFrame, labelled: DataFrame) -> DataFrame:
 
     At most ``BUCKETS`` rows for each n-gram order, whatever the size of the corpus.
     """
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = source.join(_sent(labelled.where("fold = 0 and kind <> 'low'").select("doc_id", (F.col("kind") == "good").alias("is_good"))), "doc_id")
-    hashed = lower_hashes(word_array(F.col("text"))).alias("hashed")
-    split, chosen = source.select(hashed), chosen.select("is_good", hashed)
-    buckets = gram_buckets(F.col("hashed"))
-
-    def listed(rows: DataFrame, values: Column, *keep: str) -> DataFrame:
-        # explode_outer: for explode, Spark infers a filter on the array and computes it once more for that
-        return rows.select(*keep, F.explode_outer(values).alias("bucket")).where("bucket is not null")
-
-    # all documents give one number a row; the few labelled ones are counted apart
-    raw = listed(split, buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
-    target = listed(chosen.where("is_good"), buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("target"))
-    seen = listed(chosen, F.array_distinct(buckets), "is_good").groupBy("bucket").agg(F.count_if("is_good").alias("good"), F.count_if(~F.col("is_good")).alias("toxic"))
-    counts = raw.join(target, "bucket", "left").join(seen, "bucket", "left").fillna(0, ["target", "good", "toxic"])
+    split = documents.select(F.col("doc_id").cast("long").alias("doc_id"), lower_hashes(word_array(F.col("text").cast("string"))).alias("hashed"))
+    chosen = _sent(labelled.where("fold = 0 and kind <> 'low'").select("doc_id", (F.col("kind") == "good").alias("is_good")))
+    source = split.select("doc_id", gram_buckets(F.col("hashed")).alias("buckets")).join(chosen, "doc_id", "left")
+    # one number a row: its range says whether it is an n-gram of a good document or of another one, or a
+    # distinct bucket of a good or a toxic one, by which documents are counted
+    span = len(SIGNIFICANCE) * BUCKETS
+
+    def ranged(values: Column, place: Column) -> Column:
+        return F.transform(values, lambda b: b + place * span)
+
+    told = F.concat(ranged(F.col("buckets"), F.when(F.col("is_good"), 1).otherwise(0)), ranged(F.array_distinct("buckets"), F.when(F.col("is_good"), 2).otherwise(3)))
+    # explode_outer: for explode, Spark infers a filter on the array and computes it once more for that
+    each = source.select(F.explode_outer(F.when(F.col("is_good").isNull(), F.col("buckets")).otherwise(told)).alias("at")).where("at is not null")
+    place = F.floor(F.col("at") / span)
+    counts = each.groupBy(F.pmod("at", F.lit(span)).alias("bucket")).agg(
+        F.count_if(F.col("at") < 2 * span).alias("raw"), F.count_if(place == 1).alias("target"), F.count_if(place == 2).alias("good"), F.count_if(place == 3).alias("toxic")
+    )
     order = Window.partitionBy(F.floor(F.col("bucket") / BUCKETS))
 
     def expected(own: str, count: Column) -> Column:
