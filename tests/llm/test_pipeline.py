@@ -2,6 +2,7 @@
 
 import gzip
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -79,6 +80,23 @@ def test_null_ids_stay_in_the_stages_behind(spark):
     assert stages["language_id"](spark, df, SF_DIR).count() == 3
 
 
+def test_repeated_strings_stage_returns_what_is_left(spark):
+    _, say = passages(33)
+    shared = say(60)
+    texts = [say(20) + "\n" + shared + "\n" + say(15), say(5) + " " + shared, say(40), "é" * 20 + shared + "ü", shared, None, ""]
+    rows = [(i, t, "en", "a", 99) for i, t in enumerate(texts)] + [(2, texts[2], "en", "a", 99), (None, say(30), None, None, None)]
+    got = dict(corpus_pipeline.STAGES)["repeated_strings"](spark, spark.createDataFrame(rows, SCHEMA), SF_DIR).collect()
+    data = [(r[1] or "").encode() for r in rows]
+    seen = Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    expected = []
+    for r, d in zip(rows, data, strict=True):
+        gone = {j for i in range(len(d) - 199) if seen[d[i : i + 200]] > 1 for j in range(i, i + 200)}
+        left = bytes(b for j, b in enumerate(d) if j not in gone).decode("utf-8", "ignore")
+        if left or not d:
+            expected.append((r[0], left, r[2], r[3], len(left)))
+    assert sorted(map(repr, (tuple(g) for g in got))) == sorted(map(repr, expected))
+
+
 def test_language_stage_without_any_label_keeps_lettered_documents(spark):
     docs = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
     kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF_DIR)
