@@ -45,7 +45,7 @@ SHINGLE = 4
 PERCENT = 85
 #: Shingles of a group that are linked together, and megabytes of input in a block of documents.
 BLOCK = 1 << 21
-BLOCK_MB = 4
+BLOCK_MB = 2
 #: Counts of sets are not told apart above this.
 MOST = 255
 
@@ -106,7 +106,7 @@ def describe(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 
     size = input_bytes(documents)
     count = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size >> 20) // BLOCK_MB + 1)
-    shards, bits = X.shards_of(count, 2), min(64, max(32, size.bit_length() + 8))
+    shards, bits = X.shards_of(count), min(64, max(32, size.bit_length() + 8))
     blocks = _source(documents).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
 
     def ask(block: pa.Table) -> pa.Table:
