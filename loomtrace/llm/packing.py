@@ -147,9 +147,9 @@ def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndar
     """
     if not len(starts):
         return data, starts, ends, rows, np.zeros(0, bool)
-    letters = np.concatenate([np.zeros(1, np.int64), np.cumsum(_LETTER[data])])
+    letters = np.concatenate([np.zeros(1, np.int32), np.cumsum(_LETTER[data], dtype=np.int32)])
     # the place behind the last byte of a chunk that is no punctuation
-    place = np.where(_MARK[data], 0, np.arange(1, len(data) + 1))
+    place = np.where(_MARK[data], np.int32(0), np.arange(1, len(data) + 1, dtype=np.int32))
     body = np.maximum(np.maximum.accumulate(place)[ends - 1], starts)
     plain = (body > starts) & (letters[body] - letters[starts] == body - starts)
     tail = plain & (body < ends)
@@ -159,10 +159,10 @@ def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndar
     for column, own, behind in zip(out, (starts, np.where(plain, body, ends), rows, plain), (body, ends, rows, np.zeros(len(starts), bool)), strict=True):
         column[first] = own
         column[first[tail] + 1] = behind[tail]
-    edges = np.zeros(len(data) + 1, np.int32)
+    edges = np.zeros(len(data) + 1, np.int8)
     edges[starts[plain]] += 1
     edges[body[plain]] -= 1
-    lowered = np.where(np.cumsum(edges[:-1]) > 0, K.LOWER[data], data)
+    lowered = np.where(np.cumsum(edges[:-1], dtype=np.int8) > 0, K.LOWER[data], data)
     return lowered, *out
 
 
