@@ -328,7 +328,10 @@ def deduplicate(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
     kept = documents.columns
     rows = numbered(documents, ROW)
     named = join_components(rows.select(F.col(ROW).alias("doc_id"), "text"), shingle, percent).withColumnRenamed("doc_id", ROW)
-    empty = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    linked = rows.select(ROW, "doc_id", "text").join(named, ROW).select(ROW, "doc_id", empty.alias("same"), F.when(empty.isNull(), F.col("component_id")).alias("component"))
+    # two hashes of a text tell those without words apart; the texts themselves are not joined
+    text = F.coalesce("text", F.lit(""))
+    told = rows.select(ROW, "doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    empty = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.struct("doc_id", "a", "b"))
+    linked = told.join(named, ROW).select(ROW, "doc_id", empty.alias("same"), F.when(empty.isNull(), F.col("component_id")).alias("component"))
     best = linked.groupBy("component", "same").agg(F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW))
     return rows.join(small(materialise(best.select(ROW), "kept")), ROW, "left_semi").select(*kept)
