@@ -34,7 +34,7 @@ SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 DENSE = 1 / 16
 #: Distinct chunks of text whose ids a worker remembers.
-MEMORY = 800_000
+MEMORY = 400_000
 
 TOKENS = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("length", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("ids", pa.binary())]
