@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from loomtrace.llm import chat, decontaminate, jaccard, langid, licences, lm, packing, quality, suffixes, warc
+from loomtrace.llm import chat, decontaminate, jaccard, langid, licences, lm, merkle, packing, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,67 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_pack": op3_pack, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op7_chat_format": op7_chat_format, "op8_lm_score": op8_lm_score, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, with proofs checked against tampered leaves."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_pack": op3_pack, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op7_chat_format": op7_chat_format, "op8_lm_score": op8_lm_score, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate, "op12_merkle_manifest": op12_merkle_manifest}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
+
+
+#: Unsigned CRC-32 of an ASCII text: byte by byte, eight steps of its reversed polynomial each.
+_CRC32 = "xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({}, ''), lambda ch: ord(ch)::bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+
+def _merkle_sql(levels: int = 9) -> str:
+    """SQL of the manifest for trees of at most 8 ** ``levels`` nodes: digests level by level, then folded proofs.
+
+    Nodes are (g, tree, pos, d): g 0 has a tree for each language, g 1 the one tree of their subroots.
+    """
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    enc = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}, '-')"
+    head = " || ".join(enc.format(f) for f in fields)
+    low = _LOWER.format("text")
+    parts = [
+        f"""t as (
+            select row_number() over () as r, doc_id, lang, sha256({head} || {enc.format("text")}) as leaf,
+                   case when crc32 % 3 = 0 then sha256({head} || {enc.format(low)}) end as tampered
+            from (select *, {_CRC32.format("doc_id::varchar")} as crc32 from documents)
+        ), l as (
+            select *, dense_rank() over (order by lang nulls first) - 1 as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from t
+        )"""
+    ]
+    for g, first in ((0, "select tree, pos, leaf as d from l"), (1, f"select 0 as tree, tree as pos, d from a{levels}")):
+        x = "ab"[g]
+        parts.append(f"{x}0 as materialized ({first})")
+        for k in range(levels):
+            parts.append(f"""{x}n{k} as materialized (select tree, count(*) as n from {x}{k} group by 1)""")
+            parts.append(f"""{x}{k + 1} as materialized (
+                select tree, pos // 8 as pos, case when min(n) > 1 then sha256(string_agg(d, '' order by pos)) else min(d) end as d from {x}{k} join {x}n{k} using (tree) group by 1, 2)""")
+            parts.append(f"""{x}s{k} as materialized (
+                select tree, pos, n,
+                       coalesce(string_agg(d, '') over (partition by tree, pos // 8 order by pos rows between unbounded preceding and 1 preceding), '') as lo,
+                       coalesce(string_agg(d, '') over (partition by tree, pos // 8 order by pos rows between 1 following and unbounded following), '') as hi
+                from {x}{k} join {x}n{k} using (tree))""")
+    parts.append("f0 as (select r, doc_id, tree, pos, leaf, coalesce(tampered, leaf) as f, '' as proof from l)")
+    step = 0
+    for x, key in (("a", "f.tree = s.tree and f.pos // {} = s.pos"), ("b", "f.tree // {} = s.pos")):
+        for k in range(levels):
+            parts.append(f"""f{step + 1} as (
+                select f.r, f.doc_id, f.tree, f.pos, f.leaf, case when s.n > 1 then sha256(lo || f || hi) else f end as f, proof || case when s.n > 1 then lo || hi else '' end as proof
+                from f{step} f join {x}s{k} s on {key.format(8**k)})""")
+            step += 1
+    return "with " + ", ".join(parts) + f"""
+        select doc_id, leaf, sub.d as subroot, root.d as root, sha256(proof) as proof_sha256, f as folded_root, f = root.d as verified
+        from f{step} join a{levels} sub using (tree), b{levels} root"""
+
+
 ORACLES = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op5_suffix_dedup": """
         with d as (
             select doc_id, encode(coalesce(text, '')) as b from documents
