@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from loomtrace.llm import chat, decontaminate, jaccard, langid, licences, lm, merkle, packing, quality, suffixes, warc
+from loomtrace.llm import chat, decontaminate, divergence, jaccard, langid, licences, lm, merkle, packing, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances and own terms of all sources of all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, with proofs checked against tampered leaves."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_pack": op3_pack, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op7_chat_format": op7_chat_format, "op8_lm_score": op8_lm_score, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate, "op12_merkle_manifest": op12_merkle_manifest}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_pack": op3_pack, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op7_chat_format": op7_chat_format, "op8_lm_score": op8_lm_score, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate, "op11_source_divergence": op11_source_divergence, "op12_merkle_manifest": op12_merkle_manifest}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -126,6 +131,32 @@ def _merkle_sql(levels: int = 9) -> str:
 
 
 ORACLES = {
+    "op11_source_divergence": f"""
+        with d as (
+            select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents
+        ), occ as (
+            select r, lang, source, unnest(w) as term from d
+        ), kept as (
+            select lang, term from occ group by 1, 2 having count(distinct r) >= 10
+        ), grp as (select distinct lang, source from d),
+        c as (
+            select lang, source, term, count(*) as n from occ join kept using (lang, term) group by all
+        ), dense as (
+            select g.lang, g.source, k.term, coalesce(n, 0) as n from grp g join kept k using (lang) left join c using (lang, source, term)
+        ), p as (
+            select lang, source, term, n, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over w + 2 * count(*) over w) as p from dense window w as (partition by lang, source)
+        ), q as (
+            select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over w + 2 * count(*) over w) as q
+            from (select lang, term, sum(n) as n from dense group by 1, 2) window w as (partition by lang)
+        ), apart as (
+            select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ), both_parts as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+            from grp a join grp b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+            union all
+            select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p join q using (lang, term) where n > 0 and p > q
+        )
+        select * from (select *, (row_number() over (partition by lang, source, part order by value desc, encode(item)))::int as rank from both_parts) where part = 'pair' or rank <= 10""",
     "op12_merkle_manifest": _merkle_sql(),
     "op5_suffix_dedup": """
         with d as (
