@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from loomtrace.llm import chat, decontaminate, divergence, jaccard, langid, licences, lm, merkle, packing, quality, suffixes, warc
+from loomtrace.llm import chat, decontaminate, divergence, factorisation, jaccard, langid, licences, lm, merkle, packing, quality, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_pack": op3_pack, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op7_chat_format": op7_chat_format, "op8_lm_score": op8_lm_score, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate, "op11_source_divergence": op11_source_divergence, "op12_merkle_manifest": op12_merkle_manifest}
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learned from the labels that are not held out."""
+    return factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_quality_rules": op2_quality_rules, "op3_pack": op3_pack, "op4_language_id": op4_language_id, "op5_suffix_dedup": op5_suffix_dedup, "op6_jaccard_join": op6_jaccard_join, "op7_chat_format": op7_chat_format, "op8_lm_score": op8_lm_score, "op9_warc": op9_warc, "op10_decontaminate": op10_decontaminate, "op11_source_divergence": op11_source_divergence, "op12_merkle_manifest": op12_merkle_manifest, "op13_quality_classifier": op13_quality_classifier}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
