@@ -1,7 +1,7 @@
 """Where the operators of this subpackage keep intermediate tables.
 
 A cluster names a folder that driver and executors share in ``spark.checkpoint.dir``. Only when that
-setting is absent (unit tests on one machine) a folder below the working directory is used instead.
+setting is absent, a session on one machine (tests) uses a folder below the working directory; others raise.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids are broadcast to filter a table up to this many (some 16 bytes each); more are joined by a shuffle.
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + os.path.abspath("spark-warehouse/checkpoints")
     spark.sparkContext.setCheckpointDir(own)
     return shared_dir(spark)
@@ -41,21 +43,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def is_scan(df: DataFrame) -> bool:
-    """Whether ``df`` is a file scan with nothing but projections on it, which gives its rows in the same places whenever it is read."""
+    """Whether ``df`` is a scan of Parquet files with nothing but projections on it, so that a row's file and place are known."""
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.nodeName() == "Project":
         plan = plan.children().apply(0)
-    return plan.getClass().getSimpleName() == "LogicalRelation"
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().lower()
+
+
+#: Bits of a row number for the place in a file, and for the file; hashes of file names that are tried.
+PLACE_BITS, FILE_BITS, SEEDS = 32, 31, 8
+
+
+def file_number(path: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), path).bitwiseAND((1 << FILE_BITS) - 1)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a number for each row in the column ``name``, the same whenever it is read.
+    """``df`` with a number for each row in the column ``name``, the same whenever and wherever it is read.
 
-    A file scan needs no copy for that; rows of any other plan are written with their numbers, because a
-    shuffle that runs again may deal them out otherwise.
+    Rows of a Parquet scan are numbered by their file's name and their place in it, whatever the splits, and
+    need no copy. Names are hashed with a seed that keeps all files of this scan apart. Where no seed does
+    (many files), and for rows of any other plan, the rows are written with their numbers: a shuffle or a
+    scan that runs again may deal them out otherwise.
     """
-    rows = df.withColumn(name, F.monotonically_increasing_id())
-    return rows if is_scan(df) else materialise(rows, "numbered")
+    if is_scan(df):
+        path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        files = df.select(path.alias("path")).distinct()
+        told = files.agg(F.count("*"), *(F.count_distinct(file_number(F.col("path"), k)) for k in range(SEEDS))).first()
+        seed = next((k for k in range(SEEDS) if told[k + 1] == told[0]), None)
+        if seed is not None:
+            number = F.shiftleft(file_number(path, seed), PLACE_BITS) + place
+            return df.select("*", number.alias(name))
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 #: Estimates above this are those of plans whose size the optimizer doesn't know.
