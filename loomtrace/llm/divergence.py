@@ -25,7 +25,6 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
@@ -34,13 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace.llm import kernels as K
+from loomtrace.llm.exchange import narrow, widen
 from loomtrace.llm.storage import input_bytes, materialise, small
 
 #: Documents of a language that must have a term, and ranks of a source's own terms.
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 #: Entries of a block in memory, bytes of input behind a shard, and most shards.
-ENTRIES = 200_000
+ENTRIES = 400_000
 SHARD_BYTES = 16 << 20
 SHARDS = 1 << 16
 #: Bytes of a text that are cut into terms at a time, and pairs that a task adds up before it sends them.
@@ -50,9 +50,10 @@ PAIRS = 1 << 20
 #: Byte table that lower-cases A-Z and blanks all that separates terms.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_NUMBERS = pa.list_(pa.int64())
+#: A run: terms are joined by blanks, numbers are as narrow as their largest (``exchange.narrow``). ``seen`` has all
+#: sources of a block, in one row of each language; ``held`` is the number of postings of each term.
 RUN = pa.schema(
-    [("shard", pa.int64()), ("lang", pa.string()), ("names", pa.list_(pa.string())), ("terms", pa.list_(pa.binary())), ("documents", _NUMBERS), ("ends", _NUMBERS), ("sources", _NUMBERS), ("counts", _NUMBERS)]
+    [("shard", pa.int64()), ("lang", pa.string()), ("seen", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("terms", pa.binary()), ("documents", pa.binary()), ("held", pa.binary()), ("sources", pa.binary()), ("counts", pa.binary())]
 )
 KEPT = "lang string, term string, sources array<string>, counts array<long>"
 CORRECTION = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64())])
@@ -90,27 +91,27 @@ class Block:
     def runs(self, shards: int) -> Iterator[tuple]:
         """Rows of ``RUN``: for each language and shard the terms in order, with their postings."""
         for lang, by_source in self.counts.items():
-            names = list(by_source)
-            postings: dict[bytes, list[tuple[int, int]]] = {}
-            for k, name in enumerate(names):
-                for term, n in by_source[name].items():
-                    postings.setdefault(term, []).append((k, n))
-            dealt: dict[int, list[bytes]] = {0: []}  # a run without terms still names the sources
-            for term in sorted(postings):
-                dealt.setdefault(zlib.crc32(term) % shards, []).append(term)
-            having = self.documents[lang]
-            for shard, terms in dealt.items():
-                own = [postings[t] for t in terms]
-                yield (
-                    shard,
-                    lang,
-                    names,
-                    terms,
-                    [having[t] for t in terms],
-                    np.cumsum([len(p) for p in own], dtype=np.int64),
-                    [k for p in own for k, _ in p],
-                    [n for p in own for _, n in p],
-                )
+            names, having = list(by_source), self.documents[lang]
+            # all terms by shard and then by their bytes; a posting is known by the place of its term in that
+            terms = sorted(having)
+            shard = np.fromiter((zlib.crc32(t) for t in terms), np.int64, len(terms)) % shards
+            order = np.argsort(shard, kind="stable")
+            terms, shard = [terms[k] for k in order.tolist()], shard[order]
+            documents = np.fromiter((having[t] for t in terms), np.int64, len(terms))
+            place_of = dict(zip(terms, range(len(terms)), strict=True))
+            sizes = [len(c) for c in by_source.values()]
+            place = np.fromiter((place_of[t] for c in by_source.values() for t in c), np.int64, sum(sizes))
+            counts = np.fromiter((n for c in by_source.values() for n in c.values()), np.int64, sum(sizes))
+            by_place = np.argsort(place, kind="stable")
+            sources, counts = np.repeat(np.arange(len(names)), sizes)[by_place], counts[by_place]
+            held = np.bincount(place, minlength=len(terms))
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(held)])
+            cuts = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(terms)]])
+            yield 0, lang, names, names, b"", *(narrow(np.zeros(0, np.int64)),) * 4
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = slice(ends[low], ends[high])
+                numbers = (documents[low:high], held[low:high], sources[own], counts[own])
+                yield int(shard[low]), lang, None, names, b" ".join(terms[low:high]), *(narrow(x) for x in numbers)
 
 
 def index(documents: DataFrame, shards: int) -> DataFrame:
@@ -137,28 +138,52 @@ def index(documents: DataFrame, shards: int) -> DataFrame:
     return K.map_arrow(documents.select(*columns), run, RUN)
 
 
-def entries_of(run: dict) -> Iterator[tuple[str, bytes, int, list[tuple[str, int]]]]:
-    """(lang, term, documents, postings) of a run in its order."""
-    at, names = 0, run["names"]
-    for term, documents, end in zip(run["terms"], run["documents"], run["ends"], strict=True):
-        yield run["lang"], term, documents, [(names[k], n) for k, n in zip(run["sources"][at:end], run["counts"][at:end], strict=True)]
-        at = end
+def merged(runs: list[dict]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Terms of the runs of one language in order, one after another: (terms, number of each over all runs, where terms are new)."""
+    terms = [r["terms"].split() for r in runs]
+    base = np.cumsum([0, *map(len, terms)]).tolist()
+    found = list(heapq.merge(*(zip(t, range(b, b + len(t)), strict=True) for t, b in zip(terms, base, strict=False))))
+    order = np.fromiter(map(itemgetter(1), found), np.int64, len(found))
+    fresh = np.fromiter((a[0] != b[0] for a, b in zip(found, found[1:], strict=False)), bool, max(len(found) - 1, 0))
+    return [f[0] for f in found], order, np.concatenate([np.zeros(min(len(found), 1), np.int64), np.flatnonzero(fresh) + 1])
 
 
 def merge(runs: pa.Table) -> pa.Table:
-    """Terms of a shard in enough documents, with their counts by source (``KEPT``): a heap merge of its runs."""
-    merged = heapq.merge(*(entries_of(r) for r in runs.to_pylist()), key=itemgetter(0, 1))
-    out: list[tuple] = []
-    for (lang, term), same in groupby(merged, key=itemgetter(0, 1)):
-        documents, counts = 0, Counter()
-        for _, _, having, postings in same:
-            documents += having
-            for name, n in postings:
-                counts[name] += n
-        if documents >= LEAST_DOCUMENTS:
-            out.append((lang, term.decode(), list(counts), list(counts.values())))
-    types = (pa.string(), pa.string(), pa.list_(pa.string()), _NUMBERS)
-    return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate(zip(("lang", "term", "sources", "counts"), types, strict=True))})
+    """Terms of a shard in enough documents, with their counts by source (``KEPT``): a heap merge of its runs.
+
+    Postings are looked at only for terms that are kept.
+    """
+    by_lang: dict[str, list[dict]] = {}
+    for run in runs.to_pylist():
+        by_lang.setdefault(run["lang"], []).append(run)
+    out = []
+    for lang, own in by_lang.items():
+        terms, order, starts = merged(own)
+        if not len(starts):
+            continue
+        documents = np.concatenate([widen(r["documents"]) for r in own]).astype(np.int64)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        enough = np.add.reduceat(documents[order], starts) >= LEAST_DOCUMENTS
+        if not enough.any():
+            continue
+        names: dict[str, int] = {}
+        told = [np.array([names.setdefault(n, len(names)) for n in r["names"]])[widen(r["sources"])] for r in own]
+        source, counts = np.concatenate(told), np.concatenate([widen(r["counts"]) for r in own]).astype(np.int64)
+        held = np.concatenate([widen(r["held"]) for r in own]).astype(np.int64)
+        first = np.cumsum(held) - held
+        entry, at = order[enough[group]], group[enough[group]]
+        size = held[entry]
+        posting = np.repeat(first[entry] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        keys, inverse = np.unique(np.repeat(at, size) * len(names) + source[posting], return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, inverse, counts[posting])
+        ends = np.searchsorted(keys // len(names), np.flatnonzero(enough), "right").astype(np.int32)
+        cut = pa.array(np.concatenate([np.zeros(1, np.int32), ends]))
+        kept = [terms[k].decode() for k in starts[enough].tolist()]
+        sources = pa.ListArray.from_arrays(cut, pa.array(list(names)).take(pa.array(keys % len(names))))
+        out.append(pa.table({"lang": pa.array([lang] * len(kept)), "term": pa.array(kept), "sources": sources, "counts": pa.ListArray.from_arrays(cut, pa.array(sums))}))
+    types = {"lang": pa.string(), "term": pa.string(), "sources": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
+    return pa.concat_tables(out).combine_chunks() if out else pa.schema(list(types.items())).empty_table()
 
 
 def share(count: Column, size: Column, terms: Column) -> Column:
@@ -268,7 +293,7 @@ def audit(documents: DataFrame) -> DataFrame:
     runs = materialise(index(documents, shards), "runs")
     kept = materialise(runs.groupBy("shard").applyInArrow(merge, KEPT), "terms")
 
-    named = runs.select("lang", F.explode("names").alias("source")).distinct()
+    named = runs.select("lang", F.explode("seen").alias("source")).distinct()
     count = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
     at = F.explode(F.arrays_zip("sources", "counts")).alias("at")
     each = kept.select("lang", "term", count.alias("lang_n"), at).select("lang", "term", "lang_n", F.col("at.sources").alias("source"), F.col("at.counts").alias("n"))

@@ -99,5 +99,5 @@ def test_merge_sums_runs():
     for k in range(12):
         block.add("en", f"s{k % 2}", b"alpha beta" if k < 9 else b"alpha")
     rows = [dict(zip(divergence.RUN.names, r, strict=True)) for r in block.runs(1)]
-    merged = divergence.merge(pa.Table.from_pylist([{**r, "ends": list(r["ends"])} for r in rows], schema=divergence.RUN)).to_pylist()
+    merged = divergence.merge(pa.Table.from_pylist(rows, schema=divergence.RUN)).to_pylist()
     assert merged == [{"lang": "en", "term": "alpha", "sources": ["s0", "s1"], "counts": [6, 6]}]
