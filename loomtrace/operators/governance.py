@@ -40,7 +40,11 @@ def trust_state(shadow_runs: DataFrame, automations: DataFrame) -> DataFrame:
         F.count_if("critical").alias("criticals"),
         F.count_if(F.col("critical") & (F.col("nth") <= C.DEMOTE_LOOKBACK)).alias("late_criticals"),
     )
-    joined = automations.join(sums, "automation_id", "left").fillna(0, ["n", "average", "criticals", "late_criticals"])
+    return evaluated(automations.join(sums, "automation_id", "left").fillna(0, ["n", "average", "criticals", "late_criticals"]))
+
+
+def evaluated(sums: DataFrame, *more: str) -> DataFrame:
+    """What the policy says of automations (automation_id, trust_level, n, average, criticals, late_criticals), with ``more`` columns."""
     ready = (F.col("n") >= C.PROMOTE_RUNS) & (F.col("average") >= C.PROMOTE_SCORE) & (F.col("criticals") == 0)
     at = rank(F.col("trust_level"))
     percent = F.concat(F.bround(F.round("average", 9) * 100).cast("long").cast("string"), F.lit("%"))
@@ -53,8 +57,8 @@ def trust_state(shadow_runs: DataFrame, automations: DataFrame) -> DataFrame:
     )
     top = F.when(at == len(C.TRUST_LEVELS) - 1, F.lit("already at the top of the ladder"))
     down = (F.col("late_criticals") > 0) & (at > 0)
-    return joined.select(
-        "automation_id", "trust_level", "n",
+    return sums.select(
+        "automation_id", *more, "trust_level", "n",
         F.round("average", 6).alias("average"),
         (ready & (at < len(C.TRUST_LEVELS) - 1)).alias("can_promote"),
         down.alias("must_demote"),
@@ -73,7 +77,7 @@ def moved(state: DataFrame, requests: DataFrame) -> DataFrame:
     asked = state.join(requests.groupBy("automation_id").agg(F.max("force").alias("force")), "automation_id", "left")
     at = rank(F.col("trust_level"))
     up = ~F.col("must_demote") & F.col("force").isNotNull() & (at < len(C.TRUST_LEVELS) - 1) & (F.col("can_promote") | F.col("force"))
-    reason = F.when(F.col("must_demote"), "critical field mismatch detected").when(up & F.col("can_promote"), "policy satisfied").when(up, "manual override by operator")
+    reason = F.when(F.col("must_demote"), C.DEMOTED).when(up & F.col("can_promote"), "policy satisfied").when(up, "manual override by operator")
     return asked.select("automation_id", "trust_level", F.when(F.col("must_demote"), level(at - 1)).when(up, level(at + 1)).otherwise(F.col("trust_level")).alias("new_level"), reason.alias("reason"))
 
 

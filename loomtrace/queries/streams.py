@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtrace import constants as C
 from loomtrace.plans.adapters import activity
-from loomtrace.queries import joins, sql
+from loomtrace.queries import governance, joins, logs, sql
 from loomtrace.sources.shared import new_path
+from loomtrace.operators import governance as G
 from loomtrace.streaming import flows as S
+from loomtrace.streaming import stateful as T
 
 WINDOW = "6 hours"
 
@@ -61,9 +64,53 @@ def stream_increment(spark, sf_dir):
     return S.since(log, marks).groupBy("app").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
-QUERIES = {f.__name__: f for f in (stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment)}
+#: Files that rows of the state machines are dealt to at random, and files of a micro-batch.
+DEALT, TAKEN = 12, 4
+
+
+def _shuffled(spark, rows, by: str, tick=None):
+    """``rows`` as a stream in several micro-batches without order; then ``tick``, which lets the watermark pass all of them."""
+    folder = new_path(spark, "arrived")
+    rows.repartition(DEALT, F.xxhash64(by)).write.parquet(folder)
+    if tick is not None:
+        tick.coalesce(1).write.mode("append").parquet(folder)
+    return S.signals(spark, folder, rows.schema, TAKEN)
+
+
+def stream_steps(spark, sf_dir):
+    """Task instances by all rules of sessions, from events that come in any order."""
+    events = _timed(spark, sf_dir).select("user_id", "ts", "ts_ms", "id", "app", "action", "duration_ms", "session_id")
+    last = events.agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("interval 400 days"))
+    tick = last.select(F.lit("nobody").alias("user_id"), "ts", F.unix_millis("ts").alias("ts_ms"), F.lit(-1).cast("long").alias("id"), F.lit("x").alias("app"), F.lit("x").alias("action"), F.lit(0).cast("long").alias("duration_ms"), F.lit(None).cast("string").alias("session_id"))
+    return T.drained(T.sessionised(_shuffled(spark, events, "id", tick), "200 days", logs.GAP), "steps").where("user_id <> 'nobody'")
+
+
+def _runs(spark, sf_dir):
+    return governance._shadow(spark, sf_dir).join(governance._automations(spark, sf_dir).select("automation_id", "trust_level"), "automation_id")
+
+
+def stream_trust(spark, sf_dir):
+    """Moves on the ladder by the last row of each automation in the change feed; shadow runs come in any order."""
+    feed = T.drained(T.trust_feed(_shuffled(spark, _runs(spark, sf_dir), "sequence")), "feed")
+    requests = governance._automations(spark, sf_dir).where("parts % 2 = 0").select("automation_id", (F.col("parts") % 3 == 0).alias("force"))
+    return G.moved(T.latest(feed), requests)
+
+
+def stream_ladder(spark, sf_dir):
+    """Every automatic demotion, enforced run by run though runs come in any order; a run's time is its number."""
+    runs = _runs(spark, sf_dir).select("automation_id", "trust_level", F.timestamp_seconds("sequence").alias("ts"), "sequence", "critical")
+    tick = runs.agg(F.max("ts").alias("ts")).select(F.lit("nobody").alias("automation_id"), F.lit(C.TRUST_LEVELS[0]).alias("trust_level"), (F.col("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(0).cast("long").alias("sequence"), F.lit(False).alias("critical"))
+    return T.drained(T.enforced(_shuffled(spark, runs, "sequence", tick), "200 days"), "ladder")
+
+
+QUERIES = {f.__name__: f for f in (stream_steps, stream_trust, stream_ladder, stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment)}
 
 ORACLES = {
+    "stream_steps": logs.ORACLES["sessionise_240"],
+    "stream_trust": governance.ORACLES["trust_moves"],
+    "stream_ladder": f"""with {governance._SHADOW}, c as (select *, max(case when critical then sequence end) over (partition by automation_id order by sequence rows unbounded preceding) as last from shadow),
+        d as (select c.automation_id, sequence, rank - row_number() over (partition by c.automation_id order by sequence) as left_ from c join autos using (automation_id) where sequence - last < 3)
+        select automation_id, sequence, (['OBSERVE', 'SUGGEST', 'SHADOW', 'ASSIST', 'AUTONOMOUS'])[left_ + 1] as trust_level, 'critical field mismatch detected' as reason from d where left_ >= 0""",
     "stream_sessions": f"""with {sql.ACTIVITY}, g as (select *, coalesce((ts_ms - lag(ts_ms) over (partition by user_id order by ts_ms) > 14400000)::int, 0) as cut from activity),
         s as (select *, sum(cut) over (partition by user_id order by ts_ms rows unbounded preceding) as task from g)
         select user_id, min(ts_ms) as started_ms, max(ts_ms) as ended_ms, count(*) as n_events from s group by user_id, task""",
