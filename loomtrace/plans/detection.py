@@ -22,14 +22,13 @@ def detect(events: DataFrame, gap_ms: int = C.SESSION_GAP_MS) -> DataFrame:
 
     ``events`` are canonical events with a payload value ``k``. Clusters need ``MIN_INSTANCES`` instances and
     a representative of ``MIN_STEPS`` steps; those of fewer than ``STRONG_INSTANCES`` also similarity and
-    confidence. Judgement counts as 0: events have no free text. More variants than
-    ``clusters.MAX_VARIANTS`` are refused, not cut.
+    confidence. Judgement counts as 0: events have no free text.
     """
     steps = written(sessionise(events, gap_ms), "steps")
     runs = written(instances(steps), "runs")
     variants = written(K.variants(runs), "variants")
-    pairs = written(K.similarity_pairs(variants), "pairs")
-    placed = written(K.fuzzy_clusters(variants, pairs), "placed")
+    placed, pairs = K.clustered(variants)
+    placed = written(placed, "placed")
     medoids = written(K.medoids(variants, pairs, placed), "medoids")
     found = written(runs.join(placed, "signature_hash"), "found")
     main = medoids.join(variants.select("signature_hash", "signature"), "signature_hash").select("cluster_id", F.col("signature_hash").alias("main_hash"), "signature")

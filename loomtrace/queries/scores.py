@@ -164,16 +164,23 @@ def embedding_cosine_topk(spark, sf_dir):
     return nearest(vectors.where("vec_id % 20 = 0"), vectors, 10)
 
 
+def near_variants(spark, sf_dir):
+    """Combined similarity of all pairs of variants that could merge by it."""
+    found = written(_variants(spark, sf_dir), "variants")
+    pairs = K.near_pairs(found, written(K.tfidf(found), "vectors"))
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def fuzzy_clusters(spark, sf_dir):
     """Variants with their fuzzy cluster and whether they are its medoid."""
     found = written(_variants(spark, sf_dir), "variants")
-    pairs = written(K.similarity_pairs(found), "pairs")
-    placed = written(K.fuzzy_clusters(found, pairs), "placed")
+    placed, pairs = K.clustered(found)
+    placed = written(placed, "placed")
     best = K.medoids(found, pairs, placed).select("signature_hash", F.lit(True).alias("medoid"))
     return placed.join(found, "signature_hash").join(best, "signature_hash", "left").select("signature_hash", "cluster_id", "n", F.coalesce("medoid", F.lit(False)).alias("medoid"))
 
 
-QUERIES = {f.__name__: f for f in (hash_buckets, variant_shares, step_entropy, parameter_spread, free_text_ratio, branch_count, step_graph, effort, per_user, cluster_scores, variables_constants, observed_fields, similarity_pairs, tfidf_cosine_pairs, embedding_cosine_topk, fuzzy_clusters)}
+QUERIES = {f.__name__: f for f in (hash_buckets, variant_shares, step_entropy, parameter_spread, free_text_ratio, branch_count, step_graph, effort, per_user, cluster_scores, variables_constants, observed_fields, similarity_pairs, tfidf_cosine_pairs, near_variants, embedding_cosine_topk, fuzzy_clusters)}
 
 _BASE = f"""{sql.ORDERS}, found as (
         select k.*, o.o_orderpriority as cluster_id, len(raw_signature) - len(signature) as context_switches from keyed k join orders o on o.o_orderkey = k.instance_id
@@ -241,6 +248,11 @@ ORACLES = {
         from v x join v y on x.signature_hash < y.signature_hash""",
     "tfidf_cosine_pairs": f"""with {_BASE}, {_GRAMS} select a.signature_hash as a, b.signature_hash as b, round(sum(a.x * b.x), 6) as cosine
         from unit a join unit b on a.gram = b.gram and a.signature_hash < b.signature_hash group by 1, 2""",
+    "near_variants": f"""with {_BASE}, {_GRAMS}, v as (select signature_hash, any_value(signature) as signature, any_value(array_to_string(signature, '')) as code from keyed group by 1),
+        cos as (select a.signature_hash as a, b.signature_hash as b, sum(a.x * b.x) as cosine from unit a join unit b on a.gram = b.gram and a.signature_hash < b.signature_hash group by 1, 2),
+        p as (select x.signature_hash as a, y.signature_hash as b, 1 - levenshtein(x.code, y.code) / greatest(length(x.code), length(y.code)) as seq,
+                     len(list_intersect(x.signature, y.signature)) / len(list_distinct(list_concat(x.signature, y.signature))) as jac from v x join v y on x.signature_hash < y.signature_hash)
+        select a, b, round(similarity, 6) as similarity from (select a, b, 0.45 * seq + 0.30 * jac + 0.25 * greatest(0.0, least(1.0, coalesce(cosine, 0))) as similarity from p left join cos using (a, b)) where 1 - similarity < 0.65""",
     "embedding_cosine_topk": """select query_id, vec_id, label, cosine, rank from (
         select q.vec_id as query_id, v.vec_id, v.label, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) as cosine,
                row_number() over (partition by q.vec_id order by round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 5) desc, v.vec_id) as rank
