@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace import constants as C
+from loomtrace.operators.ranks import medians
 
 
 def step_entropy(instances: DataFrame, cluster: str = "cluster_id", variant: str = "signature_hash") -> DataFrame:
@@ -43,10 +44,11 @@ def effort(instances: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     base = instances.groupBy(cluster).agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("user_id").alias("users"),
-        F.percentile("duration_ms", 0.5).cast("long").alias("median_ms"),
         span_days.alias("days"),
         F.sum("context_switches").alias("switches"),
     )
+    middle = medians(instances, [cluster], "duration_ms", "median")
+    base = base.join(middle, cluster).withColumn("median_ms", F.col("median").cast("long"))
     rated = base.withColumn("weekly", F.col("n") / F.col("users") / (F.col("days") / 7.0))
     yearly = F.col("weekly") * C.WORK_WEEKS * F.col("users")
     return rated.select(

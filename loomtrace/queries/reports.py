@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtrace import constants as C
@@ -10,6 +9,7 @@ from loomtrace.operators import governance as V
 from loomtrace.operators import replay as R
 from loomtrace.operators import reports as P
 from loomtrace.operators import scoring as S
+from loomtrace.operators.ranks import placed
 from loomtrace.plans.adapters import activity, table
 from loomtrace.queries import sql
 from loomtrace.queries.workflows import recorded, tokens
@@ -46,9 +46,9 @@ def cluster_list(spark, sf_dir):
     """Clusters by falling priority with their rank by hours and count, their automation (if any) and whether they are recommended."""
     own = automations(spark, sf_dir).groupBy("cluster_id").agg(F.max("automation_id").alias("automation_id"))
     found = clusters(spark, sf_dir).withColumn("annual", F.round("annual_hours", 6))
-    by_hours = F.row_number().over(Window.orderBy(F.desc("annual"), F.desc("n"), "cluster_id"))
-    top = F.row_number().over(Window.orderBy("do_not_automate", F.desc(F.round("priority", 6)), "cluster_id"))
-    joined = found.join(own, "cluster_id", "left").withColumns({"hours_rank": by_hours, "priority_rank": top})
+    by_hours = placed(found, "hours_rank", F.desc("annual"), F.desc("n"), F.asc("cluster_id"))
+    ranked = placed(by_hours, "priority_rank", F.asc("do_not_automate"), F.desc(F.round("priority", 6)), F.asc("cluster_id"))
+    joined = ranked.join(own, "cluster_id", "left")
     passes = P.passes_gate(F.col("n"), F.lit(1.0), F.col("confidence"))
     return joined.select("cluster_id", "n", "annual", F.round("priority", 6).alias("priority"), "hours_rank", "priority_rank", "automation_id", (passes & ~F.col("dismissed") & ~F.col("do_not_automate")).alias("recommended"))
 
@@ -121,13 +121,12 @@ def roi_rows(spark, sf_dir):
 def automation_list(spark, sf_dir):
     """Automations by falling coverage and name, with the level distribution beside them."""
     found = automations(spark, sf_dir)
-    place = F.row_number().over(Window.orderBy(F.desc("coverage"), "name", "automation_id"))
-    return found.withColumn("place", place).join(found.groupBy("trust_level").agg(F.count(F.lit(1)).alias("at_level")), "trust_level")
+    return placed(found, "place", F.desc("coverage"), F.asc("name"), F.asc("automation_id")).join(found.groupBy("trust_level").agg(F.count(F.lit(1)).alias("at_level")), "trust_level")
 
 
 def next_sequences(spark, sf_dir):
     """The number of the next shadow run of each brand's automation."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber >= 6").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     runs = lines.groupBy(F.col("p_brand").alias("automation_id"), "l_shipdate").agg(F.count(F.lit(1)).alias("sequence"))
     return P.next_sequence(runs, table(spark, sf_dir, "part").select(F.col("p_brand").alias("automation_id")).distinct())
 
@@ -185,7 +184,7 @@ ORACLES = {
         select round(coalesce(projected, 0), 1) as projected, round(coalesce(tax, 0), 1) as tax, round(coalesce(realised, 0), 1) as realised, round(coalesce(tax_recovered, 0), 1) as tax_recovered, clusters, automatable, automations, autonomous, round(coalesce(average_coverage, 0), 4) as average_coverage from p, r""",
     "roi_rows": f"{_CLUSTERS} select automation_id, trust_level, coverage, round(annual_hours, 6) as annual_hours, round(tax_hours, 6) as tax_hours from auto join cl using (cluster_id)",
     "automation_list": f"{_CLUSTERS} select *, row_number() over (order by coverage desc, name, automation_id) as place, count(*) over (partition by trust_level) as at_level from auto",
-    "next_sequences": """with r as (select p_brand as automation_id, l_shipdate, count(*) as sequence from lineitem join part on l_partkey = p_partkey where l_linenumber >= 6 group by 1, 2)
+    "next_sequences": """with r as (select p_brand as automation_id, l_shipdate, count(*) as sequence from lineitem join part on l_partkey = p_partkey group by 1, 2)
         select automation_id, coalesce(max(sequence), 0) + 1 as next_sequence from (select distinct p_brand as automation_id from part) left join r using (automation_id) group by 1""",
     "vocabulary_unions": f"""with {sql.ACTIVITY}, s as (select app, list_sort(list(distinct 'k' || (k % 40)) filter (where ts_ms < 1705276800000)) as e, list_sort(list(distinct 'k' || (k % 40)) filter (where ts_ms >= 1705276800000)) as l from activity group by 1)
         select app, array_to_string(list_sort(list_distinct(list_concat(e, l))), ',') as together, coalesce(array_to_string(list_filter(e, lambda x: not list_contains(l, x)), ','), '') as early_only,

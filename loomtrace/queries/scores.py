@@ -9,6 +9,7 @@ from loomtrace import constants as C
 from loomtrace.functions.sequences import collapse, signature_hash
 from loomtrace.operators import clusters as K
 from loomtrace.operators import reports as P
+from loomtrace.operators.ranks import medians
 from loomtrace.operators import scoring as S
 from loomtrace.operators.vectors import nearest
 from loomtrace.plans.adapters import chats, order_steps, table
@@ -89,17 +90,18 @@ def step_graph(spark, sf_dir):
 
 
 def effort(spark, sf_dir):
-    found = S.effort(runs(spark, sf_dir))
+    found = S.effort(written(runs(spark, sf_dir), "runs"))
     return found.select("cluster_id", "n", "users", "median_ms", *(F.round(c, 6).alias(c) for c in ("weekly", "annual_hours", "tax_hours")))
 
 
 def per_user(spark, sf_dir):
     """Each user's instances, median duration and hours at the cluster's weekly rate."""
-    found = runs(spark, sf_dir)
+    found = written(runs(spark, sf_dir), "runs")
     rate = S.effort(found).select("cluster_id", "weekly")
-    users = found.groupBy("cluster_id", "user_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("duration_ms", 0.5).cast("long").alias("median_ms"))
+    counts = found.groupBy("cluster_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    users = counts.join(medians(found, ["cluster_id", "user_id"], "duration_ms", "median"), ["cluster_id", "user_id"]).withColumn("median_ms", F.col("median").cast("long"))
     hours = F.col("median_ms") / 3_600_000.0 * F.greatest(F.col("weekly"), F.lit(0.01)) * C.WORK_WEEKS
-    return users.join(F.broadcast(rate), "cluster_id").select("cluster_id", "user_id", "n", "median_ms", F.round(hours, 6).alias("hours"))
+    return users.join(rate, "cluster_id").select("cluster_id", "user_id", "n", "median_ms", F.round(hours, 6).alias("hours"))
 
 
 def cluster_scores(spark, sf_dir):

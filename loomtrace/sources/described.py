@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace import constants as C
+from loomtrace.operators.ranks import once
 
 _STEP = "struct<at:int,app:string,action:string,object_type:string>"
 
@@ -23,9 +24,10 @@ def steps_of(text: Column) -> Column:
     lower = F.lower(F.coalesce(text, F.lit("")))
     found = []
     for words, app, action, kind in C.DESCRIBED_STEPS:
-        places = F.filter(F.array(*(F.instr(lower, w) for w in words)), lambda p: p > 0)
-        found.append(F.when(F.size(places) > 0, F.struct(F.array_min(places).alias("at"), F.lit(app).alias("app"), F.lit(action).alias("action"), F.lit(kind).alias("object_type"))))
-    ordered = F.array_sort(F.array_compact(F.array(*found)))
+        # least() passes over nulls: words that are not there
+        first = F.least(*(F.nullif(F.instr(lower, w), F.lit(0)) for w in (words if len(words) > 1 else [*words, *words])))
+        found.append(F.struct(first.alias("at"), F.lit(app).alias("app"), F.lit(action).alias("action"), F.lit(kind).alias("object_type")))
+    ordered = F.array_sort(F.filter(F.array(*found), lambda s: s["at"].isNotNull()))
     usual = F.array(*(F.struct(F.lit(i).alias("at"), *(F.lit(v).alias(n) for n, v in zip(("app", "action", "object_type"), step, strict=True))) for i, step in enumerate(C.USUAL_STEPS)))
     return F.when(F.size(ordered) >= 2, ordered).otherwise(usual).cast(f"array<{_STEP}>")
 
@@ -38,8 +40,9 @@ def per_week(text: Column) -> Column:
 
 def described(texts: DataFrame) -> DataFrame:
     """(description_id, user_id, name, steps, per_week) of (description_id, user_id, text)."""
+    # words are looked for once a text, in a row of its own, and not for every run and step
     name = F.substring(F.trim(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\.")[0]), 1, 80)
-    return texts.select("description_id", "user_id", F.when(name != "", name).otherwise("Described workflow").alias("name"), steps_of(F.col("text")).alias("steps"), per_week(F.col("text")).alias("per_week"))
+    return texts.select("description_id", "user_id", F.when(name != "", name).otherwise("Described workflow").alias("name"), once(F.struct(steps_of(F.col("text")).alias("steps"), per_week(F.col("text")).alias("per_week"))).alias("d")).select("description_id", "user_id", "name", "d.*")
 
 
 def events_of(found: DataFrame, weeks: int, until_ms: int) -> DataFrame:

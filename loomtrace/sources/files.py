@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomtrace import constants as C
 from loomtrace.functions import normalise as N
+from loomtrace.operators.ranks import once
 
 CELLS = "map<string,string>"
 
@@ -38,10 +39,10 @@ def _last_of_each(entries: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def csv_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(file, line, cells, default_user, problem) of CSV files that share a heading.
 
-    Cells may hold line breaks; files without any can be split with ``multi_line=False``.
+    Files are read in parts; with ``multi_line`` cells may hold line breaks, and a file is one task.
     """
     raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     names = [c for c in raw.columns if c]
@@ -57,25 +58,26 @@ def csv_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 def jsonl_rows(spark: SparkSession, path: str) -> DataFrame:
     """The same of JSON lines; whether a line names a person is decided by the line."""
     lines = numbered(spark.read.text(path), 1).where(F.trim("value") != "")
-    parsed = F.from_json("value", CELLS)
-    entries = F.transform(F.map_entries(parsed), lambda e: F.struct(N.canonical_key(e["key"]).alias("key"), e["value"].alias("value")))
-    rows = lines.withColumn("cells", F.when(F.trim("value").startswith("{"), _last_of_each(entries)))
+    # each step is a row of its own, so that a line is parsed once and not for every field that is read of it
+    parsed = lines.select("file", "line", once(F.when(F.trim("value").startswith("{"), F.from_json("value", CELLS))).alias("parsed"))
+    entries = F.transform(F.map_entries("parsed"), lambda e: F.struct(N.canonical_key(e["key"]).alias("key"), e["value"].alias("value")))
+    rows = parsed.select("file", "line", once(entries).alias("entries")).select("file", "line", once(_last_of_each(F.col("entries"))).alias("cells"))
     named = F.arrays_overlap(F.map_keys("cells"), F.array(*map(F.lit, C.COLUMN_ALIASES["user_id"])))
     return rows.select(
         "file",
         "line",
-        F.map_filter("cells", lambda _, v: v.isNotNull() & (v != "")).alias("cells"),
+        once(F.map_filter("cells", lambda _, v: v.isNotNull() & (v != ""))).alias("cells"),
         F.when(~named, F.lit(C.LOCAL_USER)).alias("default_user"),
         F.when(F.col("cells").isNull(), F.lit("line is not a JSON object")).alias("problem"),
     )
 
 
-def log_rows(spark: SparkSession, path: str, sample: str = "") -> DataFrame:
+def log_rows(spark: SparkSession, path: str, sample: str = "", multi_line: bool = False) -> DataFrame:
     """Rows of a log by its name: JSON lines, CSV, else by the first character of ``sample``."""
     name = path.lower()
     if name.endswith((".jsonl", ".ndjson", ".json")) or (not name.endswith(".csv") and sample.lstrip().startswith("{")):
         return jsonl_rows(spark, path)
-    return csv_rows(spark, path)
+    return csv_rows(spark, path, multi_line)
 
 
 def field(cells: Column, canonical: str) -> Column:
@@ -128,9 +130,9 @@ def normalise(rows: DataFrame, source: str = "upload") -> DataFrame:
     )
 
 
-def read_log(spark: SparkSession, path: str, source: str = "upload", sample: str = "") -> tuple[DataFrame, DataFrame]:
+def read_log(spark: SparkSession, path: str, source: str = "upload", sample: str = "", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of a log file or folder; rejects are (file, line, message)."""
-    found = normalise(log_rows(spark, path, sample), source)
+    found = normalise(log_rows(spark, path, sample, multi_line), source)
     message = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("reject_reason"))
     return found.where("reject_reason is null").drop("reject_reason", "line", "file"), found.where("reject_reason is not null").select("file", "line", message.alias("message"))
 
