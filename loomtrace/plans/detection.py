@@ -24,7 +24,11 @@ def detect(events: DataFrame, gap_ms: int = C.SESSION_GAP_MS) -> DataFrame:
     a representative of ``MIN_STEPS`` steps; those of fewer than ``STRONG_INSTANCES`` also similarity and
     confidence. Judgement counts as 0: events have no free text.
     """
-    steps = written(sessionise(events, gap_ms), "steps")
+    return findings(written(sessionise(events, gap_ms), "steps"))
+
+
+def findings(steps: DataFrame) -> DataFrame:
+    """``detect`` from the steps of all instances, a written table."""
     runs = written(instances(steps), "runs")
     variants = written(K.variants(runs), "variants")
     placed, pairs = K.clustered(variants)

@@ -9,6 +9,7 @@ from loomtrace.plans.adapters import activity
 from loomtrace.queries import governance, joins, logs, sql
 from loomtrace.sources.shared import new_path
 from loomtrace.operators import governance as G
+from loomtrace.streaming import detection
 from loomtrace.streaming import flows as S
 from loomtrace.streaming import stateful as T
 
@@ -68,13 +69,13 @@ def stream_increment(spark, sf_dir):
 DEALT, TAKEN = 12, 4
 
 
-def _shuffled(spark, rows, by: str, tick=None):
+def _shuffled(spark, rows, by: str, tick=None, taken: int = TAKEN):
     """``rows`` as a stream in several micro-batches without order; then ``tick``, which lets the watermark pass all of them."""
     folder = new_path(spark, "arrived")
     rows.repartition(DEALT, F.xxhash64(by)).write.parquet(folder)
     if tick is not None:
         tick.coalesce(1).write.mode("append").parquet(folder)
-    return S.signals(spark, folder, rows.schema, TAKEN)
+    return S.signals(spark, folder, rows.schema, taken)
 
 
 def stream_steps(spark, sf_dir):
@@ -96,6 +97,15 @@ def stream_trust(spark, sf_dir):
     return G.moved(T.latest(feed), requests)
 
 
+def stream_detection(spark, sf_dir):
+    """Steps that detection keeps up to date as events arrive in any order, and the batch of the findings."""
+    events = _timed(spark, sf_dir)
+    kept = detection.Detector(new_path(spark, "detector"), logs.GAP, buckets=16)
+    kept.run(_shuffled(spark, events, "id", taken=8).drop("ts"))
+    last = kept.steps(spark).crossJoin(F.broadcast(kept.counts(spark).agg(F.sum("n").alias("seen"))))
+    return last.select("instance_id", "user_id", "pos", "id", "ts_ms", "seen")
+
+
 def stream_ladder(spark, sf_dir):
     """Every automatic demotion, enforced run by run though runs come in any order; a run's time is its number."""
     runs = _runs(spark, sf_dir).select("automation_id", "trust_level", F.timestamp_seconds("sequence").alias("ts"), "sequence", "critical")
@@ -103,10 +113,11 @@ def stream_ladder(spark, sf_dir):
     return T.drained(T.enforced(_shuffled(spark, runs, "sequence", tick), "200 days"), "ladder")
 
 
-QUERIES = {f.__name__: f for f in (stream_steps, stream_trust, stream_ladder, stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment)}
+QUERIES = {f.__name__: f for f in (stream_steps, stream_detection, stream_trust, stream_ladder, stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment)}
 
 ORACLES = {
     "stream_steps": logs.ORACLES["sessionise_240"],
+    "stream_detection": f"with {sql.ACTIVITY}, {sql.steps(logs.GAP)} select instance_id, user_id, pos, id, ts_ms, (select count(*) from activity) as seen from steps",
     "stream_trust": governance.ORACLES["trust_moves"],
     "stream_ladder": f"""with {governance._SHADOW}, c as (select *, max(case when critical then sequence end) over (partition by automation_id order by sequence rows unbounded preceding) as last from shadow),
         d as (select c.automation_id, sequence, rank - row_number() over (partition by c.automation_id order by sequence) as left_ from c join autos using (automation_id) where sequence - last < 3)
