@@ -87,8 +87,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: The C library keeps freed blocks, up to a size that it raises as it goes. With a fixed one, Python workers give
+#: the arrays of one stage back before the next one runs beside them.
+MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over all documents."""
+    for name, value in MALLOC.items():
+        spark.sparkContext.environment.setdefault(name, value)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
