@@ -39,11 +39,15 @@ def _last_of_each(entries: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def csv_rows(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def csv_rows(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """(file, line, cells, default_user, problem) of CSV files that share a heading.
 
-    Files are read in parts; with ``multi_line`` cells may hold line breaks, and a file is one task.
+    Files are read in parts, unless a cell holds a line break: then a file is one task. If it isn't said
+    whether one does, a pass over the lines looks for a line whose quotes don't pair up, as the first of
+    such a record has.
     """
+    if multi_line is None:
+        multi_line = not spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
     raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     names = [c for c in raw.columns if c]
     keyed = {}
@@ -72,7 +76,7 @@ def jsonl_rows(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def log_rows(spark: SparkSession, path: str, sample: str = "", multi_line: bool = False) -> DataFrame:
+def log_rows(spark: SparkSession, path: str, sample: str = "", multi_line: bool | None = None) -> DataFrame:
     """Rows of a log by its name: JSON lines, CSV, else by the first character of ``sample``."""
     name = path.lower()
     if name.endswith((".jsonl", ".ndjson", ".json")) or (not name.endswith(".csv") and sample.lstrip().startswith("{")):
@@ -130,7 +134,7 @@ def normalise(rows: DataFrame, source: str = "upload") -> DataFrame:
     )
 
 
-def read_log(spark: SparkSession, path: str, source: str = "upload", sample: str = "", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_log(spark: SparkSession, path: str, source: str = "upload", sample: str = "", multi_line: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of a log file or folder; rejects are (file, line, message)."""
     found = normalise(log_rows(spark, path, sample, multi_line), source)
     message = F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": "), F.col("reject_reason"))

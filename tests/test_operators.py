@@ -328,3 +328,15 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
         ranked = sorted(((-cosine(rng_rows[q][2], v), i) for i, _, v in rng_rows if i != q and cosine(rng_rows[q][2], v) is not None))[:3]
         assert [(i, c) for _, i, c in sorted(got[q])] == [(i, -c) for c, i in ranked]
     assert 40 not in got
+
+
+def test_csv_files_are_split_unless_a_cell_has_a_line_break(spark, tmp_path):
+    head = "Timestamp,Performed By,Activity,Application\n"
+    (tmp_path / "plain.csv").write_text(head + "".join(f'2026-08-24 09:{k:02d},ann,"say ""hi""",SAP\n' for k in range(50)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    plain = files.csv_rows(spark, f"file://{tmp_path}/plain.csv")
+    assert sorted(r["line"] for r in plain.collect()) == list(range(2, 52))
+    (tmp_path / "broken.csv").write_text(head + '2026-08-24 09:00,ann,"one\ntwo ""x""",SAP\n2026-08-24 09:01,bob,open,SAP\n')
+    broken = files.csv_rows(spark, f"file://{tmp_path}/broken.csv")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["cells"]["activity"] for r in broken.collect()) == ['one\ntwo "x"', "open"]
