@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtrace import constants as C
 from loomtrace.functions.normalise import lookup
+from loomtrace.sources.shared import written
 
 
 def fields(steps: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def run(flows: DataFrame, guards: DataFrame, first: DataFrame, found: DataFrame)
     of automations are small and broadcast below the session's threshold only.
     """
     source, trigger = source_payload(found), trigger_payload(found, first)
-    have = available(source, trigger)
+    have = written(available(source, trigger), "have")
     runs = first.join(guards, first["object_type"] == guards["trigger_object"]).select("automation_id", "instance_id", "field", "op", "literal")
     needs = flows.select("automation_id", "pos", F.explode("depends_on").alias("need")).select("automation_id", "pos", F.lower(F.substring_index("need", ".", -1)).alias("need"))
     asked = runs.select("automation_id", "instance_id").join(needs, "automation_id")
@@ -129,7 +130,7 @@ def run(flows: DataFrame, guards: DataFrame, first: DataFrame, found: DataFrame)
     stop = flows.where("irreversible").groupBy("automation_id").agg(F.min("pos").alias("stop_at"))
     makes = flows.select(F.col("automation_id"), F.explode("outputs").alias("key")).distinct()
     predicted = runs.select("automation_id", "instance_id").join(makes, "automation_id").join(have, ["instance_id", "key"])
-    outcome = observed_outcome(found)
+    outcome = written(observed_outcome(found), "outcome")
     diff = compare(predicted, outcome, ["automation_id", "instance_id"])
     guarded = runs.join(have.withColumnRenamed("key", "field").withColumnRenamed("value", "at"), ["instance_id", "field"], "left")
     currency = outcome.where("key = 'currency'").select("instance_id", F.col("value").alias("currency"))

@@ -125,16 +125,15 @@ def templated_text(spark, sf_dir):
 
 
 def _replayed(spark, sf_dir):
-    flow, guards, steps, runs, clusters, _ = _flows(spark, sf_dir)
-    # the three most frequent workflows are the automations
-    chosen = clusters.orderBy(F.desc("n"), "cluster_id").limit(3).select(F.col("cluster_id").alias("automation_id"))
+    """(outcomes of the flows of all workflows, fields of the steps); the fields are written, since every fold reads them."""
+    flow, guards, steps, _, _, _ = _flows(spark, sf_dir)
     first = steps.where("pos = 1").select("instance_id", "object_type")
-    kept = [x.join(F.broadcast(chosen), "automation_id", "left_semi") for x in (flow, guards)]
-    return R.run(kept[0], kept[1].select("automation_id", "trigger_object", "field", "op", "literal"), first, R.fields(steps)), steps
+    found = written(R.fields(steps), "fields")
+    return R.run(flow, guards.select("automation_id", "trigger_object", "field", "op", "literal"), first, found), found
 
 
 def replay_runs(spark, sf_dir):
-    """Every run of the three most frequent flows against all instances: status, score, differing fields and reason."""
+    """Every run of all flows against all instances: status, score, differing fields and reason."""
     return _replayed(spark, sf_dir)[0]
 
 
@@ -155,8 +154,8 @@ def replay_failures(spark, sf_dir):
 
 def exception_seeds(spark, sf_dir):
     """Exceptions from the first runs of each automation that its guard held."""
-    outcomes, steps = _replayed(spark, sf_dir)
-    return V.seeded_cases(outcomes, R.source_payload(R.fields(steps)))
+    outcomes, found = _replayed(spark, sf_dir)
+    return V.seeded_cases(outcomes, R.source_payload(found))
 
 
 def rule_matches(spark, sf_dir):
@@ -208,7 +207,7 @@ _PROPOSED = f"""prop as (
                case when {_N} = 2 and pos % 2 = 0 then 'delete' else type end as type, case when {_N} = 3 then ['page_data'] else outputs end as outputs,
                case when pos % 2 = 0 then ['flow.k', 'page_data'] else depends_on end as depends_on from flow)"""
 _RUNS = f"""{_FOLDS}, have as (select instance_id as iid, key, arg_max(value, over) as value from (select *, 0 as over from src union all select *, 1 from trig) group by 1, 2),
-    chosen as (select cluster_id as automation_id from groups order by n desc, cluster_id limit 3),
+    chosen as (select cluster_id as automation_id from groups),
     r as (select automation_id, instance_id, field, op, literal from first join guard on object_type = trigger_object where automation_id in (select automation_id from chosen)),
     needs as (select automation_id, pos, unnest(depends_on) as need from flow),
     unmet as (select r.automation_id, r.instance_id, min(pos) as broken_at, list_sort(list(distinct lower(need))) as unresolved from r join needs using (automation_id)
