@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtrace import constants as C
 from loomtrace.plans.adapters import activity
 from loomtrace.queries import governance, joins, logs, sql
+from loomtrace.sources import export
 from loomtrace.sources.shared import new_path
 from loomtrace.operators import governance as G
 from loomtrace.streaming import detection
@@ -65,6 +66,18 @@ def stream_increment(spark, sf_dir):
     return S.since(log, marks).groupBy("app").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+def stream_export(spark, sf_dir):
+    """What the second sync of an account's recorded export takes, by application, and what both took: the first half's pages came first."""
+    log = activity(spark, sf_dir).select("app", "id", "user_id", "ts_ms", "action")
+    folder, table, state = (new_path(spark, f"export-{part}") for part in ("pages", "table", "state"))
+    taken = None
+    for run, pages in enumerate((log.where("ts_ms < 1705276800000 and app <> 'crm'"), log)):
+        export.written_pages(pages, folder)
+        taken = export.synced(export.exported(spark, folder).withColumn("run", F.lit(run)), table, state)
+    later = F.col("run") == 1
+    return taken.groupBy("app").agg(F.count_if(later).alias("n"), F.min(F.when(later, F.col("id"))).alias("first_id"), F.count(F.lit(1)).alias("n_both"), F.count_distinct("id").alias("n_distinct"))
+
+
 #: Files that rows of the state machines are dealt to at random, and files of a micro-batch.
 DEALT, TAKEN = 12, 4
 
@@ -113,7 +126,7 @@ def stream_ladder(spark, sf_dir):
     return T.drained(T.enforced(_shuffled(spark, runs, "sequence", tick), "200 days"), "ladder")
 
 
-QUERIES = {f.__name__: f for f in (stream_steps, stream_detection, stream_trust, stream_ladder, stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment)}
+QUERIES = {f.__name__: f for f in (stream_steps, stream_detection, stream_trust, stream_ladder, stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment, stream_export)}
 
 ORACLES = {
     "stream_steps": logs.ORACLES["sessionise_240"],
@@ -130,4 +143,7 @@ ORACLES = {
     "stream_counters": f"with {sql.ACTIVITY} select app, max(ts_ms) as high_ms, count(*) as n, count(*) >= 30 as detection_suggested from activity group by 1",
     "stream_increment": f"""with {sql.ACTIVITY}, m as (select app, max(ts_ms) as mark from activity where ts_ms < 1705276800000 and app <> 'crm' group by 1)
         select app, count(*) as n, min(id) as first_id from activity left join m using (app) where mark is null or ts_ms > mark group by 1""",
+    "stream_export": f"""with {sql.ACTIVITY}, m as (select app, max(ts_ms) as mark from activity where ts_ms < 1705276800000 and app <> 'crm' group by 1)
+        select app, count(*) filter (where mark is null or ts_ms > mark) as n, min(id) filter (where mark is null or ts_ms > mark) as first_id, count(*) as n_both, count(distinct id) as n_distinct
+        from activity left join m using (app) group by 1""",
 }
