@@ -12,6 +12,7 @@ from loomtrace.sources.shared import new_path
 from loomtrace.operators import governance as G
 from loomtrace.streaming import detection
 from loomtrace.streaming import flows as S
+from loomtrace.streaming import queues as Q
 from loomtrace.streaming import stateful as T
 
 WINDOW = "6 hours"
@@ -99,6 +100,24 @@ def stream_steps(spark, sf_dir):
     return T.drained(T.sessionised(_shuffled(spark, events, "id", tick), "200 days", logs.GAP), "steps").where("user_id <> 'nobody'")
 
 
+#: A collector's pace, with a quarter of an hour for its second and a small queue, and two applications that were offline for days.
+PACE = Q.Pace(debounce_ms=900_000, every_ms=18_000_000, size=4, bound=40)
+OUTAGES = {"gmail": [(1704412800000, 1705104000000), (1705363200000, 1705449600000)], "sheets": [(1704844800000, 1706140800000)]}
+
+
+def flush_batches(spark, sf_dir):
+    """Flush, batch and place of every event as a collector's signal, by application."""
+    outages = spark.createDataFrame([(source, *span) for source, spans in OUTAGES.items() for span in spans], "source string, from_ms long, until_ms long")
+    return Q.batches(activity(spark, sf_dir).withColumnRenamed("app", "source"), outages, PACE)
+
+
+def stream_flush(spark, sf_dir):
+    """``flush_batches`` from signals that come in any order, through bounded queues."""
+    signals = _timed(spark, sf_dir).select(F.col("app").alias("source"), "ts", "id")
+    tick = signals.agg(F.max("ts").alias("ts")).select(F.lit("nobody").alias("source"), (F.col("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(-1).cast("long").alias("id"))
+    return T.drained(Q.queued(_shuffled(spark, signals, "id", tick), OUTAGES, "200 days", PACE), "flush").where("source <> 'nobody'")
+
+
 def _runs(spark, sf_dir):
     return governance._shadow(spark, sf_dir).join(governance._automations(spark, sf_dir).select("automation_id", "trust_level"), "automation_id")
 
@@ -126,9 +145,25 @@ def stream_ladder(spark, sf_dir):
     return T.drained(T.enforced(_shuffled(spark, runs, "sequence", tick), "200 days"), "ladder")
 
 
-QUERIES = {f.__name__: f for f in (stream_steps, stream_detection, stream_trust, stream_ladder, stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment, stream_export)}
+QUERIES = {f.__name__: f for f in (stream_steps, stream_detection, stream_trust, stream_ladder, stream_sessions, stream_transfers, stream_resync, stream_counters, stream_increment, stream_export, flush_batches, stream_flush)}
+
+_OUTAGES = ", ".join(f"('{source}', {b}, {e})" for source, spans in OUTAGES.items() for b, e in spans)
+#: Signals one after another: what a pause, a slot, an outage or its end keeps apart; a flush that is due in an outage waits.
+_FLUSHES = f"""with {sql.ACTIVITY}, outages(source, b, e) as (values {_OUTAGES}),
+        s as (select a.app as source, id, ts_ms, o.e as until_ms, ts_ms // {PACE.every_ms} as slot, (select count(*) from outages x where x.source = a.app and x.b <= ts_ms) as era
+              from activity a left join outages o on o.source = a.app and ts_ms >= o.b and ts_ms < o.e),
+        c as (select *, coalesce((ts_ms - lag(ts_ms) over w > {PACE.debounce_ms} or slot <> lag(slot) over w or era <> lag(era) over w or until_ms is distinct from lag(until_ms) over w)::int, 1) as cut from s window w as (partition by source order by ts_ms, id)),
+        g as (select *, sum(cut) over (partition by source order by ts_ms, id rows unbounded preceding) as burst from c),
+        d as (select *, least(max(ts_ms) over (partition by source, burst) + {PACE.debounce_ms}, (slot + 1) * {PACE.every_ms}) as due from g),
+        f as (select source, id, ts_ms, coalesce(until_ms, (select min(e) from outages x where x.source = d.source and x.b > d.ts_ms and x.b <= d.due), due) as flush_ms from d),
+        r as (select *, row_number() over (partition by source, flush_ms order by ts_ms desc, id desc) as back from f),
+        k as (select *, row_number() over (partition by source, flush_ms order by ts_ms, id) - 1 as nth from r where back <= {PACE.bound})
+        select source, id, flush_ms, nth // {PACE.size} + 1 as batch, nth % {PACE.size} + 1 as place from k
+        union all select source, id, null, null, null from r where back > {PACE.bound}"""
 
 ORACLES = {
+    "flush_batches": _FLUSHES,
+    "stream_flush": _FLUSHES,
     "stream_steps": logs.ORACLES["sessionise_240"],
     "stream_detection": f"with {sql.ACTIVITY}, {sql.steps(logs.GAP)} select instance_id, user_id, pos, id, ts_ms, (select count(*) from activity) as seen from steps",
     "stream_trust": governance.ORACLES["trust_moves"],
