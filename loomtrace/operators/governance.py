@@ -239,6 +239,23 @@ def unresolved(steps: DataFrame, readable: DataFrame) -> DataFrame:
     return asked.join(readable.select("app", F.col("candidate").alias("field")), ["app", "field"], "left_anti")
 
 
+def proposals(steps: DataFrame, readable: DataFrame, existing: DataFrame) -> DataFrame:
+    """Patches for what steps depend on and their system no longer has, but for those that are already up for review.
+
+    ``existing`` are patches (automation_id, step_id, field, status). An applied or rejected patch of the same field
+    doesn't hold a new one back: the field went missing again.
+    """
+    queued = existing.where("status = 'proposed'").select("automation_id", "step_id", "field").distinct()
+    open_ = unresolved(steps, readable).join(queued, ["automation_id", "step_id", "field"], "left_anti")
+    best = remap(open_.select("app", "step_type", "field").distinct(), readable, ["app"])
+    return open_.join(best, ["app", "step_type", "field"]).select("automation_id", "step_id", "field", "candidate", "confidence", "auto_applicable")
+
+
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows with the name of their automation (automation_id, name); empty where there is none, any longer."""
+    return rows.join(names.select("automation_id", "name"), "automation_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
+
+
 def heal(steps: DataFrame, readable: DataFrame, passes: int = C.HEAL_PASSES) -> tuple[DataFrame, DataFrame]:
     """(healed steps, all patches with ``applied``): safe patches are applied until nothing is left that one could heal."""
     applied = None

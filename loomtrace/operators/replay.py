@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtrace import constants as C
 from loomtrace.functions.normalise import lookup
+from loomtrace.operators.generator import field_name
 from loomtrace.sources.shared import written
 
 
@@ -175,3 +176,49 @@ def failures(outcomes: DataFrame, shown: int = 25) -> DataFrame:
     """The first failures of every automation, by instance."""
     nth = F.row_number().over(Window.partitionBy("automation_id").orderBy("instance_id"))
     return outcomes.where("reason is not null").withColumn("nth", nth).where(F.col("nth") <= shown).select("automation_id", "nth", "instance_id", "reason", "diff_fields")
+
+
+def since(log: DataFrame, days: int, as_of: int | None = None) -> DataFrame:
+    """Events of the last ``days`` before ``as_of`` (milliseconds; the log's latest event if none is given), which is included."""
+    end = as_of if as_of is not None else log.agg(F.max("ts_ms")).first()[0]
+    return log.where(F.lit(False)) if end is None else log.where((F.col("ts_ms") >= end - days * 86_400_000) & (F.col("ts_ms") <= end))
+
+
+def rehearsed(flows: DataFrame, guards: DataFrame, cases: DataFrame, steps: DataFrame) -> DataFrame:
+    """A dry run of each flow on one recorded instance, step by step as far as it would come; nothing is done.
+
+    ``flows`` and ``guards`` are those of ``run``, with ``connector`` and ``type`` of a step; ``cases`` have (automation_id,
+    instance_id), one for each flow; ``steps`` are those of the log with payload and token. Beside what ``run`` reads,
+    fields may be read by the name that flows give them. Rows: status of the step (ok, failed,
+    needs_approval), what it would give, its error, whether it would have had an effect (``would_have``), and the
+    status of the whole. A flow whose case has no steps has no rows.
+    """
+    kept = steps.join(cases.select("instance_id").distinct(), "instance_id", "left_semi")
+    found = fields(kept)
+    first = kept.where("pos = 1").select("instance_id", "object_type")
+    called = field_name(F.col("token"), F.col("key"))
+    renamed = found.join(kept.select("instance_id", "pos", "token"), ["instance_id", "pos"]).select("instance_id", "pos", "key", called.alias("name"), "value").where("name <> key and value not in ('null', '\"\"')")
+    by_name = renamed.groupBy("instance_id", F.col("name").alias("key")).agg(F.min_by("value", F.struct("pos", "key")).alias("value"), F.lit(0).alias("over"))
+    read = available(source_payload(found), trigger_payload(found, first)).withColumn("over", F.lit(1))
+    have = written(by_name.unionByName(read).groupBy("instance_id", "key").agg(F.max_by("value", "over").alias("value")), "have")
+    plan = flows.join(cases, "automation_id").join(first.select("instance_id"), "instance_id", "left_semi")
+    needs = plan.select("automation_id", "instance_id", "pos", F.explode("depends_on").alias("need")).withColumn("need", F.lower(F.substring_index("need", ".", -1)))
+    unmet = needs.join(have.select("instance_id", F.lower("key").alias("need")).distinct(), ["instance_id", "need"], "left_anti")
+    broken = unmet.groupBy("automation_id", "pos").agg(F.array_sort(F.collect_set("need")).alias("unresolved"))
+    gives = plan.select("automation_id", "instance_id", "pos", F.explode("outputs").alias("key")).distinct().join(have.where("value <> 'null'"), ["instance_id", "key"])
+    given = gives.groupBy("automation_id", "pos").agg(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), "value"))), ",").alias("outputs"))
+    at = guards.join(cases, "automation_id").join(have.withColumnRenamed("key", "field").withColumnRenamed("value", "at"), ["instance_id", "field"], "left")
+    held = at.select("automation_id", guard_holds(F.col("at"), F.col("op"), F.col("literal")).alias("holds"))
+    joined = plan.drop("outputs").join(broken, ["automation_id", "pos"], "left").join(given, ["automation_id", "pos"], "left").join(held, "automation_id", "left")
+    status = F.when(F.col("irreversible") & F.coalesce("holds", F.lit(False)), "needs_approval").when(F.col("unresolved").isNotNull(), "failed").otherwise("ok")
+    told = joined.withColumn("status", status)
+    flow = Window.partitionBy("automation_id")
+    end = F.min(F.when(F.col("status") != "ok", F.struct("pos", "status"))).over(flow)
+    reached = told.withColumn("end", end).where("end is null or pos <= end.pos")
+    done = F.col("status") == "ok"
+    return reached.select(
+        "automation_id", "instance_id", "pos", "step_id", "connector", F.col("type").alias("action"), "status",
+        F.when(done, F.coalesce("outputs", F.lit(""))).otherwise("").alias("outputs"),
+        F.when(F.col("status") == "failed", F.concat(F.lit("unresolved: "), F.array_join("unresolved", ", "))).alias("error"),
+        (done & F.col("irreversible")).alias("would_have"), F.coalesce("end.status", F.lit("ok")).alias("run_status"),
+    )

@@ -130,6 +130,13 @@ def newest_exceptions(spark, sf_dir):
     return _cases(spark, sf_dir).where("status = 'open'").orderBy(F.desc("day"), "l_orderkey", "l_linenumber").limit(50).select("day", "l_orderkey", "l_linenumber", "automation_id", "signature_key")
 
 
+def exception_names(spark, sf_dir):
+    """Open exceptions by automation, by name; automations a5 and a6 were deleted."""
+    key = F.col("p_partkey") % 7
+    names = table(spark, sf_dir, "part").where(key < 5).groupBy(F.concat(F.lit("a"), key.cast("string")).alias("automation_id")).agg(F.min("p_name").alias("name"))
+    return G.named(_cases(spark, sf_dir), names).groupBy("automation_id", "name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "open").alias("open"))
+
+
 def _proposals(spark, sf_dir):
     cases = _cases(spark, sf_dir)
     known = cases.where("automation_id = 'a3' and decision = 'file'").select("automation_id", "signature_key").distinct()
@@ -159,7 +166,7 @@ def coverage(spark, sf_dir):
     return G.coverage(automations, cases, _rules(spark, sf_dir)).select("automation_id", "sample", F.round("remaining", 6).alias("remaining"), "coverage")
 
 
-QUERIES = {f.__name__: f for f in (guard_eval, diff_compare, replay_summary, failure_modes, trust_state, trust_moves, score_trend, roi_report, exception_groups, newest_exceptions, rule_proposals, learned_rules, coverage)}
+QUERIES = {f.__name__: f for f in (guard_eval, diff_compare, replay_summary, failure_modes, trust_state, trust_moves, score_trend, roi_report, exception_groups, newest_exceptions, exception_names, rule_proposals, learned_rules, coverage)}
 
 _FACTS = """facts as (select l.*, o_orderpriority, round(l_extendedprice::decimal(18,2), 2)::double as amount from lineitem l join orders on l_orderkey = o_orderkey)"""
 _DIFF = f"""{_FACTS}, cmp as (
@@ -222,6 +229,8 @@ ORACLES = {
         select l.trust_level, count(automation_id) as automations, round(coalesce(sum(hours), 0), 4) as projected, round(coalesce(sum(case when rank >= 3 then hours * coverage else 0 end), 0), 4) as realised
         from l left join (select * from autos join h using (automation_id)) a on a.trust_level = l.trust_level group by 1""",
     "newest_exceptions": f"with {_CASES} select day, l_orderkey, l_linenumber, automation_id, signature_key from cases where status = 'open' order by day desc, l_orderkey, l_linenumber limit 50",
+    "exception_names": f"""with {_CASES} select automation_id, coalesce(name, '') as name, count(*) as total, count(*) filter (where status = 'open') as open
+        from cases left join (select 'a' || (p_partkey % 7) as automation_id, min(p_name) as name from part where p_partkey % 7 < 5 group by 1) using (automation_id) group by 1, 2""",
     "rule_proposals": f"with {_CASES} select * from props",
     "learned_rules": f"with {_CASES} select *, regexp_matches(lower(action), 'route|escalate|manual|review|approval|hold|manager|human') as human from rules",
     "coverage": f"""with {_CASES}, enc as (select distinct automation_id, signature_key from rules where source = 'learned' and not regexp_matches(lower(action), 'route|escalate|manual|review|approval|hold|manager|human')),

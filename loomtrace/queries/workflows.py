@@ -12,7 +12,7 @@ from loomtrace.operators import governance as V
 from loomtrace.operators import replay as R
 from loomtrace.operators.flows import replay_summary
 from loomtrace.operators.sessions import instances, sessionise
-from loomtrace.plans.adapters import activity, payloads, table
+from loomtrace.plans.adapters import RENAMED_MS, activity, payloads, table
 from loomtrace.queries import sql
 from loomtrace.sources.shared import written
 
@@ -158,6 +158,43 @@ def exception_seeds(spark, sf_dir):
     return V.seeded_cases(outcomes, R.source_payload(found))
 
 
+#: Days that a replay looks back.
+DAYS = 10
+
+
+def replay_range(spark, sf_dir):
+    """Every run of all flows against the instances of the log's last ten days."""
+    flow, guards, *_ = _flows(spark, sf_dir)
+    steps = sessionise(R.since(payloads(activity(spark, sf_dir)), DAYS), sql.GAP)
+    found = written(R.fields(steps), "fields")
+    return R.run(flow, guards.select("automation_id", "trigger_object", "field", "op", "literal"), steps.where("pos = 1").select("instance_id", "object_type"), found)
+
+
+def dry_runs(spark, sf_dir):
+    """A dry run of each flow on the first recorded instance of its workflow."""
+    flow, guards, steps, runs, clusters, _ = _flows(spark, sf_dir)
+    cases = runs.join(clusters.select("cluster_id"), "cluster_id", "left_semi").groupBy(F.col("cluster_id").alias("automation_id")).agg(F.min("instance_id").alias("instance_id"))
+    return R.rehearsed(flow, guards.select("automation_id", "field", "op", "literal"), cases, steps)
+
+
+def _old_names(flow, log):
+    """Steps that depend on every field that their system had in the early log, and the fields that it has now."""
+    keys = log.select("app", "ts_ms", F.explode(F.map_keys("payload")).alias("key"))
+    early, late = keys.where(F.col("ts_ms") < RENAMED_MS), keys.where(F.col("ts_ms") >= RENAMED_MS)
+    asked = early.groupBy(F.col("app").alias("connector")).agg(F.array_sort(F.collect_set("key")).alias("depends_on"))
+    nothing = F.array().cast("array<string>")
+    steps = flow.select("automation_id", "pos", "step_id", "connector", "type", nothing.alias("outputs")).join(asked, "connector")
+    return steps, late.select("app", F.col("key").alias("candidate")).distinct()
+
+
+def drift_patches(spark, sf_dir):
+    """Patches for the fields that were renamed, but for those under review: first steps have an open patch of Vendor, second ones an applied one."""
+    flow = _flows(spark, sf_dir)[0]
+    steps, readable = _old_names(flow, payloads(activity(spark, sf_dir)))
+    existing = steps.where("pos <= 2").select("automation_id", "step_id", F.lit("Vendor").alias("field"), F.when(F.col("pos") == 1, "proposed").otherwise("applied").alias("status"))
+    return V.proposals(steps, written(readable, "schema"), existing).select("automation_id", "step_id", "field", "candidate", "auto_applicable")
+
+
 def rule_matches(spark, sf_dir):
     """How often each learned rule holds for what instances offer, and whether it still needs a person."""
     steps, _, _ = recorded(spark, sf_dir)
@@ -188,7 +225,7 @@ def healed_flows(spark, sf_dir):
     return steps.join(told, "automation_id", "left").select("automation_id", F.array_join("depends_on", ",").alias("depends_on"), F.coalesce("patches", F.lit("")).alias("patches"))
 
 
-QUERIES = {f.__name__: f for f in (payload_folds, flow_steps, flow_guards, flow_repair, validate_findings, plan_method, flow_graph, templated_text, replay_runs, replay_totals, replay_modes, replay_failures, exception_seeds, rule_matches, drift_remap, healed_flows)}
+QUERIES = {f.__name__: f for f in (payload_folds, flow_steps, flow_guards, flow_repair, validate_findings, plan_method, flow_graph, templated_text, replay_runs, replay_totals, replay_modes, replay_failures, exception_seeds, replay_range, dry_runs, drift_patches, rule_matches, drift_remap, healed_flows)}
 
 _WITH = f"with {sql.RECORDED}, {sql.FLOWS}"
 _STABLE = "case when key in ('Vendor', 'Supplier Name') then 'vendor' else key end"
@@ -283,4 +320,29 @@ ORACLES = {
                'open' as status from h left join w using (instance_id)""",
     "rule_matches": f"""with {sql.RECORDED}, {_FOLDS} select * from (select 'amount > 900000' as condition, 'route_to_manager' as action, count(*) as n, true as human from src where key = 'amount' and try_cast(value as double) > 900000
         union all select 'vendor == v3', 'file', count(*), false from src where key = 'vendor' and value = '"v3"' union all select 'k != 5', 'Escalate', count(*), true from src where key = 'k' and try_cast(value as double) <> 5) where n > 0""",
+    "replay_range": f"""{_WITH}, late as (select * from activity where ts_ms >= (select max(ts_ms) from activity) - {DAYS} * 86400000::bigint)
+        select * from (with {sql.RECORDED.replace(sql.ACTIVITY, " activity as (select * from late)")}, {_RUNS.replace("from groups)", "from (select automation_id as cluster_id from guard))")} select * from ran)""",
+    "dry_runs": f"""{_WITH}, {_RUNS}, picked as (select cluster_id as automation_id, min(instance_id) as instance_id from runs where cluster_id in (select cluster_id from groups) group by 1),
+        lack as (select automation_id, pos, list_sort(list(distinct lower(need))) as unresolved from picked join needs using (automation_id)
+                 where not exists (select 1 from have h where h.iid = picked.instance_id and lower(h.key) = lower(need)) group by 1, 2),
+        gives as (select automation_id, pos, string_agg(entry, ',' order by entry) as outputs from (select distinct f.automation_id, f.pos, h.key || '=' || h.value as entry
+                  from (select automation_id, pos, unnest(outputs) as key from flow) f join picked p using (automation_id) join have h on h.iid = p.instance_id and h.key = f.key) group by 1, 2),
+        st2 as (select p.automation_id, p.instance_id, f.pos, step_id, connector, type, irreversible, unresolved, gives.outputs as given,
+                  case when irreversible and cur is not null and coalesce(case op when '>' then try_cast(cur as double) > try_cast(literal as double) when '!=' then trim(cur, '"') <> literal end, false) then 'needs_approval'
+                       when unresolved is not null then 'failed' else 'ok' end as status
+                from picked p join flow f using (automation_id) left join lack on lack.automation_id = p.automation_id and lack.pos = f.pos left join gives on gives.automation_id = p.automation_id and gives.pos = f.pos
+                left join (select automation_id, op, literal, h.value as cur from picked join guard using (automation_id) left join have h on h.iid = instance_id and h.key = field) q on q.automation_id = p.automation_id),
+        ends as (select automation_id, min(pos) as last, arg_min(status, pos) as run_status from st2 where status <> 'ok' group by 1)
+        select automation_id, instance_id, pos, step_id, connector, type as action, status, case when status = 'ok' then coalesce(given, '') else '' end as outputs,
+               case when status = 'failed' then 'unresolved: ' || array_to_string(unresolved, ', ') end as error, status = 'ok' and irreversible as would_have, coalesce(run_status, 'ok') as run_status
+        from st2 left join ends using (automation_id) where last is null or pos <= last""",
+    "drift_patches": f"""{_WITH}, every as (select app, unnest([case when ts_ms >= 1705276800000 and app = 'gmail' then 'item k' else 'k' end, 'amount', case when ts_ms >= 1705276800000 and app = 'crm' then 'state' else 'status' end,
+                  case when ts_ms >= 1705276800000 then 'Supplier Name' else 'Vendor' end, 'remark']) as key,
+                unnest([k is not null, app in ('erp', 'sheets') and value is not null, true, app in ('erp', 'crm') and k is not null, k % 7 = 0]) as there, ts_ms >= 1705276800000 as late from activity),
+        schema as (select app, key, bool_or(late) as now, bool_or(not late) as before from every where there group by 1, 2),
+        gone as (select app, key as field from schema where before and not now),
+        best as (select app, field, arg_min(key, (kind, -alike, key)) as candidate, min(kind) as kind from (
+                 select g.app, field, s.key, case when field = 'Vendor' and s.key = 'Supplier Name' then 0 when list_contains(string_split(s.key, ' '), field) then 1 else 2 end as kind, jaro_similarity(field, s.key) as alike
+                 from gone g join schema s on s.app = g.app and s.now) group by 1, 2)
+        select automation_id, step_id, field, candidate, kind < 2 and type not in ('send', 'delete') as auto_applicable from flow join best on app = connector where not (pos = 1 and field = 'Vendor')""",
 }
