@@ -136,8 +136,9 @@ def roi(clusters: DataFrame, automations: DataFrame, by: str = "cluster_id") ->
 
 
 def tallies(runs: DataFrame, by: str = "automation_id") -> DataFrame:
-    """Runs of each automation by how they ended."""
-    return runs.groupBy(by).agg(F.count(F.lit(1)).alias("runs"), *(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "failed", "held")))
+    """Runs of each automation by how they ended, also told in words."""
+    sums = runs.groupBy(by).agg(F.count(F.lit(1)).alias("runs"), *(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "failed", "held")))
+    return sums.withColumn("summary", F.format_string("%d filed, %d held for a person, %d failed", "ok", "held", "failed"))
 
 
 def next_sequence(shadow_runs: DataFrame, automations: DataFrame) -> DataFrame:

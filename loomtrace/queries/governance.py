@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtrace import constants as C
 from loomtrace.operators import flows as W
 from loomtrace.operators import governance as G
+from loomtrace.operators import reports
 from loomtrace.plans.adapters import table
 from loomtrace.queries import sql
 
@@ -59,6 +60,11 @@ def replay_summary(spark, sf_dir):
     return W.replay_summary(_outcomes(spark, sf_dir), "automation_id")
 
 
+def run_tallies(spark, sf_dir):
+    """Runs of each automation by how they ended."""
+    return reports.tallies(_outcomes(spark, sf_dir))
+
+
 def failure_modes(spark, sf_dir):
     """Most frequent reasons of replay failures."""
     reason = F.when(F.col("status") == "failed", "error").otherwise(F.concat(F.lit("differs: "), "diff_fields"))
@@ -166,7 +172,7 @@ def coverage(spark, sf_dir):
     return G.coverage(automations, cases, _rules(spark, sf_dir)).select("automation_id", "sample", F.round("remaining", 6).alias("remaining"), "coverage")
 
 
-QUERIES = {f.__name__: f for f in (guard_eval, diff_compare, replay_summary, failure_modes, trust_state, trust_moves, score_trend, roi_report, exception_groups, newest_exceptions, exception_names, rule_proposals, learned_rules, coverage)}
+QUERIES = {f.__name__: f for f in (guard_eval, diff_compare, replay_summary, run_tallies, failure_modes, trust_state, trust_moves, score_trend, roi_report, exception_groups, newest_exceptions, exception_names, rule_proposals, learned_rules, coverage)}
 
 _FACTS = """facts as (select l.*, o_orderpriority, round(l_extendedprice::decimal(18,2), 2)::double as amount from lineitem l join orders on l_orderkey = o_orderkey)"""
 _DIFF = f"""{_FACTS}, cmp as (
@@ -215,6 +221,10 @@ ORACLES = {
     "diff_compare": f"with {_DIFF} select score, critical_mismatch, 3::bigint as compared, diff_fields, count(*) as n from d group by 1, 2, 4",
     "replay_summary": f"""with {_DIFF} select automation_id, count(*) as total, count(*) filter (where status = 'held' or (status = 'ok' and correct)) as correct, count(*) filter (where status = 'failed') as errored,
         count(*) filter (where status = 'not_comparable') as not_comparable, floor(count(*) filter (where status = 'held' or (status = 'ok' and correct)) / count(*) filter (where status <> 'not_comparable') * 10000) / 10000 as accuracy from outcomes group by 1""",
+    "run_tallies": """with o as (select o_orderpriority as automation_id, case when l_extendedprice::decimal(18,2) > 60000 then 'held' when l_quantity >= 49 then 'failed' when l_linenumber = 7 then 'not_comparable' else 'ok' end as status
+            from lineitem join orders on l_orderkey = o_orderkey),
+        t as (select automation_id, count(*) as runs, count(*) filter (where status = 'ok') as ok, count(*) filter (where status = 'failed') as failed, count(*) filter (where status = 'held') as held from o group by 1)
+        select *, ok || ' filed, ' || held || ' held for a person, ' || failed || ' failed' as summary from t""",
     "failure_modes": f"""with {_DIFF}, f as (select automation_id, case when status = 'failed' then 'error' else 'differs: ' || diff_fields end as reason, count(*) as n from outcomes where status = 'failed' or (status = 'ok' and not correct) group by 1, 2)
         select * from (select *, row_number() over (partition by automation_id order by n desc, reason) as rank from f) where rank <= 3""",
     "trust_state": f"""with {_SHADOW}, {_TRUST}

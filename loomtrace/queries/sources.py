@@ -163,7 +163,17 @@ def broken_schema(spark, sf_dir):
     return log.select("app", F.explode(F.map_keys("payload")).alias("key")).groupBy("app", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (scan_csv, scan_rejects, scan_jsonl, upload_summary, described_steps, described_runs, desktop_stays, commit_log, collect_batch, collect_counters, source_coverage, registry_gap, consent_withdrawn, broken_schema)}
+#: A tab's interval, a day of the log instead of a blink.
+INTERVAL = 86_400_000
+
+
+def throttle_signals(spark, sf_dir):
+    """What is sent of the events as signals of a tab for each user: none that repeats the last one sent within a day."""
+    sent = collector.throttled(activity(spark, sf_dir), ["user_id"], ["event_type"], ["ts_ms", "id"], INTERVAL)
+    return sent.select("user_id", "id", "event_type", "ts_ms")
+
+
+QUERIES = {f.__name__: f for f in (scan_csv, scan_rejects, scan_jsonl, upload_summary, described_steps, described_runs, desktop_stays, commit_log, collect_batch, collect_counters, source_coverage, registry_gap, consent_withdrawn, broken_schema, throttle_signals)}
 
 _SHEET = """sheet as (
         select event_id::varchar as object_id, 'u_' || user_id as user_id, epoch_us(date_trunc('second', ts)) // 1000000 as seconds, floor(value)::bigint as spent, event_id, event_type, case event_type when 'click' then 'sheets' when 'view' then 'gmail' when 'purchase' then 'erp' when 'signup' then 'crm' else 'slack' end as app,
@@ -212,4 +222,8 @@ ORACLES = {
     "broken_schema": f"""with {sql.ACTIVITY}, l as (select app, unnest([case when ts_ms >= 1705276800000 and app = 'gmail' then 'item k' else 'k' end, case when app in ('erp', 'sheets') then 'Net Amount' end, case when ts_ms >= 1705276800000 and app = 'crm' then 'state' else 'status' end,
             case when app in ('erp', 'crm') then case when ts_ms >= 1705276800000 then 'Supplier Name' else 'Vendor' end end, case when k % 7 = 0 then 'remark' end]) as key from activity)
         select app, key, count(*) as n from l where key is not null group by 1, 2""",
+    "throttle_signals": f"""with {sql.ACTIVITY}, s as (select *, coalesce((event_type is distinct from lag(event_type) over w or ts_ms - lag(ts_ms) over w >= {INTERVAL})::int, 1) as new from activity window w as (partition by user_id order by ts_ms, id)),
+        r as (select *, sum(new) over (partition by user_id order by ts_ms, id rows unbounded preceding) as run from s),
+        c as (select user_id, any_value(event_type) as event_type, list_reduce(list([ts_ms, id] order by ts_ms, id), lambda sent, x: case when x[1] - sent[len(sent) - 1] >= {INTERVAL} then list_concat(sent, x) else sent end) as sent from r group by user_id, run)
+        select user_id, event_type, unnest(list_filter(sent, lambda x, k: k % 2 = 1)) as ts_ms, unnest(list_filter(sent, lambda x, k: k % 2 = 0)) as id from c""",
 }

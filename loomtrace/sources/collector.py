@@ -1,11 +1,11 @@
 """Batches of browser signals into events: gates, denylist, interpretation, registry and counters.
 
-Works on a batch and on a stream alike; nothing here keeps state.
+Works on a batch and on a stream alike and keeps no state, but for ``throttled``, which looks at a table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrace import constants as C
@@ -59,3 +59,31 @@ def coverage(events: DataFrame, sources: DataFrame, tiers: DataFrame) -> DataFra
     )
     seen = events.agg(F.countDistinct("app").alias("distinct_apps"), F.count(F.lit(1)).alias("total_events"), F.count("source_id").alias("observed_events"))
     return seen.crossJoin(F.broadcast(named)).crossJoin(F.broadcast(best))
+
+
+def throttled(signals: DataFrame, tab: list[str], key: list[str], order: list[str], least_ms: int = C.THROTTLE_MS) -> DataFrame:
+    """Signals that a tab sends: one that equals the last one sent in all ``key`` columns within ``least_ms`` is dropped.
+
+    A dropped signal doesn't start the interval anew, so what is sent follows from what was sent before. That chain is
+    only followed inside a run of equal signals that are all closer than ``least_ms`` to the one before: any other
+    signal is sent whatever came before it. ``order`` are columns that order a tab's signals, ``ts_ms`` the first.
+    Nulls are equal to each other in ``key``; signals without a time are dropped; an empty table gives no rows.
+    """
+    timed = signals.where("ts_ms is not null")
+    window = Window.partitionBy(*tab).orderBy(*order)
+    # there is no signal before a tab's first one
+    same = F.lag(F.lit(True)).over(window).isNotNull()
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.lag(k).over(window))
+    near = same & (F.col("ts_ms") - F.lag("ts_ms").over(window) < least_ms)
+    runs = timed.withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    # the times at which a run sends, and what it sends at each: the first signal of that time
+    times = runs.groupBy(*tab, "_run").agg(F.array_sort(F.collect_set("ts_ms")).alias("_times"))
+    empty = F.array().cast("array<bigint>")
+    later = F.aggregate("_times", empty, lambda sent, t: F.when((F.size(sent) == 0) | (t - F.element_at(sent, -1) >= least_ms), F.concat(sent, F.array(t))).otherwise(sent))
+    sent = times.select(*(F.col(c).alias(f"_{c}") for c in tab), F.col("_run").alias("_of"), F.explode(later).alias("_at"))
+    nth = F.row_number().over(Window.partitionBy(*tab, "_run", "ts_ms").orderBy(*order))
+    on = (F.col("_run") == F.col("_of")) & (F.col("ts_ms") == F.col("_at"))
+    for c in tab:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return runs.withColumn("_nth", nth).where("_nth = 1").join(sent, on, "left_semi").drop("_new", "_run", "_nth")

@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the folder set as checkpoint folder; below the working directory only if neither is set."""
+    """``spark.checkpoint.dir``, or the folder set as checkpoint folder.
+
+    If neither is set, a session on one machine uses a folder below the working directory; others raise, because
+    executors would write where nobody else reads.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + os.path.abspath("spark-warehouse/checkpoints"))
     return shared_dir(spark)
 
