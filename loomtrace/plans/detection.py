@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from loomtrace import constants as C
 from loomtrace.functions.normalise import step_token
 from loomtrace.operators import clusters as K
+from loomtrace.operators import replay as R
+from loomtrace.operators import reports as P
 from loomtrace.operators import scoring as S
 from loomtrace.operators.sessions import instances, sessionise
-from loomtrace.plans.adapters import activity
+from loomtrace.plans.adapters import activity, payloads
 from loomtrace.sources.shared import written
 
 #: Idle gap of the test events, which are hours apart.
 GAP_MS = 240 * 60_000
+#: The name of a workflow without a reliable order or a subject.
+UNNAMED = "Repetitive workflow"
 
 
 def detect(events: DataFrame, gap_ms: int = C.SESSION_GAP_MS) -> DataFrame:
-    """One row per finding: a cluster of instances with its representative, spread, effort, scores and evidence.
+    """One row per finding: a cluster of instances with its name, representative, spread, effort, scores and evidence.
 
     ``events`` are canonical events with a payload value ``k``. Clusters need ``MIN_INSTANCES`` instances and
     a representative of ``MIN_STEPS`` steps; those of fewer than ``STRONG_INSTANCES`` also similarity and
-    confidence. Judgement counts as 0: events have no free text.
+    confidence. Judgement is that of the steps with a long text in their ``payload``; 0 without such a column.
     """
     return findings(written(sessionise(events, gap_ms), "steps"))
 
@@ -51,16 +55,23 @@ def findings(steps: DataFrame) -> DataFrame:
     for part in (S.parameter_spread(values), S.branch_count(found, main), fields):
         scored = scored.join(part, "cluster_id", "left")
     scored = scored.fillna({"spread": 0.0, "branches": 0, "n_variables": 0, "n_constants": 0}).withColumns({"steps": F.size("signature"), "apps": F.size(F.array_distinct(F.transform("signature", lambda t: F.split(t, ":")[0])))})
-    none = F.lit(0.0)
+    placed_steps = steps.join(found.select("instance_id", "cluster_id"), "instance_id")
+    scored = scored.join(P.subjects(placed_steps.select("cluster_id", "object_type"), C.NAME_STOPWORDS), "cluster_id", "left")
+    if "payload" in steps.columns:
+        scored = scored.join(P.free_text(R.fields(steps), placed_steps.select("cluster_id", "instance_id", "pos")), "cluster_id", "left").fillna({"ratio": 0.0})
+    else:
+        scored = scored.withColumn("ratio", F.lit(0.0))
+    judged = P.judgement(F.col("ratio"))
     scored = scored.withColumns({
-        "automatability": S.automatability(F.col("entropy"), F.col("spread"), F.col("branches"), F.col("steps"), none),
+        "automatability": S.automatability(F.col("entropy"), F.col("spread"), F.col("branches"), F.col("steps"), judged),
         "build_effort": S.build_effort(F.col("steps"), F.col("branches")),
-        "potential": S.potential(F.col("similarity"), F.col("n_instances"), F.col("minutes"), F.col("spread"), F.col("apps"), none, F.col("branches"), F.col("steps")),
+        "potential": S.potential(F.col("similarity"), F.col("n_instances"), F.col("minutes"), F.col("spread"), F.col("apps"), judged, F.col("branches"), F.col("steps")),
     })
     scored = scored.withColumn("confidence", S.confidence(F.col("n_instances"), F.col("similarity"), F.col("automatability")))
     strong = (F.col("n_instances") >= C.STRONG_INSTANCES) | ((F.col("similarity") >= C.MIN_SIMILARITY) & (F.col("confidence") >= C.MIN_CONFIDENCE))
     return scored.where((F.col("n_instances") >= C.MIN_INSTANCES) & (F.col("steps") >= C.MIN_STEPS) & strong).select(
-        "cluster_id", "signature", "n_instances", "n_variants", "users", "median_ms", "entropy", "spread", "branches", "similarity", "n_variables", "n_constants",
+        "cluster_id", P.name(F.col("signature"), F.col("entropy"), F.col("subject"), F.lit(UNNAMED)).alias("name"), P.describe(F.col("signature"), F.col("n_instances"), F.col("users")).alias("description"),
+        judged.alias("judgement"), P.reasoning(F.col("ratio"), F.col("branches"), F.col("entropy")).alias("reasoning"), "signature", "n_instances", "n_variants", "users", "median_ms", "entropy", "spread", "branches", "similarity", "n_variables", "n_constants",
         "annual_hours", "tax_hours", "automatability", "build_effort", "potential", "confidence", S.evidence(F.col("n_instances"), F.col("similarity"), F.col("confidence")).alias("evidence"),
         ((F.col("annual_hours") + F.col("tax_hours")) * F.col("automatability") / F.col("build_effort")).alias("priority"), (F.col("automatability") < C.DO_NOT_AUTOMATE).alias("do_not_automate"),
     )
@@ -68,4 +79,4 @@ def findings(steps: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection over all events of the test tables."""
-    return detect(activity(spark, sf_dir), GAP_MS)
+    return detect(payloads(activity(spark, sf_dir)), GAP_MS)

@@ -1,5 +1,7 @@
 """Detection from events to findings, and the flagship entry."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 
 from loomtrace.plans.detection import detect
@@ -23,3 +25,9 @@ def test_repeated_tasks_are_one_finding(spark):
     assert found["signature"] == [":".join(s) for s in STEPS]
     assert (found["n_instances"], found["n_variants"], found["users"], found["similarity"], found["entropy"]) == (6, 1, 2, 1.0, 0.0)
     assert found["n_variables"] == 3 and found["branches"] == 0
+    assert (found["name"], found["judgement"], found["reasoning"]) == ("Email to row", 0.0, "the steps repeat consistently")
+    assert found["description"] == "3 steps across gmail → erp → sheets. Observed 6 times by 2 employee(s)."
+    long = F.when(F.col("app") == "gmail", F.lit('"' + "why this one is different " * 4 + '"')).otherwise('"short"')
+    (judged,) = detect(events.withColumn("payload", F.create_map(F.lit("note"), long))).collect()
+    assert abs(judged["judgement"] - 1.4 / 3) < 1e-9 and judged["reasoning"] == "the steps repeat consistently"
+    assert judged["automatability"] < found["automatability"] and judged["potential"] < found["potential"]
