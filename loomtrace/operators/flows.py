@@ -77,13 +77,21 @@ def compare(rows: DataFrame, fields: dict[str, tuple[Column, Column, bool]]) ->
     return judged.withColumns({"score": F.round(hit / sum(weight.values()), 4), "critical_mismatch": mismatch, "compared": F.lit(len(fields)).cast("long"), "diff_fields": F.concat_ws(",", *wrong)}).drop(*flags)
 
 
-def replay_summary(outcomes: DataFrame, by: str) -> DataFrame:
-    """Backtest totals of (by, status, correct): guard holds count as correct, the incomparable don't count."""
+def replay_summary(outcomes: DataFrame, by: str, times: str | None = None) -> DataFrame:
+    """Backtest totals of (by, status, correct): guard holds count as correct, the incomparable don't count.
+
+    A row stands for as many runs as the column ``times`` says; for one without it.
+    """
+    n = F.col(times) if times else F.lit(1)
+
+    def runs(which: Column) -> Column:
+        return F.sum(F.when(which, n).otherwise(0))
+
     sums = outcomes.groupBy(by).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if((F.col("status") == "held") | ((F.col("status") == "ok") & F.col("correct"))).alias("correct"),
-        F.count_if(F.col("status") == "failed").alias("errored"),
-        F.count_if(F.col("status") == "not_comparable").alias("not_comparable"),
+        F.sum(n).alias("total"),
+        runs((F.col("status") == "held") | ((F.col("status") == "ok") & F.col("correct"))).alias("correct"),
+        runs(F.col("status") == "failed").alias("errored"),
+        runs(F.col("status") == "not_comparable").alias("not_comparable"),
     )
     rest = F.col("total") - F.col("not_comparable")
     return sums.withColumn("accuracy", F.when(rest > 0, F.floor(F.col("correct") / rest * 10_000) / 10_000).otherwise(0.0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomtrace import constants as C
+from loomtrace.operators.replay import first_of
 from loomtrace.sources.shared import written
 
 
@@ -163,10 +164,12 @@ def coverage(automations: DataFrame, cases: DataFrame, rules: DataFrame) -> Data
     return joined.select("automation_id", sample.alias("sample"), remaining.alias("remaining"), F.when(sample > 0, F.round(share, 4)).otherwise(0.0).alias("coverage"))
 
 
-def seeded_cases(outcomes: DataFrame, readable: DataFrame, count: int = 4) -> DataFrame:
-    """Exceptions from the first instances of each automation that a guard held, with the fields a person decides on."""
-    nth = F.row_number().over(Window.partitionBy("automation_id").orderBy("instance_id"))
-    held = outcomes.where("status = 'held'").withColumn("nth", nth).where(F.col("nth") <= count).select("automation_id", "instance_id")
+def seeded_cases(outcomes: DataFrame, members: DataFrame, readable: DataFrame, count: int = 4) -> DataFrame:
+    """Exceptions from the first instances of each automation that a guard held, with the fields a person decides on.
+
+    ``outcomes`` and ``members`` are those of ``replay.by_case``.
+    """
+    held = first_of(outcomes.where("status = 'held'"), members, count).select("automation_id", "instance_id")
     wanted = readable.where(F.col("key").isin("amount", "currency", "vendor")).groupBy("instance_id").agg(*(F.max(F.when(F.col("key") == k, F.regexp_replace("value", '^"|"$', ""))).alias(k) for k in ("amount", "currency", "vendor")))
     cases = held.join(wanted, "instance_id", "left")
     key = signature_key(F.col("amount").try_cast("double"), F.coalesce("currency", F.lit("")), F.lit(False), F.lit(""))

@@ -1,8 +1,8 @@
 """Replaying flows against recorded instances: payload folds, comparison field by field, failures and their reasons.
 
-Fields are rows (instance_id, key, value) throughout, so folds are aggregations by instance and key,
-a comparison is one join, and nothing is interpreted per row. Values are JSON literals: text is quoted,
-so that the text "1" and the number 1 stay apart.
+Fields are rows (instance_id, key, value), so folds are aggregations by instance and key, and a comparison is
+one join. Flows then run on cases, which are instances that no flow can tell apart. Values are JSON literals:
+text is quoted, so that the text "1" and the number 1 stay apart.
 """
 
 from __future__ import annotations
@@ -75,21 +75,40 @@ def values_match(a: Column, b: Column) -> Column:
     return F.when(none, (a == "null") & (b == "null")).when(x.isNotNull() & y.isNotNull(), numeric).when(x.isNotNull() | y.isNotNull(), F.lit(False)).otherwise(text(a) == text(b))
 
 
-def compare(predicted: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:
-    """Score, critical mismatch, compared and differing fields for every ``by`` with a field in both.
+def known(found: DataFrame, first: DataFrame) -> DataFrame:
+    """(instance_id, object_type, entries): one row for each instance, with what it offers and how that ended.
 
-    ``predicted`` has (by..., key, value), ``observed`` the same or fewer of the ``by`` columns.
+    An entry (key, value, recorded, seen) is a field that a flow may read; ``recorded`` tells whether the
+    person left that field behind, and ``seen`` what it was then.
     """
-    on = [c for c in by if c in observed.columns]
-    both = predicted.join(observed.withColumnRenamed("value", "seen"), [*on, "key"])
-    judged = both.select(*by, "key", values_match(F.col("value"), F.col("seen")).alias("same"), F.col("key").isin(*C.CRITICAL_FIELDS).alias("critical"))
-    weight = F.when(F.col("critical"), F.lit(C.CRITICAL_WEIGHT)).otherwise(1)
-    return judged.groupBy(*by).agg(
-        F.round(F.sum(F.when(F.col("same"), weight).otherwise(0)) / F.sum(weight), 4).alias("score"),
-        F.max(~F.col("same") & F.col("critical")).alias("critical_mismatch"),
-        F.count(F.lit(1)).alias("compared"),
-        F.array_sort(F.collect_list(F.when(~F.col("same"), F.col("key")))).alias("diff_fields"),
-    )
+    have = available(source_payload(found), trigger_payload(found, first))
+    outcome = observed_outcome(found).select("instance_id", "key", F.lit(True).alias("recorded"), F.col("value").alias("seen"))
+    entries = have.join(outcome, ["instance_id", "key"], "left").groupBy("instance_id").agg(F.collect_list(F.struct("key", "value", F.coalesce("recorded", F.lit(False)).alias("recorded"), "seen")).alias("entries"))
+    return first.join(entries, "instance_id", "left")
+
+
+def cases(known: DataFrame, guards: DataFrame) -> DataFrame:
+    """(instance_id, case_id, object_type, keys, marks, currency, held): all that runs see of each instance.
+
+    ``keys`` are fields that it offers in lower case, ``marks`` (key, same) those that are compared, ``held`` the
+    guards that hold. Instances with the same of all these are one case, and every flow runs on them alike.
+    """
+    asked = guards.where("field is not null").select("field", "op", "literal").distinct().agg(F.collect_list(F.struct("field", "op", "literal")).alias("asked"))
+    nothing = F.array().cast("array<string>")
+
+    def holds(g: Column) -> Column:
+        at = F.get(F.filter("entries", lambda e: e["key"] == g["field"]), F.lit(0))["value"]
+        return guard_holds(at, g["op"], g["literal"])
+
+    marks = F.transform(F.filter("entries", lambda e: e["recorded"]), lambda e: F.struct(e["key"].alias("key"), values_match(e["value"], e["seen"]).alias("same")))
+    # a currency is no decision, so an instance offers the one that it ended in
+    currency = F.get(F.filter("entries", lambda e: e["recorded"] & (e["key"] == "currency")), F.lit(0))["seen"]
+    told = known.crossJoin(F.broadcast(asked)).select(
+        "instance_id", "object_type", F.coalesce(F.array_sort(F.array_distinct(F.transform("entries", lambda e: F.lower(e["key"])))), nothing).alias("keys"),
+        F.array_sort(marks).alias("marks"), currency.alias("currency"), F.array_sort(F.filter("asked", holds)).alias("held"),
+    )
+    seen = F.to_json(F.struct("object_type", "keys", "marks", "currency", "held"), {"ignoreNullFields": "false"})
+    return told.withColumn("case_id", F.sha2(seen, 256))
 
 
 def explain(diff_fields: Column, currency: Column) -> Column:
@@ -112,41 +131,83 @@ def explain(diff_fields: Column, currency: Column) -> Column:
     return F.when(F.size(diff_fields) == 0, F.lit("no field disagreement")).when(told != "", told).otherwise(F.concat(F.lit("disagreement on "), F.array_join(diff_fields, ", ")))
 
 
-def run(flows: DataFrame, guards: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each automation and each instance that its trigger fits: status, comparison and reason.
-
-    ``flows`` are steps (automation_id, pos, step_id, outputs, depends_on, irreversible); ``guards``
-    (automation_id, trigger_object, field, op, literal); ``first`` (instance_id, object_type) of the
-    instances; ``found`` their ``fields``. Steps make what is available; a step that needs what nothing
-    gives fails, and a guard that holds stops the run before the first irreversible step. Both tables
-    of automations are small and broadcast below the session's threshold only.
-    """
-    source, trigger = source_payload(found), trigger_payload(found, first)
-    have = written(available(source, trigger), "have")
-    runs = first.join(guards, first["object_type"] == guards["trigger_object"]).select("automation_id", "instance_id", "field", "op", "literal")
-    needs = flows.select("automation_id", "pos", F.explode("depends_on").alias("need")).select("automation_id", "pos", F.lower(F.substring_index("need", ".", -1)).alias("need"))
-    asked = runs.select("automation_id", "instance_id").join(needs, "automation_id")
-    unmet = asked.join(have.select("instance_id", F.lower("key").alias("need")).distinct(), ["instance_id", "need"], "left_anti")
-    broken = unmet.groupBy("automation_id", "instance_id").agg(F.min("pos").alias("broken_at"), F.array_sort(F.collect_set("need")).alias("unresolved"))
+def plans(flows: DataFrame, guards: DataFrame) -> DataFrame:
+    """One row for each guard of a flow: its trigger, what its steps need and make, and where it would stop."""
+    need = F.lower(F.substring_index("need", ".", -1))
+    needs = flows.select("automation_id", "pos", F.explode("depends_on").alias("need")).groupBy("automation_id").agg(F.collect_list(F.struct("pos", need.alias("need"))).alias("needs"))
+    makes = flows.select("automation_id", F.explode("outputs").alias("key")).groupBy("automation_id").agg(F.collect_set("key").alias("makes"))
     stop = flows.where("irreversible").groupBy("automation_id").agg(F.min("pos").alias("stop_at"))
-    makes = flows.select(F.col("automation_id"), F.explode("outputs").alias("key")).distinct()
-    predicted = runs.select("automation_id", "instance_id").join(makes, "automation_id").join(have, ["instance_id", "key"])
-    outcome = written(observed_outcome(found), "outcome")
-    diff = compare(predicted, outcome, ["automation_id", "instance_id"])
-    guarded = runs.join(have.withColumnRenamed("key", "field").withColumnRenamed("value", "at"), ["instance_id", "field"], "left")
-    currency = outcome.where("key = 'currency'").select("instance_id", F.col("value").alias("currency"))
-    joined = guarded.join(broken, ["automation_id", "instance_id"], "left").join(stop, "automation_id", "left").join(diff, ["automation_id", "instance_id"], "left").join(currency, "instance_id", "left")
-    holds = F.col("stop_at").isNotNull() & guard_holds(F.col("at"), F.col("op"), F.col("literal"))
+    own = guards.select("automation_id", "trigger_object", "field", "op", "literal")
+    return own.join(needs, "automation_id", "left").join(makes, "automation_id", "left").join(stop, "automation_id", "left")
+
+
+def judged(plans: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row for each automation and each case (case_id, object_type, keys, marks, ..., n) that its trigger fits."""
+    both = plans.join(cases, F.col("trigger_object") == F.col("object_type"))
+    unmet = F.filter("needs", lambda x: ~F.coalesce(F.array_contains(F.col("keys"), x["need"]), F.lit(False)))
+    matched = F.filter("marks", lambda m: F.array_contains(F.col("makes"), m["key"]))
+    sums = both.withColumns({"unmet": unmet, "matched": matched}).withColumns({
+        "broken_at": F.array_min(F.transform("unmet", lambda x: x["pos"])),
+        "unresolved": F.array_sort(F.array_distinct(F.array_compact(F.transform("unmet", lambda x: x["need"])))),
+        "compared": F.when(F.size("matched") > 0, F.size("matched").cast("long")),
+    })
+
+    def weighed(counts) -> Column:
+        weights = F.transform("matched", lambda m: F.when(counts(m), F.when(m["key"].isin(*C.CRITICAL_FIELDS), F.lit(C.CRITICAL_WEIGHT)).otherwise(1)).otherwise(0))
+        return F.aggregate(weights, F.lit(0), lambda a, b: a + b)
+
+    some = F.col("compared").isNotNull()
+    holds = F.col("stop_at").isNotNull() & F.exists("held", lambda h: h["field"].eqNullSafe(F.col("field")) & h["op"].eqNullSafe(F.col("op")) & h["literal"].eqNullSafe(F.col("literal")))
+    diff = sums.withColumns({
+        "score": F.when(some, F.round(weighed(lambda m: m["same"]) / weighed(lambda m: F.lit(True)), 4)),
+        "critical_mismatch": F.when(some, F.array_max(F.transform("matched", lambda m: ~m["same"] & m["key"].isin(*C.CRITICAL_FIELDS)))),
+        "diff_fields": F.when(some, F.array_sort(F.transform(F.filter("matched", lambda m: ~m["same"]), lambda m: m["key"]))),
+        "holds": holds,
+    })
     status = (
-        F.when(F.col("broken_at").isNotNull() & (~holds | (F.col("broken_at") < F.col("stop_at"))), "failed")
-        .when(holds, "held")
-        .when(F.coalesce("compared", F.lit(0)) == 0, "not_comparable")
+        F.when(F.col("broken_at").isNotNull() & (~F.col("holds") | (F.col("broken_at") < F.col("stop_at"))), "failed")
+        .when(F.col("holds"), "held")
+        .when(~some, "not_comparable")
         .otherwise("ok")
     )
-    told = joined.withColumn("status", status)
+    told = diff.withColumn("status", status)
     correct = (F.col("status") == "held") | ((F.col("status") == "ok") & (F.col("score") >= 0.999) & ~F.col("critical_mismatch"))
     reason = F.when(F.col("status") == "failed", F.concat(F.lit("unresolved: "), F.array_join("unresolved", ", "))).when((F.col("status") == "ok") & ~correct, explain(F.col("diff_fields"), F.col("currency")))
-    return told.select("automation_id", "instance_id", "status", "score", "critical_mismatch", "compared", F.array_join("diff_fields", ",").alias("diff_fields"), correct.alias("correct"), reason.alias("reason"))
+    return told.select("automation_id", "case_id", "n", "status", "score", "critical_mismatch", "compared", F.array_join("diff_fields", ",").alias("diff_fields"), correct.alias("correct"), reason.alias("reason"))
+
+
+def by_case(flows: DataFrame, guards: DataFrame, first: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, members): one row for each automation and each case of ``n`` instances that its trigger fits, and (instance_id, case_id).
+
+    ``flows`` are steps (automation_id, pos, step_id, outputs, depends_on, irreversible); ``guards``
+    (automation_id, trigger_object, field, op, literal); ``first`` (instance_id, object_type) of the
+    instances; ``found`` their ``fields``. Steps make what is available; a step that needs what nothing
+    gives fails, and a guard that holds stops the run before the first irreversible step. Automations grow with
+    the log as instances do, so their product is judged by case: its rows are no more than automations
+    times distinct cases.
+    """
+    every = written(cases(known(found, first), guards), "cases")
+    content = ["object_type", "keys", "marks", "currency", "held"]
+    alike = every.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in content))
+    return written(judged(plans(flows, guards), alike), "judged"), every.select("instance_id", "case_id")
+
+
+def run(flows: DataFrame, guards: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+    """``by_case`` with one row for each automation and each instance: the rows of a case are written out last."""
+    return expanded(*by_case(flows, guards, first, found))
+
+
+def expanded(outcomes: DataFrame, members: DataFrame) -> DataFrame:
+    """Outcomes by case as outcomes by instance."""
+    return members.join(outcomes, "case_id").select("automation_id", "instance_id", "status", "score", "critical_mismatch", "compared", "diff_fields", "correct", "reason")
+
+
+def first_of(outcomes: DataFrame, members: DataFrame, shown: int) -> DataFrame:
+    """The first ``shown`` instances of every automation (``nth``) with their outcomes; only the first of a case can be among them."""
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("instance_id"))
+    early = members.join(outcomes.select("case_id").distinct(), "case_id", "left_semi").withColumn("place", place).where(F.col("place") <= shown)
+    nth = F.row_number().over(Window.partitionBy("automation_id").orderBy("instance_id"))
+    return expanded(outcomes, early).withColumn("nth", nth).where(F.col("nth") <= shown)
 
 
 def guard_holds(at: Column, op: Column, literal: Column) -> Column:
@@ -167,15 +228,14 @@ def guard_holds(at: Column, op: Column, literal: Column) -> Column:
 
 
 def failure_modes(outcomes: DataFrame) -> DataFrame:
-    """Reasons of failed and disagreeing runs by automation, most frequent first (``rank``)."""
-    counts = outcomes.where("reason is not null").groupBy("automation_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+    """Reasons of failed and disagreeing runs (outcomes by case) by automation, most frequent first (``rank``)."""
+    counts = outcomes.where("reason is not null").groupBy("automation_id", "reason").agg(F.sum("n").alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("automation_id").orderBy(F.desc("n"), "reason")))
 
 
-def failures(outcomes: DataFrame, shown: int = 25) -> DataFrame:
+def failures(outcomes: DataFrame, members: DataFrame, shown: int = 25) -> DataFrame:
     """The first failures of every automation, by instance."""
-    nth = F.row_number().over(Window.partitionBy("automation_id").orderBy("instance_id"))
-    return outcomes.where("reason is not null").withColumn("nth", nth).where(F.col("nth") <= shown).select("automation_id", "nth", "instance_id", "reason", "diff_fields")
+    return first_of(outcomes.where("reason is not null"), members, shown).select("automation_id", "nth", "instance_id", "reason", "diff_fields")
 
 
 def since(log: DataFrame, days: int, as_of: int | None = None) -> DataFrame:

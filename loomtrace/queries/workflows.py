@@ -125,21 +125,21 @@ def templated_text(spark, sf_dir):
 
 
 def _replayed(spark, sf_dir):
-    """(outcomes of the flows of all workflows, fields of the steps); the fields are written, since every fold reads them."""
+    """(outcomes of the flows of all workflows by case, instances of the cases, fields of the steps); the fields are written, since every fold reads them."""
     flow, guards, steps, _, _, _ = _flows(spark, sf_dir)
     first = steps.where("pos = 1").select("instance_id", "object_type")
     found = written(R.fields(steps), "fields")
-    return R.run(flow, guards.select("automation_id", "trigger_object", "field", "op", "literal"), first, found), found
+    return *R.by_case(flow, guards.select("automation_id", "trigger_object", "field", "op", "literal"), first, found), found
 
 
 def replay_runs(spark, sf_dir):
     """Every run of all flows against all instances: status, score, differing fields and reason."""
-    return _replayed(spark, sf_dir)[0]
+    return R.expanded(*_replayed(spark, sf_dir)[:2])
 
 
 def replay_totals(spark, sf_dir):
     """The backtest of each automation."""
-    return replay_summary(_replayed(spark, sf_dir)[0], "automation_id")
+    return replay_summary(_replayed(spark, sf_dir)[0], "automation_id", "n")
 
 
 def replay_modes(spark, sf_dir):
@@ -149,13 +149,13 @@ def replay_modes(spark, sf_dir):
 
 def replay_failures(spark, sf_dir):
     """The first 25 failures of each automation."""
-    return R.failures(_replayed(spark, sf_dir)[0])
+    return R.failures(*_replayed(spark, sf_dir)[:2])
 
 
 def exception_seeds(spark, sf_dir):
     """Exceptions from the first runs of each automation that its guard held."""
-    outcomes, found = _replayed(spark, sf_dir)
-    return V.seeded_cases(outcomes, R.source_payload(found))
+    outcomes, members, found = _replayed(spark, sf_dir)
+    return V.seeded_cases(outcomes, members, R.source_payload(found))
 
 
 #: Days that a replay looks back.
