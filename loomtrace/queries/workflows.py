@@ -19,10 +19,15 @@ from loomtrace.sources.shared import written
 
 def recorded(spark, sf_dir):
     """(steps, runs, clusters): the log cut into instances, and those of a frequent signature as clusters."""
-    steps = sessionise(payloads(activity(spark, sf_dir)), sql.GAP).withColumn("token", step_token())
+    steps = written(sessionise(payloads(activity(spark, sf_dir)), sql.GAP).withColumn("token", step_token()), "steps")
     runs = instances(steps.drop("payload", "token")).withColumn("cluster_id", F.col("signature_hash"))
+    return steps, runs, frequent(runs)
+
+
+def frequent(runs):
+    """Runs of one frequent signature as clusters."""
     found = runs.groupBy("cluster_id").agg(F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
-    return steps, runs, found.where((F.col("n") >= C.STRONG_INSTANCES) & (F.size("signature") >= C.MIN_STEPS))
+    return found.where((F.col("n") >= C.STRONG_INSTANCES) & (F.size("signature") >= C.MIN_STEPS))
 
 
 def tokens(steps, runs, clusters):
@@ -46,7 +51,9 @@ def payload_folds(spark, sf_dir):
 
 def _flows(spark, sf_dir):
     """(steps, guards, fields, recorded...) of the flows generated for all clusters."""
-    steps, runs, clusters = recorded(spark, sf_dir)
+    steps, runs, _ = recorded(spark, sf_dir)
+    runs = written(runs, "runs")
+    clusters = frequent(runs)
     found, toks = R.fields(steps), tokens(steps, runs, clusters)
     flow = written(G.steps_of(clusters, G.observed_fields(found, toks)), "flow")
     values = found.join(toks.select("cluster_id", "instance_id", "pos", "token"), ["instance_id", "pos"]).groupBy("cluster_id", G.field_name(F.col("token"), F.col("key")).alias("name")).agg(F.min("value").alias("value"), F.max("value").alias("high"))

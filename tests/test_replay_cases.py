@@ -51,3 +51,15 @@ def test_each_instance_has_the_outcome_of_its_case(spark):
     assert sorted((r["automation_id"], r["instance_id"], r["amount"], r["vendor"]) for r in seeds.collect()) == [("a", f"i{k:04d}", str(500 + k), f"v{k}") for k in (1, 6, 11)]
     modes = [tuple(r) for r in replay.failure_modes(outcomes).where("automation_id = 'a'").orderBy("rank").collect()]
     assert modes == [("a", wrong, 10, 1), ("a", "unresolved: vendor", 10, 2)]
+
+
+def test_flows_read_the_log_once(spark):
+    """What flows are made of is cut into instances once: plans of steps, runs and clusters read written tables."""
+    import os
+
+    from loomtrace.queries import workflows
+    from tests.tables import SF_DIR
+
+    flow, guards, steps, runs, clusters, toks = workflows._flows(spark, SF_DIR)
+    for table in (flow, guards, steps, runs, clusters, toks):
+        assert not [f for f in table.inputFiles() if os.path.basename(os.path.dirname(f)) == "events.parquet" or f.endswith("events.parquet")]
