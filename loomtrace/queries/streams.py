@@ -84,19 +84,23 @@ DEALT, TAKEN = 12, 4
 
 
 def _shuffled(spark, rows, by: str, tick=None, taken: int = TAKEN):
-    """``rows`` as a stream in several micro-batches without order; then ``tick``, which lets the watermark pass all of them."""
+    """``rows`` as a stream in several micro-batches without order; then ``tick`` of their latest ``ts``, which lets the watermark pass all of them."""
     folder = new_path(spark, "arrived")
     rows.repartition(DEALT, F.xxhash64(by)).write.parquet(folder)
     if tick is not None:
-        tick.coalesce(1).write.mode("append").parquet(folder)
+        # of the rows as they were written: what made them is not run again
+        last = spark.read.schema(rows.schema).parquet(folder).agg(F.max("ts").alias("ts"))
+        tick(last.withColumn("ts", F.col("ts") + F.expr("interval 400 days"))).coalesce(1).write.mode("append").parquet(folder)
     return S.signals(spark, folder, rows.schema, taken)
 
 
 def stream_steps(spark, sf_dir):
     """Task instances by all rules of sessions, from events that come in any order."""
     events = _timed(spark, sf_dir).select("user_id", "ts", "ts_ms", "id", "app", "action", "duration_ms", "session_id")
-    last = events.agg(F.max("ts").alias("ts")).withColumn("ts", F.col("ts") + F.expr("interval 400 days"))
-    tick = last.select(F.lit("nobody").alias("user_id"), "ts", F.unix_millis("ts").alias("ts_ms"), F.lit(-1).cast("long").alias("id"), F.lit("x").alias("app"), F.lit("x").alias("action"), F.lit(0).cast("long").alias("duration_ms"), F.lit(None).cast("string").alias("session_id"))
+
+    def tick(last):
+        return last.select(F.lit("nobody").alias("user_id"), "ts", F.unix_millis("ts").alias("ts_ms"), F.lit(-1).cast("long").alias("id"), F.lit("x").alias("app"), F.lit("x").alias("action"), F.lit(0).cast("long").alias("duration_ms"), F.lit(None).cast("string").alias("session_id"))
+
     return T.drained(T.sessionised(_shuffled(spark, events, "id", tick), "200 days", logs.GAP), "steps").where("user_id <> 'nobody'")
 
 
@@ -114,7 +118,10 @@ def flush_batches(spark, sf_dir):
 def stream_flush(spark, sf_dir):
     """``flush_batches`` from signals that come in any order, through bounded queues."""
     signals = _timed(spark, sf_dir).select(F.col("app").alias("source"), "ts", "id")
-    tick = signals.agg(F.max("ts").alias("ts")).select(F.lit("nobody").alias("source"), (F.col("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(-1).cast("long").alias("id"))
+
+    def tick(last):
+        return last.select(F.lit("nobody").alias("source"), "ts", F.lit(-1).cast("long").alias("id"))
+
     return T.drained(Q.queued(_shuffled(spark, signals, "id", tick), OUTAGES, "200 days", PACE), "flush").where("source <> 'nobody'")
 
 
@@ -141,7 +148,10 @@ def stream_detection(spark, sf_dir):
 def stream_ladder(spark, sf_dir):
     """Every automatic demotion, enforced run by run though runs come in any order; a run's time is its number."""
     runs = _runs(spark, sf_dir).select("automation_id", "trust_level", F.timestamp_seconds("sequence").alias("ts"), "sequence", "critical")
-    tick = runs.agg(F.max("ts").alias("ts")).select(F.lit("nobody").alias("automation_id"), F.lit(C.TRUST_LEVELS[0]).alias("trust_level"), (F.col("ts") + F.expr("interval 400 days")).alias("ts"), F.lit(0).cast("long").alias("sequence"), F.lit(False).alias("critical"))
+
+    def tick(last):
+        return last.select(F.lit("nobody").alias("automation_id"), F.lit(C.TRUST_LEVELS[0]).alias("trust_level"), "ts", F.lit(0).cast("long").alias("sequence"), F.lit(False).alias("critical"))
+
     return T.drained(T.enforced(_shuffled(spark, runs, "sequence", tick), "200 days"), "ladder")
 
 

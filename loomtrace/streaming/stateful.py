@@ -180,11 +180,57 @@ def latest(feed: DataFrame) -> DataFrame:
     return feed.groupBy("automation_id").agg(F.max_by(F.struct(*columns), "version").alias("x")).select("automation_id", "x.*")
 
 
+#: Critical runs after which an automation stands on the lowest rung, whatever its first level was.
+RUNGS = len(C.TRUST_LEVELS) - 1
+#: Rows that a part may hold back before it sends them on.
+HELD = 100_000
+
+
+def decisive_of_part(runs: DataFrame) -> DataFrame:
+    """Runs of a part of a batch that can still change a level: every critical one takes a rung, so none after the last rung's.
+
+    The newest run of a part stays for the watermark, which is the same as that of all runs.
+    """
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            frame = rows.select(["automation_id", "ts_ms", "sequence", "critical"]).to_pandas().sort_values(["ts_ms", "sequence"], kind="stable")
+            critical = (frame["critical"] == True).astype(int)  # noqa: E712 (null is not critical)
+            before = critical.groupby(frame["automation_id"], dropna=False).cumsum() - critical
+            kept = (before < RUNGS) | (frame.index == frame["ts_ms"].idxmax())
+            held = rows.take(pa.array(frame.index[kept].to_numpy()))
+            if held.num_rows > HELD:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.to_batches()
+
+    return runs.mapInArrow(few, runs.schema)
+
+
 class Ladder(Ordered):
-    """Demotes by one rung after every run that leaves a critical mismatch among the last ones, and remembers the level."""
+    """Demotes by one rung after every run that leaves a critical mismatch among the last ones, and remembers the level.
+
+    Runs after the last rung's critical one change nothing and don't wait.
+    """
 
     WAITING = "ts_ms long, sequence long, critical boolean, trust_level string"
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        arrived = [self.fields(r) for r in rows]
+        held = [tuple(f) for f in self.waiting.get()] if self.waiting.exists() else []
+        kept, criticals = [], 0
+        for run in sorted(held + arrived, key=lambda f: f[:2]):
+            kept.append(run)
+            criticals += bool(run[2])
+            if criticals == RUNGS:
+                break
+        self.waiting.put(kept)
+        self.handle.registerTimer(max(f[0] for f in arrived))
+        return iter(())
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.at = handle.getValueState("at", "level long, since long")
@@ -202,5 +248,5 @@ class Ladder(Ordered):
 
 def enforced(runs: DataFrame, late: str) -> DataFrame:
     """History of automatic demotions, run by run in order, from a stream (automation_id, trust_level, ts, sequence, critical)."""
-    rows = runs.withWatermark("ts", late).select("automation_id", "ts", F.unix_millis("ts").alias("ts_ms"), "sequence", "critical", "trust_level")
+    rows = decisive_of_part(runs.select("automation_id", "ts", F.unix_millis("ts").alias("ts_ms"), "sequence", "critical", "trust_level")).withWatermark("ts", late)
     return rows.groupBy("automation_id").transformWithState(Ladder(), HISTORY, "append", "eventTime")

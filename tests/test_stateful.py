@@ -78,3 +78,14 @@ def test_ladder_remembers_its_level(spark):
     cuts = [runs.where("sequence < 4"), runs.where("sequence between 4 and 7"), runs.where("sequence > 7"), last]
     got = T.drained(T.enforced(stream_of(spark, cuts, runs.schema), "1 second"), "ladder").orderBy("sequence").collect()
     assert [(r["sequence"], r["trust_level"]) for r in got] == [(2, "SHADOW"), (3, "SUGGEST"), (4, "OBSERVE")]
+
+
+def test_ladder_runs_that_can_change_nothing_do_not_wait(spark):
+    """Of a part's runs those up to the last rung's critical one go on, and the newest; an automation without a critical run sends all."""
+    day = 1_704_067_200
+    runs = [("a", "AUTONOMOUS", day + k, k, k % 10 == 5) for k in range(2000)] + [("b", "ASSIST", day + k, k, None) for k in range(30)]
+    frame = spark.createDataFrame(runs, "automation_id string, trust_level string, at long, sequence long, critical boolean").coalesce(1)
+    rows = frame.select("automation_id", "trust_level", F.timestamp_seconds("at").alias("ts"), (F.col("at") * 1000).alias("ts_ms"), "sequence", "critical")
+    kept = T.decisive_of_part(rows).collect()
+    assert sorted(r["sequence"] for r in kept if r["automation_id"] == "a") == [*range(36), 1999]
+    assert sorted(r["sequence"] for r in kept if r["automation_id"] == "b") == list(range(30))
