@@ -84,8 +84,7 @@ def _files(spark, sf_dir):
 
 def pdf_invoices(spark, sf_dir):
     """Fields of the invoices of all orders, and why some files have none."""
-    found = pdf.texts(_files(spark, sf_dir))
-    return pdf.invoices(found).join(found.select("path", "reject_reason"), "path")
+    return pdf.invoices(pdf.texts(_files(spark, sf_dir)), "reject_reason")
 
 
 QUERIES = {f.__name__: f for f in (replaced_clusters, filing_plan, pdf_invoices)}

@@ -92,8 +92,11 @@ def titled(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), lambda x: F.initcap(x)), "")
 
 
-def invoices(found: DataFrame) -> DataFrame:
-    """Number, ISO date, amount in minor units and vendor of texts (path, text): the last total, and the first line in capitals."""
+def invoices(found: DataFrame, *kept: str) -> DataFrame:
+    """Number, ISO date, amount in minor units and vendor of texts (path, text): the last total, and the first line in capitals.
+
+    Columns of the texts that are ``kept`` stand beside them.
+    """
     text = F.col("text")
     date = _found(text, C.INVOICE_DATE)
     turned = F.concat_ws("-", *(F.get(F.split(date, "[/-]"), i) for i in (2, 1, 0)))
@@ -102,5 +105,5 @@ def invoices(found: DataFrame) -> DataFrame:
     capital = F.get(F.filter(lines, lambda x: (F.length(x) > 8) & (F.upper(x) == x) & (F.lower(x) != x)), 0)
     return found.select(
         "path", _found(text, C.INVOICE_NUMBER).alias("invoice_no"), F.when(date.rlike(r"^\d{4}-"), date).when(date.isNotNull(), turned).alias("invoice_date"),
-        F.bround(amount.try_cast("double") * 100).cast("long").alias("amount"), titled(capital).alias("vendor"),
+        F.bround(amount.try_cast("double") * 100).cast("long").alias("amount"), titled(capital).alias("vendor"), *kept,
     )
