@@ -98,15 +98,29 @@ def evidence(occurrences: Column, similarity: Column, confident: Column) -> Colu
     return F.when(strong, "strong").when(moderate, "moderate").otherwise("early")
 
 
-def variables_and_constants(observed: DataFrame, runs: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+def presence(steps: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """How many instances have a field (cluster, token, key, present), from steps (cluster, instance_id, token, keys).
+
+    An instance is one row with all its fields, and only their names are written out: grouping every field of
+    every instance instead took a task's whole memory.
+    """
+    own = steps.groupBy(cluster, "instance_id").agg(F.collect_set(F.struct("token", "keys")).alias("steps"))
+    named = F.flatten(F.transform("steps", lambda s: F.transform(s["keys"], lambda k: F.struct(s["token"].alias("token"), k.alias("key")))))
+    fields = own.select(cluster, F.explode(F.array_distinct(named)).alias("f"))
+    return fields.groupBy(cluster, "f.token", "f.key").agg(F.count(F.lit(1)).alias("present"))
+
+
+def variables_and_constants(observed: DataFrame, runs: DataFrame, cluster: str = "cluster_id", present: DataFrame | None = None) -> DataFrame:
     """Fields (cluster, token, key, value, instance_id) as inputs that vary or values that never do.
 
     A field counts if enough of the cluster's runs have it; in between varying and constant it is neither.
+    ``present`` is their ``presence`` where the steps are at hand.
     """
     # values and instances are counted apart: distinct counts of both at once would write every row several times
     field = [cluster, "token", "key"]
     values = observed.groupBy(*field, "value").agg(F.count("value").alias("n")).groupBy(*field).agg(F.sum("n").alias("n_values"), F.count("value").alias("n_distinct"), F.min("value").alias("least_value"))
-    present = observed.groupBy(*field, "instance_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*field).agg(F.count("instance_id").alias("present"))
+    if present is None:
+        present = observed.groupBy(*field, "instance_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*field).agg(F.count("instance_id").alias("present"))
     joined = values.join(present, field).join(runs, cluster).where(F.col("present") >= F.col("runs") * C.MIN_PRESENCE)
     kind = F.when(F.col("n_distinct") == 1, "constant").when(F.col("n_distinct") >= F.col("n_values") * C.VARIABLE_RATIO, "variable")
     return joined.withColumn("kind", kind).where("kind is not null")

@@ -47,7 +47,8 @@ def step_entropy(spark, sf_dir):
     return found.select("cluster_id", "n_instances", "n_variants", F.round("entropy", 9).alias("entropy"), F.round("dominant_share", 9).alias("dominant_share"))
 
 
-def _values(spark, sf_dir):
+def _payloads(spark, sf_dir):
+    """The steps of all orders with a map of their fields."""
     lines = order_steps(spark, sf_dir)
     fields = F.create_map(
         F.lit("quantity"), F.col("l_quantity").cast("long").cast("string"),
@@ -56,7 +57,11 @@ def _values(spark, sf_dir):
         F.lit("part"), F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey").cast("string")),
         F.lit("currency"), F.lit("USD"),
     )
-    return lines.select(F.col("o_orderpriority").alias("cluster_id"), "instance_id", "token", F.explode(fields).alias("key", "value")).where("value is not null")
+    return lines.select(F.col("o_orderpriority").alias("cluster_id"), "instance_id", "token", fields.alias("fields"))
+
+
+def _values(spark, sf_dir):
+    return _payloads(spark, sf_dir).select("cluster_id", "instance_id", "token", F.explode("fields").alias("key", "value")).where("value is not null")
 
 
 def parameter_spread(spark, sf_dir):
@@ -135,7 +140,8 @@ def cluster_scores(spark, sf_dir):
 def variables_constants(spark, sf_dir):
     """Inputs and constants among the fields of each cluster's steps."""
     totals = runs(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("runs"))
-    found = S.variables_and_constants(_values(spark, sf_dir), totals)
+    steps = _payloads(spark, sf_dir).select("cluster_id", "instance_id", "token", F.map_keys(F.map_filter("fields", lambda _, v: v.isNotNull())).alias("keys"))
+    found = S.variables_and_constants(_values(spark, sf_dir), totals, present=S.presence(steps))
     return found.select("cluster_id", "token", "key", "kind", "n_distinct", "present", F.when(F.col("kind") == "constant", F.col("least_value")).alias("value"))
 
 
