@@ -88,8 +88,9 @@ ORACLE_SQL = None
 
 
 #: The C library keeps freed blocks, up to a size that it raises as it goes. With a fixed one, Python workers give
-#: the arrays of one stage back before the next one runs beside them.
-MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+#: the arrays of one stage back before the next one runs beside them. Arrow's own pool keeps blocks too, so batches
+#: come from the C library, and threads share two arenas.
+MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,13 @@ def test_collapse_keeps_maximal_conversations(spark):
 
 def test_collapse_of_nothing(spark):
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_workers_take_batches_from_the_c_library():
+    """Arrow's own pool would keep a stage's blocks while the next stage runs."""
+    import os
+    import subprocess
+    import sys
+
+    told = subprocess.run([sys.executable, "-c", "import pyarrow; print(pyarrow.default_memory_pool().backend_name)"], env={**os.environ, **corpus_pipeline.MALLOC}, capture_output=True, text=True, check=True)
+    assert told.stdout.strip() == "system"
