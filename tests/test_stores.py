@@ -86,3 +86,12 @@ def test_a_set_is_replaced_as_a_whole(spark):
     assert sorted((r["cluster_id"], r["n"], r["dismissed"]) for r in store.current(spark, root, "clusters").collect()) == [("c2", 5, True), ("c3", 1, False)]
     assert [r["instance_id"] for r in store.current(spark, root, "instances").collect()] == ["i3"]
     assert sorted(r["version"] for r in store.versions(spark, root).collect()) == [1, 2, 3]
+
+
+def test_invoices_are_read_once(spark):
+    """Fields and reasons come from one pass over the files."""
+    from loomtrace.queries import QUERIES
+    from tests.tables import SF_DIR
+
+    plan = QUERIES["pdf_invoices"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 2
