@@ -179,3 +179,14 @@ def test_workers_take_batches_from_the_c_library():
 
     told = subprocess.run([sys.executable, "-c", "import pyarrow; print(pyarrow.default_memory_pool().backend_name)"], env={**os.environ, **corpus_pipeline.MALLOC}, capture_output=True, text=True, check=True)
     assert told.stdout.strip() == "system"
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_each_stage_run_alone_has_lean_workers(name):
+    """Stages also run one by one, without ``run``; the settings are there before anything starts a worker."""
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(environment={}))
+    with pytest.raises(AttributeError):  # there are no documents
+        dict(corpus_pipeline.STAGES)[name](session, None, "")
+    assert session.sparkContext.environment == corpus_pipeline.MALLOC
