@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ SHARD_TOKENS = 2_000_000
 #: BM25 constants, and the share of a shard's pieces from which a term's weights are kept for all pieces.
 K1, B = 1.2, 0.75
 DENSE = 1 / 16
-#: Distinct chunks of text whose ids a worker remembers.
-MEMORY = 400_000
+#: Distinct chunks of text whose ids a worker remembers (some 50 bytes each), bits of a slot's number, and words of a line.
+MEMORY, SLOT_BITS, LINE = 600_000, 21, 256
 
 TOKENS = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("length", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("ids", pa.binary())]
@@ -50,135 +51,197 @@ class Encoder:
 
     The vocabulary's pre-tokeniser never joins text across white space, nor a run of letters with the
     punctuation behind it, so that the ids of a text are those of its chunks in order. Chunks are found by
-    a hash and compared byte by byte with the one remembered; those not remembered yet are encoded in one
-    call for a whole batch.
+    a hash and compared byte by byte with the one remembered; those not remembered yet are encoded in lines.
+    Lower-case Latin letters need no normalisation and are one word each: they go to the same model without it.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        # ids in the order of their hashes: the lexical keys of a text are the smallest of its ids
+        mixed = K.mix(np.arange(len(self.ends), dtype=np.uint64)) >> np.uint64(1)
+        self.mixed = np.sort(mixed)
+        self.rank = np.searchsorted(self.mixed, mixed).astype(np.uint16 if len(mixed) < 1 << 16 else np.uint32)
         self.forget()
 
     def forget(self) -> None:
+        """Keeps the chunks that were met again after their batch, or none if these are many too."""
+        kept = np.flatnonzero(self.again) if hasattr(self, "again") else np.zeros(0, np.int64)
+        if len(kept) > MEMORY // 2 or not len(kept):
+            # bytes and ids of entry i are text[text_at[i] : text_at[i + 1]] and ids[ids_at[i] : ids_at[i + 1]]
+            self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.kind)
+            self.text_at, self.ids_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+            hashes = np.zeros(0, np.uint64)
+        else:
+            hashes = self.hash_of[kept]
+            self.text, self.text_at = _gathered(self.text, self.text_at[kept], self.text_at[kept + 1])
+            self.ids, self.ids_at = _gathered(self.ids, self.ids_at[kept], self.ids_at[kept + 1])
         self.parts: dict[str, bytes] = {"": b""}
-        self.hashes = np.zeros(0, np.uint64)
-        self.entry = np.zeros(0, np.int64)
-        # bytes and ids of entry i are text[text_at[i] : text_at[i + 1]] and ids[ids_at[i] : ids_at[i + 1]]
-        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.kind)
-        self.text_at, self.ids_at = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.again, self.hash_of = np.zeros(0, bool), np.zeros(0, np.uint64)
+        # an entry is found in its slot, or among all hashes if another one was there first
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.enter(hashes)
+
+    def enter(self, hashes: np.ndarray) -> None:
+        """Hashes of the next entries."""
+        entry = np.arange(len(self.hash_of), len(self.hash_of) + len(hashes), dtype=np.int32)
+        self.hash_of = np.concatenate([self.hash_of, hashes])
+        self.again = np.concatenate([self.again, np.zeros(len(hashes), bool)])
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.entry = np.insert(self.hashes, at, hashes[order]), np.insert(self.entry, at, entry[order])
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        free = self.slots[slot] < 0
+        self.slots[slot[free]] = entry[free]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def runs(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are one run each: encoded in lines and cut behind the ids that end a word."""
-        out, size = [], self.kind.itemsize
-        for at in range(0, len(words), 256):
-            line = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(line).decode()], add_special_tokens=False)[0].ids, self.kind)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
-            if len(ends) == len(line):
-                data = ids.tobytes()
-                out += [data[b:e] for b, e in zip([0, *ends], ends, strict=False)]
+    def runs(self, text: np.ndarray, at: np.ndarray, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of words that are one run each: encoded in lines and cut behind the ids that end a word."""
+        n, ids, sizes = len(at) - 1, [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        spaced = np.full(len(text) + n, 32, np.uint8)
+        spaced[np.arange(len(text)) + np.repeat(np.arange(n), np.diff(at))] = text
+        raw, at = spaced.tobytes(), (at + np.arange(n + 1)).tolist()
+        for k in range(0, n, LINE):
+            m = min(k + LINE, n)
+            own = np.array(tokenizer.encode_batch_fast([raw[at[k] : at[m] - 1].decode()], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[own]) + 1
+            if len(ends) == m - k:
+                size = np.diff(ends, prepend=0)
             else:  # normalisation broke a run
-                out += self.whole([w.decode() for w in line])
-        return out
-
-    def learn(self, hashes: np.ndarray, chunks: list[bytes], plain: np.ndarray) -> None:
-        """Remembers the ids of new chunks; ``plain`` ones are lower-case ASCII letters."""
-        runs = iter(self.runs([c for c, p in zip(chunks, plain.tolist(), strict=True) if p]))
-        others = iter(self.others([c.decode() for c, p in zip(chunks, plain.tolist(), strict=True) if not p]))
-        coded = [next(runs) if p else next(others) for p in plain.tolist()]
-        self.text, self.text_at = _grown(self.text, self.text_at, chunks)
-        self.ids, self.ids_at = _grown(self.ids, self.ids_at, coded)
-        at = np.searchsorted(self.hashes, hashes)
-        self.entry = np.insert(self.entry, at, np.arange(len(self.entry), len(self.entry) + len(chunks)))
-        self.hashes = np.insert(self.hashes, at, hashes)
+                coded = self.whole([raw[at[j] : at[j + 1] - 1].decode() for j in range(k, m)])
+                own, size = np.frombuffer(b"".join(coded), self.kind), np.array([len(c) // self.kind.itemsize for c in coded])
+            ids.append(own)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Remembers the ids of new chunks, ``plain`` ones (lower-case Latin letters) first; the number of each."""
+        order = np.argsort(~plain, kind="stable")
+        first, n_plain = len(self.hash_of), int(plain.sum())
+        text, at = _gathered(data, starts[order], ends[order])
+        ids, sizes = self.runs(text[: at[n_plain]], at[: n_plain + 1], self.letters)
+        raw, cut = text.tobytes(), at[n_plain:].tolist()
+        others = self.others([raw[b:e].decode() for b, e in zip(cut[:-1], cut[1:], strict=True)])
+        more = np.array([len(c) // self.kind.itemsize for c in others], np.int64)
+        self.text, self.text_at = np.concatenate([self.text, text]), np.concatenate([self.text_at, self.text_at[-1] + at[1:]])
+        self.ids = np.concatenate([self.ids, ids, np.frombuffer(b"".join(others), self.kind)])
+        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(np.concatenate([sizes, more]))])
+        self.enter(hashes[order])
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(first, first + len(order))
+        return number
 
     def others(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks that are not plain: letters of any script are cut from the punctuation behind them."""
         split = [_cut(chunk) for chunk in chunks]
-        new = {part for cut in split if len(cut) == 2 for part in cut if part not in self.parts}
-        self.parts.update(zip(new, self.runs([part.encode() for part in new]), strict=True))
+        new = list({part for cut in split if len(cut) == 2 for part in cut if part not in self.parts})
+        if new:
+            raw = [part.encode() for part in new]
+            ids, sizes = self.runs(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), self.tokenizer)
+            data, ends = ids.tobytes(), (np.cumsum(sizes) * self.kind.itemsize).tolist()
+            self.parts.update(zip(new, (data[b:e] for b, e in zip([0, *ends], ends, strict=False)), strict=True))
         odd = iter(self.whole([cut[0] for cut in split if len(cut) != 2]))
         return [self.parts[cut[0]] + self.parts[cut[1]] if len(cut) == 2 else next(odd) for cut in split]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, and where each begins."""
-        if len(self.entry) > MEMORY:
+        if len(self.hash_of) > MEMORY:
             self.forget()
         data, offsets = K.text_buffer(texts)
         data, starts, ends, rows, plain = _parts(data, *K.words(data, offsets, K.SPACE_SEPARATED))
         hashes = K.word_hashes(data, starts, ends, lower=False)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-        new = np.flatnonzero(self.hashes[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
-        if len(new):
-            raw = data.tobytes()
-            chosen = first[new]
-            self.learn(distinct[new], [raw[b:e] for b, e in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)], plain[chosen])
-        entry = self.entry[np.searchsorted(self.hashes, distinct)][inverse] if len(distinct) else np.zeros(0, np.int64)
+        entry = self.slots[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        known = len(self.hash_of)
+        missed = np.flatnonzero((entry < 0) | (self.hash_of[entry] != hashes)) if known else np.arange(len(hashes))
+        if len(missed):
+            distinct, first, inverse = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.hashes, distinct), max(known - 1, 0))
+            new = np.flatnonzero(self.hashes[at] != distinct) if known else np.arange(len(distinct))
+            number = self.entry[at] if known else np.zeros(len(distinct), np.int32)
+            if len(new):
+                chosen = missed[first[new]]
+                number[new] = self.learn(data, starts[chosen], ends[chosen], distinct[new], plain[chosen])
+            entry[missed] = number[inverse]
+        self.again[entry[entry < known]] = True
         if not self._same(data, starts, ends, entry):
             coded = self.whole([t or "" for t in texts.to_pylist()])
             return np.frombuffer(b"".join(coded), self.kind), np.concatenate([[0], np.cumsum([len(c) // self.kind.itemsize for c in coded])])
-        size = self.ids_at[entry + 1] - self.ids_at[entry]
-        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-        ids = self.ids[np.repeat(self.ids_at[entry] - before[:-1], size) + np.arange(before[-1])]
+        ids, before = _gathered(self.ids, self.ids_at[entry], self.ids_at[entry + 1])
         return ids, before[np.searchsorted(rows, np.arange(len(offsets)))]
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> bool:
         """Whether every chunk is, byte by byte, the one that is remembered under its hash."""
-        size = ends - starts
-        if not np.array_equal(size, self.text_at[entry + 1] - self.text_at[entry]):
+        begin, size = self.text_at[entry], ends - starts
+        if not np.array_equal(size, self.text_at[entry + 1] - begin):
             return False
         before = np.cumsum(size) - size
         place = np.arange(size.sum())
-        return bool(np.array_equal(data[np.repeat(starts - before, size) + place], self.text[np.repeat(self.text_at[entry] - before, size) + place]))
+        return bool(np.array_equal(data[np.repeat(starts - before, size) + place], self.text[np.repeat(begin - before, size) + place]))
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans behind each other, and their borders."""
+    size = ends - starts
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    return values[np.repeat(starts - at[:-1], size) + np.arange(at[-1])], at
 
 
 def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Chunks of ASCII letters with ASCII punctuation behind as two chunks each, their letters in lower case.
+    """Chunks of Latin letters with ASCII punctuation behind as two chunks each, their letters in lower case.
 
     Returns the bytes, starts, ends, rows, and which chunks are letters only.
     """
     if not len(starts):
         return data, starts, ends, rows, np.zeros(0, bool)
-    letters = np.concatenate([np.zeros(1, np.int32), np.cumsum(_LETTER[data], dtype=np.int32)])
-    # the place behind the last byte of a chunk that is no punctuation
-    place = np.where(_MARK[data], np.int32(0), np.arange(1, len(data) + 1, dtype=np.int32))
-    body = np.maximum(np.maximum.accumulate(place)[ends - 1], starts)
-    plain = (body > starts) & (letters[body] - letters[starts] == body - starts)
-    tail = plain & (body < ends)
+    lowered, odd = K.LOWER[data], np.flatnonzero(_ODD[data])
+    kind = _ODD[data[odd]]
+    # U+00C0 to U+00FF are the bytes C3, 80 to BF: all letters but two signs, those from C3 A0 in lower case
+    lead = np.flatnonzero(data[odd] == 0xC3)
+    second = data[odd[lead] + 1]
+    lead = lead[(second != 0x97) & (second != 0xB7)]
+    second = odd[lead] + 1
+    lowered[second] = np.where((data[second] < 0xA0) & (data[second] != 0x9F), data[second] + 0x20, data[second])
+    kind[lead] = kind[lead + 1] = 0
+    odd, kind = odd[kind > 0], kind[kind > 0]
+    # a chunk's bytes that are no letters: it is cut before them if they are its end, and punctuation
+    chunk = np.searchsorted(starts, odd, "right") - 1
+    first = np.flatnonzero(np.diff(chunk, prepend=-1))
+    has, at = chunk[first], odd[first]
+    count = np.diff(np.append(first, len(odd)))
+    other = np.bincount(chunk[kind == 2], minlength=len(starts))[has] > 0
+    cut = ~other & (at > starts[has]) & (at == ends[has] - count)
+    plain, body = np.ones(len(starts), bool), ends.copy()
+    plain[has[~cut]] = False
+    body[has[cut]] = at[cut]
+    # what isn't plain keeps its case
+    kept = np.flatnonzero(~plain)
+    size = ends[kept] - starts[kept]
+    place = np.repeat(starts[kept] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    lowered[place] = data[place]
+    tail = body < ends
     first = np.arange(len(starts)) + np.cumsum(tail) - tail
     n = len(starts) + int(tail.sum())
     out = [np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)]
-    for column, own, behind in zip(out, (starts, np.where(plain, body, ends), rows, plain), (body, ends, rows, np.zeros(len(starts), bool)), strict=True):
+    for column, own, behind in zip(out, (starts, body, rows, plain), (body, ends, rows, np.zeros(len(starts), bool)), strict=True):
         column[first] = own
         column[first[tail] + 1] = behind[tail]
-    edges = np.zeros(len(data) + 1, np.int8)
-    edges[starts[plain]] += 1
-    edges[body[plain]] -= 1
-    lowered = np.where(np.cumsum(edges[:-1], dtype=np.int8) > 0, K.LOWER[data], data)
     return lowered, *out
 
 
-def _grown(values: np.ndarray, at: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A buffer of many runs and its borders, with more runs behind."""
-    sizes = np.array([len(m) for m in more], np.int64) // values.itemsize
-    return np.concatenate([values, np.frombuffer(b"".join(more), values.dtype)]), np.concatenate([at, at[-1] + np.cumsum(sizes)])
-
-
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-_MARK = np.zeros(256, bool)
-_MARK[list(_PUNCTUATION.encode())] = True
+#: 0 for white space and ASCII letters, 1 for punctuation that ends a run of letters, 2 for other bytes.
+_ODD = np.full(256, 2, np.uint8)
+_ODD[[0x20, *range(0x09, 0x0E), *range(65, 91), *range(97, 123)]] = 0
+_ODD[list(_PUNCTUATION.encode())] = 1
 
 
 def _cut(chunk: str) -> tuple[str, ...]:
@@ -213,10 +276,10 @@ def tokenise(documents: DataFrame, vocabulary: str) -> DataFrame:
             start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * LENGTH
             begin = at[doc] + start
             length = np.minimum(size[doc] - start, LENGTH)
-            low, second = _two_smallest(K.mix(ids.astype(np.uint64)) >> np.uint64(1), begin)
-            raw, width = ids.tobytes(), ids.itemsize
-            pieces = [raw[b * width : (b + n) * width] for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
-            columns = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(size[doc]), pa.array(length), pa.array(low), pa.array(second), pa.array(pieces, pa.binary())]
+            low, second = (encoder.mixed[r].view(np.int64) for r in _two_smallest(encoder.rank[ids], begin))
+            borders = (np.append(begin, len(ids)) * ids.itemsize).astype(np.int32)
+            pieces = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(borders), pa.py_buffer(ids)])
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(size[doc]), pa.array(length), pa.array(low), pa.array(second), pieces]
             yield pa.RecordBatch.from_arrays(columns, schema=TOKENS)
 
     return K.map_arrow(source, run, TOKENS)
@@ -226,9 +289,9 @@ def _two_smallest(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np
     """The smallest and the next different value of each run; a run of one value has it twice."""
     low = np.minimum.reduceat(values, begin)
     length = np.diff(np.append(begin, len(values)))
-    most = np.uint64((1 << 63) - 1)
+    most = np.iinfo(values.dtype).max
     second = np.minimum.reduceat(np.where(values == np.repeat(low, length), most, values), begin)
-    return low.view(np.int64), np.where(second == most, low, second).view(np.int64)
+    return low, np.where(second == most, low, second)
 
 
 def statistics(rest: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
@@ -237,10 +300,13 @@ def statistics(rest: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: np.ndarray = np.zeros(0, np.int64)
         for batch in batches:
-            ids, rows = _flat(batch.column(0).to_pylist(), kind)
+            ids, size = _flat(batch.column(0), kind)
             span = int(ids.max(initial=0)) + 1
-            terms = np.unique(rows * span + ids) % span
-            df = _added(df, np.bincount(terms, minlength=span))
+            # 32 bits are sorted faster, where they hold a piece and a term
+            wide = np.uint32 if len(size) * span < 1 << 32 else np.uint64
+            keys = np.sort(np.repeat(np.arange(len(size), dtype=wide) * wide(span), size) + ids.astype(wide))
+            terms = keys[np.append(keys[:-1] != keys[1:], True)[: len(keys)]] % wide(span)
+            df = _added(df, np.bincount(terms.astype(np.int64), minlength=span))
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(df[seen])], schema=FREQUENCIES)
 
@@ -259,10 +325,10 @@ def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _flat(pieces: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of some pieces and the piece of each."""
-    size = np.array([len(p) for p in pieces], np.int64) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(pieces), kind).astype(np.int64), np.repeat(np.arange(len(pieces)), size)
+def _flat(pieces: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some pieces, and the number of ids of each."""
+    width, size = np.dtype(kind).itemsize, pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.frombuffer(b"".join(pieces.to_pylist()), kind), size // width
 
 
 class Shard:

@@ -299,6 +299,46 @@ def test_ids_of_chunks_are_those_of_whole_texts():
             assert ids[at[k] : at[k + 1]].tolist() == coder.encode(text or "", add_special_tokens=False).ids
 
 
+def test_letters_beyond_ascii_are_remembered_without_case_and_punctuation():
+    from tokenizers import Tokenizer
+
+    coder, encoder = Tokenizer.from_file(VOCABULARY), packing.Encoder(VOCABULARY)
+    texts = ["Été été, ÉTÉ! (été) a×b÷c Straße STRASSE", "ÿ Ÿ é\u0301 e\u0301té été\u0327 Ã· Ã— ñandú; ÑANDÚ;; é.é"]
+    ids, at = encoder.encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == coder.encode(text, add_special_tokens=False).ids
+    known = len(encoder.hashes)
+    encoder.encode(pa.array(["éTé ÉTé; Été ñANdú,"]))
+    assert len(encoder.hashes) == known  # one way to write them is enough for all
+
+
+def test_chunks_met_again_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 100)
+    encoder = packing.Encoder(VOCABULARY)
+    learned = []
+    runs = encoder.runs
+    monkeypatch.setattr(encoder, "runs", lambda text, at, tokenizer: learned.append(len(at) - 1) or runs(text, at, tokenizer))
+    common, letters = " ".join(f"w{a}{b}" for a in "abcdef" for b in "abcdef"), "abcdefghijklmnopqrstuvwxyz"
+    want = encoder.whole([common])[0]
+    for k in range(12):
+        rare = " ".join(f"x{letters[k]}{a}{b}" for a in "abcdef" for b in "abcdef")
+        ids, at = encoder.encode(pa.array([common, rare]))
+        assert ids[: at[1]].tobytes() == want and ids[at[1] :].tobytes() == encoder.whole([rare])[0]
+    assert sum(learned) == 36 + 12 * 36  # the common words once, the others of each batch
+
+
+@pytest.mark.parametrize("rows", [3, 200_000])
+def test_pieces_of_a_term_are_counted_beyond_32_bits(spark, rows):
+    """Every piece has the terms 1, 2 and one of the largest ids; so many pieces times terms take 64 bits."""
+    own = F.concat(F.lit(b"\x01\x00\x02\x00\x01\x00"), F.lit(b"\xff\xbf"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        df, n, mean = packing.statistics(spark.range(rows, numPartitions=1).select(own.alias("ids"), F.lit(4).cast("long").alias("length")), "<u2")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (n, mean, np.flatnonzero(df).tolist(), set(df[df > 0].tolist())) == (rows, 4.0, [1, 2, 0xBFFF], {rows})
+
+
 def test_repeated_rows_are_packed_each(spark):
     df = awkward(spark)
     assert packing.pack(df, VOCABULARY).where("start = 0").count() == df.count()
