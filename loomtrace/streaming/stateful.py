@@ -8,6 +8,7 @@ state store that these need is set for the start of a query only (``drained``).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,14 +44,23 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 class Ordered(StatefulProcessor):
     """Hands rows to ``take`` in the order of (ts_ms, ...), each once the watermark has passed it.
 
-    Subclasses name the fields that wait (``WAITING``, the time first) and read them off a row.
+    Subclasses name the fields that wait (``WAITING``, the time first) and read them off a row. What comes in
+    one batch waits as one value: each value of a list is encoded, sent and read back on its own.
     """
 
     WAITING = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.WAITING)
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def held(self) -> list[tuple]:
+        """All rows that wait."""
+        return [f for (rows,) in self.waiting.get() for f in pickle.loads(rows)]
+
+    def hold(self, rows: list[tuple]) -> None:
+        """Lets these rows wait and no others."""
+        self.waiting.put([(pickle.dumps(rows),)])
 
     def fields(self, row: Row) -> tuple:
         return tuple(row[c.split()[0]] for c in self.WAITING.split(", "))
@@ -60,20 +70,20 @@ class Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         arrived = [self.fields(r) for r in rows]
-        self.waiting.appendList(arrived)
+        self.waiting.appendValue((pickle.dumps(arrived),))
         # one timer a batch: at its expiry everything up to the watermark is final
         self.handle.registerTimer(max(f[0] for f in arrived))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(f) for f in self.waiting.get()]
+        held = self.held()
         ready = sorted((f for f in held if f[0] <= until), key=lambda f: f[:2])
         if not ready:
             return
         later = [f for f in held if f[0] > until]
         if later:
-            self.waiting.put(later)
+            self.hold(later)
         else:
             self.waiting.clear()
         yield from self.take(key, ready)
@@ -220,14 +230,14 @@ class Ladder(Ordered):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         arrived = [self.fields(r) for r in rows]
-        held = [tuple(f) for f in self.waiting.get()] if self.waiting.exists() else []
+        held = self.held() if self.waiting.exists() else []
         kept, criticals = [], 0
         for run in sorted(held + arrived, key=lambda f: f[:2]):
             kept.append(run)
             criticals += bool(run[2])
             if criticals == RUNGS:
                 break
-        self.waiting.put(kept)
+        self.hold(kept)
         self.handle.registerTimer(max(f[0] for f in arrived))
         return iter(())
 

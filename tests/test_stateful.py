@@ -58,6 +58,35 @@ def test_sessions_whose_batches_close_one_after_another(spark):
     assert rows_of(columns, got.select(*columns).collect()) == rows_of(columns, sessionise(df, 1_800_000).select(*columns).collect())
 
 
+def test_rows_of_a_batch_wait_as_one_value():
+    """Each call of the state store is a round trip to the JVM, and each value of a list is encoded on its own."""
+    from types import SimpleNamespace
+
+    class Listed(list):
+        def appendValue(self, value):
+            self.append(value)
+
+        def get(self):
+            return iter(self)
+
+        def put(self, values):
+            self[:] = values
+
+    class Taken(T.Ordered):
+        WAITING = "ts_ms long, id long"
+
+        def take(self, key, ready):
+            yield from ready
+
+    machine, waiting, timers = Taken(), Listed(), []
+    machine.init(SimpleNamespace(getListState=lambda name, schema: waiting, registerTimer=timers.append))
+    for batch in ([(5, 1), (3, 2), (9, 3)], [(4, None), (3, 0)]):
+        list(machine.handleInputRows(("u",), [{"ts_ms": t, "id": i} for t, i in batch], None))
+    assert len(waiting) == 2 and timers == [9, 4]
+    assert list(machine.handleExpiredTimer(("u",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5), None)) == [(3, 0), (3, 2), (4, None), (5, 1)]
+    assert len(waiting) == 1 and machine.held() == [(9, 3)]
+
+
 def test_feed_speaks_on_change_only(spark):
     schema = "automation_id string, trust_level string, sequence long, score double, critical boolean"
     batches = [[(7, 0.9, False), (3, 1.0, False)], [(1, 1.0, False), (2, 1.0, False), (4, 1.0, False)], [(0, 0.1, True)], [(8, 1.0, True)], [(8, 1.0, True)]]
