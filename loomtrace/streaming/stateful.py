@@ -54,11 +54,11 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "rows binary")
 
-    def held(self) -> list[tuple]:
+    def still_waiting(self) -> list[tuple]:
         """All rows that wait."""
         return [f for (rows,) in self.waiting.get() for f in pickle.loads(rows)]
 
-    def hold(self, rows: list[tuple]) -> None:
+    def wait(self, rows: list[tuple]) -> None:
         """Lets these rows wait and no others."""
         self.waiting.put([(pickle.dumps(rows),)])
 
@@ -77,13 +77,13 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs()
-        held = self.held()
+        held = self.still_waiting()
         ready = sorted((f for f in held if f[0] <= until), key=lambda f: f[:2])
         if not ready:
             return
         later = [f for f in held if f[0] > until]
         if later:
-            self.hold(later)
+            self.wait(later)
         else:
             self.waiting.clear()
         yield from self.take(key, ready)
@@ -230,14 +230,14 @@ class Ladder(Ordered):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         arrived = [self.fields(r) for r in rows]
-        held = self.held() if self.waiting.exists() else []
+        held = self.still_waiting() if self.waiting.exists() else []
         kept, criticals = [], 0
         for run in sorted(held + arrived, key=lambda f: f[:2]):
             kept.append(run)
             criticals += bool(run[2])
             if criticals == RUNGS:
                 break
-        self.hold(kept)
+        self.wait(kept)
         self.handle.registerTimer(max(f[0] for f in arrived))
         return iter(())
 

@@ -84,7 +84,7 @@ def test_rows_of_a_batch_wait_as_one_value():
         list(machine.handleInputRows(("u",), [{"ts_ms": t, "id": i} for t, i in batch], None))
     assert len(waiting) == 2 and timers == [9, 4]
     assert list(machine.handleExpiredTimer(("u",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5), None)) == [(3, 0), (3, 2), (4, None), (5, 1)]
-    assert len(waiting) == 1 and machine.held() == [(9, 3)]
+    assert len(waiting) == 1 and machine.still_waiting() == [(9, 3)]
 
 
 def test_feed_speaks_on_change_only(spark):
