@@ -29,15 +29,20 @@ LEAST_SCORE = 0.5
 #: the arrays of one stage back before the next one runs beside them. Arrow's own pool keeps blocks too, so batches
 #: come from the C library, and threads share two arenas. Each stage sets this, since stages also run one by one.
 MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Bytes of an Arrow batch. Batches of ten thousand texts are some 30 MB, of which executor and worker hold several copies,
+#: and buffers of that size stay with the executor's C library; kernels work on 1 or 2 MB at a time.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def lean(stage):
-    """``stage`` with workers that give freed memory back."""
+    """``stage`` with small batches and workers that give freed memory back."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for name, value in MALLOC.items():
             spark.sparkContext.environment.setdefault(name, value)
+        for name, value in BATCH.items():
+            spark.conf.set(name, value)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -67,12 +67,16 @@ class Merged:
         self.blocks = sent.column("block").to_pylist()
         self.shards = sent.column("shard").to_pylist()
         parts = [K.unsqueeze(k, w) for k, w in zip(sent.column("keys").to_pylist(), sent.column("width").to_pylist(), strict=True)]
-        self.ends = np.cumsum([len(p) for p in parts])
-        self.keys, self.where = np.unique(np.concatenate(parts), return_inverse=True)
+        sizes = [len(p) for p in parts]
+        self.ends = np.cumsum(sizes)
+        joined = np.concatenate(parts)
+        del parts  # as much again as the joined keys
+        self.keys, self.where = np.unique(joined, return_inverse=True)
+        del joined
         self.counts = self._added([widen(c) for c in sent.column("counts").to_pylist()])
         second = sent.column("also").to_pylist()
         self.asks = [a is not None for a in second]
-        self.also = self._added([np.zeros(len(p), np.uint8) if a is None else widen(a) for a, p in zip(second, parts, strict=True)]) if any(self.asks) else None
+        self.also = self._added([np.zeros(n, np.uint8) if a is None else widen(a) for a, n in zip(second, sizes, strict=True)]) if any(self.asks) else None
 
     def _added(self, parts: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(self.keys), np.int64)

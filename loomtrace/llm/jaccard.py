@@ -106,7 +106,8 @@ def describe(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 
     size = input_bytes(documents)
     count = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size >> 20) // BLOCK_MB + 1)
-    shards, bits = X.shards_of(count), min(64, max(32, size.bit_length() + 8))
+    # twice the shards: half the keys that a task merges at once
+    shards, bits = 2 * X.shards_of(count), min(64, max(32, size.bit_length() + 8))
     blocks = _source(documents).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)))
 
     def ask(block: pa.Table) -> pa.Table:

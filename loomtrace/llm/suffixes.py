@@ -42,7 +42,9 @@ HOT = 20_000
 #: Hot anchors that are sent to all executors (8 bytes each).
 HOT_ANCHORS = 100_000
 #: Bytes of contexts that are sorted together; whole anchor groups only.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
+#: Text bytes whose anchors are looked for at once; the temporaries are some hundred times as much.
+CHUNK = 1 << 20
 #: Bytes that are searched at once, below the places that the low bits of a hash can hold.
 SEGMENT = 8 << 20
 _PLACE = np.uint64((1 << 28) - 1)
@@ -104,7 +106,7 @@ def repeated_anchors(source: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.chunks(batches, "text"):
+        for batch in K.chunks(batches, "text", CHUNK):
             data, offsets = K.text_buffer(batch.column(1))
             row, _, _, _, hashes = anchors(data, offsets)
             taken = pa.array(row)
@@ -135,7 +137,7 @@ def contexts(source: DataFrame, lists: DataFrame, hot: bool) -> DataFrame:
         few = np.array([r[0] for r in distinct], np.int64) if len(distinct) <= HOT_ANCHORS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.chunks(batches, "text"):
+        for batch in K.chunks(batches, "text", CHUNK):
             data, offsets = K.text_buffer(batch.column(1))
             row, place, first, last, hashes = anchors(data, offsets)
             if not len(row):
@@ -266,8 +268,8 @@ def repeated_windows(group: np.ndarray, pieces: list[bytes], at: np.ndarray) ->
         n, a, g = length[use], at[use].astype(np.int64), group[use]
         start = np.cumsum(n) - n
         orders = []
-        for suffixes in (Suffixes(data, start + a, n - a), Suffixes(data[::-1].copy(), len(data) - start - a, a)):
-            orders.append(suffixes.verified(g))
+        for suffixes in (lambda: Suffixes(data, start + a, n - a), lambda: Suffixes(data[::-1].copy(), len(data) - start - a, a)):
+            orders.append(suffixes().verified(g))  # one after the other: each has hashes of eight times the data
         (right, right_shared), (left, left_shared) = orders
         right_class, left_class = np.empty(len(use), np.int64), np.empty(len(use), np.int64)
         for o in range(int((a - n + LENGTH).min()), int(a.max()) + 1):

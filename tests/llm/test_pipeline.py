@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +191,18 @@ def test_each_stage_run_alone_has_lean_workers(name):
     with pytest.raises(AttributeError):  # there are no documents
         dict(corpus_pipeline.STAGES)[name](session, None, "")
     assert session.sparkContext.environment == corpus_pipeline.MALLOC
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_each_stage_takes_small_batches(spark, name):
+    """Ten thousand long texts in one batch are held several times over by executor and worker."""
+    rows = spark.range(4000).select(F.repeat(F.col("id").cast("string"), 1000).alias("text")).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        with pytest.raises(AttributeError):  # there are no documents
+            dict(corpus_pipeline.STAGES)[name](spark, None, "")
+        sizes = [r["n"] for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert len(sizes) > 1
+    assert max(sizes) < 6 << 20
