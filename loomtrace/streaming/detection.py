@@ -3,7 +3,8 @@
 Tables of a detector (one folder for one stream):
 
 * ``log/batch=.../bucket=...``: events as they came, in a folder for each batch; users are dealt to buckets.
-* ``steps/bucket=...``: the steps of all instances; a batch replaces the buckets of its users.
+* ``steps/batch=.../bucket=...``: the steps of all instances of the buckets that a batch touched, written once. Those of a
+  bucket's newest batch count; older ones go once the newer batch is through.
 * ``counts/batch=...``: number of new events of a batch.
 * ``findings/batch=...``: findings after the batches that completed ``LEAST_NEW`` new events.
 
@@ -19,7 +20,7 @@ from pyspark.sql.types import DataType, IntegerType, LongType, StructField, Stru
 from loomtrace import constants as C
 from loomtrace.operators.sessions import sessionise
 from loomtrace.plans.detection import findings
-from loomtrace.sources.shared import new_path, written
+from loomtrace.sources.shared import new_path
 
 #: New events after which detection runs, and parts that users are dealt to (the driver knows which parts a batch touches).
 LEAST_NEW = 30
@@ -43,8 +44,25 @@ class Detector:
     def _table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.folder}/{name}")
 
+    def _folders(self, spark: SparkSession, name: str) -> set[tuple[int, int]]:
+        """(batch, bucket) of the folders of a table."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/batch=*/bucket=*")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        return {tuple(int(part.split("=")[1]) for part in str(f.getPath()).rsplit("/", 2)[1:]) for f in found}
+
+    def _versions(self, spark: SparkSession) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Folders of ``steps`` that count, and those that a newer batch replaced, maybe by no instance at all."""
+        came, cut = self._folders(spark, "log"), self._folders(spark, "steps")
+        whole = {batch for batch in {b for b, _ in came} if self._exists(spark, f"steps/batch={batch}/_SUCCESS")}
+        newest: dict[int, int] = {}
+        for batch, bucket in came:
+            if batch in whole:
+                newest[bucket] = max(batch, newest.get(bucket, batch))
+        return sorted(x for x in cut if x[0] == newest.get(x[1])), sorted(x for x in cut if x[0] < newest.get(x[1], -1))
+
     def steps(self, spark: SparkSession) -> DataFrame:
-        return self._table(spark, "steps").drop("bucket")
+        paths = [f"{self.folder}/steps/batch={b}/bucket={k}" for b, k in self._versions(spark)[0]]
+        return spark.read.option("basePath", f"{self.folder}/steps").parquet(*paths).drop("batch", "bucket")
 
     def counts(self, spark: SparkSession) -> DataFrame:
         return self._table(spark, "counts")
@@ -68,17 +86,14 @@ class Detector:
             return
         schema = _with(batch.schema, batch=LongType(), bucket=IntegerType())
         touched = spark.read.schema(schema).parquet(f"{self.folder}/log").where(F.col("bucket").isin([r["bucket"] for r in sizes]))
-        steps = written(sessionise(touched.drop("batch"), self.gap_ms), "cut")
-        left = {r["bucket"] for r in steps.select("bucket").distinct().collect()}
-        for k in sorted({r["bucket"] for r in sizes} - left):  # late events can leave a bucket without instances
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/steps/bucket={k}")
+        # written once: a batch has folders of its own, so what it reads and what findings are made of is not replaced under them
+        sessionise(touched.drop("batch"), self.gap_ms).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/steps/batch={batch_id}")
+        valid, replaced = self._versions(spark)
+        if valid and self._due(spark, batch_id):
+            findings(self.steps(spark)).write.mode("overwrite").parquet(f"{self.folder}/findings/batch={batch_id}")
+        for batch, bucket in replaced:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/steps/batch={batch}/bucket={bucket}")
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if left:
-            steps.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/steps")
-        if self._exists(spark, "steps") and self._due(spark, batch_id):
-            # findings are read again and again: they are made of a table that no later batch replaces
-            own = written(self.steps(spark), "steps")
-            findings(own).write.mode("overwrite").parquet(f"{self.folder}/findings/batch={batch_id}")
 
     def _due(self, spark: SparkSession, batch_id: int) -> bool:
         """Whether enough events came since the last findings before this batch, by folders alone: a batch that comes again decides alike."""
